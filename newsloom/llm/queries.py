@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import packing, quality, simhash, warc
+from newsloom.llm import decontam, packing, quality, simhash, warc
 from newsloom.llm.common import fresh_dir, table
 
 
@@ -29,4 +29,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_warc_round_trip, op5_packing)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash_near_dedup, op2_quality_rules, op3_warc_round_trip, op5_packing, op10_benchmark_decontamination)
+}
+ORACLES = {"op10_benchmark_decontamination": decontam.ORACLE_SQL}
