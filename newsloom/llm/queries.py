@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontam, packing, quality, simhash, warc
+from newsloom.llm import decontam, langid, packing, quality, simhash, warc
 from newsloom.llm.common import fresh_dir, table
 
 
@@ -29,12 +29,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out, names = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return out.select("doc_id", fold.alias("held_out"), *(F.col(n).alias(f) for f, n in names.items()))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_quality_rules, op3_warc_round_trip, op5_packing, op10_benchmark_decontamination)
+    for f in (op1_simhash_near_dedup, op2_quality_rules, op3_warc_round_trip, op5_packing, op7_language_id, op10_benchmark_decontamination)
 }
 ORACLES = {"op10_benchmark_decontamination": decontam.ORACLE_SQL}
