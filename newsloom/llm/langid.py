@@ -9,6 +9,7 @@ with the largest expected share of its words.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -306,7 +307,7 @@ def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str, fold: in
 
 
 FIELDS = [("lang_pred", T.StringType()), ("score", T.DoubleType())]
-_LABELLERS: dict[int, Labeller] = {}
+_LABELLERS: dict[str, Labeller] = {}
 
 
 def identify(docs: DataFrame, model: Crf, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
@@ -316,10 +317,9 @@ def identify(docs: DataFrame, model: Crf, text: str = "text") -> tuple[DataFrame
     get equal answers, and an empty table gives none. Ties go to the first language by name.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # BUCKETS + lexicon rows, whatever the corpus
+    shared, key = sc.broadcast(model), uuid.uuid4().hex  # BUCKETS + lexicon rows, whatever the corpus
 
     def kernel(texts: list) -> list:
-        key = shared.id
         if key not in _LABELLERS:
             _LABELLERS.clear()
             _LABELLERS[key] = Labeller(shared.value)
