@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontam, langid, packing, quality, simhash, warc
+from newsloom.llm import decontam, langid, packing, quality, simhash, suffix_tree, warc
 from newsloom.llm.common import fresh_dir, table
 
 
@@ -36,12 +36,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fold.alias("held_out"), *(F.col(n).alias(f) for f, n in names.items()))
 
 
+def op9_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_quality_rules, op3_warc_round_trip, op5_packing, op7_language_id, op10_benchmark_decontamination)
+    for f in (op1_simhash_near_dedup, op2_quality_rules, op3_warc_round_trip, op5_packing, op7_language_id, op9_suffix_tree_score, op10_benchmark_decontamination)
 }
 ORACLES = {"op10_benchmark_decontamination": decontam.ORACLE_SQL}
