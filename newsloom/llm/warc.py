@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -79,7 +80,7 @@ def range_bounds(keys: DataFrame, key: str, shards: int, per_shard: int = 64) ->
     return np.unique(sample[(np.arange(1, shards) * len(sample)) // shards])
 
 
-def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Archive `pages` (page_id, url, html) under `folder`; returns the manifest table.
 
     A null html is an empty payload. A null page_id is refused. Repeated rows give a record each.
@@ -93,23 +94,24 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes
     total = marks.agg(F.sum("size")).first()[0] or 0
     bounds = range_bounds(marks, "page_id", max(1, -(-total // shard_bytes)))
 
-    def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard = np.searchsorted(bounds, b.column(0).to_numpy(), side="left").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], names=["page_id", "digest", "refers_to", "shard"])
+    @F.pandas_udf("bigint")
+    def shard_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="left"))
 
-    twice = marks.groupBy("page_id", "digest").agg(F.first("refers_to").alias("refers_to"))
-    keyed = twice.mapInArrow(shard_of, "page_id bigint, digest string, refers_to bigint, shard bigint")
+    # Payloads travel once. The row that says what a payload refers to goes along as a row of its own,
+    # which the sort puts before the payload's.
+    twice = marks.groupBy("page_id", "digest").agg(F.first("refers_to").alias("refers_to")).where("refers_to IS NOT NULL")
     text = F.coalesce("html", F.lit(""))
-    rows = base.select("page_id", "url", text.alias("html"), F.sha2(text, 256).alias("digest")).join(keyed, ["page_id", "digest"])
-    # A text wider than the rest travels once: the rows are dealt to their shards and sorted there.
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "digest")
+    marked = twice.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+    bodies = base.select("page_id", "url", text.alias("html"), F.sha2(text, 256).alias("digest"), F.lit(None).cast("bigint").alias("refers_to"))
+    rows = marked.unionByName(bodies).withColumn("shard", shard_of("page_id"))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", F.col("html").isNotNull(), "url")
     fields = rows.columns
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open(folder)
         files.create_dir(f"{root}/_temporary", recursive=True)
-        attempt, out, now = uuid.uuid4().hex, None, (None, -1)
+        attempt, out, now, mark = uuid.uuid4().hex, None, (None, -1), None
 
         def close() -> tuple:
             out["stream"].close()
@@ -126,6 +128,10 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes
                 batch = big.slice(at, 256)
                 for row in zip(*(batch.column(fields.index(f)).to_pylist() for f in ("shard", "page_id", "url", "html", "digest", "refers_to"))):
                     shard, key, url, html, digest, refers = row
+                    if html is None:
+                        mark = (key, digest, refers)
+                        continue
+                    refers = mark[2] if mark and mark[:2] == (key, digest) else None
                     raw = record(key, url, html.encode("utf-8", "surrogatepass"), digest, refers, date)
                     if out is None or out["shard"] != shard or out["size"] + len(raw) > file_bytes:
                         if out is not None:
@@ -224,4 +230,5 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return manifest.select("name").repartition("name").mapInArrow(load, RECORDS)
+    tasks = min(max(1, manifest.count()), 10_000)
+    return manifest.select("name").repartition(tasks, "name").mapInArrow(load, RECORDS)
