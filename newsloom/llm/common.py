@@ -14,11 +14,12 @@ import base64
 import re
 import tempfile
 import uuid
-import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,7 +119,7 @@ class CachedBpe:
     per worker until the cache holds `limit` chunks and is emptied. Other texts are encoded whole.
     """
 
-    def __init__(self, ranks_path: str, limit: int = 400_000):
+    def __init__(self, ranks_path: str, limit: int = 900_000):
         import public_tokenizers
         import tiktoken
 
@@ -151,7 +152,7 @@ class CachedBpe:
         for c in chunks:
             x = get(c)
             if x is None:
-                x = cache[c] = np.array(self._encode(c), dtype="<u4").tobytes()
+                x = cache[c] = array("I", self._encode(c)).tobytes()
             out.append(x)
         return b"".join(out)
 
@@ -172,5 +173,22 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def crc32_text(value: int) -> int:
-    return zlib.crc32(str(value).encode())
+def commit_files(made: DataFrame, folder: str) -> DataFrame:
+    """Rename the files that `made` (name, temporary, bytes, ...) reports and return its rows without `temporary`.
+
+    Renaming again what is already renamed does nothing, so lost tasks may run again.
+    """
+    schema = made.schema
+
+    def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for row in batch.select(["name", "temporary", "bytes"]).to_pylist():
+                old, new = files.get_file_info([f"{root}/{row['temporary']}", f"{root}/{row['name']}"])
+                if old.type == fs.FileType.File:
+                    files.move(old.path, new.path)
+                elif new.type != fs.FileType.File or new.size != row["bytes"]:
+                    raise OSError(f"{row['name']} is lost")
+            yield batch
+
+    return cut(made.mapInArrow(commit, schema)).drop("temporary")

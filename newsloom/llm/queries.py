@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontam, langid, packing, quality, simhash, suffix_tree, warc
+from newsloom.llm import decontam, langid, packing, quality, quotes, simhash, suffix_tree, token_counts, token_shards, warc
 from newsloom.llm.common import fresh_dir, table
 
 
@@ -25,10 +25,26 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations hold no quotes of their own, so Spark first writes them as mail threads do."""
+    out = quotes.link(quotes.as_mail(table(spark, sf_dir, "conversations")))
+    digest = F.sha2("body", 256).alias("body_sha256")
+    return out.select("conv_id", "turn", "role", "parent_turn", "thread_turn", "depth", "quoted", "linked", F.length("body").alias("body_chars"), digest)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is a sequence: where it stands, what it holds, and whether the read-back shard has it."""
+    folder = fresh_dir(spark, "tokens")
+    index = token_shards.write(table(spark, sf_dir, "documents"), folder)
+    seen = token_shards.read(spark, folder).select("slot", F.col("crc32").alias("read_crc32"))
+    out = index.join(seen, "slot", "left")
+    return out.select("slot", "shard", "position", "doc_ids", "starts", "lengths", "crc32", F.coalesce(F.col("crc32") == F.col("read_crc32"), F.lit(False)).alias("intact"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out, names = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
@@ -36,6 +52,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fold.alias("held_out"), *(F.col(n).alias(f) for f, n in names.items()))
 
 
+def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, edits = token_counts.with_scrub_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out, names = token_counts.count_after_edits(docs, "text", edits)
+    return out.select("doc_id", *(F.col(n).alias(f) for f, n in names.items()))
+
+
 def op9_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"))
 
@@ -46,6 +68,17 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_quality_rules, op3_warc_round_trip, op5_packing, op7_language_id, op9_suffix_tree_score, op10_benchmark_decontamination)
+    for f in (
+        op1_simhash_near_dedup,
+        op2_quality_rules,
+        op3_warc_round_trip,
+        op4_quotation_linking,
+        op5_packing,
+        op6_token_shards,
+        op7_language_id,
+        op8_edit_aware_counts,
+        op9_suffix_tree_score,
+        op10_benchmark_decontamination,
+    )
 }
 ORACLES = {"op10_benchmark_decontamination": decontam.ORACLE_SQL}

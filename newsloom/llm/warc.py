@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut
+from newsloom.llm.common import commit_files, cut
 
 MANIFEST = "name string, temporary string, shard bigint, part bigint, records bigint, bytes bigint, sha256 string, first_key bigint, last_key bigint"
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, file string, offset bigint, intact boolean"
@@ -153,20 +153,9 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes
 
     made = cut(rows.mapInArrow(save, MANIFEST))
 
-    def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _open(folder)
-        for batch in batches:
-            for row in batch.to_pylist():
-                old, new = files.get_file_info([f"{root}/{row['temporary']}", f"{root}/{row['name']}"])
-                if old.type == fs.FileType.File:
-                    files.move(old.path, new.path)
-                elif new.type != fs.FileType.File or new.size != row["bytes"]:
-                    raise OSError(f"{row['name']} is lost")
-            yield batch
-
-    committed = cut(made.mapInArrow(commit, MANIFEST))
-    committed.drop("temporary").write.parquet(f"{folder}/manifest")  # with _SUCCESS, the mark of a whole archive
-    return committed.drop("temporary")
+    committed = commit_files(made, folder)
+    committed.write.parquet(f"{folder}/manifest")  # with _SUCCESS, the mark of a whole archive
+    return committed
 
 
 def _members(stream, size: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
