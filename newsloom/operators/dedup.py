@@ -70,11 +70,16 @@ def merge_entities(aliases: DataFrame, mentions: DataFrame, mapping: DataFrame)
 def shared_shingles(texts: DataFrame, sources: DataFrame, n: int = 10) -> DataFrame:
     """(id, source_id, shingle): the first common window of n words in sort order, of every text and source that share one.
 
-    Windows meet by hash, so neither side is gathered; equality of the words is checked on what meets.
+    Windows meet by hash, so neither side is gathered; the words are compared on what meets. Neighbours come from shifted
+    copies of the word array, which keeps the whole window in generated code.
     """
 
-    def cut(df: DataFrame, key: str) -> DataFrame:
-        words = df.select(key, X.words(F.col("text")).alias("w"))  # a column of its own, or every window would split the text again
-        return words.select(key, F.explode(X.shingles(F.col("w"), n)).alias("s")).withColumn("h", F.xxhash64("s"))
+    def cut(df: DataFrame, key: str, mark: str) -> DataFrame:
+        words = df.select(key, X.words(F.col("text")).alias("w"))
+        shifted = F.arrays_zip(*[F.slice("w", k + 1, F.greatest(F.size("w") - (n - 1), F.lit(0))).alias(f"{mark}{k}") for k in range(n)])
+        # The outer form keeps the optimizer from testing the array below, which would split every text again.
+        rows = words.select(key, F.inline_outer(shifted)).where(f"{mark}0 IS NOT NULL")
+        return rows.withColumn("h", F.xxhash64(*[f"{mark}{k}" for k in range(n)]))
 
-    return cut(texts, "id").join(cut(sources, "source_id"), ["h", "s"]).groupBy("id", "source_id").agg(F.min("s").alias("shingle"))
+    met = cut(texts, "id", "a").join(cut(sources, "source_id", "b"), "h").where(" AND ".join(f"a{k} = b{k}" for k in range(n)))
+    return met.groupBy("id", "source_id").agg(F.min(F.concat_ws(" ", *[f"a{k}" for k in range(n)])).alias("shingle"))
