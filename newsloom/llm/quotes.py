@@ -100,15 +100,16 @@ def link(messages: DataFrame, rounds: int = 40) -> DataFrame:
     best = votes.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), F.col("votes"), F.col("origin"))).alias("b"))
     parents = cut(best.select("conv", "turn", F.col("b.origin").alias("parent")))
     # Pointer doubling: after k rounds `top` is 2^k replies up, or the message that opens the thread.
-    jump = parents.select("conv", "turn", F.col("parent").alias("top"), F.lit(1).cast("bigint").alias("depth"))
+    # Only messages whose top is not yet known to open its thread are joined again.
+    jump = parents.select("conv", "turn", F.col("parent").alias("top"), F.lit(1).cast("bigint").alias("depth"), F.lit(True).alias("open"))
     for _ in range(rounds):
         up = jump.select("conv", F.col("turn").alias("top"), F.col("top").alias("over"), F.col("depth").alias("more"))
-        step = jump.join(up, ["conv", "top"], "left")
-        step = step.select("conv", "turn", F.coalesce("over", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("over").isNotNull().alias("moved"))
-        step = cut(step)
-        jump = step.drop("moved")
-        if step.where("moved").isEmpty():
+        step = jump.where("open").join(up, ["conv", "top"], "left")
+        step = step.select("conv", "turn", F.coalesce("over", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("over").isNotNull().alias("open"))
+        jump = cut(jump.where("NOT open").unionByName(step))
+        if jump.where("open").isEmpty():
             break
+    jump = jump.drop("open")
     info = parents.join(jump, ["conv", "turn"])
     facts = counts.join(info, ["conv", "turn"], "left").select(
         F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), "parent", "top", "depth", "quoted", "linked"
