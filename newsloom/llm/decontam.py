@@ -137,13 +137,12 @@ WITH texts AS (
     '<n> ({UNITS})( |$)', '<n> <u>\2', 'g'), '(^| )\p{{Lu}}\p{{Ll}}+', '\1<p>', 'g')), chr(1), ''), ' ') AS t FROM flat
 ), sized AS (
   SELECT *, least(8, len(t)) AS n FROM words
-), starts AS (
-  SELECT side, id, raw, t, wide, unnest(range(len(t) - wide + 1)) AS pos
-  FROM (SELECT *, n AS wide FROM sized WHERE side = 1 AND n >= 4
-        UNION ALL SELECT s.*, w.wide FROM sized s, (SELECT DISTINCT n AS wide FROM sized WHERE side = 1 AND n >= 4) w WHERE side = 0)
-  WHERE len(t) >= wide
+), wide AS (
+  SELECT side, id, raw, t, n AS wide FROM sized WHERE side = 1 AND n >= 4
+  UNION ALL SELECT s.side, s.id, s.raw, s.t, w.wide FROM sized s, (SELECT DISTINCT n AS wide FROM sized WHERE side = 1 AND n >= 4) w WHERE side = 0
 ), windows AS (
-  SELECT side, id, wide, pos, t[pos + 1 : pos + wide] AS t, raw[pos + 1 : pos + wide] AS raw FROM starts
+  SELECT side, id, wide, w.pos AS pos, w.t AS t, w.raw AS raw FROM (
+    SELECT side, id, wide, unnest([{{'pos': i, 't': t[i + 1 : i + wide], 'raw': raw[i + 1 : i + wide]}} FOR i IN range(len(t) - wide + 1)]) AS w FROM wide WHERE len(t) >= wide)
 ), met AS (
   SELECT d.id AS doc_id, b.id AS item_id, b.pos AS item_pos, d.pos - b.pos AS shift, b.wide, b.t AS kind, b.raw AS b, d.raw AS d
   FROM windows d JOIN windows b ON d.side = 0 AND b.side = 1 AND d.wide = b.wide AND d.t = b.t
