@@ -41,7 +41,8 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "tokens")
     index = token_shards.write(table(spark, sf_dir, "documents"), folder)
     seen = token_shards.read(spark, folder).select("slot", F.col("crc32").alias("read_crc32"))
-    out = index.join(seen, "slot", "left")
+    # Spark takes the read-back for as small as the manifest it comes from; both sides grow with the corpus.
+    out = index.hint("merge").join(seen, "slot", "left")
     return out.select("slot", "shard", "position", "doc_ids", "starts", "lengths", "crc32", F.coalesce(F.col("crc32") == F.col("read_crc32"), F.lit(False)).alias("intact"))
 
 
