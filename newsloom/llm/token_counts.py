@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import append_columns, bpe, default_ranks
+from newsloom.llm.common import append_columns, bpe, default_ranks, free_name
 
-LEAF_CHARS = 256
+LEAF_CHARS = 512
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("replacement", T.StringType())]))
 
 
@@ -108,29 +108,77 @@ def edit(text: str, tree: Tree, start: int, stop: int, replacement: str, encode)
     return new, b + grown - a
 
 
+def edit_batch(text: str, tree: Tree, edits: list[tuple[int, int, str]], encode) -> tuple[str, int]:
+    """As `edit` for each of many disjoint spans in rising order, all in places of the old text; a leaf is encoded at most once."""
+    n, width = len(text), tree.width
+    old = tree.chars[width:]
+    full = np.flatnonzero(old)  # leaves with text
+    begin = (np.cumsum(old) - old)[full]
+    starts, stops = np.array([e[0] for e in edits]), np.array([e[1] for e in edits])
+    grown = np.cumsum([0, *(len(r) - (b - a) for a, b, r in edits)])
+    pieces, at = [], 0
+    for a, b, r in edits:
+        pieces += [text[at:a], r]
+        at = b
+    new = "".join([*pieces, text[at:]])
+    if not len(full):
+        tree.set(0, len(new), len(encode(new)) // 4)
+        return new, len(new)
+    place = begin + grown[np.searchsorted(starts, begin, side="left")]  # of a leaf's begin in the new text
+    low = np.searchsorted(begin, np.minimum(starts, n - 1), side="right") - 1
+    high = np.searchsorted(begin, np.minimum(np.maximum(starts, stops - 1), n - 1), side="right") - 1
+    touched, joined = np.zeros(len(full) + 1, dtype=bool), np.zeros(len(full) + 1, dtype=bool)  # joined: to the leaf before
+    for a, b in zip(low, high):
+        touched[a : b + 1] = True
+        joined[a + 1 : b + 1] = True
+    for i in np.flatnonzero(touched[1:-1] | touched[:-2]) + 1:
+        if not joined[i] and not border(new, int(place[i])):
+            joined[i] = True
+    heads = np.flatnonzero(~joined[:-1])
+    again = 0
+    for i, j in zip(heads, [*heads[1:], len(full)]):
+        if j - i == 1 and not touched[i]:
+            continue
+        a = int(place[i]) if i else 0
+        b = int(place[j]) if j < len(full) else len(new)
+        again += b - a
+        tree.set(int(full[i]), b - a, len(encode(new[a:b])) // 4)
+        for k in range(i + 1, j):
+            tree.set(int(full[k]), 0, 0)
+    return new, again
+
+
 def apply(text: str, edits: list[tuple[int, int, str]], encode) -> tuple[int, int, int, str]:
-    """(tokens before, tokens after, characters encoded again, new text); edits run in order, each on what the last one left."""
+    """(tokens before, tokens after, characters encoded again, new text); edits run in order, each on what the last one left.
+
+    Disjoint edits from the last place to the first, as scrubbing gives them, are the same as one batch.
+    """
     tree = build(text, encode)
-    before, again = tree.total, 0
+    before, again, n = tree.total, 0, len(text)
+    if edits and all(0 <= a <= b <= n for a, b, _ in edits) and all(x[0] >= y[1] and x[0] > y[0] for x, y in zip(edits, edits[1:])):
+        text, again = edit_batch(text, tree, edits[::-1], encode)
+        return before, tree.total, again, text
     for start, stop, replacement in edits:
         text, touched = edit(text, tree, start, stop, replacement, encode)
         again += touched
     return before, tree.total, again, text
 
 
-#: Fixed patterns of what a cleaning edit takes out: addresses of mail and hosts, keys, runs of marks.
+#: Fixed patterns of what a cleaning edit takes out: addresses of mail and hosts, keys, runs of marks. Each with
+#: a cheap pattern without which it cannot match.
 SCRUB = [
-    (re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+"), "<mail>"),
-    (re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b"), "<host>"),
-    (re.compile(r"\b[0-9a-f]{32,}\b"), "<key>"),
-    (re.compile(r"([#*$%&|!])\1+"), ""),
+    (re.compile("@"), re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+"), "<mail>"),
+    (re.compile(r"\d\.\d"), re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b"), "<host>"),
+    (re.compile(r"[0-9a-f]{32}"), re.compile(r"\b[0-9a-f]{32,}\b"), "<key>"),
+    (re.compile(r"##|\*\*|\$\$|%%|&&|\|\||!!"), re.compile(r"([#*$%&|!])\1+"), ""),
 ]
 
 
 def scrub_edits(text: str | None) -> list[dict]:
     """The edits that clean a text, last place first, so that earlier places stay valid."""
-    found = [(m.start(), m.end(), r) for p, r in SCRUB for m in p.finditer(text or "")]
-    out, free = [], len(text or "") + 1
+    text = text or ""
+    found = [(m.start(), m.end(), r) for quick, p, r in SCRUB if quick.search(text) for m in p.finditer(text)]
+    out, free = [], len(text) + 1
     for start, stop, r in sorted(found, key=lambda x: (-x[1], -x[0])):
         if stop <= free:
             out.append({"start": start, "stop": stop, "replacement": r})
@@ -148,8 +196,6 @@ def count_after_edits(docs: DataFrame, text: str = "text", edits: str = "edits",
     null edits are none, a null replacement is empty. Repeated rows get equal counts; an empty table gives none.
     """
     path = vocabulary or default_ranks()
-    from newsloom.llm.common import free_name
-
     temp = free_name(docs.columns, "_both")
     out = docs.withColumn(temp, F.struct(F.col(text).alias("t"), F.col(edits).alias("e")))
 

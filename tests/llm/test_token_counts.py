@@ -30,6 +30,26 @@ def test_edits_equal_recount():
             assert text == want and tree.total == count(text) and tree.chars[1] == len(text), case
 
 
+def test_batches_equal_recount():
+    rnd = random.Random(10)
+    for case in range(200):
+        text = make(rnd, rnd.choice([0, 1, 20, 400, 2500]))
+        cuts = sorted(rnd.randint(0, len(text)) for _ in range(2 * rnd.randint(1, 12)))
+        edits = [(a, b, make(rnd, rnd.choice([0, 1, 2, 40]))) for a, b in zip(cuts[::2], cuts[1::2])]
+        edits = [e for k, e in enumerate(edits) if not k or edits[k - 1][0] < e[0]][::-1]
+        want = text
+        for a, b, r in edits:
+            want = want[:a] + r + want[b:]
+        tree = C.build(text, ENCODE)
+        new, _ = C.edit_batch(text, tree, edits[::-1], ENCODE)
+        assert new == want and tree.total == count(want) and tree.chars[1] == len(want), case
+        assert C.apply(text, edits, ENCODE)[1] == count(want)
+        for _ in range(3):  # the tree stays good for single edits
+            a = rnd.randint(0, len(new))
+            new, _ = C.edit(new, tree, a, a + 2, "x y", ENCODE)
+            assert tree.total == count(new)
+
+
 def test_small_edits_touch_little():
     text = "some plain words here " * 5000
     tree = C.build(text, ENCODE)
