@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences; every stage calls one of the ten operators.
+"""From raw documents to packed training sequences; every stage calls an operator of newsloom.llm.
 
 Each stage takes (spark, docs, sf_dir), judges all that its predecessor kept, and, but for the last, returns
 the columns of the documents. run() writes every stage as Parquet in the shared folder and reads it again.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontam, langid, packing, quality, simhash
+from newsloom.llm import decontam, langid, near_copies, packing, quality
 from newsloom.llm.common import fresh_dir, table
 
 #: A document none of whose languages reaches this share of its words is rejected.
@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

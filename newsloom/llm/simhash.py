@@ -283,7 +283,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Rows that repeat a doc_id are one document; the first by text stays. Rows without a doc_id stay.
     """
-    found = near_duplicates(docs, doc_id, text, width, max_bits)
+    return drop_members(docs, near_duplicates(docs, doc_id, text, width, max_bits), doc_id, text)
+
+
+def drop_members(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """`docs` without the documents that `found` (doc_id, component_id) puts under another doc_id."""
     found = cut(found.where("doc_id IS NOT NULL").select("doc_id", "component_id"))
     gone = found.where("doc_id <> component_id").select("doc_id")
     repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
