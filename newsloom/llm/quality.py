@@ -112,19 +112,18 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def band_of(text: str, lang: str | None) -> str:
-    """The language's band if there is one, else that of the script of the text's letters."""
+    """The language's band if there is one, else that of the script of most of the whole text's letters."""
     if lang in BANDS:
         return lang
-    letters = _LETTER.findall(text[:4000]) or _LETTER.findall(text)
-    latin = sum(x < "ɐ" for x in letters)
-    return "latin" if 2 * latin >= len(letters) else "other"
+    letters = np.frombuffer("".join(_LETTER.findall(text)).encode("utf-32-le"), dtype="<u4")
+    return "latin" if 2 * int((letters < ord("ɐ")).sum()) >= len(letters) else "other"
 
 
 def in_band(table: dict, band: str, text: str, n: int, per: float, fallback: float, entropy: float) -> bool:
-    """A share of byte fallback that the declared language cannot have means another language: its script's band holds."""
+    """A share of byte fallback beyond the band's means another language if most letters are of another script: its band holds."""
     root = n**0.5
-    if fallback > table[band][2] + SLACK_FALLBACK / root:
-        band = band_of(text, None)
+    if fallback > table[band][2] + SLACK_FALLBACK / root and band_of(text, None) == "other":
+        band = "other"  # all languages with bands of their own are written in Latin letters
     low, high, most, least = table[band]
     near = SLACK_CHARS / root
     return low - near <= per <= high + near and fallback <= most + SLACK_FALLBACK / root and entropy >= least

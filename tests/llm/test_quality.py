@@ -51,6 +51,19 @@ def test_query_columns_and_verdicts(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(r.text)
 
 
+def test_script_is_that_of_the_whole_text():
+    head, body = "Subject: a plain header line with some words. " * 100, "Комитет сообщил в понедельник, что новый план будет обсуждаться летом. " * 400
+    assert len(head) > 4000
+    assert Q.band_of(head + body, None) == "other" and Q.band_of(body[:4100] + head * 20, None) == "latin"
+
+
+def test_fallback_bound_of_a_language_rejects_text_of_its_own_script():
+    figures = (10_000, 3.5, 0.2, 0.7)  # the bound of en is 0.015, of latin 0.25
+    assert not Q.in_band(Q.BANDS, "en", "plain latin letters and junk", *figures)
+    assert Q.in_band(Q.BANDS, "en", "Комитет сообщил в понедельник", *figures)
+    assert Q.in_band(Q.BANDS, "latin", "plain latin letters", *figures)
+
+
 def test_empty(spark):
     out, _ = Q.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert out.collect() == []
