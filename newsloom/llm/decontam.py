@@ -55,6 +55,13 @@ def _windows(df: DataFrame, key: str, text: str, width: int, widths: list[int])
     return rows.select("key", "raw", "pos", "x.wide", "x.hash", *[f"w{k}" for k in range(width)])
 
 
+def _both(windows: DataFrame) -> DataFrame:
+    """Each window twice: by the hash of its template, and (`whole`) by that of its raw words."""
+    raw = F.xxhash64(-F.col("wide"), F.slice("raw", F.col("pos") + 1, F.col("wide")))
+    pair = F.array(F.struct("hash", F.lit(False).alias("whole")), F.struct(raw.alias("hash"), F.lit(True).alias("whole")))
+    return windows.withColumn("x", F.explode(pair)).withColumns({"hash": F.col("x.hash"), "whole": F.col("x.whole")}).drop("x")
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -65,12 +72,14 @@ def contaminated(
     width: int = 8,
     least_words: int = 4,
     broadcast_windows: int = 2_000_000,
+    verbatim: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, n_windows): windows of an item, distinct by place, that a document holds.
 
     An item of fewer than `width` words is one window; one of fewer than `least_words` never counts. A
-    window needs as many plain words as half its width, so bare placeholders match nothing. Null or
-    empty texts have no windows. Repeated document rows count once, so do repeated items of one id.
+    window needs as many plain words as half its width, so bare placeholders match nothing; with
+    `verbatim`, every window also meets its own raw words, however few of them are plain, and such a
+    meeting counts as one without slots. Null or empty texts have no windows. Repeated document rows count once, so do repeated items of one id.
     The benchmark's windows are broadcast only when they are at most `broadcast_windows`.
     """
     sized = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL").distinct()
@@ -79,8 +88,10 @@ def contaminated(
     widths = sorted(r[0] for r in sized.select("n").distinct().collect()) or [width]  # at most `width` values
     b = _windows(sized, "item_id", "text", width, widths).join(sized.select(F.col("item_id").alias("key"), "n").distinct(), "key")
     plain = sum(F.when(F.lit(k) < F.col("wide"), (~F.col(f"w{k}").contains("<")).cast("int")).otherwise(0) for k in range(width))
-    b = b.where((F.col("wide") == F.col("n")) & (2 * plain >= F.col("wide")))
+    b = b.where(F.col("wide") == F.col("n"))
+    b = _both(b.withColumn("plain", 2 * plain >= F.col("wide"))).where("plain OR whole") if verbatim else b.where(2 * plain >= F.col("wide")).withColumn("whole", F.lit(False))
     b = b.select(
+        F.col("whole").alias("item_whole"),
         F.col("key").alias("item_id"),
         F.col("pos").alias("item_pos"),
         F.col("wide").alias("item_wide"),
@@ -92,11 +103,14 @@ def contaminated(
     if b.count() <= broadcast_windows:
         b = F.broadcast(b)
     d = _windows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", width, widths)
-    same = (F.col("item_wide") == F.col("wide")) & (F.slice(F.array(*[f"w{k}" for k in range(width)]), F.lit(1), F.col("wide")) == F.col("item_template"))
-    met = d.join(b, "hash").where(same)
     words = F.slice("raw", F.col("pos") + 1, F.col("wide"))
+    same = F.slice(F.array(*[f"w{k}" for k in range(width)]), F.lit(1), F.col("wide")) == F.col("item_template")
+    if verbatim:
+        d = _both(d)
+        same = (F.col("whole") == F.col("item_whole")) & F.when(F.col("whole"), words == F.col("item_words")).otherwise(same)
+    met = d.join(b, "hash").where((F.col("item_wide") == F.col("wide")) & same)
     slots = F.filter(
-        F.arrays_zip(F.col("item_template").alias("kind"), F.col("item_words").alias("b"), words.alias("d")), lambda s: s["kind"].contains("<")
+        F.arrays_zip(F.col("item_template").alias("kind"), F.col("item_words").alias("b"), words.alias("d")), lambda s: s["kind"].contains("<") & ~F.col("item_whole")
     )
     met = met.select(F.col("key").alias("doc_id"), "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), slots.alias("slots"))
     met = cut(met)  # few rows, used twice

@@ -71,6 +71,33 @@ def test_decontaminate_keeps_columns_and_clean_rows(spark):
     assert sorted(r._ids for r in out.collect()) == sorted([d[0] for d in docs if not d[2]] + [0, 4])
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_verbatim_copies_count_however_few_words_are_plain(spark, limit):
+    items = [(1, "Calculate 12 + 7 * 3 - 4 / 2"), (2, "Alice Bob Carol Dave Emil Frank Gina Hans Ida Jan"), (3, "Paris saw Alice and Bob")]
+    docs = [
+        (1, FILL + "Calculate 12 + 7 * 3 - 4 / 2. " + FILL),
+        (2, FILL + "Calculate 13 + 7 * 3 - 4 / 2. " + FILL),
+        (3, FILL + "with Alice Bob Carol Dave Emil Frank Gina Hans Ida Jan " + FILL),
+        (4, FILL + "with Alice Bob Carol Dave Emil Franz Gina Hans Ida Jan " + FILL),
+        (5, FILL + "that Paris saw Alice and Bob " + FILL),
+        (6, FILL),
+    ]
+    got = sorted(map(tuple, run(spark, docs, items, broadcast_windows=limit, verbatim=True).collect()))
+    assert got == [(1, 1, 1), (3, 2, 3), (5, 3, 1)]
+    docs, items, _ = cases()
+    plain = sorted(map(tuple, run(spark, [d[:2] for d in docs], items).collect()))
+    both = sorted(map(tuple, run(spark, [d[:2] for d in docs], items, verbatim=True).collect()))
+    assert {r[0] for r in plain} <= {r[0] for r in both}
+
+
+def test_pipeline_stage_drops_verbatim_copies(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, "Calculate 12 + 7 * 3 - 4 / 2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, FILL + "Calculate 12 + 7 * 3 - 4 / 2"), (2, FILL)], "doc_id long, text string")
+    assert [r.doc_id for r in P.decontaminate(spark, docs, str(tmp_path)).collect()] == [2]
+
+
 def test_empty(spark):
     none, docs = [], [(1, ITEM)]
     assert run(spark, none, [(1, ITEM)]).collect() == []
