@@ -1,15 +1,19 @@
-"""Near copies by word shingles: an exact set-similarity join, and one document of every group.
+"""Near copies by word shingles: SimHash trie links, verified and completed to an exact similarity join.
 
 Two documents are near copies if their sets of `width`-word shingles have a Jaccard similarity of
-`percent` % or more. In any fixed order of all shingles, such sets share a shingle among the first
-n - ceil(n * percent %) + 1 of each (the prefix), so documents that meet on a prefix shingle are all
-the candidates there are: no link is lost. Shingles that a sample finds common come last in that order,
-which keeps groups small and changes no result. Bounds on sizes, places and bitmaps drop pairs that
-cannot be near copies; every other pair is verified on the whole sets (64-bit hashes of shingles).
-
-Pairs are tried in two rounds. First every document of a group meets a few leaders only; then all pairs
-of a group that the verified links have not joined yet. So a large group of near copies costs about as
-much as its size, not its square.
+`percent` % or more; one document of every group of near copies stays.
+
+1. SimHash: each distinct set gets a fingerprint; the binary-trie self-join of `simhash` links fingerprints
+   within its error budget. Each linked set is tried with the first set of its class.
+2. Sets of similarity 0.8 differ in ten of 64 bits on average, so no budget that a trie can prune by finds all
+   of them. The rest comes from prefixes: in any fixed order of all shingles, near copies share a shingle among
+   the first n - ceil(n * percent %) + 1 of each. Shingles that a sample finds common come last in that
+   order, which keeps groups small and changes no result. Every set is tried with a leader of each group.
+3. What these links have not joined is tried in all pairs of different classes of a prefix group.
+
+Bounds on sizes and places and parity bitmaps, which can only drop pairs that are no near copies, come before
+a pair's verification on the whole texts (64-bit hashes of shingles). So a large group of near copies costs about
+as much as its size, not its square, and no link is lost. Groups of more than `HOT` sets are dealt out.
 """
 
 from __future__ import annotations
@@ -24,9 +28,10 @@ from pyspark.sql import types as T
 
 from newsloom.llm.common import append_columns, cut, stored
 from newsloom.llm.graph import connected_components
-from newsloom.llm.simhash import drop_members
+from newsloom.llm.simhash import drop_members, hamming_components
 
-BITMAP = 2048
+#: Sets that one task group may hold; larger groups are dealt out.
+HOT = 20_000
 #: Bits of the filter that keeps most texts which no pair needs out of a shuffle; fixed, whatever the input.
 FILTER_BITS = 24
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -63,19 +68,42 @@ def shingles(text: str | None, width: int = 5) -> tuple[bytes, np.ndarray]:
     return digest, np.unique(out)
 
 
+def fingerprint(ids: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of hashes."""
+    bits = np.zeros(64, dtype=np.int64)
+    raw = ids.view(np.uint8).reshape(len(ids), 8)
+    for k in range(0, len(ids), 8192):
+        bits += np.unpackbits(raw[k : k + 8192], axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(ids)).view(np.int64)[0])
+
+
 def needed(n, percent: int):
     """Least overlap that a set of n shingles has with any near copy."""
     return -(-n * percent // 100)
 
 
-def _bitmap(ids: np.ndarray) -> bytes:
-    """Parities: two bitmaps differ in at most as many bits as the sets in elements."""
-    odd = np.bincount((ids & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+def parities(ids: np.ndarray) -> bytes:
+    """A bit for every residue of the hashes: is their number odd? At least as many bits as hashes.
+
+    The bitmaps of two sets differ in at most as many bits as the sets in elements; a longer one folds to
+    a shorter one by exclusive or of its halves.
+    """
+    bits = 64
+    while bits < len(ids):
+        bits *= 2
+    odd = np.bincount((ids & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _common(docs: DataFrame, text: str, width: int, sample: int, least: int, share: float, most: int) -> dict[int, int]:
-    """The most frequent shingles of a sample with their places in the order; at most `most`."""
+def _differ(x: bytes, y: bytes) -> int:
+    x, y = sorted((np.frombuffer(v, dtype=np.uint64) for v in (x, y)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _common(docs: DataFrame, text: str, width: int, sample: int, least: int, share: float, most: int) -> dict[int, tuple[int, int]]:
+    """The most frequent shingles of a sample with their places in the order and counts; at most `most`."""
     chosen = docs.where(F.pmod(F.xxhash64(text), F.lit(sample)) == 0).select(text)
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +116,7 @@ def _common(docs: DataFrame, text: str, width: int, sample: int, least: int, sha
     counts = chosen.mapInArrow(every, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
     floor = max(least, int(share * chosen.count()))
     rows = counts.where(F.col("c") >= floor).orderBy(F.desc("c"), "token").limit(most).collect()
-    return {r["token"]: k + 1 for k, r in enumerate(reversed(rows))}
+    return {r["token"]: (k + 1, r["c"]) for k, r in enumerate(reversed(rows))}
 
 
 def _prefix(ids: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
@@ -138,128 +166,197 @@ def _filter_of(want: DataFrame) -> np.ndarray:
     return out
 
 
-SHARED = "token bigint, id bigint, size bigint, pos bigint, leader bigint, near boolean, many boolean"
+SHARED = "token bigint, id bigint, at bigint, leader bigint, near boolean"
 PAIRS = "a bigint, b bigint"
 
 
+def _columns(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+
+
+def _places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(size, place) of postings."""
+    return at >> 32, at & 0xFFFFFFFF
+
+
 def _leaders(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Postings of shingles that two or more sets share, each with its group's leader."""
-    for rows in _groups(batches):
-        new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
-        begin = np.flatnonzero(new)
-        count = np.diff([*begin, len(rows)])
-        rows = rows[np.repeat(count > 1, count)]
-        count = count[count > 1]
-        if not len(rows):
+    """Postings (token, part, id, at), sorted so that a group's leader comes first -> those of shared tokens, with it.
+
+    Only a batch, the leader and one row before it are held, however large a group is.
+    """
+
+    def judged(rows: np.ndarray, lead: np.ndarray, also: bool) -> pa.RecordBatch:
+        """`also`: the last row's group goes on."""
+        new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+        leads = rows[first]
+        leads[first == 0] = lead
+        own = rows[:, 2] == leads[:, 2]
+        some = ~own | np.concatenate([~new[1:], [also]]) | (rows[:, 1] >= 0)
+        rows, leads = rows[some], leads[some]
+        near = _may_match(*(x for pair in zip(_places(rows[:, 3]), _places(leads[:, 3])) for x in pair), percent) & (rows[:, 2] != leads[:, 2])
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in (0, 2, 3)] + [pa.array(leads[:, 2]), pa.array(near)], names=["token", "id", "at", "leader", "near"])
+
+    lead = last = None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        owner = np.repeat(np.arange(len(count)), count)
-        salt = (rows[:, 0] & 3).astype(np.uint64)
-        order = np.lexsort((_mix(rows[:, 1].astype(np.uint64) * _ODD[0] + salt), owner))
-        rows = rows[order]
-        lead = rows[np.repeat(np.cumsum(count) - count, count)]
-        near = _may_match(rows[:, 2], lead[:, 2], rows[:, 3], lead[:, 3], percent) & (rows[:, 1] != lead[:, 1])
-        many = np.repeat(count > 2, count)
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(rows[:, k]) for k in range(4)), pa.array(lead[:, 1]), pa.array(near), pa.array(many)], names=["token", "id", "size", "pos", "leader", "near", "many"]
-        )
+        rows = _columns(batch)
+        if last is not None:
+            rows = np.concatenate([last, rows])
+        same = lead is not None and (rows[0, :2] == lead[:2]).all()
+        lead = lead if same else rows[0]
+        new = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1))
+        if len(rows) > 1:
+            yield judged(rows[:-1], lead, bool((rows[-1, :2] == rows[-2, :2]).all()))
+        last = rows[-1:]
+        lead = lead if not len(new) else rows[new[-1] + 1]
+    if last is not None:
+        yield judged(last, lead, False)
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int, chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group that have different roots and may match; rows are (token, root, id, size, pos) by token and root."""
+    """Pairs of a group that have different roots and may match; rows are (group, side, root, id, at) by group and root.
+
+    Of a group with sides 0 and 1 only pairs across the sides count (2: all).
+    """
     for rows in _groups(batches):
-        token, root = rows[:, 0], rows[:, 1]
+        group, root = rows[:, 0], rows[:, 2]
         n = len(rows)
-        end = np.searchsorted(token, token, "right") if (token[1:] >= token[:-1]).all() else None
-        run = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (root[1:] != root[:-1])]))
+        end = np.searchsorted(group, group, "right")
+        run = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (root[1:] != root[:-1])]))
         after = np.repeat([*run[1:], n], np.diff([*run, n]))  # the first row behind this one's root
         wide = np.maximum(end - after, 0)
         total = np.cumsum(wide)
+        size, place = _places(rows[:, 4])
         at = 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, "right")))
             w = wide[at:to]
             i = np.repeat(np.arange(at, to), w)
             j = np.repeat(after[at:to], w) + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
-            ok = _may_match(rows[i, 3], rows[j, 3], rows[i, 4], rows[j, 4], percent)
-            pair = np.stack([rows[i[ok], 2], rows[j[ok], 2]], axis=1)
+            ok = _may_match(size[i], size[j], place[i], place[j], percent) & ((rows[i, 1] != rows[j, 1]) | (rows[i, 1] == 2))
+            pair = np.stack([rows[i[ok], 3], rows[j[ok], 3]], axis=1)
             if len(pair):
                 pair = np.unique(np.sort(pair, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
             at = to
 
 
-def _by_bitmap(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _by_parities(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b, sa, sb = (batch.column(k).to_numpy() for k in range(4))
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(len(a), -1) for k in (4, 5))
-        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        ok = differ <= sa + sb - 2 * (-(-percent * (sa + sb) // (100 + percent)))
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+        sa, sb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        most = sa + sb - 2 * (-(-percent * (sa + sb) // (100 + percent)))
+        ok = [_differ(x, y) <= m for x, y, m in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most)]
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+
+def _own(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Of (id, node, text) those texts that are the node's; rows that repeat a doc_id may hold others."""
+    for batch in batches:
+        ok = [shingles(t, width)[0] == node for node, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 2)], names=["id", "text"])
 
 
-def _by_sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _by_texts(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, text of a, text of b) whose whole sets are similar; the last text's set is kept for the next pair."""
+    held: tuple = (None, None)
     for batch in batches:
-        ok = np.zeros(batch.num_rows, dtype=bool)
-        for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+        ok = []
+        for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if held[0] != s:
+                held = (s, shingles(s, width)[1])
+            x, y = held[1], shingles(t, width)[1]
             both = len(np.intersect1d(x, y, assume_unique=True))
-            ok[k] = 100 * both >= percent * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+            ok.append(100 * both >= percent * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, sample: int = 16) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, max_bits: int = 4, sample: int = 16) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id.
 
     `component_id` is the least doc_id that links between near copies reach, its own included. Words are
     what ASCII blanks part, A-Z lower-cased; a text of fewer than `width` words is one shingle; null and
     blank texts are copies of each other. Repeated rows each return a row. An empty table gives none.
+    `max_bits` is the trie's error budget; it shares out the work and changes no result.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must be above 0 and at most 100")
+    spark = docs.sparkSession
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     found = _common(named, "text", width, sample, 8, 2e-4, 500_000)
     tokens = np.array(sorted(found), dtype=np.int64)
-    common = docs.sparkSession.sparkContext.broadcast((tokens, np.array([found[t] for t in tokens.tolist()], dtype=np.int64)))
+    common = spark.sparkContext.broadcast((tokens, np.array([found[t][0] for t in tokens.tolist()], dtype=np.int64)))
 
     def sketch(texts: list) -> list:
         made = [shingles(t, width) for t in texts]
-        return [[d for d, _ in made], [len(s) for _, s in made], [_bitmap(s) for _, s in made], [_prefix(s, common.value, percent) for _, s in made]]
-
-    fields = [("node", T.BinaryType()), ("size", T.LongType()), ("bitmap", T.BinaryType()), ("prefix", T.ArrayType(T.LongType()))]
+        return [
+            [d for d, _ in made],
+            [len(s) for _, s in made],
+            [fingerprint(s) for _, s in made],
+            [parities(s) for _, s in made],
+            [_prefix(s, common.value, percent) for _, s in made],
+        ]
+
+    fields = [("node", T.BinaryType()), ("size", T.LongType()), ("fp", T.LongType()), ("parities", T.BinaryType()), ("prefix", T.ArrayType(T.LongType()))]
     sketches = stored(append_columns(named, "text", fields, sketch)[0].drop("text"), "sketches")
-    sets = sketches.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix"))
+    sets = sketches.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("size", "fp", "parities", "prefix")))
     sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = sets.select("id", "size", "bitmap")
-        a, b = side.toDF("a", "sa", "ba"), side.toDF("b", "sb", "bb")
-        left = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "ba", "bb")
-        left = cut(left.mapInArrow(lambda x: _by_bitmap(x, percent), PAIRS))
+        side = sets.select("id", "size", "parities")
+        left = pairs.join(side.toDF("a", "sa", "pa"), "a").join(side.toDF("b", "sb", "pb"), "b").select("a", "b", "sa", "sb", "pa", "pb")
+        left = cut(left.mapInArrow(lambda x: _by_parities(x, percent), PAIRS))
         ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         want = cut(ids.join(sets, "id").select("id", "node", "first_id"))
-        wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(want))
+        wanted = spark.sparkContext.broadcast(_filter_of(want))
 
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
-                some = batch.column(1).filter(pa.array((wanted.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-                for k in range(0, len(some), 512):
-                    made = [shingles(t, width) for t in some.slice(k, 512).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary())], names=["node", "shingles"])
-
-        full = named.select(F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(whole, "node binary, shingles binary")
-        full = stored(full.join(want, "node").select("id", "shingles").dropDuplicates(["id"]), "shingles")
-        both = left.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-        return cut(both.mapInArrow(lambda x: _by_sets(x, percent), PAIRS))
-
-    postings = sets.select(F.posexplode("prefix").alias("pos", "token"), "id", "size").select("token", "id", "size", F.col("pos").cast("bigint").alias("pos"))
-    shared = stored(postings.repartition("token").sortWithinPartitions("token").mapInArrow(lambda x: _leaders(x, percent), SHARED), "shared")
-    links = verified(shared.where("near").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+                hit = (wanted.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[1:]], names=["doc_id", "text"])
+
+        texts = named.select(F.xxhash64("doc_id").alias("hash"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(some, named.schema)
+        texts = texts.join(want.withColumnRenamed("first_id", "doc_id"), "doc_id").select("id", "node", "text")
+        texts = texts.mapInArrow(lambda x: _own(x, width), "id bigint, text string")
+        texts = stored(texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
+        both = left.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+        return cut(both.mapInArrow(lambda x: _by_texts(x, width, percent), PAIRS))
+
+    # 1. The trie's classes: each set with the first of its class.
+    linked = hamming_components(sets, "fp", max_bits)
+    classes = sets.select("id", "fp").join(linked.toDF("fp", "root"), "fp", "left").select("id", F.coalesce("root", "fp").alias("class"))
+    first = classes.groupBy("class").agg(F.min("id").alias("a"))
+    starred = classes.join(first, "class").where("id <> a").select("a", F.col("id").alias("b"))
+
+    # 2. Prefix groups: each set with its group's leader. A hot token's sets are dealt to parts with leaders of their own.
+    at = F.shiftleft(F.col("size"), 32).bitwiseOR(F.col("place").cast("bigint")).alias("at")
+    postings = sets.select(F.posexplode("prefix").alias("place", "token"), "id", "size").select("token", "id", at)
+    part = F.lit(-1).cast("bigint")
+    hot = [(t, -(-c * sample // HOT)) for t, (_, c) in found.items() if c * sample > HOT]  # at most `most` of _common
+    if hot:
+        postings = postings.join(F.broadcast(spark.createDataFrame(hot, "token bigint, parts bigint")), "token", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), part)
+    postings = postings.select("token", part.alias("part"), "id", "at").repartition("token", "part")
+    postings = postings.sortWithinPartitions("token", "part", F.xxhash64("id", F.col("token").bitwiseAND(3)))
+    shared = stored(postings.mapInArrow(lambda x: _leaders(x, percent), SHARED), "shared")
+    tried = starred.unionByName(shared.where("near").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
+    if hot:
+        leaders = shared.join(F.broadcast(spark.createDataFrame([(t,) for t, _ in hot], "token bigint")), "token", "left_semi").select("token", "leader").distinct()
+        tops = leaders.groupBy("token").agg(F.min("leader").alias("a"))
+        tried = tried.unionByName(leaders.join(tops, "token").where("a <> leader").select("a", F.col("leader").alias("b")))
+    links = verified(tried.distinct())
+
+    # 3. All pairs of different classes in the groups that still hold some.
     roots = connected_components(links, "a", "b")
-    rows = shared.where("many").join(roots.toDF("id", "root"), "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "size", "pos")
-    pairs = rows.repartition("token").sortWithinPartitions("token", "root").mapInArrow(lambda x: _across(x, percent), PAIRS)
+    rows = shared.join(roots.toDF("id", "root"), "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "at")
+    mixed = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low < high")
+    dealt = rows.join(mixed.select("token", F.ceil(F.col("n") / HOT).cast("bigint").alias("chunks")), "token")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("bigint")
+    dealt = dealt.select(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), side.alias("side"), "root", "id", "at")
+    pairs = dealt.repartition("group").sortWithinPartitions("group", "root").mapInArrow(lambda x: _across(x, percent), PAIRS)
     more = verified(cut(pairs.distinct()))
     roots = connected_components(links.unionByName(more), "a", "b")
     member = sets.join(roots.toDF("id", "root"), "id", "left").select("node", "first_id", F.coalesce("root", "id").alias("root"))

@@ -52,8 +52,9 @@ def corpus():
     return [(1000 + k, t) for k, t in zip(order, rows)]
 
 
-@pytest.mark.parametrize("sample", [16, 1])
-def test_groups_equal_brute_force_jaccard(spark, sample):
+@pytest.mark.parametrize("sample, hot", [(16, 20_000), (1, 20)])
+def test_groups_equal_brute_force_jaccard(spark, monkeypatch, sample, hot):
+    monkeypatch.setattr(N, "HOT", hot)  # the second run deals large groups out
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted((r.doc_id, r.component_id) for r in N.near_copies(docs, sample=sample).collect())
@@ -86,3 +87,34 @@ def test_rows_without_id_stay_and_empty(spark):
     docs = spark.createDataFrame([(None, text), (2, text), (1, text.upper())], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in N.drop_near_copies(docs).collect()) == ["1", "None"]
     assert N.near_copies(docs.limit(0)).collect() == []
+
+
+def test_leaders_stream_over_batches():
+    """However rows are cut into batches, every row of a shared token comes out with its group's first id."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    rows = np.stack([np.sort(rnd.integers(0, 40, 100)), np.full(100, -1), rnd.permutation(100), np.full(100, (50 << 32) + 1)], axis=1)
+    rows = np.concatenate([rows, [[99, 0, 1000, (50 << 32) + 1]]])  # a lone row of a hot token's part
+    want = []
+    for token in np.unique(rows[:, 0]):
+        ids = rows[rows[:, 0] == token, 2]
+        if len(ids) > 1 or token == 99:
+            want += [(token, i, ids[0], i != ids[0]) for i in ids]
+    for step in (1, 2, 3, 7, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[k : k + step].T], names=["token", "part", "id", "at"]) for k in range(0, len(rows), step)]
+        got = [tuple(r.values()) for b in N._leaders(iter(batches), 80) for r in b.select(["token", "id", "leader", "near"]).to_pylist()]
+        assert got == want
+
+
+def test_parity_bitmaps_bound_the_difference():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    for n, m in ((3, 4), (60, 900), (2000, 2100), (5000, 0)):
+        both = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+        more = np.unique(np.concatenate([both, rnd.integers(0, 1 << 63, m, dtype=np.uint64)]))
+        both = np.unique(both)
+        assert N._differ(N.parities(both), N.parities(more)) <= len(more) - len(both)
+        assert N._differ(N.parities(both), N.parities(both)) == 0
