@@ -9,7 +9,8 @@ Two documents are near copies if their sets of `width`-word shingles have a Jacc
    of them. The rest comes from prefixes: in any fixed order of all shingles, near copies share a shingle among
    the first n - ceil(n * percent %) + 1 of each. Shingles that a sample finds common come last in that
    order, which keeps groups small and changes no result. Every set is tried with a leader of each group.
-3. What these links have not joined is tried in all pairs of different classes of a prefix group.
+3. What these links have not joined is tried in pairs of different classes of a prefix group, first each set with
+   its closest, then all that are left.
 
 Bounds on sizes and places and parity bitmaps, which can only drop pairs that are no near copies, come before
 a pair's verification on the whole texts (64-bit hashes of shingles). So a large group of near copies costs about
@@ -83,23 +84,34 @@ def needed(n, percent: int):
 
 
 def parities(ids: np.ndarray) -> bytes:
-    """A bit for every residue of the hashes: is their number odd? At least as many bits as hashes.
+    """A bit for every residue of the hashes: is their number odd? At least twice as many bits as hashes.
 
     The bitmaps of two sets differ in at most as many bits as the sets in elements; a longer one folds to
     a shorter one by exclusive or of its halves.
     """
     bits = 64
-    while bits < len(ids):
+    while bits < 2 * len(ids):
         bits *= 2
     odd = np.bincount((ids & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(bitmap: bytes, size: int) -> np.ndarray:
+    """The bitmap at `size` bytes."""
+    x = np.frombuffer(bitmap, dtype=np.uint64)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _differ(x: bytes, y: bytes) -> int:
-    x, y = sorted((np.frombuffer(v, dtype=np.uint64) for v in (x, y)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+
+
+def _most_differing(sa, sb, percent: int):
+    """Most elements in which two near copies of these sizes differ."""
+    return sa + sb - 2 * (-(-percent * (sa + sb) // (100 + percent)))
 
 
 def _common(docs: DataFrame, text: str, width: int, sample: int, least: int, share: float, most: int) -> dict[int, tuple[int, int]]:
@@ -136,24 +148,25 @@ def _may_match(sa, sb, pa_, pb, percent: int) -> np.ndarray:
     return (100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)) & (np.minimum(pa_, pb) + 1 + np.minimum(sa - pa_, sb - pb) - 1 >= least)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], size: int = 100_000) -> Iterator[np.ndarray]:
-    """Rows sorted by their first column, in pieces that end where a group does."""
-    held, count = [], 0
+def _groups(batches: Iterator[pa.RecordBatch], size: int = 100_000) -> Iterator[tuple[np.ndarray, list]]:
+    """Rows of numbers and a last column of bytes, sorted by their first column, in pieces that end where a group does."""
+    held, bytes_, count = [], [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]], axis=1))
+        bytes_ += batch.column(batch.num_columns - 1).to_pylist()
         count += batch.num_rows
         if count < size:
             continue
         rows = np.concatenate(held)
         last = np.flatnonzero(rows[1:, 0] != rows[:-1, 0])
         if len(last):
-            yield rows[: last[-1] + 1]
-            rows = rows[last[-1] + 1 :]
+            yield rows[: last[-1] + 1], bytes_[: last[-1] + 1]
+            rows, bytes_ = rows[last[-1] + 1 :], bytes_[last[-1] + 1 :]
         held, count = [rows], len(rows)
     if held and count:
-        yield np.concatenate(held)
+        yield np.concatenate(held), bytes_
 
 
 def _filter_of(want: DataFrame) -> np.ndarray:
@@ -215,13 +228,14 @@ def _leaders(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield judged(last, lead, False)
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int, chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group that have different roots and may match; rows are (group, side, root, id, at) by group and root.
+def _across(batches: Iterator[pa.RecordBatch], percent: int, best: bool, chunk: int = 1 << 18, most_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group that have different roots and pass all bounds; rows are (group, side, root, id, at, parities) by group and root.
 
-    Of a group with sides 0 and 1 only pairs across the sides count (2: all).
+    Of a group with sides 0 and 1 only pairs across the sides count (2: all). With `best`, each row keeps only the
+    pair whose bitmaps differ least.
     """
-    for rows in _groups(batches):
-        group, root = rows[:, 0], rows[:, 2]
+    for rows, bitmaps in _groups(batches):
+        group, side, root = rows[:, 0], rows[:, 1], rows[:, 2]
         n = len(rows)
         end = np.searchsorted(group, group, "right")
         run = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (root[1:] != root[:-1])]))
@@ -229,24 +243,50 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, chunk: int = 1 << 2
         wide = np.maximum(end - after, 0)
         total = np.cumsum(wide)
         size, place = _places(rows[:, 4])
+        bits = np.array([len(x) for x in bitmaps])
+        nearest, partner = np.full(n, 1 << 60), np.full(n, -1)
         at = 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, "right")))
             w = wide[at:to]
             i = np.repeat(np.arange(at, to), w)
             j = np.repeat(after[at:to], w) + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
-            ok = _may_match(size[i], size[j], place[i], place[j], percent) & ((rows[i, 1] != rows[j, 1]) | (rows[i, 1] == 2))
-            pair = np.stack([rows[i[ok], 3], rows[j[ok], 3]], axis=1)
-            if len(pair):
-                pair = np.unique(np.sort(pair, axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+            ok = _may_match(size[i], size[j], place[i], place[j], percent) & ((side[i] != side[j]) | (side[i] == 2))
+            i, j = i[ok], j[ok]
+            level = np.minimum(bits[i], bits[j])
+            for words in np.unique(level):
+                these = np.flatnonzero(level == words)
+                step = max(1, most_bytes // int(words))
+                for k in range(0, len(these), step):
+                    x, y = i[these[k : k + step]], j[these[k : k + step]]
+                    kinds, which = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    table = np.stack([_folded(bitmaps[r], int(words)) for r in kinds])
+                    differ = np.bitwise_count(table[which[: len(x)]] ^ table[which[len(x) :]]).sum(axis=1, dtype=np.int64)
+                    some = differ <= _most_differing(size[x], size[y], percent)
+                    x, y, differ = x[some], y[some], differ[some]
+                    if best:
+                        for u, v in ((x, y), (y, x)):
+                            order = np.lexsort((differ, u))
+                            first = order[np.flatnonzero(np.concatenate([[True], u[order][1:] != u[order][:-1]]))] if len(u) else order
+                            first = first[differ[first] < nearest[u[first]]]
+                            nearest[u[first]], partner[u[first]] = differ[first], v[first]
+                    elif len(x):
+                        yield _pairs(rows[x, 3], rows[y, 3])
             at = to
+        held = np.flatnonzero(partner >= 0)
+        if len(held):
+            yield _pairs(rows[held, 3], rows[partner[held], 3])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pair = np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
 def _by_parities(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sa, sb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        most = sa + sb - 2 * (-(-percent * (sa + sb) // (100 + percent)))
+        most = _most_differing(sa, sb, percent)
         ok = [_differ(x, y) <= m for x, y, m in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most)]
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
@@ -344,22 +384,25 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     tried = starred.unionByName(shared.where("near").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
     if hot:
         leaders = shared.join(F.broadcast(spark.createDataFrame([(t,) for t, _ in hot], "token bigint")), "token", "left_semi").select("token", "leader").distinct()
-        tops = leaders.groupBy("token").agg(F.min("leader").alias("a"))
-        tried = tried.unionByName(leaders.join(tops, "token").where("a <> leader").select("a", F.col("leader").alias("b")))
-    links = verified(tried.distinct())
-
-    # 3. All pairs of different classes in the groups that still hold some.
-    roots = connected_components(links, "a", "b")
-    rows = shared.join(roots.toDF("id", "root"), "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "at")
-    mixed = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low < high")
-    dealt = rows.join(mixed.select("token", F.ceil(F.col("n") / HOT).cast("bigint").alias("chunks")), "token")
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("bigint")
-    dealt = dealt.select(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), side.alias("side"), "root", "id", "at")
-    pairs = dealt.repartition("group").sortWithinPartitions("group", "root").mapInArrow(lambda x: _across(x, percent), PAIRS)
-    more = verified(cut(pairs.distinct()))
-    roots = connected_components(links.unionByName(more), "a", "b")
-    member = sets.join(roots.toDF("id", "root"), "id", "left").select("node", "first_id", F.coalesce("root", "id").alias("root"))
+        first = leaders.groupBy("token").agg(F.min("leader").alias("a"))
+        tried = tried.unionByName(leaders.join(first, "token").where("a <> leader").select("a", F.col("leader").alias("b")))
+    tried = cut(tried.distinct())
+    links = verified(tried)
+
+    # 3. Pairs of different classes in the groups that still hold some: first the closest of each set, then all.
+    tops = connected_components(links, "a", "b")
+    for best in (True, False):
+        rows = shared.join(tops.toDF("id", "root"), "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "at")
+        mixed = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low < high")
+        dealt = rows.join(mixed.select("token", F.ceil(F.col("n") / HOT).cast("bigint").alias("chunks")), "token").join(sets.select("id", "parities"), "id")
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("bigint")
+        dealt = dealt.select(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), side.alias("side"), "root", "id", "at", "parities")
+        pairs = dealt.repartition("group").sortWithinPartitions("group", "root").mapInArrow(lambda x, best=best: _across(x, percent, best), PAIRS)
+        pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        tried, links = tried.unionByName(pairs), links.unionByName(verified(pairs))
+        tops = connected_components(links, "a", "b")
+    member = sets.join(tops.toDF("id", "root"), "id", "left").select("node", "first_id", F.coalesce("root", "id").alias("root"))
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return sketches.select("doc_id", "node").join(member.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
