@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import decontam, langid, packing, quality, quotes, simhash, suffix_tree, token_counts, token_shards, warc
-from newsloom.llm.common import fresh_dir, table
+from newsloom.llm.common import fresh_dir, stored, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +54,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, edits = token_counts.with_scrub_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out, names = token_counts.count_after_edits(docs, "text", edits)
-    return out.select("doc_id", *(F.col(n).alias(f) for f, n in names.items()))
+    """Trees are planted and stored; the documents that scrubbing edits then meet theirs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = stored(token_counts.plant(docs), "trees")
+    edited, edits = token_counts.with_scrub_edits(docs)
+    updates = token_counts.apply_edits(edited.where(F.size(edits) > 0), trees, edits=edits)
+    return token_counts.counts_after(trees, updates)
 
 
 def op9_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:

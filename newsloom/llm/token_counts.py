@@ -4,19 +4,27 @@ A leaf covers a run of text between two places where no pre-token can cross: bef
 follows a non-blank. Leaves hold characters and tokens, inner nodes their sums. An edit re-encodes the
 leaves that it touches, plus neighbours for as long as the border to them is no such place any more, and updates the sums
 on the paths to the root.
+
+Trees are kept: `plant` encodes a table of texts once and gives a table of trees, one per document and version
+(digest of its text). `apply_edits` takes the edited documents alone, meets their trees, encodes what the edits touch and
+gives the new texts with their trees; `renewed` puts these into the table for the next pass. Documents without
+edits are answered from their trees, and their texts are neither shuffled nor encoded again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import append_columns, bpe, default_ranks, free_name
+from newsloom.llm.common import append_columns, bpe, default_ranks
 
 LEAF_CHARS = 512
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("replacement", T.StringType())]))
@@ -39,6 +47,15 @@ class Tree:
     def total(self) -> int:
         return int(self.tokens[1])
 
+    def packed(self) -> bytes:
+        return np.concatenate([[self.width], self.chars, self.tokens]).astype("<u4").tobytes()
+
+    @staticmethod
+    def unpacked(data: bytes) -> Tree:
+        raw = np.frombuffer(data, dtype="<u4").astype(np.int64)
+        width = int(raw[0])
+        return Tree(width, raw[1 : 1 + 2 * width].copy(), raw[1 + 2 * width :].copy())
+
     def set(self, leaf: int, chars: int, tokens: int) -> None:
         node = self.width + leaf
         self.chars[node], self.tokens[node] = chars, tokens
@@ -148,20 +165,18 @@ def edit_batch(text: str, tree: Tree, edits: list[tuple[int, int, str]], encode)
     return new, again
 
 
-def apply(text: str, edits: list[tuple[int, int, str]], encode) -> tuple[int, int, int, str]:
-    """(tokens before, tokens after, characters encoded again, new text); edits run in order, each on what the last one left.
+def apply(text: str, tree: Tree, edits: list[tuple[int, int, str]], encode) -> tuple[str, int]:
+    """The new text and the characters encoded again; edits run in order, each on what the last one left, and the tree follows.
 
     Disjoint edits from the last place to the first, as scrubbing gives them, are the same as one batch.
     """
-    tree = build(text, encode)
-    before, again, n = tree.total, 0, len(text)
+    n, again = len(text), 0
     if edits and all(0 <= a <= b <= n for a, b, _ in edits) and all(x[0] >= y[1] and x[0] > y[0] for x, y in zip(edits, edits[1:])):
-        text, again = edit_batch(text, tree, edits[::-1], encode)
-        return before, tree.total, again, text
+        return edit_batch(text, tree, edits[::-1], encode)
     for start, stop, replacement in edits:
         text, touched = edit(text, tree, start, stop, replacement, encode)
         again += touched
-    return before, tree.total, again, text
+    return text, again
 
 
 #: Fixed patterns of what a cleaning edit takes out: addresses of mail and hosts, keys, runs of marks. Each with
@@ -186,33 +201,93 @@ def scrub_edits(text: str | None) -> list[dict]:
     return out
 
 
-FIELDS = [("tokens_before", T.LongType()), ("tokens_after", T.LongType()), ("chars_before", T.LongType()), ("chars_after", T.LongType()), ("n_edits", T.LongType()), ("chars_encoded", T.LongType())]
+FIELDS = ["tokens_before", "tokens_after", "chars_before", "chars_after", "n_edits", "chars_encoded"]
+TREES = "doc_id {id}, version string, tree binary, tokens bigint, chars bigint"
+UPDATES = "doc_id {id}, version string, text string, new_version string, tree binary, " + ", ".join(f"{f} bigint" for f in FIELDS)
 
 
-def count_after_edits(docs: DataFrame, text: str = "text", edits: str = "edits", vocabulary: str | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """`docs` with token counts before and after the edits of each row, and the characters encoded again.
+def _version(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
-    `edits` is an array of (start, stop, replacement) in characters, applied in order. A null text is empty,
-    null edits are none, a null replacement is empty. Repeated rows get equal counts; an empty table gives none.
-    """
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a.doc_id.eqNullSafe(b.doc_id) & (a.version == b.version)
+
+
+def plant(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, version, tree, tokens, chars) of every row; each whole text is encoded once. A null text is empty."""
     path = vocabulary or default_ranks()
-    temp = free_name(docs.columns, "_both")
-    out = docs.withColumn(temp, F.struct(F.col(text).alias("t"), F.col(edits).alias("e")))
+    out = docs.select(F.col(doc_id).alias("doc_id"), _version(F.col(text)).alias("version"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def kernel(rows: list) -> list:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe(path).raw
-        made = []
-        for row in rows:
-            t = row["t"] or ""
-            todo = [(e["start"] or 0, e["stop"] or 0, e["replacement"] or "") for e in row["e"] or [] if e]
-            before, after, again, new = apply(t, todo, encode)
-            made.append((before, after, len(t), len(new), len(todo), again))
-        return list(zip(*made)) if made else [[] for _ in FIELDS]
+        for big in batches:
+            for at in range(0, big.num_rows, 512):
+                batch = big.slice(at, 512)
+                trees = [build(t, encode) for t in batch.column(2).to_pylist()]
+                made = [pa.array([t.packed() for t in trees], pa.binary()), pa.array([t.total for t in trees], pa.int64()), pa.array([int(t.chars[1]) for t in trees], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "version", "tree", "tokens", "chars"])
 
-    out, names = append_columns(out, temp, FIELDS, kernel)
-    return out.drop(temp), {f: n for (f, _), n in zip(FIELDS, names)}
+    return out.mapInArrow(run, TREES.format(id=out.schema["doc_id"].dataType.simpleString()))
+
+
+def apply_edits(edited: DataFrame, trees: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: str = "edits", vocabulary: str | None = None) -> DataFrame:
+    """A row of UPDATES for every distinct edited version: its new text and tree, counts before and after, characters encoded.
+
+    `edited` holds the documents to be edited, with an array of (start, stop, replacement) in characters each,
+    applied in order; null edits are none, a null replacement is empty, a null text is empty. A version without a
+    tree in `trees` gives no row. Rows that repeat a version count once, with the first edits in order of their text form.
+    """
+    path = vocabulary or default_ranks()
+    todo = edited.select(F.col(doc_id).alias("doc_id"), _version(F.col(text)).alias("version"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(edits).alias("edits"))
+    todo = todo.groupBy("doc_id", "version").agg(F.first("text").alias("text"), F.min_by("edits", F.to_json("edits")).alias("edits"))
+    known = trees.groupBy("doc_id", "version").agg(F.first("tree").alias("tree"))
+    both = todo.join(known, _same(todo, known)).select(todo.doc_id, todo.version, "text", "tree", "edits")
+    names = ["doc_id", "version", "text", "new_version", "tree", *FIELDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = bpe(path).raw
+        for big in batches:
+            for at in range(0, big.num_rows, 512):
+                batch = big.slice(at, 512)
+                rows = []
+                for t, packed, todo in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                    tree = Tree.unpacked(packed)
+                    todo = [(e["start"] or 0, e["stop"] or 0, e["replacement"] or "") for e in todo or [] if e]
+                    before = tree.total
+                    new, again = apply(t, tree, todo, encode)
+                    digest = hashlib.md5(new.encode("utf-8", "surrogatepass")).hexdigest()
+                    rows.append((new, digest, tree.packed(), before, tree.total, len(t), len(new), len(todo), again))
+                types = [pa.string(), pa.string(), pa.binary(), *[pa.int64()] * len(FIELDS)]
+                made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
+
+    return both.mapInArrow(run, UPDATES.format(id=both.schema["doc_id"].dataType.simpleString()))
+
+
+def renewed(trees: DataFrame, updates: DataFrame) -> DataFrame:
+    """`trees` with the versions that `updates` replaced, for the next pass of edits."""
+    new = updates.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "new_version", F.col("tree").alias("t"), "tokens_after", "chars_after")
+    out = trees.join(new, trees.doc_id.eqNullSafe(new.d) & (trees.version == new.v), "left")
+    return out.select(
+        "doc_id",
+        F.coalesce("new_version", "version").alias("version"),
+        F.coalesce("t", "tree").alias("tree"),
+        F.coalesce("tokens_after", "tokens").alias("tokens"),
+        F.coalesce("chars_after", "chars").alias("chars"),
+    )
+
+
+def counts_after(trees: DataFrame, updates: DataFrame) -> DataFrame:
+    """(doc_id, *FIELDS) of every row of `trees`: from the update of its version, else from its tree alone."""
+    new = updates.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), *(F.col(f).alias(f"new_{f}") for f in FIELDS))
+    out = trees.select("doc_id", "version", "tokens", "chars")
+    out = out.join(new, out.doc_id.eqNullSafe(new.d) & (out.version == new.v), "left")
+    old = ["tokens", "tokens", "chars", "chars", None, None]
+    return out.select("doc_id", *(F.coalesce(f"new_{f}", F.col(o) if o else F.lit(0)).cast("bigint").alias(f) for f, o in zip(FIELDS, old)))
 
 
 def with_scrub_edits(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """`docs` with the cleaning edits of each text, and that column's name; a null text has none."""
     out, (name,) = append_columns(docs, text, [("edits", EDITS)], lambda texts: [[scrub_edits(t) for t in texts]])
     return out, name
