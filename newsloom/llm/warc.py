@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer and a verifying reader.
 
 Writing takes one pass over the payloads. Range bounds come from a hash sample of the keys, so they
-depend on the data alone; rows go to the shard of their range and are sorted by key inside it. A
-shard is rolled into files by compressed size. Each record is a gzip member of its own with headers
+depend on the data alone; the sample has a fixed bound. Rows go to the task of their range and are sorted by
+key inside it. A shard is rolled into files by compressed size. Each record is a gzip member of its own with headers
 made anew (ids, lengths, SHA-256 digests) from the row. A task writes under a temporary name that
 holds its attempt; only what a successful task reported enters the manifest table, and a second
 job renames those files. Renaming is repeatable, so either job may lose executors and run again.
@@ -12,6 +12,7 @@ The manifest is written last: a reader sees all files or none.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,22 +29,30 @@ from newsloom.llm.common import commit_files, cut
 MANIFEST = "name string, temporary string, shard bigint, part bigint, records bigint, bytes bigint, sha256 string, first_key bigint, last_key bigint"
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, file string, offset bigint, intact boolean"
 CRLF = b"\r\n"
+#: Most shards of an archive, and sampled keys a shard: at most 16 MB of keys reach the driver, 1 MB of bounds the tasks.
+MOST_SHARDS, PER_SHARD = 1 << 16, 16
+_BLANK = re.compile(r"[\x00-\x20\x7f-\xa0\u2028\u2029]")
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def record(key: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def target(url: str | None) -> str:
+    """The URL as a header field: blanks and control characters are percent-encoded, so different URLs stay different."""
+    return _BLANK.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "about:blank")
+
+
+def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One gzip member: a response with the payload, or a revisit with the HTTP head alone."""
     http = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload), b"", b""])
     block = http + (payload if refers_to is None else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:x-page:{key}>",
+        f"WARC-Record-ID: <urn:x-page:{'none' if key is None else key}>",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {''.join((url or 'about:blank').split())}",
+        f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         "Content-Type: application/http; msgtype=response",
@@ -66,37 +75,51 @@ def with_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
         )
     )
     first = small.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    seen = F.when(F.col("first") != F.col("page_id"), F.col("first"))
+    seen = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     return small.join(first.drop("n"), "digest", "left").select("page_id", "url", "digest", "size", seen.alias("refers_to"))
 
 
-def range_bounds(keys: DataFrame, key: str, shards: int, per_shard: int = 64) -> np.ndarray:
-    """Upper bounds of all shards but the last, from a hash sample of about `per_shard` keys a shard."""
-    rows = keys.count()
-    every = max(1, rows // (shards * per_shard))
-    sample = np.sort(np.array([r[0] for r in keys.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(key).collect() if r[0] is not None], dtype=np.int64))
-    if shards < 2 or not len(sample):
-        return np.empty(0, dtype=np.int64)
+KEY = np.dtype([("page", "<i8"), ("digest", "<i8")])
+
+
+def keys_of(page: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    out = np.empty(len(page), dtype=KEY)
+    out["page"], out["digest"] = page, digest
+    return out
+
+
+def _key(page: str, digest: str) -> list:
+    """The range key: page_id (null first), then a hash of the payload, which parts pages that share an id."""
+    return [F.coalesce(page, F.lit(-(1 << 63))).alias("page"), F.xxhash64(digest).alias("hash")]
+
+
+def range_bounds(keys: DataFrame, shards: int) -> np.ndarray:
+    """Upper bounds of all shards but the last, from a hash sample of about PER_SHARD rows a shard."""
+    every = max(1, keys.count() // (shards * PER_SHARD))
+    rows = keys.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(every)) == 0).select(*_key("page_id", "digest")).distinct().limit(4 * MOST_SHARDS * PER_SHARD).toPandas()
+    if shards < 2 or not len(rows):
+        return np.empty(0, dtype=KEY)
+    sample = np.sort(keys_of(rows["page"].to_numpy(), rows["hash"].to_numpy()), order=["page", "digest"])
     return np.unique(sample[(np.arange(1, shards) * len(sample)) // shards])
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Archive `pages` (page_id, url, html) under `folder`; returns the manifest table.
 
-    A null html is an empty payload. A null page_id is refused. Repeated rows give a record each.
-    `shard_bytes` of payload go to a shard, about `file_bytes` of compressed records to a file.
+    A null html is an empty payload. Pages without an id come first; they may refer to another page, but none
+    refers to them. Repeated rows give a record each. An empty table gives an archive without files.
+    `shard_bytes` of payload go to a shard (more if there were over MOST_SHARDS of them), about `file_bytes` of
+    compressed records to a file.
     """
     base = pages.select(F.col("page_id").cast("bigint"), F.col("url"), F.col("html"))
-    if not base.where("page_id IS NULL").isEmpty():
-        raise ValueError("page_id must not be null")
-    marks = with_revisits(base)
-    marks = cut(marks)
+    marks = cut(with_revisits(base))
     total = marks.agg(F.sum("size")).first()[0] or 0
-    bounds = range_bounds(marks, "page_id", max(1, -(-total // shard_bytes)))
+    shards = min(MOST_SHARDS, max(1, -(-total // shard_bytes)))
+    bounds = range_bounds(marks, shards)
 
     @F.pandas_udf("bigint")
-    def shard_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="left"))
+    def shard_of(page: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, keys_of(page.to_numpy(), digest.to_numpy()), side="left"))
 
     # Payloads travel once. The row that says what a payload refers to goes along as a row of its own,
     # which the sort puts before the payload's.
@@ -104,8 +127,8 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes
     text = F.coalesce("html", F.lit(""))
     marked = twice.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
     bodies = base.select("page_id", "url", text.alias("html"), F.sha2(text, 256).alias("digest"), F.lit(None).cast("bigint").alias("refers_to"))
-    rows = marked.unionByName(bodies).withColumn("shard", shard_of("page_id"))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", F.col("html").isNotNull(), "url")
+    rows = marked.unionByName(bodies).withColumn("shard", shard_of(*_key("page_id", "digest")))
+    rows = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", F.xxhash64("digest"), "digest", F.col("html").isNotNull(), "url")
     fields = rows.columns
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +208,7 @@ def _parse(raw: bytes) -> dict:
     length = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
     revisit = fields["WARC-Type"] == "revisit"
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    page = lambda x: int(x.removeprefix("<urn:x-page:").removesuffix(">"))
+    page = lambda x: None if x == "<urn:x-page:none>" else int(x.removeprefix("<urn:x-page:").removesuffix(">"))
     whole = rest[len(block) :] == CRLF + CRLF and hashlib.sha256(block).hexdigest() == fields["WARC-Block-Digest"].removeprefix("sha256:")
     if not revisit:
         whole = whole and len(payload) == length and hashlib.sha256(payload).hexdigest() == digest

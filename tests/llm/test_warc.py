@@ -57,5 +57,25 @@ def test_repeats_and_empty(spark, tmp_path):
     assert [(r.page_id, r.record_type) for r in got] == [(1, "response")] * 3
     none = W.write(df.limit(0), f"file://{tmp_path}/e")
     assert W.read(none, f"file://{tmp_path}/e").collect() == []
-    with pytest.raises(ValueError):
-        W.write(spark.createDataFrame([(None, "u", "x")], "page_id long, url string, html string"), f"file://{tmp_path}/n")
+
+
+def test_null_ids_hot_ids_and_long_payloads(spark, tmp_path):
+    rnd = random.Random(7)
+    same, huge = "s" * 500, "h" * 3_000_000
+    rows = [(None, "u", same), (None, "u", "only here" * 50), (None, None, None), (8, "v", same), (6, "w", same), (9, "x", huge)]
+    rows += [(5, "hot", f"{rnd.random()} " * 60) for _ in range(400)]  # a third of all and more under one id
+    folder = f"file://{tmp_path}/h"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    manifest = W.write(df, folder, 20_000, 50_000)
+    got = W.read(manifest, folder).collect()
+    assert len(got) == len(rows) and all(r.intact for r in got)
+    twins = sorted((str(r.page_id), r.record_type, r.refers_to) for r in got if r.payload_digest == hashlib.sha256(same.encode()).hexdigest())
+    assert twins == [("6", "response", None), ("8", "revisit", 6), ("None", "revisit", 6)]
+    assert sum(r.page_id is None and r.record_type == "response" for r in got) == 2
+    shards = {r.shard: r.records for r in manifest.groupBy("shard").agg({"records": "sum"}).withColumnRenamed("sum(records)", "records").collect()}
+    assert max(shards.values()) < 100  # the hot id is dealt out
+
+
+def test_urls_stay_different():
+    urls = ["http://a/x y", "http://a/xy", "http://a/x\ty", "http://a/x\r\nWARC-Type: y", None]
+    assert len({W.target(u) for u in urls}) == 5 and all(not set(W.target(u)) & set(" \r\n\t") for u in urls)
