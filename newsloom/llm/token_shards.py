@@ -2,11 +2,11 @@
 
 The texts' ids run on, document after document with an end token, and are chopped every `stride` ids.
 A keyed Feistel network over the next even power of two, walked in cycles until it falls into the
-domain, permutes the sequence numbers without a table. The domain is a bound known before any text is
-encoded (a token has at least one byte), so texts are encoded once and travel once: range partitions
-of the permuted numbers become shards, each sorted and written at a fixed stride. Numbers that no
-sequence took leave no gaps in the files; the manifest's counts give every sequence its global slot, and
-slot s is read by one seek. Files are written under temporary names and committed through a manifest.
+domain, permutes the sequence numbers without a table. Every partition has as many numbers as the largest one
+can need, a bound known before any text is encoded (a token has at least one byte), so texts are encoded
+once and travel once: range partitions of the permuted numbers become shards, each sorted and written at a
+fixed stride. Numbers that no sequence took leave no gaps in the files; running sums of the shards' counts give
+every sequence its global slot, and slot s is read by one seek. Files are written under temporary names and committed through a manifest.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import bpe, commit_files, cut, default_ranks, stored
@@ -61,35 +61,34 @@ def write(
 ) -> DataFrame:
     """Write the shards; returns a row per sequence: slot, shard, position, doc_ids, starts, lengths, crc32.
 
-    `docs` must be a table scan (or stored first): both passes number its partitions, and the second
-    fails if a partition no longer holds what the first one measured. A null text is empty and
-    gives its end token. Repeated rows each give tokens. Only the last sequence of a partition is padded, with
+    A first pass measures the partitions of `docs`; the second fails if one needs more numbers than the largest
+    one then (store such a table first). A null text is empty and gives its end token. Repeated rows each give tokens. Only the last sequence of a partition is padded, with
     the end token. Ids are unsigned 16-bit little-endian, or 32-bit if the vocabulary needs it. `crc32` is that of
     the whole stride. An empty table gives no shard.
     """
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    part = narrow.select(F.spark_partition_id().alias("p"), size.alias("b")).groupBy("p").agg(F.sum(F.col("b") + 1).alias("b"), F.count("*").alias("n"))
-    bounds = {r["p"]: (r["b"], r["n"]) for r in part.collect()}  # a row per partition
-    base, domain = {}, 0
-    for p in sorted(bounds):
-        base[p] = domain
-        domain += -(-bounds[p][0] // stride)
+    part = narrow.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(size + 1).alias("b"))
+    last, widest, total = (int(x or 0) for x in part.agg(F.max("p"), F.max("b"), F.sum("b")).first())
+    each = -(-widest // stride)  # numbers of a partition
+    domain = (last + 1) * each
     path = vocabulary or default_ranks()
     wide = "<u2" if max(bpe(path).tokens) < 65536 and end_id < 65536 else "<u4"
     unit = np.dtype(wide).itemsize
-    shards = max(1, -(-domain * stride * unit // (2 * shard_bytes)))  # about two bytes of text a token, at least
+    shards = max(1, -(-total * unit // (2 * shard_bytes)))  # about two bytes of text a token, at least
     span = max(1, -(-domain // shards))
     end = np.array([end_id], dtype=wide)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
         tokens = bpe(path)
-        number, rows = base.get(p, 0), 0
-        held, pieces, filled, seen_bytes = [], [], 0, 0
+        number, end_number = p * each, (p + 1) * each
+        held, pieces, filled = [], [], 0
 
         def emit(sequences: list) -> pa.RecordBatch:
             nonlocal number
+            if number + len(sequences) > end_number or p > last:
+                raise RuntimeError("a partition grew between the passes; store the table first")
             permuted = feistel(np.arange(number, number + len(sequences)), domain, key)
             number += len(sequences)
             cols = list(zip(*sequences))
@@ -108,8 +107,6 @@ def write(
         for batch in batches:
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.concatenate([tokens.ids(t or "").astype(wide), end])
-                seen_bytes += len((t or "").encode("utf-8", "surrogatepass")) + 1
-                rows += 1
                 at = 0
                 while at < len(ids):
                     n = min(stride - filled, len(ids) - at)
@@ -121,15 +118,13 @@ def write(
                 if len(done) >= 500:
                     yield emit(done)
                     done = []
-        if (seen_bytes, rows) != bounds.get(p, (0, 0)):
-            raise RuntimeError("a partition changed between the passes; store the table first")
         if filled:
             close()
         if done:
             yield emit(done)
 
     made = narrow.mapInArrow(encode, "shard bigint, permuted bigint, doc_ids array<bigint>, starts array<bigint>, lengths array<bigint>, ids binary")
-    made = made.repartition(shards, "shard").sortWithinPartitions("shard", "permuted")
+    made = made.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "permuted")
     pad = end.tobytes()
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,18 +161,23 @@ def write(
 
     index = stored(made.mapInArrow(save, INDEX), "token-index")
     files_ = commit_files(cut(index.groupBy("shard", "name", "temporary", "bytes").agg(F.count("*").alias("sequences"))), folder)
-    counts = {r["shard"]: r["sequences"] for r in files_.select("shard", "sequences").collect()}  # a row per shard
-    first, total = [], 0
-    for s in sorted(counts):
-        first.append((s, total, stride, unit))
-        total += counts[s]
-    spark = docs.sparkSession
-    slots = spark.createDataFrame(first, "shard bigint, first_slot bigint, stride bigint, unit bigint")
-    files_.join(slots, "shard").coalesce(1).write.parquet(f"{folder}/manifest")
-    index = index.drop("temporary", "bytes").join(F.broadcast(slots.select("shard", "first_slot")), "shard")
+    slots = stored(_slots(files_).select("shard", "name", "sequences", "first_slot", F.lit(stride).cast("bigint").alias("stride"), F.lit(unit).cast("bigint").alias("unit")), "slots")
+    slots.write.parquet(f"{folder}/manifest")
+    index = index.drop("temporary", "bytes").join(slots.select("shard", "first_slot"), "shard")
     return index.withColumn("slot", F.col("first_slot") + F.col("position")).drop("first_slot")
 
 
+def _slots(files_: DataFrame, block: int = 1024) -> DataFrame:
+    """`files_` with the slot of each shard's first sequence: running sums inside blocks of shards, then over the blocks."""
+    parts = files_.withColumn("block", F.expr(f"shard DIV {block}"))
+    inside = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = parts.groupBy("block").agg(F.sum("sequences").alias("n"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per `block` shards
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    out = parts.withColumn("within", F.coalesce(F.sum("sequences").over(inside), F.lit(0)))
+    return out.join(blocks, "block").withColumn("first_slot", F.col("earlier") + F.col("within")).drop("block", "earlier", "within")
+
+
 READ = "slot bigint, shard bigint, position bigint, crc32 bigint"
 
 
@@ -199,4 +199,4 @@ def read(spark, folder: str, begin: int = 0, batch: int = 256) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(row["first_slot"] + place), pa.array([row["shard"]] * len(crcs)), pa.array(place), pa.array(crcs, pa.int64())], names=["slot", "shard", "position", "crc32"])
                         at += len(crcs)
 
-    return manifest.select("shard", "name", "first_slot", "stride", "unit").repartition(tasks, "shard").mapInArrow(load, READ)
+    return manifest.select("shard", "name", "first_slot", "stride", "unit").repartitionById(tasks, F.col("shard").cast("int")).mapInArrow(load, READ)

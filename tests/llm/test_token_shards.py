@@ -56,3 +56,22 @@ def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert K.write(df, f"file://{tmp_path}/e").collect() == []
     assert K.read(spark, f"file://{tmp_path}/e").collect() == []
+
+
+def test_slots_run_on_over_blocks_of_shards(spark):
+    files = spark.createDataFrame([(s, s % 5 + 1) for s in range(0, 90, 2)], "shard long, sequences long").repartition(4)
+    got, at = sorted((r.shard, r.sequences, r.first_slot) for r in K._slots(files, block=7).collect()), 0
+    for _, n, first in got:
+        assert first == at
+        at += n
+
+
+def test_null_ids_repeated_rows_and_skewed_partitions(spark, tmp_path):
+    rows = [(None, "no id here"), (None, "no id here"), (1, "x " * 20_000), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/in")
+    index = K.write(spark.read.parquet(f"{tmp_path}/in"), f"file://{tmp_path}/s", stride=64, shard_bytes=2048).collect()
+    assert sorted(r.slot for r in index) == list(range(len(index)))
+    held = [d for r in index for d in r.doc_ids]
+    assert held.count(None) >= 2 and {1, 2} <= set(held)
+    n = sum(len(bpe(default_ranks()).ids(t or "")) + 1 for _, t in rows)
+    assert sum(sum(r.lengths) for r in index) == n
