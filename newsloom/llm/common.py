@@ -119,7 +119,7 @@ class CachedBpe:
     per worker until the cache holds `limit` chunks and is emptied. Other texts are encoded whole.
     """
 
-    def __init__(self, ranks_path: str, limit: int = 900_000):
+    def __init__(self, ranks_path: str, limit: int = 500_000):
         import public_tokenizers
         import tiktoken
 

@@ -23,7 +23,9 @@ from newsloom.llm.common import append_columns
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
 #: Bounds of the training sample: documents a language, characters of a sampled document, languages.
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 250, 30_000, 200
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS = 250, 20_000, 30_000
+#: There are fewer language codes; a column with more distinct values is refused.
+MAX_LANGUAGES = 8192
 LEXICON_SIZE = 3000
 UND = "und"
 
@@ -221,7 +223,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, sequences: int =
 class Labeller:
     """A model with a cache of the unary scores of the tokens that it has met."""
 
-    def __init__(self, model: Crf, limit: int = 400_000):
+    def __init__(self, model: Crf, limit: int = 250_000):
         self.model, self.limit = model, limit
         self._ids: dict[str, int] = {}
         self._scores = np.zeros((1024, len(model.labels)))
@@ -289,20 +291,23 @@ class Labeller:
 def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str, fold: int | None = 2, folds: int = 4) -> tuple[list[str], list[str]]:
     """A bounded sample of the labelled documents outside the held-out fold.
 
-    At most about SAMPLE_DOCS documents a language, by a hash of the id, none over SAMPLE_CHARS characters.
+    At most about SAMPLE_DOCS documents a language and SAMPLE_TOTAL in all, by a hash of the id, none over SAMPLE_CHARS characters.
     """
     usable = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
     if fold is not None:
         usable = usable.where(F.pmod(F.crc32(F.col("i").cast("string").cast("binary")), F.lit(folds)) != fold)
     usable = usable.where(F.length("t") <= SAMPLE_CHARS)
-    sizes = usable.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    counts = usable.groupBy("l").count()
+    labels = counts.limit(MAX_LANGUAGES + 1).count()
+    if labels > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: is that column a language?")
+    if not labels:
         return [], []
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // labels))
     share = F.pmod(F.xxhash64(F.lit("sample"), "i"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("l") == r["l"]) & (share < F.lit(int(min(1.0, SAMPLE_DOCS / r["count"]) * 1_000_000))))
-    rows = usable.where(chosen).select("t", "l").limit(2 * SAMPLE_DOCS * len(sizes)).collect()
+    parts = counts.select(F.col("l").alias("_l"), F.least(F.lit(1.0), each / F.col("count")).alias("_share"))  # a row per language
+    rows = usable.join(F.broadcast(parts), F.col("l") == F.col("_l")).where(share < F.col("_share") * 1_000_000)
+    rows = rows.select("t", "l").limit(2 * each * labels).collect()
     return [r[0] for r in rows], [r[1] for r in rows]
 
 

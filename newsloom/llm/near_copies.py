@@ -53,7 +53,7 @@ def shingles(text: str | None, width: int = 5) -> tuple[bytes, np.ndarray]:
     digest = xxhash.xxh3_128_digest(b" ".join(words))
     if len(words) < width:
         return digest, np.array([xxhash.xxh64_intdigest(b" ".join(words), 7)] if words else [], dtype=np.uint64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     get, ids = _WORDS.get, []
     for w in words:
@@ -293,15 +293,22 @@ def _by_parities(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 
 def _own(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Of (id, node, text) those texts that are the node's; rows that repeat a doc_id may hold others."""
-    for batch in batches:
+    for batch in _slices(batches):
         ok = [shingles(t, width)[0] == node for node, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 2)], names=["id", "text"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of texts in small parts, so that only a part is held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _by_texts(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, text of a, text of b) whose whole sets are similar; the last text's set is kept for the next pair."""
     held: tuple = (None, None)
-    for batch in batches:
+    for batch in _slices(batches):
         ok = []
         for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             if held[0] != s:
