@@ -35,11 +35,21 @@ def headline_substance(posts: DataFrame, speech_acts: list[str], substance: str
 
 
 def role_in_text(rows: DataFrame, role: str = "role", body: str = "body") -> DataFrame:
-    """Do at least half of the role's long words share four first letters with a word of the body?"""
-    short = lambda c: F.array_distinct(F.transform(F.filter(X.words(F.col(c)), lambda w: F.length(w) > 3), lambda w: F.substring(w, 1, 4)))
-    r = rows.withColumn("_r", short(role)).withColumn("_b", short(body))
-    ok = (F.size("_r") == 0) | (2 * F.size(F.array_intersect("_r", "_b")) >= F.size("_r"))
-    return r.withColumn("in_text", ok).drop("_r", "_b")
+    """Do at least half of the role's words of over three letters share four first letters with a word of the body? False without such words."""
+    short = lambda w: F.substring(w, 1, 4)
+    r = rows.withColumn("_r", F.transform(F.filter(X.words(F.col(role)), lambda w: F.length(w) > 3), short))
+    r = r.withColumn("_b", F.array_distinct(F.transform(X.words(F.col(body)), short)))
+    found = F.size(F.filter("_r", lambda w: F.array_contains("_b", w)))
+    return r.withColumn("in_text", (F.size("_r") > 0) & (2 * found >= F.size("_r"))).drop("_r", "_b")
+
+
+def role_gloss(rows: DataFrame, pools: DataFrame) -> DataFrame:
+    """(post_id, passed, bare): every primary entity (post_id, surface, salience, role, body) has its role in the text or a pool of facts (surface)."""
+    known = pools.select("surface", F.lit(True).alias("_pool")).distinct()
+    r = role_in_text(rows).join(known, "surface", "left")
+    bad = (F.col("salience") == "primary") & ~F.col("in_text") & F.col("_pool").isNull()
+    names = F.array_sort(F.collect_set(F.when(bad, F.col("surface"))))
+    return r.groupBy("post_id").agg(names.alias("bare")).select("post_id", (F.size("bare") == 0).alias("passed"), "bare")
 
 
 def clean_roles(rows: DataFrame, blocked: list[str], most_words: int = 6) -> DataFrame:
@@ -49,10 +59,24 @@ def clean_roles(rows: DataFrame, blocked: list[str], most_words: int = 6) -> Dat
     return rows.withColumn("role", F.when(~bad, role)).withColumn("salience", F.when(F.col("salience") == "primary", "primary").otherwise("secondary"))
 
 
-def fact_rules(facts: DataFrame, allowed: DataFrame, evaluative: list[str], vague: list[str], most_chars: int = 120) -> DataFrame:
-    """Names of the rules that a fact (fact, kind, tier, attribution, quote, topics) breaks; `allowed` lists (tier, kind)."""
+def fact_rules(
+    facts: DataFrame, allowed: DataFrame, evaluative: list[str], vague: list[str], most_chars: int = 120, guilt: list[str] | None = None, legal: DataFrame | None = None, outcomes: list[str] | None = None
+) -> DataFrame:
+    """Names of the rules that a fact (fact_id, fact, kind, tier, attribution, quote, topics) breaks; `allowed` lists (tier, kind).
+
+    `guilt` are stems that only legal facts may use. A legal fact must be one of the templates `legal` (term, head, tail,
+    outcome) and name a case; if its source (source_text) tells an outcome (stems `outcomes`), its template must be one.
+    """
     a = allowed.select("tier", "kind", F.lit(True).alias("_allowed")).distinct()
     rows = facts.join(a, ["tier", "kind"], "left")
+    extra = {"guilt": (F.col("kind") == "legal") | ~hits(F.col("fact"), guilt or [])}
+    if legal is not None:
+        named = match_legal(facts.where("kind = 'legal'").select("fact_id", "fact"), legal)
+        ends = legal.groupBy("term").agg(F.bool_or("outcome").alias("_outcome"))
+        rows = rows.join(named.join(ends, "term").select("fact_id", F.col("case").alias("_case"), "_outcome"), "fact_id", "left")
+        told = hits(F.col("source_text"), outcomes or []) if "source_text" in facts.columns else F.lit(False)
+        extra["legal"] = (F.col("kind") != "legal") | (F.coalesce("_case", F.lit("")) != "")
+        extra["outcome"] = (F.col("kind") != "legal") | F.col("_case").isNull() | ~told | F.coalesce("_outcome", F.lit(False))
     text = F.coalesce("fact", F.lit(""))
     named = blank(F.col("attribution")) | F.contains(X.normalize_title(text), X.normalize_title(F.col("attribution")))
     checks = failures(
@@ -65,6 +89,7 @@ def fact_rules(facts: DataFrame, allowed: DataFrame, evaluative: list[str], vagu
         attribution=(F.col("kind") != "evaluative") | (~blank(F.col("attribution")) & named),
         quote=~blank(F.col("quote")),
         topics=F.size(F.coalesce("topics", F.array())) > 0,
+        **extra,
     )
     return rows.withColumn("failures", checks).drop("_allowed").select(*facts.columns, "failures")
 
@@ -119,9 +144,14 @@ def fix_names(texts: DataFrame, column: str, table: list[tuple[str, str]]) -> Da
 
 
 def mark_first(texts: DataFrame, names: DataFrame, mark: str = "*") -> DataFrame:
-    """Texts (id, text) with the first occurrence of each of their names (id, name) marked; longer names first."""
+    """Texts (id, text) with the first occurrence, as a whole word, of each of their names (id, name) marked; longer names first."""
     own = names.groupBy("id").agg(F.array_sort(F.collect_set("name"), lambda a, b: F.length(b) - F.length(a)).alias("_names"))
-    one = lambda acc, n: F.when(F.instr(acc, n) > 0, F.concat(F.substring(acc, F.lit(1), F.instr(acc, n) - 1), F.lit(mark), n, F.lit(mark), F.substring(acc, F.instr(acc, n) + F.length(n), F.length(acc)))).otherwise(acc)
+
+
+    def one(acc: Column, n: Column) -> Column:
+        at = F.regexp_instr(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), n, F.lit(r"\E(?![\p{L}\p{N}_])")))
+        return F.when(at > 0, F.concat(F.substring(acc, F.lit(1), at - 1), F.lit(mark), n, F.lit(mark), F.substring(acc, at + F.length(n), F.length(acc)))).otherwise(acc)
+
     return texts.join(own, "id", "left").withColumn("text", F.coalesce(F.aggregate("_names", F.col("text"), one), F.col("text"))).drop("_names")
 
 
@@ -154,4 +184,4 @@ def backfill_targets(posts: DataFrame, names: DataFrame, as_of: int, hours: int
 
 def audit_sample(facts: DataFrame, size: int = 5, seed: int = 1) -> DataFrame:
     """A repeatable sample of new facts for a human to look at."""
-    return facts.orderBy(F.xxhash64(F.lit(seed), "fact_id"), "fact_id").limit(size)
+    return facts.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "fact_id")), "fact_id").limit(size)

@@ -132,25 +132,41 @@ def reconcile(facts: DataFrame, threshold: float = 0.5) -> DataFrame:
     return c.join(hit, "fact_id", "left").select("fact_id", "entity_id", outcome.alias("outcome"))
 
 
-def drop_similar(facts: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Facts that repeat no earlier kept fact of their entity, in order of fact_id; a fold over each entity's stem sets."""
+def drop_similar(facts: DataFrame, threshold: float = 0.7, known: DataFrame | None = None) -> DataFrame:
+    """Facts that repeat neither a known fact nor an earlier kept one of their entity, in order of fact_id.
+
+    A fold over each entity's stem sets; an index of stems finds the kept sets that share one.
+    """
     schema = "entity_id string, fact_id long"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entity, kept = None, []
+        entity, sizes, index, seen = None, [], {}, set()
         for pdf in batches:
             out = []
-            for e, i, stems in zip(pdf.entity_id, pdf.fact_id, pdf.stems):
+            for e, i, old, stems in zip(pdf.entity_id, pdf.fact_id, pdf.known, pdf.stems):
                 if e != entity:
-                    entity, kept = e, []
-                s = set(stems)
-                if not any(min(len(s), len(k)) and len(s & k) / min(len(s), len(k)) >= threshold for k in kept):
-                    kept.append(s)
-                    out.append((e, i))
+                    entity, sizes, index, seen = e, [], {}, set()
+                s = frozenset(stems)
+                shared: dict[int, int] = {}
+                if s not in seen:
+                    for stem in s:
+                        for k in index.get(stem, ()):
+                            shared[k] = shared.get(k, 0) + 1
+                again = (s in seen and bool(s)) or any(n / min(len(s), sizes[k]) >= threshold for k, n in shared.items())
+                if old or not again:
+                    if s and s not in seen:
+                        for stem in s:
+                            index.setdefault(stem, []).append(len(sizes))
+                        sizes.append(len(s))
+                        seen.add(s)
+                    if not old:
+                        out.append((e, i))
             yield pd.DataFrame(out, columns=["entity_id", "fact_id"])
 
-    rows = facts.select("entity_id", "fact_id", X.stems(F.col("fact")).alias("stems"))
-    return rows.repartition("entity_id").sortWithinPartitions("entity_id", "fact_id").mapInPandas(fold, schema)
+    rows = facts.select("entity_id", "fact_id", F.lit(False).alias("known"), X.stems(F.col("fact")).alias("stems"))
+    if known is not None:
+        rows = rows.unionByName(known.select("entity_id", "fact_id", F.lit(True).alias("known"), X.stems(F.col("fact")).alias("stems")))
+    return rows.repartition("entity_id").sortWithinPartitions("entity_id", F.desc("known"), "fact_id").mapInPandas(fold, schema)
 
 
 def pick_facts(facts: DataFrame, topics: DataFrame, as_of: int, top: int = 2) -> DataFrame:
@@ -209,3 +225,62 @@ def refresh_targets(posts: DataFrame, changed: DataFrame, as_of: int, hours: int
     """Posts (post_id, entity_ids, pub_min) to render again because an entity of theirs changed."""
     p = posts.where(F.col("pub_min") >= as_of - 60 * hours).select("post_id", F.explode("entity_ids").alias("entity_id"))
     return p.join(changed.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("post_id").agg(F.array_sort(F.collect_set("entity_id")).alias("changed"))
+
+
+#: Latin letters as Cyrillic ones, groups before single letters.
+CYRILLIC = [
+    ("ch", "ч"), ("ll", "й"), ("qu", "к"), ("gu", "г"), ("rr", "р"), ("ñ", "нь"), ("á", "а"), ("é", "е"), ("í", "и"), ("ó", "о"), ("ú", "у"), ("ü", "у"), ("à", "а"),
+    ("è", "е"), ("ò", "о"), ("ç", "с"), ("j", "х"), ("h", ""), ("z", "с"), ("v", "в"), ("y", "и"), ("x", "кс"), ("w", "в"), ("c", "к"), ("q", "к"), ("a", "а"), ("b", "б"),
+    ("d", "д"), ("e", "е"), ("f", "ф"), ("g", "г"), ("i", "и"), ("k", "к"), ("l", "л"), ("m", "м"), ("n", "н"), ("o", "о"), ("p", "п"), ("r", "р"), ("s", "с"), ("t", "т"), ("u", "у"),
+]
+#: Fixed patterns of surnames that Cyrillic already spells.
+SLAVIC = r"(?i)^(putin|stalin|lenin|yeltsin|kalinin)$|^(?=.{6,}$).*(ov|ev|off|ski|sky|ich|vic|vich|enko)a?$|^(?=.{7,}$).*ina?$"
+_CAPITAL = r"\p{Lu}[\p{L}\p{N}_'’-]+"
+
+
+def to_cyrillic(name: Column) -> Column:
+    out = F.lower(name)
+    for latin, cyrillic in CYRILLIC:
+        out = F.replace(out, F.lit(latin), F.lit(cyrillic))
+    return F.trim(F.regexp_replace(out, "[^а-яё ]", ""))
+
+
+def latin_names(titles: DataFrame, places: list[str], not_names: list[str]) -> DataFrame:
+    """(id, name): names of two or three capitalised Latin words in titles (id, title), without places and Slavic surnames, and their surnames of six letters or more.
+
+    Words of `not_names` that lead a run are no part of the name.
+    """
+    lead = "|".join(sorted(not_names)) or "(?!)"
+    run = F.explode(F.regexp_extract_all("title", F.lit(rf"({_CAPITAL}(?:\s+(?:(?:de|del|la|y)\s+)?{_CAPITAL}){{0,2}})"), 1)).alias("run")
+    cut = F.regexp_replace(F.regexp_replace("run", r"\s+", " "), rf"^(?:(?:{lead}) ?)+(?= |\p{{Lu}}|$)", "")
+    parts = F.split(F.trim("name"), " ")
+    last = F.element_at(parts, -1)
+    gone = lambda c: F.lower(c).isin(*places) | to_cyrillic(c).isin(*places) if places else F.lit(False)
+    rows = titles.select("id", run).select("id", F.trim(cut).alias("name")).where((F.size(parts) >= 2) & F.col("name").rlike("^[^Ѐ-ӿ]+$"))
+    rows = rows.where(~gone(F.col("name")) & ~last.rlike(SLAVIC))
+    surname = F.when((F.length(last) >= 6) & ~gone(last), last)
+    return rows.select("id", F.explode(F.array_compact(F.array("name", surname))).alias("name")).distinct()
+
+
+def restore_names(posts: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, name, phrase): the first run of capitalised Cyrillic words of a post (id, text) that spells a Latin name of its story (id, name).
+
+    Spellings may differ by one letter, or two from eight letters on. A name that the text already has in Latin is
+    left out. Names and runs of as many words meet inside a post.
+    """
+    words = F.regexp_extract_all("text", F.lit("([А-ЯЁ][а-яё]+)"), 1)
+    sizes = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit(5))).alias("n")
+    p = posts.select("id", F.col("text"), words.alias("w"))
+    grams = p.select("id", "w", sizes).where(F.size("w") >= F.col("n"))
+    grams = grams.select("id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("at", "phrase"))
+    n = names.select("id", "name", to_cyrillic(F.col("name")).alias("target"), F.size(F.split("name", r"\s+")).alias("n")).where("target <> ''")
+    n = n.join(posts.select("id", F.lower("text").alias("_low")), "id").where(~F.contains(F.col("_low"), F.lower("name"))).drop("_low")
+    near = F.levenshtein(F.lower("phrase"), F.col("target")) <= F.when(F.length("target") >= 8, 2).otherwise(1)
+    return first_of(n.join(grams, ["id", "n"]).where(near), ["id", "name"], ["at"]).select("id", "name", "phrase")
+
+
+def apply_names(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """Posts (id, text) with the found phrases replaced by their names, longer names first."""
+    own = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("name", "phrase")), lambda a, b: F.length(b["name"]) - F.length(a["name"])).alias("_f"))
+    done = F.aggregate("_f", F.col("text"), lambda acc, x: F.replace(acc, x["phrase"], x["name"]))
+    return posts.join(own, "id", "left").withColumn("text", F.coalesce(done, F.col("text"))).drop("_f")

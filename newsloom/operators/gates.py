@@ -88,6 +88,13 @@ def model_mix(vectors: DataFrame) -> DataFrame:
     return v.withColumn("mixed", F.count("*").over(Window.partitionBy(F.lit(1))) > 1)  # a row per model
 
 
+def one_model(vectors: DataFrame) -> DataFrame:
+    """`vectors`, or an error as soon as they are read when they come from more than one model."""
+    mix = model_mix(vectors).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("model")).alias("names"))  # a row per model
+    ok = F.when(F.col("n") <= 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("vectors of several models: "), F.array_join("names", ", "))))
+    return vectors.crossJoin(mix.select(ok.alias("_ok"))).where("_ok").drop("_ok")  # a single row
+
+
 def due_slots(instants: DataFrame, hour: int, minute: int, tolerance: int = 25, zone: str = "Europe/Madrid") -> DataFrame:
     """Is an instant (UTC timestamp `ts`) at most `tolerance` minutes after the local slot?"""
     local = F.from_utc_timestamp("ts", zone)

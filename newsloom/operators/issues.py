@@ -41,8 +41,11 @@ def space_topics(items: DataFrame, most: int = 3) -> DataFrame:
     return spaced.select("issue", F.col("x.position").alias("position"), F.col("x.topic").alias("topic"), (F.col("p") + 1).alias("new_position"))
 
 
-def pack_messages(blocks: DataFrame, limit: int = 4096, separator: int = 2) -> DataFrame:
-    """Blocks (issue, position, length) with the number of the message that holds them: greedy in order, a longer block stands alone."""
+def pack_messages(blocks: DataFrame, limit: int = 4096, separator: int = 2, most: int | None = None) -> DataFrame:
+    """Blocks (issue, position, length) with the number of the message that holds them: greedy in order, a longer block stands alone.
+
+    With `most`, what would need a later message is left out.
+    """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, message, used = None, 0, 0
@@ -59,7 +62,8 @@ def pack_messages(blocks: DataFrame, limit: int = 4096, separator: int = 2) -> D
 
     kind = dict(blocks.dtypes)["issue"]
     rows = blocks.select("issue", "position", "length").repartition("issue").sortWithinPartitions("issue", "position")
-    return rows.mapInPandas(fold, f"issue {kind}, position long, length long, message long")
+    out = rows.mapInPandas(fold, f"issue {kind}, position long, length long, message long")
+    return out if most is None else out.where(F.col("message") <= most)
 
 
 def token_batches(texts: DataFrame, shards: int = 16, most_items: int = 256, most_tokens: int = 60_000, chars_per_token: float = 3.2) -> DataFrame:
@@ -98,8 +102,8 @@ def admit_run(candidates: DataFrame, topics: DataFrame, state: DataFrame, thresh
 
 
 def write_issue(items: DataFrame, issue_id: int, folder: str) -> None:
-    """The header row and the items, positions from 1, with their links; two tables under a folder."""
+    """The header row and the items, positions from 1, with their links; two tables under a folder, a partition an issue: writing an issue again replaces it."""
     n = Window.partitionBy(F.lit(1)).orderBy("position")  # a handful of items
-    rows = items.withColumn("position", F.row_number().over(n)).withColumn("issue_id", F.lit(issue_id).cast("long"))
-    rows.groupBy("issue_id").agg(F.count("*").alias("n_items")).write.mode("append").parquet(f"{folder}/issues")
-    rows.write.mode("append").parquet(f"{folder}/issue_items")
+    rows = items.withColumn("position", F.row_number().over(n))
+    rows.agg(F.count("*").alias("n_items")).write.mode("overwrite").parquet(f"{folder}/issues/issue_id={issue_id}")
+    rows.write.mode("overwrite").parquet(f"{folder}/issue_items/issue_id={issue_id}")

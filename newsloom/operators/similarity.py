@@ -63,6 +63,12 @@ def check_dimension(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong))
 
 
+def bands_for(threshold: float, bits: int, recall: float) -> int:
+    """Bands of `bits` signs that meet a pair at the threshold with probability `recall`; closer pairs meet more often."""
+    same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if same >= recall else math.ceil(math.log(1 - recall) / math.log(1 - same))
+
+
 def sign_buckets(vectors: DataFrame, bands: int = 12, bits: int = 8, dim: int = 64, seed: int = 3) -> DataFrame:
     """(band, bucket) rows of a vector from signs of seeded random projections: the key of blocked similarity joins."""
     planes = np.random.default_rng(seed).normal(size=(bands * bits, dim)).astype(np.float32)
@@ -77,12 +83,50 @@ def sign_buckets(vectors: DataFrame, bands: int = 12, bits: int = 8, dim: int =
     return vectors.select("*", F.posexplode(keys("embedding")).alias("band", "bucket"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, hours: float | None = None, **lsh) -> DataFrame:
+def exact_pairs(vectors: DataFrame, threshold: float, hours: float | None = None, chunk: int = 2000) -> DataFrame:
+    """As `similar_pairs`, and no pair is lost: the rows of a block (and its time windows) fall into chunks, and every pair of chunks is a matrix product of its own."""
+    span = int(60 * hours) if hours is not None else None
+    slot = F.floor(F.col("pub_min") / span) if span else F.lit(0).cast("bigint")
+    minute = F.col("pub_min").cast("bigint") if span else F.lit(0).cast("bigint")
+    rows = vectors.select("id", "embedding", "block", minute.alias("pub_min"), slot.alias("slot")).where("embedding IS NOT NULL")
+    sizes = rows.groupBy("block", "slot").agg(F.ceil(F.count("*") / chunk).cast("bigint").alias("chunks"))
+    named = lambda n: sizes.select(F.col("block").alias("_b"), F.col("slot").alias("_s"), F.col("chunks").alias(n))
+    at = lambda step: F.col("block").eqNullSafe(F.col("_b")) & (F.col("slot") + step).eqNullSafe(F.col("_s"))
+    mine = rows.join(named("chunks"), at(0)).drop("_b", "_s").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    ahead = mine.join(named("_more"), at(1), "left").drop("_b", "_s") if span else mine.withColumn("_more", F.lit(None).cast("bigint"))
+    # A row meets the chunks of its own window, and as the earlier side those of the next one.
+    meet = lambda n, step: F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda k: F.struct(F.lit(step).alias("step"), k.alias("k")))
+    ahead = ahead.withColumn("m", F.explode(F.concat(meet(F.col("chunks"), 0), F.when(F.col("_more").isNotNull(), meet(F.col("_more"), 1)).otherwise(F.array().cast("array<struct<step:int,k:bigint>>")))))
+    own = F.when((F.col("m.step") == 0) & (F.col("m.k") == F.col("c")), 2).when((F.col("m.step") == 0) & (F.col("m.k") < F.col("c")), 1).otherwise(0)
+    first = ahead.select("id", "embedding", "pub_min", "block", "slot", F.col("m.step").alias("step"), F.when(own == 1, F.col("m.k")).otherwise(F.col("c")).alias("i"), F.when(own == 1, F.col("c")).otherwise(F.col("m.k")).alias("j"), own.alias("side"))
+    groups = first
+    if span:
+        back = mine.join(named("_more"), at(-1)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_more") - 1)))
+        groups = first.unionByName(back.select("id", "embedding", "pub_min", "block", (F.col("slot") - 1).alias("slot"), F.lit(1).alias("step"), F.col("k").alias("i"), F.col("c").alias("j"), F.lit(1).alias("side")))
+    keys = ["block", "slot", "step", "i", "j"]
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(pdf.embedding.to_list()).astype(np.float64)
+        norm = np.linalg.norm(v, axis=1)
+        side, ids, at = pdf.side.to_numpy(), pdf.id.to_numpy(), pdf.pub_min.to_numpy()
+        x, y = np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2))
+        scale = np.outer(norm[x], norm[y])
+        sim = np.divide(v[x] @ v[y].T, scale, out=np.zeros(scale.shape), where=scale > 0)
+        a, b = np.nonzero((sim >= threshold) & ((side[x][:, None] != 2) | (ids[x][:, None] < ids[y][None])) & ((np.abs(at[x][:, None] - at[y][None]) <= span) if span else True))
+        return pd.DataFrame({"a": np.minimum(ids[x[a]], ids[y[b]]), "b": np.maximum(ids[x[a]], ids[y[b]]), "sim": sim[a, b]})
+
+    return groups.groupBy(*keys).applyInPandas(task, "a long, b long, sim double").where("a < b")
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, hours: float | None = None, recall: float = 0.99, **lsh) -> DataFrame:
     """(a, b, sim) with a < b, of rows (id, embedding, block, and pub_min if `hours` is given) whose cosine reaches the threshold.
 
     Rows meet by band and bucket inside a block and, with `hours`, by time window (a row stands in its own window and the next one).
+    There are enough bands to meet a pair at the threshold with probability `recall`, unless `bands` says otherwise; `exact_pairs`
+    loses none. Rows without a block are a block of their own.
     """
-    keyed = sign_buckets(vectors, **lsh)
+    lsh["bands"] = lsh.get("bands") or bands_for(threshold, lsh.get("bits", 8), recall)
+    keyed = sign_buckets(vectors.withColumn("block", F.coalesce(F.col("block").cast("string"), F.lit("\x00"))), **lsh)
     keys = ["block", "band", "bucket"]
     left, right = keyed, keyed
     if hours is not None:
@@ -280,11 +324,23 @@ def recommend_threshold(labels: DataFrame, low: int = 30, high: int = 95) -> Dat
     )
 
 
-def related_stories(stories: DataFrame, blocked: DataFrame, threshold: float = 0.70, days: int = 120, top: int = 5, **lsh) -> DataFrame:
-    """(cluster_id, related_id, rank): the nearest stories (cluster_id, centroid, last_min, block) that no block forbids."""
+def related_stories(stories: DataFrame, blocked: DataFrame, threshold: float = 0.70, days: int = 120, top: int = 5, exact: bool = False, **lsh) -> DataFrame:
+    """(cluster_id, related_id, sim, rank): the nearest stories (cluster_id, centroid, last_min, block) that no block forbids."""
     v = stories.select(F.col("cluster_id").alias("id"), F.col("centroid").cast("array<float>").alias("embedding"), F.col("last_min").alias("pub_min"), "block")
-    pairs = similar_pairs(v, threshold, hours=24 * days, **lsh)
+    pairs = exact_pairs(v, threshold, hours=24 * days) if exact else similar_pairs(v, threshold, hours=24 * days, **lsh)
     pairs = pairs.join(blocked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     both = pairs.select(F.col("a").alias("cluster_id"), F.col("b").alias("related_id"), "sim").unionByName(pairs.select(F.col("b").alias("cluster_id"), F.col("a").alias("related_id"), "sim"))
     w = Window.partitionBy("cluster_id").orderBy(F.desc("sim"), "related_id")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def pick_related(related: DataFrame, posts: DataFrame) -> DataFrame:
+    """(cluster_id, related_id, why): of the nearest stories the first that shares the topic or an entity with it; posts has (cluster_id, topic, entity_ids), one a story."""
+    me = posts.select("cluster_id", F.col("topic").alias("_t"), F.col("entity_ids").alias("_e"))
+    other = posts.select(F.col("cluster_id").alias("related_id"), "topic", "entity_ids")
+    j = related.join(other, "related_id").join(me, "cluster_id", "left")
+    same = F.coalesce(F.col("topic") == F.col("_t"), F.lit(False))
+    shared = F.coalesce(F.arrays_overlap("entity_ids", "_e"), F.lit(False))
+    w = Window.partitionBy("cluster_id").orderBy("rank")
+    hit = j.where(same | shared).withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    return hit.select("cluster_id", "related_id", F.when(same, "topic").otherwise("entity").alias("why"))

@@ -186,6 +186,23 @@ def spectrum_edges(members: DataFrame) -> DataFrame:
     return one.withColumn("_u", up).withColumn("_d", down).where("_u = 1 OR _d = 1").select("cluster_id", "source_id", F.when(F.col("_u") == 1, "left").otherwise("right").alias("edge"))
 
 
+def spectrum_picks(members: DataFrame, limit: int = 2) -> DataFrame:
+    """(cluster_id, source_id, pick): outlets left to right; of more than `limit` the two edges, and then from the middle outwards."""
+    one = best_article_per_source(members).withColumn("_place", F.when(F.col("type") == "official", 99).otherwise(F.coalesce("lean_value", F.lit(0))))
+    line = one.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "source_id"))), lambda x: x["source_id"]).alias("line"))
+    first, last, size = F.get("line", F.lit(0)), F.element_at("line", -1), F.size("line")
+    start = F.struct(F.slice("line", F.lit(2), F.greatest(size - 2, F.lit(0))).alias("middle"), F.array().cast("array<string>").alias("picked"))
+
+    def step(acc: Column, _: Column) -> Column:
+        middle, at = acc["middle"], F.floor(F.size(acc["middle"]) / 2).cast("int")
+        rest = F.concat(F.slice(middle, F.lit(1), at), F.slice(middle, at + 2, F.size(middle)))
+        return F.struct(rest.alias("middle"), F.concat(acc["picked"], F.array(F.get(middle, at))).alias("picked"))
+
+    more = F.aggregate(F.sequence(F.lit(1), F.lit(limit - 2)), start, step)["picked"] if limit > 2 else F.array().cast("array<string>")
+    picks = F.when(size <= limit, F.col("line")).otherwise(F.concat(F.array(first), more, F.array(last)))
+    return line.select("cluster_id", F.posexplode(picks).alias("p", "source_id")).select("cluster_id", "source_id", (F.col("p") + 1).alias("pick"))
+
+
 def time_to_kth_source(members: DataFrame, ks: tuple = (2, 3, 5)) -> DataFrame:
     """Median and ninth decile of the minutes from a story's first article to its k-th outlet."""
     first = members.groupBy("cluster_id", "source_id").agg(F.min("pub_min").alias("m"))

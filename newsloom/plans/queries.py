@@ -117,9 +117,9 @@ def close_idle_stories(t):
 
 
 @query(SPECTRUM + f""" SELECT cluster_id, first_min FROM spectrum WHERE first_min < {AS_OF + 600} - 240 AND NOT passes
-  AND cluster_id NOT IN (SELECT cluster_id FROM posts WHERE cluster_id IS NOT NULL AND category = 'view' AND post_id % 40 = 0) AND NOT (first_min >= {AS_OF} - 1440 + 1020 AND first_min < {AS_OF})""")
+  AND cluster_id NOT IN (SELECT 2 * cluster_id + 1 FROM posts WHERE cluster_id IS NOT NULL) AND NOT (first_min >= {AS_OF} - 1440 + 1020 AND first_min < {AS_OF})""")
 def expire_candidates(t):
-    return S.expire_candidates(t.members, t.posts.where("category = 'view' AND post_id % 40 = 0"), AS_OF + 600, morning=False)
+    return S.expire_candidates(t.members, t.posts.withColumn("cluster_id", 2 * F.col("cluster_id") + 1), AS_OF + 600, morning=False)  # posts name every second story
 
 
 BEST = """, best AS (
@@ -243,10 +243,10 @@ def score_percentile(t):
 
 
 @query(f""", q AS (SELECT count(*) FILTER (pub_min >= 43020 - 1440 AND pub_min < 43020) AS used_24h, count(*) FILTER (pub_min >= 41760 AND pub_min < 43020) AS used_today,
-  count(*) FILTER (with_sound AND pub_min >= 41760 AND pub_min < 43020) AS loud, max(pub_min) FILTER (pub_min < 43020) AS m FROM posts WHERE status = 'published' AND post_id % 20 = 3)
-SELECT used_24h, used_today, greatest(0, 25 - used_24h) AS room, greatest(0, 3 - loud) AS loud_left, 43020 - m AS minutes_since FROM q""")
+  count(*) FILTER (with_sound AND pub_min >= 41760 AND pub_min < 43020) AS loud, max(pub_min) FILTER (pub_min < 43020) AS m FROM posts WHERE status = 'published')
+SELECT used_24h, used_today, greatest(0, 1000000 - used_24h) AS room, greatest(0, 3 - loud) AS loud_left, 43020 - m AS minutes_since FROM q""")
 def post_quota(t):
-    return reports.quota(t.posts.where("post_id % 20 = 3"), 43020)
+    return reports.quota(t.posts, 43020, per_day=1_000_000)
 
 
 CAPS = [("view", 0.10), ("signup", 0.40), ("sport", 0.2)]
@@ -419,21 +419,16 @@ def mark_published(t):
     return B.mark_published(t.clusters, t.posts)
 
 
-@query(""", p AS (SELECT post_id, cluster_id FROM posts WHERE category = 'view'),
+@query(""", p AS (SELECT post_id, cluster_id FROM posts),
 r AS (SELECT post_id, id AS article_id, coalesce(nullif(owner_group, ''), source_id) AS owner,
   CASE WHEN type = 'official' THEN 'official' WHEN lean_value <= -1 THEN 'left' WHEN lean_value >= 1 THEN 'right' ELSE 'center' END AS bucket FROM p JOIN members USING (cluster_id))
 SELECT * FROM r WHERE NOT (article_id % 4 = 0 AND post_id % 2 = 0)""")
 def record_sources(t):
-    posts = t.posts.where("category = 'view'")
+    posts = t.posts
     known = posts.select("post_id", "cluster_id").join(t.members.select("cluster_id", F.col("id").alias("article_id")), "cluster_id").where("article_id % 4 = 0 AND post_id % 2 = 0").select("post_id", "article_id")
     return B.record_sources(posts, t.members, known)
 
 
-@query(f" SELECT id, body IS NOT NULL AND pub_min >= {AS_OF} - 4320 AS has_body, CASE WHEN pub_min >= {AS_OF} - 20160 THEN cluster_id END AS cluster_id FROM articles")
-def retention(t):
-    return B.retain(t.articles, AS_OF).select("id", F.col("body").isNotNull().alias("has_body"), "cluster_id")
-
-
 @query(" SELECT entity_id, count(*) AS mentions, max(tap_min) FILTER (event_id % 3 = 0) AS last_explained_min FROM taps GROUP BY 1")
 def mention_state(t):
     return B.mention_state(t.taps.select("entity_id", (F.col("event_id") % 3 == 0).alias("shown"), F.col("tap_min").alias("at_min")))
@@ -520,12 +515,12 @@ def clips(t):
     return t.articles.select("id", X.clip(F.col("summary"), 60).alias("clip"), X.embedding_input(F.col("title"), F.col("body")).alias("input"))
 
 
-@query("""WITH j AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % 500)
+@query("""WITH j AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round(list_cosine_similarity(x::DOUBLE[], y::DOUBLE[]), 6) AS sim FROM j""", plain=True)
 def cosine_pairs(t):
     e = t.raw("embeddings")
     b = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("y"))
-    return e.join(b, (F.col("vec_id") * 7 + 1) % 500 == F.col("other")).select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("y")), 6).alias("sim"))
+    return e.join(b, F.col("vec_id") + 1 == F.col("other")).select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("y")), 6).alias("sim"))
 
 
 @query(""", u AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM u GROUP BY 1, 2)
@@ -691,7 +686,7 @@ def topic_spacing(t):
 
 @query()
 def message_packing(t):
-    blocks = t.articles.select(F.floor(F.col("pub_min") / 1440).alias("issue"), F.col("id").alias("position"), F.least(F.length("summary") * 8, F.lit(5000)).cast("long").alias("length"))
+    blocks = t.articles.select(F.floor(F.col("pub_min") / 1440).alias("issue"), F.col("id").alias("position"), F.coalesce(F.length(F.coalesce("body", "summary")), F.lit(0)).cast("long").alias("length"))
     return issues.pack_messages(blocks)
 
 
@@ -720,5 +715,5 @@ def threshold_sweep(t):
 
 @query()
 def similar_articles(t):
-    """Pairs of one language within 48 hours at 0.95 or more; the bands meet all but a few pairs in ten thousand at that similarity."""
-    return similarity.similar_pairs(_embedded(t), 0.95, hours=48, dim=256, bands=16, bits=10)
+    """All pairs of one language within 48 hours at 0.95 or more."""
+    return similarity.exact_pairs(_embedded(t), 0.95, hours=48)

@@ -112,17 +112,18 @@ class Tables:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """Facts about 40 entities a scale unit: the first words of documents, with the outlet's bucket."""
+        """Facts about 40 entities: six words spread evenly over each document's whole text, with the outlet's bucket."""
         d = self.raw("documents").where("text IS NOT NULL")
         s = self.sources.select(F.col("id").alias("source"), "lean_value", "type")
-        words = F.filter(F.split(F.lower(F.substring("text", 1, 200)), r"[ \n.,]+"), lambda w: w != "")
+        words = F.filter(F.split(F.lower("text"), r"[ \n.,]+"), lambda w: w != "")
+        spread = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.get(words, F.floor(i * F.size(words) / 6).cast("int")))
         kinds = F.array(*map(F.lit, ["role", "classification", "scale", "legal", "evaluative"]))
         states = F.array(*map(F.lit, ["active", "candidate", "active", "stale", "retired", "candidate"]))
         bucket = F.when(F.col("type") != "press", "").when(F.col("lean_value") <= -1, "left").when(F.col("lean_value") >= 1, "right").otherwise("center")
         return d.join(s, "source").select(
             F.col("doc_id").alias("fact_id"),
             F.concat(F.lit("e"), F.col("doc_id") % 40).alias("entity_id"),
-            F.array_join(F.slice(words, 1, 6), " ").alias("fact"),
+            F.array_join(spread, " ").alias("fact"),
             F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("kind"),
             F.element_at(states, (F.col("doc_id") % 6 + 1).cast("int")).alias("status"),
             bucket.alias("bucket"),
@@ -168,13 +169,13 @@ CTES = """WITH sources AS (
     m AS run_min, 'src' || (event_id % 20) AS source_id FROM ev WHERE event_type = 'error'
 ), facts AS (
   SELECT doc_id AS fact_id, 'e' || (doc_id % 40) AS entity_id,
-    array_to_string(([w FOR w IN regexp_split_to_array(lower(substring(text, 1, 200)), '[ \\n.,]+') IF w <> ''])[1:6], ' ') AS fact,
+    array_to_string([ws[i * len(ws) // 6 + 1] FOR i IN range(6)], ' ') AS fact,
     (['role','classification','scale','legal','evaluative'])[doc_id % 5 + 1] AS kind,
     (['active','candidate','active','stale','retired','candidate'])[doc_id % 6 + 1] AS status,
     CASE WHEN s.type <> 'press' THEN '' WHEN lean_value <= -1 THEN 'left' WHEN lean_value >= 1 THEN 'right' ELSE 'center' END AS bucket,
     CASE WHEN doc_id % 3 <> 0 THEN source END AS attribution, ['t' || (doc_id % 4), 't' || (doc_id % 7)] AS topics,
     CASE WHEN doc_id % 5 = 3 THEN (doc_id * 7919) % 43200 + 43200 * (doc_id % 2) END AS expires_min
-  FROM documents d JOIN sources s ON d.source = s.id WHERE text IS NOT NULL
+  FROM (SELECT *, [w FOR w IN regexp_split_to_array(lower(text), '[ \\n.,]+') IF w <> ''] AS ws FROM documents) d JOIN sources s ON d.source = s.id WHERE text IS NOT NULL
 )"""
 
 

@@ -276,3 +276,85 @@ def test_feeds_and_upserts(spark):
     m = spark.createDataFrame([("e1", 2), ("e2", 3)], "entity_id string, mentions long")
     al, me = dedup.merge_entities(a, m, spark.createDataFrame([("e2", "e1")], "old_id string, new_id string"))
     assert sorted(map(tuple, al.collect())) == [("e1", "x"), ("e1", "y")] and [tuple(r) for r in me.collect()] == [("e1", 5)]
+
+
+def test_drop_model_and_retention(spark):
+    from newsloom.sources import tables as B
+
+    a = spark.createDataFrame([(1, "b", [1.0], "x", 5, 100), (2, "b", [1.0], "y", 5, 90_000), (3, None, None, "y", 6, 90_000), (4, "b", [1.0], None, 7, 70_000)], "id long, body string, embedding array<double>, embed_model string, cluster_id long, pub_min long")
+    got = {r.id: (r.embedding is not None, r.embed_model, r.cluster_id) for r in B.drop_model(a, "x").collect()}
+    assert got == {1: (True, "x", 5), 2: (False, None, None), 3: (False, "y", 6), 4: (False, None, None)}
+    assert not any(r.embedding for r in B.drop_model(a).collect())
+    kept = {r.id: (r.body, r.embedding is not None, r.cluster_id) for r in B.retain(a, 90_000).collect()}
+    assert kept == {1: (None, False, 5), 2: ("b", True, 5), 3: (None, False, 6), 4: (None, True, 7)}
+
+
+def test_vectors_of_two_models_are_refused(spark):
+    import pytest as p
+
+    from newsloom.operators import gates
+
+    v = spark.createDataFrame([(1, "m"), (2, "m")], "id long, model string")
+    assert gates.one_model(v).count() == 2
+    with p.raises(Exception, match="several models"):
+        gates.one_model(v.unionByName(v.withColumn("model", F.lit("n")))).collect()
+
+
+def test_issue_is_written_once(spark, tmp_path):
+    items = spark.createDataFrame([(5, 7, ["u"]), (2, 8, ["v"])], "position long, cluster_id long, links array<string>")
+    for _ in range(2):
+        issues.write_issue(items, 3, str(tmp_path))
+    rows = spark.read.parquet(f"{tmp_path}/issue_items").orderBy("position").collect()
+    assert [(r.issue_id, r.position, r.cluster_id) for r in rows] == [(3, 1, 8), (3, 2, 7)]
+    assert [(r.issue_id, r.n_items) for r in spark.read.parquet(f"{tmp_path}/issues").collect()] == [(3, 2)]
+
+
+def test_messages_at_most(spark):
+    b = spark.createDataFrame([(1, k, 3000) for k in range(5)], "issue long, position long, length long")
+    assert sorted(r.position for r in issues.pack_messages(b, most=3).collect()) == [0, 1, 2]
+
+
+def test_facts_that_repeat_known_ones(spark):
+    f = spark.createDataFrame([(2, "e", "minister for housing works"), (3, "e", "mayor town hall")], "fact_id long, entity_id string, fact string")
+    known = spark.createDataFrame([(9, "e", "the housing minister works")], "fact_id long, entity_id string, fact string")
+    assert [r.fact_id for r in entities.drop_similar(f, known=known).collect()] == [3]
+
+
+def test_pairs_reach_the_promised_recall_and_the_exact_ones_lose_none(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    base = rnd.normal(size=(150, 64))
+    for s in (0.70, 0.78):
+        near = s * base / np.linalg.norm(base, axis=1, keepdims=True) + np.sqrt(1 - s * s) * rnd.normal(size=(150, 64)) / 8
+        rows = [(i, v.astype(float).tolist(), None if i % 2 else "b", int(i) % 7000) for i, v in enumerate(np.concatenate([base, near]))]
+        e = spark.createDataFrame(rows, "id long, embedding array<float>, block string, pub_min long")
+        x = np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sim = x @ x.T
+        want = {(i, j) for i in range(300) for j in range(i) if rows[i][2] == rows[j][2] and sim[i, j] >= s}
+        want = {(min(p), max(p)) for p in want}
+        found = {(r.a, r.b) for r in similarity.similar_pairs(e, s).collect()}
+        assert found <= want and len(found) >= 0.9 * len(want)
+        for chunk in (2000, 40):
+            assert {(r.a, r.b) for r in similarity.exact_pairs(e, s, chunk=chunk).collect()} == want
+        timed = {p for p in want if abs(rows[p[0]][3] - rows[p[1]][3]) <= 60}
+        assert {(r.a, r.b) for r in similarity.exact_pairs(e, s, hours=1, chunk=3).collect()} == timed
+
+
+def test_latin_names_are_restored(spark):
+    titles = spark.createDataFrame([(1, "El Leire Díez habla de Barcelona"), (1, "Ana de la Torre y Ronald Araujo"), (1, "Denis Shapovalov gana"), (2, "Leire Díez")], "id long, title string")
+    names = entities.latin_names(titles, ["barcelona"], ["El", "La"])
+    got = {(r.id, r.name) for r in names.collect()}
+    assert {(1, "Leire Díez"), (2, "Leire Díez"), (1, "Araujo")} <= got and not any("Shapovalov" in n for _, n in got)
+    posts = spark.createDataFrame([(1, "Сегодня Лейре Диез сказала, что Араухо уходит."), (2, "Пишет Leire Díez, не Лейре Диез."), (3, "Лейре Диез")], "id long, text string")
+    found = entities.restore_names(posts, names)
+    texts = {r.id: r.text for r in entities.apply_names(posts, found).collect()}
+    assert texts == {1: "Сегодня Leire Díez сказала, что Araujo уходит.", 2: posts.where("id = 2").first().text, 3: "Лейре Диез"}
+
+
+def test_middle_outlets_join_the_edges(spark):
+    rows = [(1, f"s{k}", k - 3, "press", f"a{k}", 10) for k in range(7)]
+    m = spark.createDataFrame([(c, s, v, t, 100 + k, b, 1) for k, (c, s, v, t, b, _) in enumerate(rows)], "cluster_id long, source_id string, lean_value int, type string, id long, body string, pub_min long")
+    pick = lambda n: [r.source_id for r in S.spectrum_picks(m, n).orderBy("pick").collect()]
+    assert pick(2) == ["s0", "s6"] and pick(3) == ["s0", "s3", "s6"] and pick(5) == ["s0", "s3", "s4", "s2", "s6"] and pick(9) == [f"s{k}" for k in range(7)]
