@@ -32,11 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the setting is absent (tests, one-machine use) a temporary folder is made.
+    Only where the setting is absent and all tasks run on this machine (tests) a temporary folder is made; on a
+    cluster without the setting this is an error.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(sc, "_newsloom_shared", None)
         if not base:
             base = sc._newsloom_shared = "file://" + tempfile.mkdtemp(prefix="newsloom-")
@@ -62,6 +65,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, salts: int = 8, how: str = "inner") -> DataFrame:
+    """`many` joined on `key` with `one`, which holds each key once at most: the rows of a key go to `salts` tasks.
+
+    `many` is dealt by a hash of its whole rows, and `one`, narrow as it is, goes to each salt.
+    """
+    salt = free_name([*many.columns, *one.columns], "_salt")
+    left = many.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), F.lit(salts)).cast("int"))
+    right = one.withColumn(salt, F.explode(F.array(*map(F.lit, range(salts)))))
+    return left.join(right, [key, salt], how).drop(salt)
+
+
 def free_name(taken: Iterable[str], wanted: str) -> str:
     """`wanted`, with underscores appended until no taken column equals it (case ignored)."""
     low = {x.lower() for x in taken}

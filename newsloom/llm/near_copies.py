@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import append_columns, cut, stored
+from newsloom.llm.common import append_columns, cut, spread_join, stored
 from newsloom.llm.graph import connected_components
 from newsloom.llm.simhash import drop_members, hamming_components
 
@@ -411,7 +411,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         tops = connected_components(links, "a", "b")
     member = sets.join(tops.toDF("id", "root"), "id", "left").select("node", "first_id", F.coalesce("root", "id").alias("root"))
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return sketches.select("doc_id", "node").join(member.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    by_node = spread_join(member, least, "root").select("node", "component_id")
+    return spread_join(sketches.select("doc_id", "node"), by_node, "node").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -5,7 +5,8 @@ rounded up to `step` tokens, which leaves at most capacity/step length classes,
 that the driver solves has a fixed size whatever the corpus. Column generation solves the linear
 program over cutting patterns: a revised simplex keeps the basis, and an unbounded-knapsack dynamic
 program prices new columns from the duals. Pattern counts are rounded down; the pieces left over
-(at most one sequence a class) are placed first-fit decreasing, with cuts allowed at the end.
+(at most one sequence a class) are placed first-fit decreasing. Documents are cut into whole sequences and a
+rest; rests are never cut.
 
 Pieces are ranked within their class without gathering a class in one task: each class is spread
 over `buckets` hash buckets, ranked inside a bucket, and shifted by the counts of earlier buckets.
@@ -94,12 +95,27 @@ def _first_fit(counts: np.ndarray, units: int) -> Iterator[tuple[np.ndarray, int
         yield pattern, times, np.flatnonzero((before > 0) & (left == 0)).tolist()
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix by vector or matrix, without a threaded library: its threads can stand still beside the driver's JVM."""
+    return (a * b).sum(axis=1) if b.ndim == 1 else np.stack([(a * b[:, k]).sum(axis=1) for k in range(b.shape[1])], axis=1)
+
+
 def _inverse(basis: np.ndarray) -> np.ndarray | None:
-    try:
-        out = np.linalg.inv(basis)
-    except np.linalg.LinAlgError:
-        return None
-    return out if np.abs(out @ basis - np.eye(len(basis))).max() < 1e-6 else None
+    """Gauss-Jordan elimination with row pivots; null if the matrix is singular or the result is not exact enough."""
+    n = len(basis)
+    work = np.concatenate([basis, np.eye(n)], axis=1)
+    for k in range(n):
+        p = k + int(np.argmax(np.abs(work[k:, k])))
+        if abs(work[p, k]) < 1e-9:
+            return None
+        if p != k:
+            work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        work -= factor[:, None] * work[k][None]
+    out = work[:, n:]
+    return out if np.abs(_times(out, basis) - np.eye(n)).max() < 1e-6 else None
 
 
 def cutting_patterns(counts: np.ndarray, units: int, max_columns: int = 1500, gap: float = 2e-3) -> list[tuple[np.ndarray, int]]:
@@ -128,7 +144,7 @@ def cutting_patterns(counts: np.ndarray, units: int, max_columns: int = 1500, ga
             inverse = np.diag(1.0 / np.diag(basis))
         # A small fixed disturbance keeps ties from stalling the simplex; whole counts come from rounding below.
         need = counts[kinds] + 0.02 * np.modf(0.6180339887 * np.arange(1, len(kinds) + 1))[0]
-        x = np.maximum(inverse @ need, 0)
+        x = np.maximum(_times(inverse, need), 0)
         for k in range(max_columns):
             duals = np.zeros(units)
             duals[kinds] = inverse.sum(axis=0)  # every pattern costs one sequence
@@ -136,7 +152,7 @@ def cutting_patterns(counts: np.ndarray, units: int, max_columns: int = 1500, ga
             if value <= 1 + gap:
                 break
             column = pattern[kinds].astype(float)
-            step = inverse @ column
+            step = _times(inverse, column)
             ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
             r = int(np.argmin(ratio))
             if not np.isfinite(ratio[r]):
@@ -146,13 +162,13 @@ def cutting_patterns(counts: np.ndarray, units: int, max_columns: int = 1500, ga
             x = np.maximum(x - theta * step, 0)
             x[r] = theta
             pivot = inverse[r] / step[r]
-            inverse -= np.outer(step, pivot)
+            inverse -= step[:, None] * pivot[None]
             inverse[r] = pivot
             if k % 100 == 99:
                 fresh = _inverse(basis)
                 if fresh is None:
                     break
-                inverse, x = fresh, np.maximum(fresh @ need, 0)
+                inverse, x = fresh, np.maximum(_times(fresh, need), 0)
         for j in np.argsort(-x, kind="stable"):
             full = np.zeros(units, dtype=np.int64)
             full[kinds] = np.rint(basis[:, j]).astype(np.int64)
@@ -200,7 +216,7 @@ def pack(
     pieces = pieces_of(docs, doc_id, text, capacity, end_id, special, vocabulary)
     pieces = cut(
         pieces.withColumn("kind", F.ceil(F.col("length") / step).cast("int")).withColumn(
-            "bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int")
+            "bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "length"), F.lit(buckets)).cast("int")
         )
     )
     # At most units x buckets rows.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import append_columns, by_ids, cut, free_name
+from newsloom.llm.common import append_columns, by_ids, cut, free_name, spread_join
 from newsloom.llm.graph import connected_components
 
 
@@ -272,8 +272,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = hamming_components(classes, "fp", max_bits)
     member = classes.join(linked, classes.fp == linked.vertex, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = member.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(
+    # A class may hold a third of all fingerprints, and a fingerprint a third of all rows.
+    by_fp = spread_join(member, least, "root").select("fp", "component_id")
+    return spread_join(fps, by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
