@@ -1,17 +1,16 @@
 """Quality rules: word statistics of whole texts, and the fertility of a public tokeniser.
 
 A text that passes the base rules is encoded with a byte-level vocabulary; three figures are held
-against the bands of its language (or, without a known language, of its script):
+against the bands of its language, or of its script where the language is unknown or written in another script than
+most of the text's letters:
 
 * characters per token: junk (symbols, shouting, random strings) breaks into many short tokens;
 * byte-fallback share: tokens that are not whole UTF-8 text by themselves, i.e. pieces of one character;
-* token entropy in bits, relative to the most that a text of as many tokens can have.
+* token entropy in bits: worn-out and spun texts draw on few tokens.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,18 +24,54 @@ WINDOW = 5
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
-#: Fixed bands: least and most characters per token, most byte-fallback share, least relative entropy.
-#: Chosen on labelled documents per language; scripts apply where the language is unknown.
+#: Fixed bands: least and most characters per token, most byte-fallback share, least token entropy in bits of a long text.
+#: Those of languages were chosen on labelled documents, those of scripts on a few plain sentences each.
 BANDS: dict[str, tuple[float, float, float, float]] = {
-    "en": (2.40, 8.0, 0.015, 0.35),
-    "de": (2.33, 8.0, 0.04, 0.35),
-    "fr": (2.15, 8.0, 0.09, 0.35),
-    "es": (2.08, 8.0, 0.09, 0.35),
-    "latin": (2.00, 9.0, 0.25, 0.30),
-    "other": (0.30, 9.0, 0.98, 0.25),
+    "en": (2.40, 8.0, 0.015, 5.8),
+    "de": (2.33, 8.0, 0.04, 5.6),
+    "fr": (2.15, 8.0, 0.09, 5.5),
+    "es": (2.08, 8.0, 0.09, 5.5),
+    "latin": (1.00, 9.0, 0.55, 4.5),
+    "greek": (0.70, 3.0, 0.70, 4.0),
+    "cyrillic": (0.70, 3.0, 0.70, 4.0),
+    "hebrew": (0.65, 3.0, 0.85, 3.8),
+    "arabic": (0.75, 3.0, 0.70, 4.0),
+    "devanagari": (0.45, 2.0, 0.99, 3.5),
+    "thai": (0.35, 2.0, 1.00, 3.0),
+    "cjk": (0.30, 2.5, 0.99, 4.0),
+    "other": (0.25, 9.0, 1.00, 3.0),
 }
 #: Means of few tokens scatter: bands widen by these over the square root of the token count.
-SLACK_CHARS, SLACK_FALLBACK = 4.0, 1.5
+SLACK_CHARS, SLACK_FALLBACK, SLACK_ENTROPY = 4.0, 1.5, 15.0
+#: Fixed ranges of code points by script.
+SCRIPTS = [
+    (0x41, 0x5A, "latin"),
+    (0x61, 0x7A, "latin"),
+    (0xC0, 0x24F, "latin"),
+    (0x370, 0x3FF, "greek"),
+    (0x400, 0x52F, "cyrillic"),
+    (0x5D0, 0x5EA, "hebrew"),
+    (0x620, 0x6FF, "arabic"),
+    (0x750, 0x77F, "arabic"),
+    (0x900, 0x97F, "devanagari"),
+    (0x980, 0xDFF, "other"),
+    (0xE00, 0xE7F, "thai"),
+    (0xE80, 0x10FF, "other"),
+    (0x1100, 0x11FF, "cjk"),
+    (0x1200, 0x1DFF, "other"),
+    (0x1E00, 0x1EFF, "latin"),
+    (0x1F00, 0x1FFF, "greek"),
+    (0x3040, 0x318F, "cjk"),
+    (0x3400, 0x9FFF, "cjk"),
+    (0xA000, 0xABFF, "other"),
+    (0xAC00, 0xD7AF, "cjk"),
+    (0xFB50, 0xFDFF, "arabic"),
+    (0x10000, 0x1CFFF, "other"),
+    (0x20000, 0x3FFFF, "cjk"),
+]
+_NAMES = sorted({x[2] for x in SCRIPTS})
+_FIRST, _LAST = (np.array([x[k] for x in SCRIPTS]) for k in (0, 1))
+_SCRIPT = np.array([_NAMES.index(x[2]) for x in SCRIPTS])
 
 
 def word_statistics(text: str | None) -> tuple[int, int, int, int, int]:
@@ -97,36 +132,40 @@ def _partial(path: str) -> np.ndarray:
 
 
 def fertility(text: str, path: str) -> tuple[int, float, float, float]:
-    """(tokens, characters per token, byte-fallback share, relative token entropy)."""
+    """(tokens, characters per token, byte-fallback share, token entropy in bits)."""
     ids = bpe(path).ids(text)
     n = len(ids)
     if not n:
         return 0, 0.0, 0.0, 0.0
     counts = np.unique(ids, return_counts=True)[1]
     entropy = float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
-    most = np.log2(min(n, 50_257))
-    return n, len(text) / n, float(_partial(path)[ids].mean()), entropy / most if most > 0 else 1.0
+    return n, len(text) / n, float(_partial(path)[ids].mean()), entropy
 
 
-_LETTER = re.compile(r"[^\W\d_]")
+def script_of(text: str) -> str:
+    """The script of most letters of the whole text; latin on a tie with another or without letters, else the first by name."""
+    if text.isascii():
+        return "latin"
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    at = np.searchsorted(_FIRST, code, side="right") - 1
+    letter = (at >= 0) & (code <= _LAST[at])
+    counts = np.bincount(_SCRIPT[at[letter]], minlength=len(_NAMES))
+    return "latin" if counts[_NAMES.index("latin")] == counts.max() else _NAMES[int(counts.argmax())]
 
 
-def band_of(text: str, lang: str | None) -> str:
-    """The language's band if there is one, else that of the script of most of the whole text's letters."""
-    if lang in BANDS:
+def band_of(text: str, lang: str | None, table: dict) -> str:
+    """The language's band, if it has one and most letters are Latin as its own; else the script's."""
+    script = script_of(text)
+    if script == "latin" and lang in table:
         return lang
-    letters = np.frombuffer("".join(_LETTER.findall(text)).encode("utf-32-le"), dtype="<u4")
-    return "latin" if 2 * int((letters < ord("ɐ")).sum()) >= len(letters) else "other"
+    return script if script in table else "other"
 
 
-def in_band(table: dict, band: str, text: str, n: int, per: float, fallback: float, entropy: float) -> bool:
-    """A share of byte fallback beyond the band's means another language if most letters are of another script: its band holds."""
+def in_band(band: tuple[float, float, float, float], n: int, per: float, fallback: float, entropy: float) -> bool:
+    low, high, most, least = band
     root = n**0.5
-    if fallback > table[band][2] + SLACK_FALLBACK / root and band_of(text, None) == "other":
-        band = "other"  # all languages with bands of their own are written in Latin letters
-    low, high, most, least = table[band]
     near = SLACK_CHARS / root
-    return low - near <= per <= high + near and fallback <= most + SLACK_FALLBACK / root and entropy >= least
+    return low - near <= per <= high + near and fallback <= most + SLACK_FALLBACK / root and entropy >= least - SLACK_ENTROPY / root
 
 
 FIELDS = [
@@ -152,7 +191,7 @@ def quality_rules(
     Null and blank texts have no words and fail the base rules. A text that fails them is not
     encoded: its fertility columns are null and it is not kept. Rows are judged one by one, so
     repeated rows get equal verdicts; an empty table gives none. A null or unknown language takes
-    the band of the script.
+    the band of the script. `bands` may replace BANDS; languages in it are taken for ones in Latin letters.
     """
     path = vocabulary or default_ranks()
     table = bands or BANDS
@@ -164,7 +203,7 @@ def quality_rules(
         if failed:
             return (*stats, True, False, None, None, None, None)
         n, per, fallback, entropy = fertility(body, path)
-        kept = in_band(table, band_of(body, code), body, n, per, fallback, entropy)
+        kept = in_band(table[band_of(body, code, table)], n, per, fallback, entropy)
         return (*stats, False, kept, n, per, fallback, entropy)
 
     def kernel(items: list) -> list:
