@@ -171,7 +171,19 @@ class CachedBpe:
         return b"".join(out)
 
 
+#: Caches of a worker process; Spark keeps workers from stage to stage.
+CACHES: list[dict] = []
+
+
+def release(but: dict | None = None) -> None:
+    """Drop what earlier stages left in this worker's caches."""
+    for cache in CACHES:
+        if cache is not but and cache:
+            cache.clear()
+
+
 _BPE: dict[str, CachedBpe] = {}
+CACHES.append(_BPE)
 
 
 def bpe(path: str) -> CachedBpe:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import append_columns
+from newsloom.llm.common import CACHES, append_columns
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
@@ -313,6 +313,7 @@ def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str, fold: in
 
 FIELDS = [("lang_pred", T.StringType()), ("score", T.DoubleType())]
 _LABELLERS: dict[str, Labeller] = {}
+CACHES.append(_LABELLERS)
 
 
 def identify(docs: DataFrame, model: Crf, text: str = "text") -> tuple[DataFrame, dict[str, str]]:

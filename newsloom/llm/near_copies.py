@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import append_columns, cut, spread_join, stored
+from newsloom.llm.common import CACHES, append_columns, cut, release, spread_join, stored
 from newsloom.llm.graph import connected_components
 from newsloom.llm.simhash import drop_members, hamming_components
 
@@ -37,6 +37,7 @@ HOT = 20_000
 FILTER_BITS = 24
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _WORDS: dict[bytes, int] = {}
+CACHES.append(_WORDS)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -336,6 +337,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     common = spark.sparkContext.broadcast((tokens, np.array([found[t][0] for t in tokens.tolist()], dtype=np.int64)))
 
     def sketch(texts: list) -> list:
+        release(_WORDS)
         made = [shingles(t, width) for t in texts]
         return [
             [d for d, _ in made],
@@ -407,8 +409,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         dealt = dealt.select(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), side.alias("side"), "root", "id", "at", "parities")
         pairs = dealt.repartition("group").sortWithinPartitions("group", "root").mapInArrow(lambda x, best=best: _across(x, percent, best), PAIRS)
         pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried, links = tried.unionByName(pairs), links.unionByName(verified(pairs))
-        tops = connected_components(links, "a", "b")
+        if pairs.isEmpty():
+            break
+        tried = tried.unionByName(pairs)
+        # The classes so far are stars already, so only what is new takes rounds.
+        tops = connected_components(tops.toDF("a", "b").unionByName(verified(pairs)), "a", "b")
     member = sets.join(tops.toDF("id", "root"), "id", "left").select("node", "first_id", F.coalesce("root", "id").alias("root"))
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_node = spread_join(member, least, "root").select("node", "component_id")
