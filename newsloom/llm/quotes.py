@@ -10,14 +10,12 @@ pointer doubling.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import append_columns, cut
+from newsloom.llm.common import append_columns, cut, stored
 
 _PREFIX = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _HEAD = re.compile(r"^[ \t]*(?:On\b.*\bwrote|Am\b.*\bschrieb.*|Le\b.*\ba écrit|El\b.*\bescribió)[ \t]*:[ \t]*$")
@@ -58,23 +56,22 @@ def sentences(text: str) -> list[str]:
     return [s for s in out if s]
 
 
-UNITS = "conv bigint, turn bigint, level int, weight bigint, hash string"
+FIELDS = [
+    ("body", T.StringType()),
+    ("units", T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("weight", T.LongType()), T.StructField("hash", T.BinaryType())]))),
+]
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(texts: list) -> list:
+    """Of each text its own part, and a (level, length, hash) of every sentence, level 0 for its own."""
     import xxhash
 
-    for big in batches:
-        for at in range(0, big.num_rows, 1024):
-            rows = []
-            batch = big.slice(at, 1024)
-            for conv, turn, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own, blocks = parse(text)
-                for level, block in [(0, own), *blocks]:
-                    rows += [(conv, turn, level, len(s), xxhash.xxh3_128_hexdigest(s)) for s in sentences(block)]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["conv", "turn", "level", "weight", "hash"])
+    bodies, units = [], []
+    for text in texts:
+        own, blocks = parse(text)
+        bodies.append(own)
+        units.append([{"level": level, "weight": len(s), "hash": xxhash.xxh3_128_digest(s)} for level, block in [(0, own), *blocks] for s in sentences(block)])
+    return [bodies, units]
 
 
 def link(messages: DataFrame, rounds: int = 40) -> DataFrame:
@@ -88,9 +85,8 @@ def link(messages: DataFrame, rounds: int = 40) -> DataFrame:
     An empty table gives none.
     """
     base = messages.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
-    placed = base.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    units = placed.select("conv_id", "turn", "text").mapInArrow(_units, UNITS)
-    units = cut(units)
+    base = stored(append_columns(base, "text", FIELDS, _parsed)[0].drop("text"), "messages")  # each text is parsed once
+    units = base.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(F.col("conv_id").alias("conv"), "turn", F.inline("units"))
     origin = units.where("level = 0").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
     quotes = units.where("level > 0").groupBy("conv", "turn", "level", "hash").agg(F.max("weight").alias("weight"), F.count("*").alias("times"))
     found = quotes.join(origin, ["conv", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
@@ -114,13 +110,12 @@ def link(messages: DataFrame, rounds: int = 40) -> DataFrame:
     facts = counts.join(info, ["conv", "turn"], "left").select(
         F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), "parent", "top", "depth", "quoted", "linked"
     )
-    clean, (body,) = append_columns(base, "text", [("body", T.StringType())], lambda texts: [[parse(t)[0] for t in texts]])
-    out = clean.join(facts, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
+    out = base.drop("units").join(facts, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
     return out.select(
         "conv_id",
         "turn",
         "role",
-        F.col(body).alias("body"),
+        "body",
         F.col("parent").alias("parent_turn"),
         F.coalesce("top", "turn").alias("thread_turn"),
         F.coalesce("depth", F.lit(0).cast("bigint")).alias("depth"),
@@ -130,14 +125,20 @@ def link(messages: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
-    """The conversations as a mail thread writes them: a turn quotes the one before, and that one's quote of the one before it."""
+    """The conversations as a mail thread writes them: a turn quotes the one before, and that one's quote of the one before it.
+
+    Of rows that repeat a turn the least text is quoted. Rows without conv_id or turn quote nothing and are not quoted.
+    """
     c = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
-    def before(k: int) -> DataFrame:
-        marks = F.concat(F.lit("> " * k), F.regexp_replace("said", "\n", "\n" + "> " * k))
-        one = c.groupBy("conv_id", (F.col("turn") + k).alias("turn")).agg(F.min("text").alias("said"))
-        return one.select("conv_id", "turn", marks.alias(f"q{k}"))
+    def said(k: int):
+        marks = F.concat(F.lit("> " * k), F.regexp_replace("text", "\n", "\n" + "> " * k)) if k else F.col("text")
+        return F.struct((F.col("turn") + k).alias("turn"), F.lit(k).alias("kind"), (F.col("role") if not k else F.lit(None).cast("string")).alias("role"), marks.alias("text"))
 
-    both = c.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
+    # Each text travels once as itself and once as each of its quotes, all in one shuffle.
+    rows = c.select("conv_id", F.inline(F.array(*map(said, range(3))))).where("kind = 0 OR (conv_id IS NOT NULL AND turn IS NOT NULL)")
+    here = Window.partitionBy("conv_id", "turn")
+    quote = lambda k: F.min(F.when(F.col("kind") == k, F.col("text"))).over(here)
+    both = rows.select("*", quote(1).alias("q1"), quote(2).alias("q2")).where("kind = 0")
     head = F.when(F.col("q1").isNotNull(), F.lit("On Monday someone wrote:"))
     return both.select("conv_id", "turn", "role", F.concat_ws("\n", head, "q2", "q1", "text").alias("text"))
