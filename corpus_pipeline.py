@@ -23,19 +23,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what passes the base rules and its language's or script's bands.
+
+    Null and blank texts go; a null language takes the script's band; rows are judged one by one, so repeated
+    rows stay or go together. An empty table stays empty.
+    """
     out, names = quality.quality_rules(docs)
     return out.where(F.col(names["kept"])).select(*_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies stays: five-word shingle sets of similarity 0.8 or more, linked in chains.
+
+    SimHash trie links come first, every link is verified on whole texts, and the join is completed to an exact
+    one. The least doc_id of a group stays; of rows that repeat a doc_id the first by text. Null and blank texts are
+    copies of each other. Rows without a doc_id stay.
+    """
     return near_copies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of `benchmark`, verbatim or re-parameterised.
+
+    Null texts hold none. Rows that share a doc_id go together; rows without one stay.
+    """
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of every document in sequences of at most 2048 tokens; a null text is its end token alone, repeated rows are packed each."""
     return packing.pack(docs)
 
 
