@@ -70,16 +70,23 @@ def merge_entities(aliases: DataFrame, mentions: DataFrame, mapping: DataFrame)
 def shared_shingles(texts: DataFrame, sources: DataFrame, n: int = 10) -> DataFrame:
     """(id, source_id, shingle): the first common window of n words in sort order, of every text and source that share one.
 
-    Windows meet by hash, so neither side is gathered; the words are compared on what meets. Neighbours come from shifted
-    copies of the word array, which keeps the whole window in generated code.
+    Windows meet by hash and place alone; words are looked up again, and compared, only in texts that met one. Neighbours
+    come from shifted copies of the word array, which keeps the whole window in generated code.
     """
 
-    def cut(df: DataFrame, key: str, mark: str) -> DataFrame:
+    def windows(df: DataFrame, key: str, mark: str) -> DataFrame:
         words = df.select(key, X.words(F.col("text")).alias("w"))
         shifted = F.arrays_zip(*[F.slice("w", k + 1, F.greatest(F.size("w") - (n - 1), F.lit(0))).alias(f"{mark}{k}") for k in range(n)])
+        rows = words.select(key, F.posexplode_outer(shifted).alias(mark, "x")).where(f"x.{mark}0 IS NOT NULL")
         # The outer form keeps the optimizer from testing the array below, which would split every text again.
-        rows = words.select(key, F.inline_outer(shifted)).where(f"{mark}0 IS NOT NULL")
-        return rows.withColumn("h", F.xxhash64(*[f"{mark}{k}" for k in range(n)]))
+        return rows.select(key, mark, F.xxhash64(*[F.col(f"x.{mark}{k}") for k in range(n)]).alias("h"))
 
-    met = cut(texts, "id", "a").join(cut(sources, "source_id", "b"), "h").where(" AND ".join(f"a{k} = b{k}" for k in range(n)))
-    return met.groupBy("id", "source_id").agg(F.min(F.concat_ws(" ", *[f"a{k}" for k in range(n)])).alias("shingle"))
+    def spelled(df: DataFrame, key: str, mark: str) -> DataFrame:
+        ids = met.select(key).distinct()
+        words = df.join(ids, key, "left_semi").select(key, X.words(F.col("text")).alias("w"))
+        at = met.select(key, mark).distinct()
+        return words.join(at, key).select(key, mark, F.array_join(F.slice("w", F.col(mark) + 1, n), " ").alias(f"{mark}_words"))
+
+    met = windows(texts, "id", "a").join(windows(sources, "source_id", "b"), "h").select("id", "source_id", "a", "b")
+    both = met.join(spelled(texts, "id", "a"), ["id", "a"]).join(spelled(sources, "source_id", "b"), ["source_id", "b"])
+    return both.where("a_words = b_words").groupBy("id", "source_id").agg(F.min("a_words").alias("shingle"))

@@ -219,6 +219,12 @@ class LeaderFold:
         if self.sums.shape[1] != len(v):
             self.sums, self.unit = np.zeros((64, len(v))), np.zeros((64, len(v)))
         n = self.n
+        if n and n % 128 == 0:  # articles come in time order, so what is idle now stays idle and can go
+            live = np.flatnonzero(self.last[:n] >= at - self.window)
+            if 2 * len(live) < n:
+                for a in (self.sums, self.unit, self.first, self.last, self.lead, self.size):
+                    a[: len(live)] = a[live]
+                n = self.n = len(live)
         if n:
             near = self.last[:n] >= at - self.window
             if self.bound_first:
