@@ -92,3 +92,36 @@ def test_held_out_rows_are_not_sampled(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "aa") for i in range(400)], "doc_id long, text string, lang string")
     texts, _ = L.training_sample(docs, "doc_id", "text", "lang")
     assert texts and not any(L.held_out(int(t.split()[1])) for t in texts)
+
+
+def test_document_languages_and_scores_equal_all_paths(spark):
+    """Language and score of short code-switched texts by summing over every labelling."""
+    train = corpus(300, 5)
+    model = L.train([t for _, t, _ in train], [x for _, _, x in train])
+    rnd = random.Random(4)
+    texts = [None, "", "12 34 !!", "talo", "talo 12 house", "talokat housestr czynprz", "thought, wrightsho 7 jarvisaa"]
+    texts += [" ".join(rnd.choice(WORDS[rnd.choice(list(WORDS))]) for _ in range(rnd.randint(1, 7))) for _ in range(40)]
+    want = {}
+    for k, t in enumerate(texts):
+        words = (t or "").split()
+        lettered = np.array([any(c.isalpha() for c in w) for w in words], dtype=bool)
+        if not lettered.any():
+            want[k] = ("und", 0.0)
+            continue
+        unary = np.zeros((len(words), len(model.labels)))
+        unary[lettered] = model.unary([L.core(w) for w, x in zip(words, lettered) if x])
+        shares = brute(unary, model.transitions)[lettered].sum(axis=0)
+        want[k] = (model.labels[int(shares.argmax())], shares.max() / lettered.sum())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out, names = L.identify(docs, model)
+    for r in out.collect():
+        assert r[names["lang_pred"]] == want[r.doc_id][0] and r[names["score"]] == pytest.approx(want[r.doc_id][1], abs=1e-5)
+
+
+def test_many_languages_are_learned_and_too_many_refused(spark, monkeypatch):
+    rows = [(i, f"w{i % 300}a w{i % 300}b w{i % 300}c", f"l{i % 300}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(set(L.training_sample(docs, "doc_id", "text", "lang")[1])) > 250
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 10)
+    with pytest.raises(ValueError):
+        L.training_sample(docs, "doc_id", "text", "lang")

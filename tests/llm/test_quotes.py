@@ -93,3 +93,68 @@ def test_repeats_and_empty(spark):
     c = spark.createDataFrame([(1, 0, "user", "One two three.")] * 3 + [(1, 1, "user", "> One two three.\nyes")] * 2, "conv_id long, turn long, role string, text string")
     assert sorted((r.turn, r.parent_turn) for r in Q.link(c).collect() if r.turn) == [(1, 0), (1, 0)]
     assert Q.link(c.limit(0)).collect() == []
+
+
+def plain_parse(text):
+    """Another reading of quote levels: a line's level is the number of marks that lead it; blank ends of the own part go."""
+    levels = []
+    for line in (text or "").split("\n"):
+        rest, level = line.lstrip(" \t"), 0
+        while rest.startswith(">"):
+            level += 1
+            rest = rest[1:]
+            if rest[:1] in (" ", "\t"):
+                rest = rest[1:]
+        levels.append((level, rest if level else line))
+    own, blocks, last = [], [], 0
+    for level, line in levels:
+        if level == 0:
+            own.append(line)
+        else:
+            if last == 0:
+                while own and own[-1].strip() == "":
+                    del own[-1]
+                head = own[-1].strip(" \t") if own else ""
+                if head.endswith(":") and head[:-1].rstrip(" \t").endswith("wrote") and head.startswith("On "):
+                    del own[-1]
+            if level == last:
+                blocks[-1][1].append(line)
+            else:
+                blocks.append((level, [line]))
+        last = level
+    while own and own[-1].strip() == "":
+        del own[-1]
+    while own and own[0].strip() == "":
+        del own[0]
+    return "\n".join(own), [(k, "\n".join(b)) for k, b in blocks]
+
+
+def plain_sentences(text):
+    out, now = [], ""
+    for w in text.split():
+        now += " " + w
+        if w[-1] in ".!?":
+            out.append(now)
+            now = ""
+    out.append(now)
+    clean = [" ".join("".join(c.lower() if c.isalnum() else " " for c in s).split()) for s in out]
+    return [s for s in clean if s]
+
+
+def test_parsing_equals_another_reading():
+    rnd = random.Random(12)
+    parts = ["> ", ">", ">> ", "> > ", " > ", "", "", "a b.", "On Tue, A wrote:", "c! d_e f?", "\t", "x", "End. of"]
+    for _ in range(3000):
+        text = "\n".join("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 3))) for _ in range(rnd.randint(0, 7)))
+        assert Q.parse(text) == plain_parse(text), repr(text)
+        body = text.replace("\n", " ")
+        assert Q.sentences(body) == plain_sentences(body), repr(body)
+
+
+def test_long_message_and_as_mail_of_repeats(spark):
+    long = "word here. " * 60_000
+    c = spark.createDataFrame([(1, 0, "user", long), (1, 1, "user", "> word here.\nyes"), (1, 1, "user", "> word here.\nyes"), (None, 0, "user", "x"), (2, None, "user", "y")], "conv_id long, turn long, role string, text string")
+    got = sorted(((r.conv_id, r.turn, r.parent_turn, r.quoted) for r in Q.link(c).collect()), key=str)
+    assert got == sorted([(1, 0, None, 0), (1, 1, 0, 2), (1, 1, 0, 2), (None, 0, None, 0), (2, None, None, 0)], key=str)
+    mail = Q.as_mail(c).collect()
+    assert len(mail) == 5 and {r.text for r in mail if r.conv_id is None or r.turn is None} == {"x", "y"}
