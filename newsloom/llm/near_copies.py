@@ -9,8 +9,7 @@ Two documents are near copies if their sets of `width`-word shingles have a Jacc
    of them. The rest comes from prefixes: in any fixed order of all shingles, near copies share a shingle among
    the first n - ceil(n * percent %) + 1 of each. Shingles that a sample finds common come last in that
    order, which keeps groups small and changes no result. Every set is tried with a leader of each group.
-3. What these links have not joined is tried in pairs of different classes of a prefix group, first each set with
-   its closest, then all that are left.
+3. What these links have not joined is tried in pairs of different classes of a prefix group.
 
 Bounds on sizes and places and parity bitmaps, which can only drop pairs that are no near copies, come before
 a pair's verification on the whole texts (64-bit hashes of shingles). So a large group of near copies costs about
@@ -29,7 +28,7 @@ from pyspark.sql import types as T
 
 from newsloom.llm.common import CACHES, append_columns, cut, release, spread_join, stored
 from newsloom.llm.graph import connected_components
-from newsloom.llm.simhash import drop_members, hamming_components
+from newsloom.llm.simhash import drop_members, hamming_edges
 
 #: Sets that one task group may hold; larger groups are dealt out.
 HOT = 20_000
@@ -46,6 +45,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def digest_of(text: str | None) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+
+
 def shingles(text: str | None, width: int = 5) -> tuple[bytes, np.ndarray]:
     """A digest of the text's words, and its sorted distinct shingle hashes; a shorter text is one shingle."""
     import xxhash
@@ -229,11 +234,10 @@ def _leaders(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield judged(last, lead, False)
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int, best: bool, chunk: int = 1 << 18, most_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], percent: int, chunk: int = 1 << 18, most_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """Pairs of a group that have different roots and pass all bounds; rows are (group, side, root, id, at, parities) by group and root.
 
-    Of a group with sides 0 and 1 only pairs across the sides count (2: all). With `best`, each row keeps only the
-    pair whose bitmaps differ least.
+    Of a group with sides 0 and 1 only pairs across the sides count (2: all).
     """
     for rows, bitmaps in _groups(batches):
         group, side, root = rows[:, 0], rows[:, 1], rows[:, 2]
@@ -245,7 +249,6 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, best: bool, chunk:
         total = np.cumsum(wide)
         size, place = _places(rows[:, 4])
         bits = np.array([len(x) for x in bitmaps])
-        nearest, partner = np.full(n, 1 << 60), np.full(n, -1)
         at = 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, "right")))
@@ -264,19 +267,9 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, best: bool, chunk:
                     table = np.stack([_folded(bitmaps[r], int(words)) for r in kinds])
                     differ = np.bitwise_count(table[which[: len(x)]] ^ table[which[len(x) :]]).sum(axis=1, dtype=np.int64)
                     some = differ <= _most_differing(size[x], size[y], percent)
-                    x, y, differ = x[some], y[some], differ[some]
-                    if best:
-                        for u, v in ((x, y), (y, x)):
-                            order = np.lexsort((differ, u))
-                            first = order[np.flatnonzero(np.concatenate([[True], u[order][1:] != u[order][:-1]]))] if len(u) else order
-                            first = first[differ[first] < nearest[u[first]]]
-                            nearest[u[first]], partner[u[first]] = differ[first], v[first]
-                    elif len(x):
-                        yield _pairs(rows[x, 3], rows[y, 3])
+                    if some.any():
+                        yield _pairs(rows[x[some], 3], rows[y[some], 3])
             at = to
-        held = np.flatnonzero(partner >= 0)
-        if len(held):
-            yield _pairs(rows[held, 3], rows[partner[held], 3])
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -348,7 +341,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         ]
 
     fields = [("node", T.BinaryType()), ("size", T.LongType()), ("fp", T.LongType()), ("parities", T.BinaryType()), ("prefix", T.ArrayType(T.LongType()))]
-    sketches = stored(append_columns(named, "text", fields, sketch)[0].drop("text"), "sketches")
+    sketches = append_columns(named, "text", fields, sketch)[0].drop("text")
     sets = sketches.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("size", "fp", "parities", "prefix")))
     sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
 
@@ -373,11 +366,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         both = left.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
         return cut(both.mapInArrow(lambda x: _by_texts(x, width, percent), PAIRS))
 
-    # 1. The trie's classes: each set with the first of its class.
-    linked = hamming_components(sets, "fp", max_bits)
-    classes = sets.select("id", "fp").join(linked.toDF("fp", "root"), "fp", "left").select("id", F.coalesce("root", "fp").alias("class"))
-    first = classes.groupBy("class").agg(F.min("id").alias("a"))
-    starred = classes.join(first, "class").where("id <> a").select("a", F.col("id").alias("b"))
+    # 1. The trie's stars: the first sets of two linked fingerprints, and each set with the first of its fingerprint.
+    first = cut(sets.groupBy("fp").agg(F.min("id").alias("first")))
+    named_first = lambda c, name: first.select(F.col("fp").alias(c), F.col("first").alias(name))
+    stars = hamming_edges(first, "fp", max_bits).join(named_first("a", "x"), "a").join(named_first("b", "y"), "b")
+    starred = stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    starred = starred.unionByName(spread_join(sets.select("id", "fp"), first, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
 
     # 2. Prefix groups: each set with its group's leader. A hot token's sets are dealt to parts with leaders of their own.
     at = F.shiftleft(F.col("size"), 32).bitwiseOR(F.col("place").cast("bigint")).alias("at")
@@ -398,26 +392,25 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     tried = cut(tried.distinct())
     links = verified(tried)
 
-    # 3. Pairs of different classes in the groups that still hold some: first the closest of each set, then all.
+    # 3. Pairs of different classes in the groups that still hold some.
     tops = connected_components(links, "a", "b")
-    for best in (True, False):
-        rows = shared.join(tops.toDF("id", "root"), "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "at")
-        mixed = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low < high")
-        dealt = rows.join(mixed.select("token", F.ceil(F.col("n") / HOT).cast("bigint").alias("chunks")), "token").join(sets.select("id", "parities"), "id")
-        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-        side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("bigint")
-        dealt = dealt.select(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), side.alias("side"), "root", "id", "at", "parities")
-        pairs = dealt.repartition("group").sortWithinPartitions("group", "root").mapInArrow(lambda x, best=best: _across(x, percent, best), PAIRS)
-        pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        tried = tried.unionByName(pairs)
+    rows = shared.join(tops.toDF("id", "root"), "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "at")
+    mixed = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low < high")
+    dealt = rows.join(mixed.select("token", F.ceil(F.col("n") / HOT).cast("bigint").alias("chunks")), "token").join(sets.select("id", "parities"), "id")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("bigint")
+    dealt = dealt.select(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), side.alias("side"), "root", "id", "at", "parities")
+    pairs = dealt.repartition("group").sortWithinPartitions("group", "root").mapInArrow(lambda x: _across(x, percent), PAIRS)
+    pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
         # The classes so far are stars already, so only what is new takes rounds.
         tops = connected_components(tops.toDF("a", "b").unionByName(verified(pairs)), "a", "b")
     member = sets.join(tops.toDF("id", "root"), "id", "left").select("node", "first_id", F.coalesce("root", "id").alias("root"))
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_node = spread_join(member, least, "root").select("node", "component_id")
-    return spread_join(sketches.select("doc_id", "node"), by_node, "node").select("doc_id", "component_id")
+    # Digests are made again: keeping the sketches of all rows would cost a third of the texts' size on disk.
+    nodes = append_columns(named, "text", fields[:1], lambda texts: [[digest_of(t) for t in texts]])[0].select("doc_id", "node")
+    return spread_join(nodes, by_node, "node").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

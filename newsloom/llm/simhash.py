@@ -209,7 +209,12 @@ def _trie_task(batches: Iterator[pa.RecordBatch], choices: list, bounds: list, m
 
 
 def hamming_components(fps: DataFrame, fp: str, max_bits: int = 4, blocks: int = 6, max_group: int = 20_000) -> DataFrame:
-    """(vertex, root) of every distinct fingerprint that is linked to another one.
+    """(vertex, root) of every distinct fingerprint that is linked to another one."""
+    return connected_components(hamming_edges(fps, fp, max_bits, blocks, max_group), "a", "b")
+
+
+def hamming_edges(fps: DataFrame, fp: str, max_bits: int = 4, blocks: int = 6, max_group: int = 20_000) -> DataFrame:
+    """(a, b): edges that span the classes of linked fingerprints, as stars of each trie.
 
     `fps` may repeat fingerprints; they are made distinct first. A trie whose head holds more than
     `max_group` fingerprints is dealt out: its rows fall into chunks, and every pair of chunks
@@ -250,12 +255,11 @@ def hamming_components(fps: DataFrame, fp: str, max_bits: int = 4, blocks: int =
     def task(batches):
         return _trie_task(batches, choices, bounds, max_bits)
 
-    edges = (
+    return (
         dealt.repartition("choice", "head", "part")
         .sortWithinPartitions("choice", "part", "head")
         .mapInArrow(task, "a bigint, b bigint")
     )
-    return connected_components(edges, "a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
