@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontam, langid, packing, quality, quotes, simhash, suffix_tree, token_counts, token_shards, warc
+from newsloom.llm import decontam, langid, packing, phrases, positive_unlabelled, quality, quotes, simhash, simplex_centroids, suffix_tree, token_counts, token_shards, warc
 from newsloom.llm.common import fresh_dir, stored, table
 
 
@@ -70,6 +70,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_simplex_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex_centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, names = positive_unlabelled.scored(docs, positive_unlabelled.fit(docs, table(spark, sf_dir, "labels")))
+    fold = positive_unlabelled.fold_of(F.col("doc_id")) == 0
+    return out.select("doc_id", fold.alias("held_out"), *(F.col(n).alias(f) for f, n in names.items()))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +98,13 @@ QUERIES = {
         op8_edit_aware_counts,
         op9_suffix_tree_score,
         op10_benchmark_decontamination,
+        op11_simplex_centroids,
+        op12_positive_unlabelled,
+        op13_phrase_collocations,
     )
 }
-ORACLES = {"op10_benchmark_decontamination": decontam.ORACLE_SQL}
+ORACLES = {
+    "op10_benchmark_decontamination": decontam.ORACLE_SQL,
+    "op11_simplex_centroids": simplex_centroids.oracle_sql(),
+    "op13_phrase_collocations": phrases.ORACLE_SQL,
+}
