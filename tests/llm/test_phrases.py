@@ -50,8 +50,7 @@ def prose(n, seed=3, words=12):
     return out
 
 
-@pytest.mark.parametrize("bits", [4, 12, 20])
-@pytest.mark.parametrize("shard", [400_000, 12])
+@pytest.mark.parametrize("bits, shard", [(4, 400_000), (12, 40), (20, 400_000)])
 def test_equals_brute_force(spark, bits, shard):
     rows = [(["en", "de", None, "und"][k % 4], t) for k, t in enumerate(prose(60))]
     got = found(spark, rows, least=6, bits=bits, shard=shard)
