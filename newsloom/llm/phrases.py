@@ -17,6 +17,7 @@ buckets let through.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +33,10 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text that are worked on together; one longer text is worked on whole.
 BLOCK_BYTES = 8 << 20
 #: Distinct words that a task numbers before it starts anew; hashes that it gathers before it sends counts.
-MOST_WORDS, MOST_HASHES = 1 << 20, 1 << 22
+MOST_WORDS, MOST_HASHES = 1 << 19, 1 << 22
 #: Buckets a row of counts covers, as a power of two.
 CHUNK_BITS = 16
-SHARD = 400_000
+SHARD, CHUNK = 400_000, 1 << 10
 _BREAK = b"."
 _TABLE = bytes(ord(".") if c in b".,;:!?\n\x0b\x0c\r" else ord(" ") if c == ord("\t") else c for c in range(256))
 
@@ -185,12 +186,18 @@ def _filters(texts: DataFrame, known: dict[int, np.ndarray], levels: range, bits
     return out, found.where("level = 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], filters: dict[int, np.ndarray], longest: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase) of windows that pass at all lengths, words among them; a task repeats itself seldom."""
-    words, seen = Words(), set()
+def _candidates(batches: Iterator[pa.RecordBatch], filters: dict[int, np.ndarray], longest: int, bits: int, chunks: int) -> Iterator[pa.RecordBatch]:
+    """(chunk, lang, phrases) of windows that pass at all lengths, words among them: the distinct ones of many texts, dealt to chunks by hash."""
+    words, seen, fresh = Words(), set(), {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(c, lang, b"\n".join(sorted(p))) for (c, lang), p in fresh.items()]
+        fresh.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int32(), pa.string(), pa.binary()))], names=["chunk", "lang", "phrases"])
+
     for lang, data in blocks(batches):
         ids = words.numbers(data)
-        rank, fresh = np.zeros(len(ids), dtype=np.int64), []
+        rank = np.zeros(len(ids), dtype=np.int64)
         for k, at, _ in windows(ids, words.hashes(), lang, filters, longest, bits):
             if not len(at):
                 break
@@ -201,12 +208,32 @@ def _candidates(batches: Iterator[pa.RecordBatch], filters: dict[int, np.ndarray
                 phrase = b" ".join([words.texts[w] for w in ids[i : i + k].tolist()])
                 if (lang, phrase) not in seen:
                     seen.add((lang, phrase))
-                    fresh.append(phrase)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(fresh), pa.string()), pa.array(fresh, pa.binary()).cast(pa.string())], names=["lang", "phrase"])
+                    fresh.setdefault((zlib.crc32(phrase) % chunks, lang), []).append(phrase)
         if len(words) > MOST_WORDS:
             words = Words()
         if len(seen) > MOST_WORDS:
+            yield out()
             seen.clear()
+    yield out()
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk and language -> (lang, phrase), each once."""
+    now, held = None, set()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now[1]] * len(held), pa.string()), pa.array(sorted(held), pa.binary()).cast(pa.string())], names=["lang", "phrase"])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            chunk, lang, phrases = (c[row].as_py() for c in batch.columns)
+            if (chunk, lang) != now and held:
+                yield out()
+                held = set()
+            now = chunk, lang
+            held.update(phrases.split(b"\n"))
+    if held:
+        yield out()
 
 
 # ------------------------------------------------------------------------------------------ the trie
@@ -313,7 +340,7 @@ def build(phrases: list[tuple[str, str]], seed: int = 5) -> Trie:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
-    """(phrase, n): the counts of a task."""
+    """(chunk, ids, counts): the counts of a task, packed by runs of CHUNK phrases."""
     words, sums = Words(), np.zeros(len(trie.base), dtype=np.int64)
     for lang, data in blocks(batches):
         ids = words.numbers(data)
@@ -321,7 +348,33 @@ def _occurrences(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.R
         if len(words) > MOST_WORDS:
             words = Words()
     hit = np.flatnonzero((sums > 0) & (trie.phrase >= 0))
-    yield pa.RecordBatch.from_arrays([pa.array(trie.phrase[hit], pa.int32()), pa.array(sums[hit])], names=["phrase", "n"])
+    hit = hit[np.argsort(trie.phrase[hit])]
+    phrase, n = trie.phrase[hit], sums[hit]
+    kinds, at = np.unique(phrase // CHUNK, return_index=True)
+    parts = list(zip(at, [*at[1:], len(hit)]))
+    ids, counts = [(phrase[a:b] % CHUNK).astype("<u2").tobytes() for a, b in parts], [n[a:b].astype("<u8").tobytes() for a, b in parts]
+    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["chunk", "ids", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch], phrases: list[tuple[str, str]], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk -> (lang, phrase, f) of what reaches `least`."""
+    now, sums = None, np.zeros(CHUNK, dtype=np.int64)
+
+    def out() -> pa.RecordBatch:
+        hit = np.flatnonzero(sums >= least)
+        rows, f = [phrases[now * CHUNK + k] for k in hit.tolist()], sums[hit]
+        sums[:] = 0
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string()), pa.array(f)], names=["lang", "phrase", "f"])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            chunk, ids, counts = (c[row].as_py() for c in batch.columns)
+            if chunk != now and now is not None:
+                yield out()
+            now = chunk
+            sums[np.frombuffer(ids, dtype="<u2")] += np.frombuffer(counts, dtype="<i8")
+    if now is not None:
+        yield out()
 
 
 def frequent(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, shard: int = SHARD, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -336,23 +389,22 @@ def frequent(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, shard
     if longest > 2:
         filters |= _filters(texts, filters, range(3, longest + 1), bits, least, folder)[0]
     shared = spark.sparkContext.broadcast(filters)  # 2 ** bits bits a length
-    made = texts.mapInArrow(lambda b: _candidates(b, shared.value, longest, bits), "lang string, phrase string")
-    made.distinct().write.parquet(f"{folder}/candidates")
+    chunks = 1 << (bits - min(bits, CHUNK_BITS))
+    made = texts.mapInArrow(lambda b: _candidates(b, shared.value, longest, bits, chunks), "chunk int, lang string, phrases binary")
+    made = made.repartition("chunk", "lang").sortWithinPartitions("chunk", "lang").mapInArrow(_distinct, "lang string, phrase string")
+    made.write.parquet(f"{folder}/candidates")
     candidates = spark.read.schema("lang string, phrase string").parquet(f"{folder}/candidates")
     tries, parts = max(1, -(-candidates.count() * 5 // (4 * shard))), []
     for k in range(tries):
         mine = candidates.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(tries)) == k).orderBy("lang", "phrase").collect()  # about 4/5 of `shard` rows
-        listed = spark.sparkContext.broadcast((build([tuple(r) for r in mine]), [tuple(r) for r in mine]))
-
-        def named(batches: Iterator[pa.RecordBatch], listed=listed) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [listed.value[1][k] for k in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string()), b.column(1)], names=["lang", "phrase", "f"])
-
-        counts = texts.mapInArrow(lambda b, listed=listed: _occurrences(b, listed.value[0]), "phrase int, n bigint")
-        sums = counts.groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        sums.mapInArrow(named, "lang string, phrase string, f bigint").write.parquet(f"{folder}/counts/{k}")
+        mine = [tuple(r) for r in mine]
+        trie, listed = spark.sparkContext.broadcast(build(mine)), spark.sparkContext.broadcast(mine)
+        counts = texts.mapInArrow(lambda b, trie=trie: _occurrences(b, trie.value), "chunk int, ids binary, counts binary")
+        counts = counts.repartition("chunk").sortWithinPartitions("chunk")
+        counts.mapInArrow(lambda b, listed=listed: _summed(b, listed.value, least), "lang string, phrase string, f bigint").write.parquet(f"{folder}/counts/{k}")
         parts.append(spark.read.schema("lang string, phrase string, f bigint").parquet(f"{folder}/counts/{k}"))
+        trie.unpersist()
+        listed.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
