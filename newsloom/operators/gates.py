@@ -114,8 +114,8 @@ def edit_candidates(posts: DataFrame, pending: DataFrame, as_of: int, hours: int
 
 
 def sync_state(posts: DataFrame, owners_now: DataFrame, as_of: int, window_hours: int = 48) -> DataFrame:
-    """frozen, unchanged or edited per post, with the owners that joined its story; one-sidedness can only go."""
+    """frozen, unchanged or edited per post, with the owners that joined its story; one-sidedness can only go, and its going alone is an edit."""
     j = posts.join(owners_now, "cluster_id")
     new = F.array_sort(F.array_except("owners", "posted_owners"))
-    state = F.when(F.col("pub_min") < as_of - 60 * window_hours, "frozen").when(F.size(new) == 0, "unchanged").otherwise("edited")
+    state = F.when(F.col("pub_min") < as_of - 60 * window_hours, "frozen").when((F.size(new) == 0) & ~(F.col("was_one_sided") & ~F.col("now_one_sided")), "unchanged").otherwise("edited")
     return j.withColumn("new_owners", new).withColumn("state", state).withColumn("one_sided", F.col("was_one_sided") & F.col("now_one_sided"))

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import text as X
+from newsloom.operators.dedup import first_of
+from newsloom.operators.stories import latest_published
+from newsloom.operators.vector_index import VectorIndex
+from newsloom.sources import shared
 
 _TOKEN = re.compile(r"\w+")
 
@@ -88,7 +92,7 @@ def exact_pairs(vectors: DataFrame, threshold: float, hours: float | None = None
     span = int(60 * hours) if hours is not None else None
     slot = F.floor(F.col("pub_min") / span) if span else F.lit(0).cast("bigint")
     minute = F.col("pub_min").cast("bigint") if span else F.lit(0).cast("bigint")
-    rows = vectors.select("id", "embedding", "block", minute.alias("pub_min"), slot.alias("slot")).where("embedding IS NOT NULL")
+    rows = shared.stored(vectors.select("id", "embedding", "block", minute.alias("pub_min"), slot.alias("slot")).where("embedding IS NOT NULL"), "vectors")
     sizes = rows.groupBy("block", "slot").agg(F.ceil(F.count("*") / chunk).cast("bigint").alias("chunks"))
     named = lambda n: sizes.select(F.col("block").alias("_b"), F.col("slot").alias("_s"), F.col("chunks").alias(n))
     at = lambda step: F.col("block").eqNullSafe(F.col("_b")) & (F.col("slot") + step).eqNullSafe(F.col("_s"))
@@ -176,35 +180,19 @@ def centroids(vectors: DataFrame, key: str = "cluster_id") -> DataFrame:
     return rows.select(key, F.transform("c", lambda x: x["m"]).alias("centroid"), "n")
 
 
-def nearest_centroid(articles: DataFrame, open_stories: DataFrame, threshold: float, window_hours: int = 48, limit_rows: int = 200_000) -> DataFrame:
-    """(id, cluster_id, sim): the most similar open story whose times lie within the window.
+def nearest_centroid(articles: DataFrame, open_stories: DataFrame, threshold: float, window_hours: int = 48, lists: int | None = None) -> DataFrame:
+    """(id, cluster_id, sim): the most similar open story whose times lie within the window; ties go to the least story.
 
-    The stories' centroids go to every task while they are at most `limit_rows`; more of them are refused, to be blocked first.
+    The stories are indexed, and each article sees those at the threshold or more; equal centroids are searched once.
     """
-    n = open_stories.count()
-    if n > limit_rows:
-        raise ValueError(f"{n} open stories: block them by language or topic first")
-    rows = open_stories.select("cluster_id", "centroid", "first_min", "last_min").toPandas().sort_values("cluster_id")
-    matrix = np.stack(rows.centroid.to_list()).astype(np.float64) if n else np.zeros((0, 1))
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    ids, first, last, span = rows.cluster_id.to_numpy(), rows.first_min.to_numpy(), rows.last_min.to_numpy(), 60 * window_hours
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                v = np.stack(part.embedding.to_list()).astype(np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                sim = v @ matrix.T
-                t = part.pub_min.to_numpy()[:, None]
-                sim[(last[None] < t - span) | (first[None] > t + span)] = -2
-                best = sim.argmax(axis=1) if n else np.zeros(len(part), dtype=int)
-                top = sim[np.arange(len(part)), best] if n else np.full(len(part), -2.0)
-                out.append(pd.DataFrame({"id": part.id.to_numpy(), "cluster_id": ids[best] if n else 0, "sim": top})[top >= threshold])
-            yield pd.concat(out) if out else pd.DataFrame({"id": [], "cluster_id": [], "sim": []})
-
-    return articles.select("id", "embedding", "pub_min").mapInPandas(assign, "id long, cluster_id long, sim double")
+    s = open_stories.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("embedding"), F.lit("").alias("block"))
+    index = VectorIndex.build(s, shared.folder(articles.sparkSession, "stories"), lists)
+    times = index.members.select("id", F.col("rep").alias("b")).join(open_stories.select(F.col("cluster_id").alias("id"), "first_min", "last_min"), "id")
+    met = index.within(articles.select("id", "embedding", F.lit("").alias("block")), threshold)
+    met = met.join(times.withColumnRenamed("id", "cluster_id"), "b").join(articles.select(F.col("id").alias("a"), "pub_min"), "a")
+    span = 60 * window_hours
+    met = met.where((F.col("last_min") >= F.col("pub_min") - span) & (F.col("first_min") <= F.col("pub_min") + span))
+    return first_of(met, ["a"], [F.desc("sim"), "cluster_id"]).select(F.col("a").alias("id"), "cluster_id", "sim")
 
 
 class LeaderFold:
@@ -330,14 +318,20 @@ def recommend_threshold(labels: DataFrame, low: int = 30, high: int = 95) -> Dat
     )
 
 
-def related_stories(stories: DataFrame, blocked: DataFrame, threshold: float = 0.70, days: int = 120, top: int = 5, exact: bool = False, **lsh) -> DataFrame:
-    """(cluster_id, related_id, sim, rank): the nearest stories (cluster_id, centroid, last_min, block) that no block forbids."""
-    v = stories.select(F.col("cluster_id").alias("id"), F.col("centroid").cast("array<float>").alias("embedding"), F.col("last_min").alias("pub_min"), "block")
-    pairs = exact_pairs(v, threshold, hours=24 * days) if exact else similar_pairs(v, threshold, hours=24 * days, **lsh)
-    pairs = pairs.join(blocked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    both = pairs.select(F.col("a").alias("cluster_id"), F.col("b").alias("related_id"), "sim").unionByName(pairs.select(F.col("b").alias("cluster_id"), F.col("a").alias("related_id"), "sim"))
+def related_stories(stories: DataFrame, posts: DataFrame, blocked: DataFrame, as_of: int, threshold: float = 0.70, days: int = 120, top: int = 5, lists: int | None = None) -> DataFrame:
+    """(cluster_id, related_id, sim, rank): the `top` nearest stories among those with a live post that no block forbids.
+
+    `stories` has (cluster_id, centroid); a live post is the latest published one with a message, and may be `days` old.
+    """
+    live = latest_published(posts).where(F.col("pub_min") >= as_of - 1440 * days).select("cluster_id")
+    rows = stories.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("embedding"), F.lit("").alias("block"))
+    index = VectorIndex.build(rows.join(live.withColumnRenamed("cluster_id", "id"), "id", "left_semi"), shared.folder(stories.sparkSession, "posted"), lists)
+    met = index.within(rows, threshold).join(index.members.select(F.col("id").alias("related_id"), F.col("rep").alias("b")), "b")
+    met = met.select(F.col("a").alias("cluster_id"), "related_id", "sim").where("cluster_id <> related_id")
+    pair = blocked.select(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")).distinct()
+    met = met.join(pair, (F.least("cluster_id", "related_id") == F.col("_x")) & (F.greatest("cluster_id", "related_id") == F.col("_y")), "left_anti")
     w = Window.partitionBy("cluster_id").orderBy(F.desc("sim"), "related_id")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def pick_related(related: DataFrame, posts: DataFrame) -> DataFrame:

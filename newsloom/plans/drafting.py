@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as X
 from newsloom.operators import dedup, drafts, entities, gates, issues, reports, similarity
 from newsloom.operators import stories as S
+from newsloom.operators.vector_index import VectorIndex
 from newsloom.plans.queries import LAST, SPECTRUM, query, r6
 from newsloom.plans.views import AS_OF
+from newsloom.sources import shared
 from newsloom.sources import tables as B
 
 
@@ -100,7 +102,7 @@ def publish_window(t):
 
 @query(f""", o AS (SELECT cluster_id, list_sort(list(DISTINCT coalesce(nullif(owner_group, ''), source_id))) AS owners, list_sort(list(DISTINCT coalesce(nullif(owner_group, ''), source_id)) FILTER (id % 2 = 0)) AS early FROM members GROUP BY 1),
 j AS (SELECT post_id, pub_min, list_sort([x FOR x IN owners IF NOT list_contains(coalesce(early, []), x)]) AS new_owners, post_id % 2 = 0 AS was, cluster_id % 3 = 0 AS now FROM posts JOIN o USING (cluster_id) WHERE pub_min IS NOT NULL)
-SELECT post_id, new_owners, CASE WHEN pub_min < {AS_OF} - 2880 THEN 'frozen' WHEN len(new_owners) = 0 THEN 'unchanged' ELSE 'edited' END AS state, was AND now AS one_sided FROM j""")
+SELECT post_id, new_owners, CASE WHEN pub_min < {AS_OF} - 2880 THEN 'frozen' WHEN len(new_owners) = 0 AND NOT (was AND NOT now) THEN 'unchanged' ELSE 'edited' END AS state, was AND now AS one_sided FROM j""")
 def post_sync(t):
     own = t.members.groupBy("cluster_id").agg(F.array_sort(F.collect_set(S.owner())).alias("owners"), F.array_sort(F.collect_set(F.when(F.col("id") % 2 == 0, S.owner()))).alias("posted_owners"))
     posts = t.posts.where("pub_min IS NOT NULL").select("post_id", "cluster_id", "pub_min", (F.col("post_id") % 2 == 0).alias("was_one_sided"))
@@ -449,18 +451,49 @@ def nearest_story(t):
     return similarity.nearest_centroid(v, stories, 0.2).select("id", "cluster_id", F.round("sim", 5).alias("sim"))
 
 
-@query(STORIES + """, r AS (SELECT a.cluster_id, b.cluster_id AS related_id, list_cosine_similarity(a.c, b.c) AS sim, row_number() OVER (PARTITION BY a.cluster_id ORDER BY list_cosine_similarity(a.c, b.c) DESC, b.cluster_id) AS rank FROM c a JOIN c b ON a.cluster_id <> b.cluster_id AND (a.cluster_id + b.cluster_id) % 7 <> 0
-  WHERE list_cosine_similarity(a.c, b.c) >= 0.1), k AS (SELECT * FROM r WHERE rank <= 5 AND (cluster_id % 4 = related_id % 4 OR cluster_id % 3 = related_id % 3))
+@query(STORIES + f""", live AS (SELECT cluster_id FROM (SELECT post_id % 60 AS cluster_id, pub_min FROM posts WHERE status = 'published' AND message_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY post_id % 60 ORDER BY pub_min DESC, post_id DESC) = 1) WHERE cluster_id % 5 > 0 AND pub_min >= {AS_OF} - 172800),
+r AS (SELECT a.cluster_id, b.cluster_id AS related_id, row_number() OVER (PARTITION BY a.cluster_id ORDER BY list_cosine_similarity(a.c, b.c) DESC, b.cluster_id) AS rank FROM c a JOIN c b ON a.cluster_id <> b.cluster_id AND (a.cluster_id + b.cluster_id) % 7 <> 0
+  WHERE list_cosine_similarity(a.c, b.c) >= 0.1 AND b.cluster_id IN (SELECT cluster_id FROM live)), k AS (SELECT * FROM r WHERE rank <= 5 AND (cluster_id % 4 = related_id % 4 OR cluster_id % 3 = related_id % 3))
 SELECT cluster_id, related_id, CASE WHEN cluster_id % 4 = related_id % 4 THEN 'topic' ELSE 'entity' END AS why FROM k QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY rank) = 1""")
 def related_stories(t):
+    """Stories whose number ends in 0 or 5 have no post, so nearer ones without a post must not take a place."""
     _, s = _stories(t)
     ids = s.select("cluster_id")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("b")
     blocked = ids.select(F.col("cluster_id").alias("a"), every).where("(a + b) % 7 = 0")
-    posts = ids.select("cluster_id", F.concat(F.lit("t"), F.col("cluster_id") % 4).alias("topic"), F.array(F.concat(F.lit("e"), F.col("cluster_id") % 3)).alias("entity_ids"))
-    return similarity.pick_related(similarity.related_stories(s.withColumn("block", F.lit("all")), blocked, 0.1, exact=True), posts)
+    posted = t.posts.withColumn("cluster_id", F.col("post_id") % 60).where("cluster_id % 5 > 0")
+    facts = ids.select("cluster_id", F.concat(F.lit("t"), F.col("cluster_id") % 4).alias("topic"), F.array(F.concat(F.lit("e"), F.col("cluster_id") % 3)).alias("entity_ids"))
+    return similarity.pick_related(similarity.related_stories(s, posted, blocked, AS_OF, 0.1), facts)
 
 
+INDEXED = """WITH v AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS x FROM embeddings GROUP BY embedding)"""
+
+
+def _index(t):
+    v = t.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit("all").alias("block"))
+    return VectorIndex.build(v, shared.folder(t.spark, "index"), lists=12)
+
+
+@query(INDEXED + " SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.x, b.x), 5) AS sim FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.x, b.x) >= 0.3", plain=True)
+def index_pairs(t):
+    """All pairs of representatives from the kept index."""
+    return _index(t).pairs(0.3).withColumn("sim", F.round("sim", 5))
+
+
+@query(INDEXED + " SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.x, b.x), 5) AS sim FROM v a JOIN v b ON a.id <> b.id AND a.id % 100 = 0 WHERE list_cosine_similarity(a.x, b.x) >= 0.2", plain=True)
+def index_within(t):
+    """Half of the vectors are indexed, the rest inserted; every hundredth asks for all within 0.2."""
+    v = t.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit("all").alias("block"))
+    index = VectorIndex.build(v.where("id % 2 = 0"), shared.folder(t.spark, "index"), lists=12)
+    index.insert(v.where("id % 2 = 1"))
+    return index.within(v.where("id % 100 = 0"), 0.2).where("a <> b").withColumn("sim", F.round("sim", 5))
+
+
+@query(""" SELECT e.vec_id AS id, v.id AS rep FROM embeddings e JOIN v ON v.x = e.embedding::DOUBLE[]""".replace(" SELECT", INDEXED + " SELECT", 1), plain=True)
+def index_members(t):
+    return _index(t).members
+
 
 @query()
 def restored_names(t):

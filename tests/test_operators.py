@@ -152,6 +152,23 @@ def test_post_rules_and_sync(spark):
     p = spark.createDataFrame([(1, 1, 5000, ["a"], True), (2, 1, 0, ["a"], True), (3, 2, 5000, ["x"], True)], "post_id long, cluster_id long, pub_min long, posted_owners array<string>, was_one_sided boolean")
     now = spark.createDataFrame([(1, ["a", "b"], False), (2, ["x"], True)], "cluster_id long, owners array<string>, now_one_sided boolean")
     assert {r.post_id: (r.state, r.new_owners, r.one_sided) for r in gates.sync_state(p, now, 5100).collect()} == {1: ("edited", ["b"], False), 2: ("frozen", ["b"], False), 3: ("unchanged", [], True)}
+    # A mark that lifts without new owners is an edit; one that was never there is not set.
+    p = spark.createDataFrame([(1, 1, 5000, ["a", "b"], True), (2, 1, 5000, ["a", "b"], False), (3, 2, 5000, ["x"], False), (4, 1, 0, ["a", "b"], True)], p.schema)
+    assert {r.post_id: (r.state, r.one_sided) for r in gates.sync_state(p, now, 5100).collect()} == {1: ("edited", False), 2: ("unchanged", False), 3: ("unchanged", False), 4: ("frozen", False)}
+
+
+def test_related_stories_are_among_posted_ones(spark):
+    near = [(k, [1.0, 0.01 * k]) for k in range(1, 8)]  # nearer to 0, without posts
+    stories = spark.createDataFrame([(0, [1.0, 0.0]), *near, (20, [1.0, 0.5]), (21, [1.0, 0.4]), (22, [1.0, 0.3]), (23, [1.0, 0.3]), (24, [0.0, 1.0])], "cluster_id long, centroid array<double>")
+    when = {20: 190_000, 21: 190_000, 22: 1000, 23: 190_000, 24: 190_000}
+    posts = spark.createDataFrame([(100 + k, k, "published", m, 5) for k, m in when.items()] + [(150, 3, "draft", 190_000, 5), (151, 4, "published", 190_000, None), (152, 22, "published", 900, 6)], "post_id long, cluster_id long, status string, pub_min long, message_id long")
+    blocked = spark.createDataFrame([(23, 0), (0, 21)], "a long, b long").where("b <> 21")
+    for lists in (1, 3):
+        got = similarity.related_stories(stories, posts, blocked, 190_100, 0.7, lists=lists).where("cluster_id = 0").orderBy("rank").collect()
+        assert [r.related_id for r in got] == [21, 20]  # 22 is too old, 23 blocked, 24 too far
+        facts = spark.createDataFrame([(0, "war", ["e1"]), (20, "war", ["e9"]), (21, "sport", ["e2"])], "cluster_id long, topic string, entity_ids array<string>")
+        r = similarity.pick_related(similarity.related_stories(stories, posts, blocked, 190_100, 0.7, lists=lists), facts).where("cluster_id = 0").first()
+        assert (r.related_id, r.why) == (20, "topic")
 
 
 def test_alias_matching(spark):
