@@ -196,89 +196,158 @@ def nearest_centroid(articles: DataFrame, open_stories: DataFrame, threshold: fl
 
 
 class LeaderFold:
-    """Stories of one block, built in time order: an article joins the nearest open story or opens one."""
+    """Stories of one block, built in time order: an article joins the nearest open story or opens one.
+
+    Articles come in runs. The products of a run with the open stories and with itself are two matrix products; from then
+    on a story's products and its length follow from those of what joins it, so an article costs a row of numbers, not of vectors.
+    """
 
     def __init__(self, threshold: float, window_min: float, bound_first: bool):
         self.threshold, self.window, self.bound_first = threshold, window_min, bound_first
-        self.n, self.sums, self.unit = 0, np.zeros((64, 1)), np.zeros((64, 1))
-        self.first, self.last, self.lead, self.size = (np.zeros(64) for _ in range(4))
-
-    def add(self, key: int, at: float, v: np.ndarray) -> int:
-        if self.sums.shape[1] != len(v):
-            self.sums, self.unit = np.zeros((64, len(v))), np.zeros((64, len(v)))
-        n = self.n
-        if n and n % 128 == 0:  # articles come in time order, so what is idle now stays idle and can go
-            live = np.flatnonzero(self.last[:n] >= at - self.window)
-            if 2 * len(live) < n:
-                for a in (self.sums, self.unit, self.first, self.last, self.lead, self.size):
-                    a[: len(live)] = a[live]
-                n = self.n = len(live)
-        if n:
-            near = self.last[:n] >= at - self.window
-            if self.bound_first:
-                near &= self.first[:n] <= at + self.window
-            if near.any():
-                sim = np.where(near, self.unit[:n] @ v / (np.linalg.norm(v) or 1.0), -2)
+        self.sums = np.zeros((0, 0))
+        self.first, self.last, self.lead = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64)
+
+    def put(self, leads: np.ndarray, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        """Take over stories of an earlier run."""
+        self._append(sums, first, last, leads)
+
+    def _append(self, sums, first, last, leads) -> None:
+        self.sums = np.concatenate([self.sums, sums]) if len(self.sums) else np.array(sums, dtype=np.float64)
+        self.first, self.last = np.concatenate([self.first, first]), np.concatenate([self.last, last])
+        self.lead = np.concatenate([self.lead, np.asarray(leads, dtype=np.int64)])
+
+    def add(self, keys: np.ndarray, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The stories of a run of articles, sorted by time."""
+        live = self.last >= at[0] - self.window  # what is idle now stays idle
+        if not live.all():
+            self.sums, self.first, self.last, self.lead = self.sums[live], self.first[live], self.last[live], self.lead[live]
+        n, b = len(self.lead), len(v)
+        room = n + b
+        dots, within = np.empty((b, room)), v @ v.T
+        dots[:, :n] = v @ self.sums.T if n else 0
+        own = np.sqrt(within.diagonal())
+        own = np.where(own > 0, own, 1.0)
+        square = np.zeros(room)
+        square[:n] = np.einsum("ij,ij->i", self.sums, self.sums) if n else 0
+        length = np.ones(room)
+        length[:n] = np.where(square[:n] > 0, np.sqrt(square[:n]), 1.0)
+        grow = lambda x: np.concatenate([x, np.zeros(b, dtype=x.dtype)])
+        first, last, lead, joined, m = grow(self.first), grow(self.last), grow(self.lead), np.empty(b, dtype=np.int64), n
+        for i in range(b):
+            j = -1
+            if m:
+                near = last[:m] >= at[i] - self.window
+                if self.bound_first:
+                    near &= first[:m] <= at[i] + self.window
+                sim = np.where(near, dots[i, :m] / length[:m], -2 * own[i])
                 j = int(sim.argmax())
-                if sim[j] >= self.threshold:
-                    self.sums[j] += v
-                    self.unit[j] = self.sums[j] / (np.linalg.norm(self.sums[j]) or 1.0)
-                    self.first[j], self.last[j] = min(self.first[j], at), max(self.last[j], at)
-                    self.size[j] += 1
-                    return int(self.lead[j])
-        if n == len(self.sums):
-            grow = lambda a: np.concatenate([a, np.zeros_like(a)])
-            self.sums, self.unit, self.first, self.last, self.lead, self.size = map(grow, (self.sums, self.unit, self.first, self.last, self.lead, self.size))
-        self.sums[n] = v
-        self.unit[n] = v / (np.linalg.norm(v) or 1.0)
-        self.first[n] = self.last[n] = at
-        self.lead[n], self.size[n], self.n = key, 1, n + 1
-        return key
-
-
-def cluster(articles: DataFrame, threshold: float = 0.78, window_hours: float = 48, block: list[str] | None = None, bound_first: bool = True) -> DataFrame:
+                if not near[j] or sim[j] / own[i] < self.threshold:
+                    j = -1
+            if j < 0:
+                j, m = m, m + 1
+                dots[:, j], square[j] = within[:, i], within[i, i]
+                first[j] = last[j] = at[i]
+                lead[j] = keys[i]
+            else:
+                square[j] += 2 * dots[i, j] + within[i, i]
+                dots[:, j] += within[:, i]
+                first[j], last[j] = min(first[j], at[i]), max(last[j], at[i])
+            length[j] = np.sqrt(square[j]) if square[j] > 0 else 1.0
+            joined[i] = j
+        sums = np.zeros((m, v.shape[1]))
+        sums[:n] = self.sums if n else 0
+        np.add.at(sums, joined, v)
+        self.sums, self.first, self.last, self.lead = sums, first[:m], last[:m], lead[:m]
+        return lead[joined]
+
+
+#: Articles of a run.
+RUN = 256
+
+
+def _fold(batches: Iterator[pd.DataFrame], keys: list[str], state_of) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, stories) of sorted rows (keys, carried, id, pub_min, last_min, embedding), run by run."""
+    now, state = None, None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        change = np.zeros(len(pdf), dtype=bool)
+        for k in [*keys, "carried"]:
+            x = pdf[k]
+            change[1:] |= ~((x[1:].to_numpy() == x[:-1].to_numpy()) | (x[1:].isna().to_numpy() & x[:-1].isna().to_numpy()))
+        edges = np.concatenate([[0], np.flatnonzero(change), [len(pdf)]])
+        for a, b in zip(edges[:-1], edges[1:]):
+            for k in range(a, b, RUN):
+                part = pdf.iloc[k : min(k + RUN, b)]
+                key = tuple(None if pd.isna(part[x].iloc[0]) else part[x].iloc[0] for x in keys)
+                if key != now:
+                    now, state = key, state_of(part)
+                v = np.stack(part.embedding.to_list()).astype(np.float64)
+                at = part.pub_min.astype(float).fillna(np.inf).to_numpy()
+                if part.carried.iloc[0]:
+                    state.put(part.id.to_numpy(), v, at, part.last_min.astype(float).to_numpy())
+                else:
+                    yield part, state.add(part.id.to_numpy(), at, v)
+
+
+def _sorted(articles: DataFrame, keys: list[str], stories: DataFrame | None) -> DataFrame:
+    rows = articles.select("id", F.col("pub_min").cast("double").alias("pub_min"), F.lit(None).cast("double").alias("last_min"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(False).alias("carried"), *keys)
+    if stories is not None:
+        open_ = stories.where("status = 'open'")
+        summed = F.transform("centroid", lambda x: x.cast("double") * F.col("n"))
+        rows = rows.unionByName(open_.select(F.col("story").alias("id"), F.col("first_min").cast("double").alias("pub_min"), F.col("last_min").cast("double").alias("last_min"), summed.alias("embedding"), F.lit(True).alias("carried"), *keys))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("carried"), F.col("pub_min").asc_nulls_last(), "id")
+
+
+def cluster(articles: DataFrame, threshold: float = 0.78, window_hours: float = 48, block: list[str] | None = None, bound_first: bool = True, stories: DataFrame | None = None) -> DataFrame:
     """(id, story): leader clustering of (id, embedding, pub_min and the block columns), in time order inside a block.
 
-    The order decides the result, so a block is one sorted stream through one task; its state is the stories, not the articles. Blocks
-    (language, or a coarser bucket) make it parallel: a story never spans two.
+    `stories` (story, centroid, n, first_min, last_min, status and the block columns) goes on from an earlier run: open ones
+    take articles, closed ones never do. The order decides the result, so a block is one sorted stream through one
+    task; its state is the stories, not the articles. Blocks (language, or a coarser bucket) make it parallel: a story never spans two.
     """
     keys = block or ["block"]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
-        for pdf in batches:
-            out = []
-            for row in zip(pdf.id, pdf.pub_min, pdf.embedding, *(pdf[k] for k in keys)):
-                if row[3:] != now:
-                    now, state = row[3:], LeaderFold(threshold, 60 * window_hours, bound_first)
-                at = float("inf") if pd.isna(row[1]) else row[1]
-                out.append((row[0], state.add(row[0], at, np.asarray(row[2], dtype=np.float64)), *row[3:]))
-            yield pd.DataFrame(out, columns=["id", "story", *keys])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, story in _fold(batches, keys, lambda _: LeaderFold(threshold, 60 * window_hours, bound_first)):
+            yield part[["id", *keys]].assign(story=story)[["id", "story", *keys]]
 
     kinds = dict(articles.dtypes)
     schema = "id long, story long, " + ", ".join(f"{k} {kinds[k]}" for k in keys)
-    rows = articles.select("id", "pub_min", "embedding", *keys)
-    return rows.repartition(*keys).sortWithinPartitions(*keys, F.col("pub_min").asc_nulls_last(), "id").mapInPandas(fold, schema)
+    return _sorted(articles, keys, stories).mapInPandas(run, schema)
+
+
+def story_table(articles: DataFrame, clustered: DataFrame, as_of: int, keys: list[str], idle_hours: int = 36, before: DataFrame | None = None) -> DataFrame:
+    """(story, centroid, n, first_min, last_min, status, keys) after a run; goes into the next one as `stories`. What is idle is closed and stays so."""
+    rows = articles.join(clustered.select("id", "story"), "id").select("id", "story", "pub_min", "embedding", *keys)
+    if before is not None:
+        old = before.select(F.col("story"), "centroid", F.col("n").cast("long").alias("n"), F.col("first_min"), F.col("last_min"), "status", *keys)
+    c = centroids(rows.select("story", "embedding"), "story")
+    t = rows.groupBy("story", *keys).agg(F.min("pub_min").alias("first_min"), F.max("pub_min").alias("last_min"))
+    new = t.join(c, "story").select("story", "centroid", "n", "first_min", "last_min", F.lit("open").alias("status"), *keys)
+    if before is not None:
+        o, w = old.alias("o"), new.alias("w")
+        pick = lambda f, c: f(F.col(f"o.{c}"), F.col(f"w.{c}")).alias(c)
+        n = F.coalesce("o.n", F.lit(0)) + F.coalesce("w.n", F.lit(0))
+        mean = F.zip_with("o.centroid", "w.centroid", lambda x, y: (x * F.col("o.n") + y * F.col("w.n")) / (F.col("o.n") + F.col("w.n")))
+        new = o.join(w, F.col("o.story") == F.col("w.story"), "full_outer").select(
+            pick(F.coalesce, "story"), F.coalesce(mean, "o.centroid", "w.centroid").alias("centroid"), n.alias("n"), pick(F.least, "first_min"), pick(F.greatest, "last_min"), pick(F.coalesce, "status"), *[pick(F.coalesce, k) for k in keys]
+        )
+    return new.withColumn("status", F.when(F.col("last_min") < as_of - 60 * idle_hours, "closed").otherwise(F.col("status")))
 
 
 def sweep(articles: DataFrame, thresholds: list[float], window_hours: float = 48, block: str = "block") -> DataFrame:
     """Cluster sizes' summary per threshold; thresholds and blocks run side by side."""
     grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    rows = articles.withColumn("threshold", grid)
+    rows, keys = articles.withColumn("threshold", grid), ["threshold", block]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
-        for pdf in batches:
-            out = []
-            for i, at, v, t, b, s in zip(pdf.id, pdf.pub_min, pdf.embedding, pdf.threshold, pdf[block], pdf.source_id):
-                if (t, b) != now:
-                    now, state = (t, b), LeaderFold(t, 60 * window_hours, False)
-                out.append((t, b, state.add(i, at, np.asarray(v, dtype=np.float64)), s))
-            yield pd.DataFrame(out, columns=["threshold", block, "story", "source_id"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, story in _fold(batches, keys, lambda part: LeaderFold(part.threshold.iloc[0], 60 * window_hours, False)):
+            yield part[["id", *keys]].assign(story=story)[["threshold", block, "story", "id"]]
 
     kind = dict(articles.dtypes)[block]
-    stories = rows.select("id", "pub_min", "embedding", "threshold", block, "source_id").repartition("threshold", block).sortWithinPartitions("threshold", block, "pub_min", "id").mapInPandas(fold, f"threshold double, {block} {kind}, story long, source_id string")
-    return summarise(stories, ["threshold"], [block, "story"])
+    stories = _sorted(rows, keys, None).mapInPandas(run, f"threshold double, {block} {kind}, story long, id long")
+    return summarise(stories.join(articles.select("id", "source_id"), "id"), ["threshold"], [block, "story"])
 
 
 def summarise(stories: DataFrame, by: list[str], story: list[str]) -> DataFrame:

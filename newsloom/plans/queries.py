@@ -11,6 +11,7 @@ from newsloom.functions import text as X
 from newsloom.operators import dedup, entities, gates, issues, reports, similarity
 from newsloom.operators import stories as S
 from newsloom.plans.views import AS_OF, Tables, oracle
+from newsloom.sources import shared
 from newsloom.sources import tables as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -705,12 +706,12 @@ def _embedded(t):
 
 @query()
 def story_clustering(t):
-    return similarity.cluster(_embedded(t), block=["block"])
+    return similarity.cluster(shared.stored(_embedded(t), "embedded"), block=["block"])
 
 
 @query()
 def threshold_sweep(t):
-    return similarity.sweep(_embedded(t), [0.6, 0.7, 0.78, 0.86])
+    return similarity.sweep(shared.stored(_embedded(t), "embedded"), [0.6, 0.7, 0.78, 0.86])
 
 
 @query()

@@ -375,3 +375,55 @@ def test_middle_outlets_join_the_edges(spark):
     m = spark.createDataFrame([(c, s, v, t, 100 + k, b, 1) for k, (c, s, v, t, b, _) in enumerate(rows)], "cluster_id long, source_id string, lean_value int, type string, id long, body string, pub_min long")
     pick = lambda n: [r.source_id for r in S.spectrum_picks(m, n).orderBy("pick").collect()]
     assert pick(2) == ["s0", "s6"] and pick(3) == ["s0", "s3", "s6"] and pick(5) == ["s0", "s3", "s4", "s2", "s6"] and pick(9) == [f"s{k}" for k in range(7)]
+
+
+def leader_brute(rows, threshold, window, bound_first, stories=()):
+    """rows: (id, minute, vector) of one block; stories: (lead, sum, first, last), open ones."""
+    live, out = [[x, np.array(s, dtype=float), a, b] for x, s, a, b in stories], {}
+    for i, at, v in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0])):
+        at, v, best = float("inf") if at is None else at, np.array(v, dtype=float), None
+        for s in live:
+            if s[3] >= at - window and (not bound_first or s[2] <= at + window):
+                sim = float(s[1] @ v) / ((np.linalg.norm(s[1]) or 1) * (np.linalg.norm(v) or 1))
+                if sim >= threshold and (best is None or sim > best[0]):
+                    best = sim, s
+        if best is None:
+            live.append([i, v, at, at])
+            out[i] = i
+        else:
+            s = best[1]
+            s[1], s[2], s[3] = s[1] + v, min(s[2], at), max(s[3], at)
+            out[i] = s[0]
+    return out
+
+
+@pytest.mark.parametrize("run", [1, 7, 256])
+def test_leader_clustering_equals_the_plain_fold(spark, monkeypatch, run):
+    monkeypatch.setattr(similarity, "RUN", run)
+    rng = np.random.default_rng(run)
+    centres = rng.normal(size=(6, 8))
+    rows = [(k, None if k % 97 == 5 else int(rng.integers(0, 9000)), (centres[rng.integers(6)] + rng.normal(size=8) * 0.5).tolist() if k % 31 else [0.0] * 8, ["a", "b", None][k % 3]) for k in range(240)]
+    df = spark.createDataFrame(rows, "id long, pub_min long, embedding array<double>, block string").repartition(5)
+    got = {r.id: r.story for r in similarity.cluster(df, 0.8, 24, ["block"]).collect()}
+    for b in ("a", "b", None):
+        want = leader_brute([r[:3] for r in rows if r[3] == b], 0.8, 1440, True)
+        assert {i: s for i, s in got.items() if i in want} == want
+
+
+def test_clustering_goes_on_from_earlier_stories(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(5, 8))
+    rows = [(k, 30 * k, (centres[rng.integers(5)] + rng.normal(size=8) * 0.3).tolist(), "a") for k in range(200)]
+    schema = "id long, pub_min long, embedding array<double>, block string"
+    df = spark.createDataFrame(rows, schema)
+    whole = {r.id: r.story for r in similarity.cluster(df, 0.8, 36, ["block"]).collect()}
+    early, late = df.where("id < 120"), df.where("id >= 120")
+    one = similarity.cluster(early, 0.8, 36, ["block"])
+    stories = similarity.story_table(early, one, 3600, ["block"])
+    two = similarity.cluster(late, 0.8, 36, ["block"], stories=stories)
+    assert {r.id: r.story for r in one.unionByName(two).collect()} == whole
+    after = similarity.story_table(late, two, 6000, ["block"], before=stories)
+    assert {r.story: r.n for r in after.collect()} == {s: list(whole.values()).count(s) for s in set(whole.values())}
+    # A closed story takes nothing, however near it is.
+    shut = stories.withColumn("status", F.lit("closed"))
+    assert min(r.story for r in similarity.cluster(late, 0.8, 36, ["block"], stories=shut).collect()) >= 120
