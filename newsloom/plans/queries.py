@@ -701,7 +701,7 @@ def token_batches(t):
 
 def _embedded(t):
     d = t.raw("documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("block"), F.col("source").alias("source_id"), ((F.col("doc_id") * 7919) % 43200).alias("pub_min"))
-    return similarity.hash_embedding(d, dim=256)
+    return similarity.hash_embedding(shared.spread(d), dim=256)
 
 
 @query()

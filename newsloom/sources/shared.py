@@ -26,3 +26,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For costly work a row: dealt out to all cores where the scan alone would use fewer (a file of one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
