@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.operators.dedup import first_of
+from newsloom.sources import shared
 
 #: Fixed order of fact kinds.
 KIND_ORDER = ["role", "classification", "scale", "legal", "evaluative"]
@@ -113,60 +114,77 @@ def save_unique(known: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.join(known.select("entity_id", key.alias("_key")).distinct(), ["entity_id", "_key"], "left_anti").drop("_key")
 
 
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(entity_id, a, b): pairs of different rows (entity_id, key, stems) of an entity whose stems overlap, over the smaller set, by `threshold` or more.
+
+    The smaller set of such a pair shares one of its len - ceil(threshold * len) + 1 rarest stems with the other, so only those
+    are looked up among all stems of the sets that are no smaller. A pair is tried once, at the first of them that the other
+    holds. `a` is the smaller set; `key` orders sets of equal size.
+    """
+    stems = sets.select("entity_id", "key", F.explode("stems").alias("stem"))
+    counts = stems.groupBy("entity_id", "stem").agg(F.count("*").alias("n"))
+    ranked = stems.join(counts, ["entity_id", "stem"]).groupBy("entity_id", "key").agg(F.array_sort(F.collect_list(F.struct("n", "stem"))).alias("r"))
+    ranked = shared.stored(ranked.select("entity_id", "key", F.col("r.stem").alias("stems")), "stems")  # a fact's few stems a row
+    need = F.ceil(F.size("stems") * threshold - 1e-9)
+    first = F.slice("stems", F.lit(1), (F.size("stems") - need + 1).cast("int"))
+    left = ranked.select("entity_id", F.col("key").alias("a"), F.col("stems").alias("sa"), first.alias("pa")).withColumn("stem", F.explode("pa"))
+    right = ranked.select("entity_id", F.col("key").alias("b"), F.col("stems").alias("sb"), F.explode("stems").alias("stem"))
+    na, nb = F.size("sa"), F.size("sb")
+    met = left.join(right, ["entity_id", "stem"]).where(((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (F.get(F.filter("pa", lambda x: F.array_contains("sb", x)), 0) == F.col("stem")))
+    return met.where(F.size(F.array_intersect("sa", "sb")) / na >= threshold).select("entity_id", "a", "b")
+
+
 def reconcile(facts: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(fact_id, outcome) of candidates: held with fewer than two buckets; classified when buckets agree; activated if attributed opinion; else kept.
 
-    Pairs meet inside an entity on a shared stem, so facts without one are never compared.
+    Of two agreeing facts the earlier one must name its bucket. Facts of one bucket with the same stems are compared as
+    one: of those without a bucket only the least and the largest id matter.
     """
-    c = facts.where("status = 'candidate'").withColumn("stems", X.stems(F.col("fact")))
+    c = facts.where("status = 'candidate'").withColumn("stems", F.array_sort(X.stems(F.col("fact")))).withColumn("_bucket", F.coalesce("bucket", F.lit("")))
     sides = c.groupBy("entity_id").agg(F.count_distinct(F.nullif("bucket", F.lit(""))).alias("sides"))
-    c = c.join(sides, "entity_id")
-    part = c.where("sides >= 2").select("entity_id", "fact_id", "bucket", "stems", F.explode("stems").alias("stem"))
-    a = part.select("entity_id", "stem", F.col("fact_id").alias("a"), F.col("bucket").alias("ba"), F.col("stems").alias("sa"))
-    b = part.select("entity_id", "stem", F.col("fact_id").alias("b"), F.col("bucket").alias("bb"), F.col("stems").alias("sb"))
-    agree = a.join(b, ["entity_id", "stem"]).where("a < b AND ba <> bb AND ba <> ''").where(X.stem_overlap(F.col("sa"), F.col("sb")) >= threshold)
-    hit = agree.select(F.explode(F.array("a", "b")).alias("fact_id")).distinct().withColumn("_hit", F.lit(True))
-    outcome = (
-        F.when(F.col("sides") < 2, "held").when(F.col("_hit"), "classified").when((F.col("kind") == "evaluative") & F.col("attribution").isNotNull() & (F.col("attribution") != ""), "activated").otherwise("kept")
+    c = shared.stored(c.join(sides, "entity_id").select("fact_id", "entity_id", "kind", "attribution", "sides", "stems", "_bucket"), "candidates")
+    keys = ["entity_id", "_bucket", "stems"]
+    classes = c.where(F.col("sides") >= 2).where(F.size("stems") > 0).groupBy(*keys).agg(F.min("fact_id").alias("lo"), F.max("fact_id").alias("hi"))
+    of = classes.select("entity_id", "stems", F.struct("lo", "hi", F.col("_bucket").alias("bucket")).alias("key"))
+    met = similar_sets(of, threshold).where("a.bucket <> b.bucket")
+    both = met.select("entity_id", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(met.select("entity_id", F.col("b").alias("x"), F.col("a").alias("y")))
+    named, other = F.col("x.bucket") != "", F.col("y.bucket") != ""
+    hits = both.groupBy("entity_id", F.col("x.bucket").alias("_bucket"), F.col("x.lo").alias("lo")).agg(
+        F.bool_or(named & other).alias("all"), F.max(F.when(named & ~other, F.col("y.hi"))).alias("below"), F.min(F.when(~named & other, F.col("y.lo"))).alias("above")
     )
-    return c.join(hit, "fact_id", "left").select("fact_id", "entity_id", outcome.alias("outcome"))
+    marked = c.join(classes.join(hits, ["entity_id", "_bucket", "lo"]).select(*keys, "all", "below", "above"), keys, "left")
+    hit = F.coalesce("all", F.lit(False)) | F.coalesce(F.col("fact_id") < F.col("below"), F.lit(False)) | F.coalesce(F.col("fact_id") > F.col("above"), F.lit(False))
+    outcome = F.when(F.col("sides") < 2, "held").when(hit, "classified").when((F.col("kind") == "evaluative") & F.col("attribution").isNotNull() & (F.col("attribution") != ""), "activated").otherwise("kept")
+    return marked.select("fact_id", "entity_id", outcome.alias("outcome"))
 
 
 def drop_similar(facts: DataFrame, threshold: float = 0.7, known: DataFrame | None = None) -> DataFrame:
-    """Facts that repeat neither a known fact nor an earlier kept one of their entity, in order of fact_id.
+    """Facts (entity_id, fact_id) that repeat neither a known fact nor an earlier kept one of their entity, in order of fact_id.
 
-    A fold over each entity's stem sets; an index of stems finds the kept sets that share one.
+    The order-first choice in rounds: among facts that conflict, those with no earlier rival left are kept, their later rivals
+    go, and so on until no conflict is left. Facts with the same stems stand for each other, so copies make no pairs; a
+    fact without stems conflicts with none. A round is two joins on what is still open, whatever an entity holds.
     """
-    schema = "entity_id string, fact_id long"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entity, sizes, index, seen = None, [], {}, set()
-        for pdf in batches:
-            out = []
-            for e, i, old, stems in zip(pdf.entity_id, pdf.fact_id, pdf.known, pdf.stems):
-                if e != entity:
-                    entity, sizes, index, seen = e, [], {}, set()
-                s = frozenset(stems)
-                shared: dict[int, int] = {}
-                if s not in seen:
-                    for stem in s:
-                        for k in index.get(stem, ()):
-                            shared[k] = shared.get(k, 0) + 1
-                again = (s in seen and bool(s)) or any(n / min(len(s), sizes[k]) >= threshold for k, n in shared.items())
-                if old or not again:
-                    if s and s not in seen:
-                        for stem in s:
-                            index.setdefault(stem, []).append(len(sizes))
-                        sizes.append(len(s))
-                        seen.add(s)
-                    if not old:
-                        out.append((e, i))
-            yield pd.DataFrame(out, columns=["entity_id", "fact_id"])
-
-    rows = facts.select("entity_id", "fact_id", F.lit(False).alias("known"), X.stems(F.col("fact")).alias("stems"))
-    if known is not None:
-        rows = rows.unionByName(known.select("entity_id", "fact_id", F.lit(True).alias("known"), X.stems(F.col("fact")).alias("stems")))
-    return rows.repartition("entity_id").sortWithinPartitions("entity_id", F.desc("known"), "fact_id").mapInPandas(fold, schema)
+    part = lambda df, new: df.select("entity_id", "fact_id", F.lit(new).alias("new"), F.array_sort(X.stems(F.col("fact"))).alias("stems"))
+    rows = part(facts, True) if known is None else part(facts, True).unionByName(part(known, False))
+    rows = shared.stored(rows, "facts")
+    some = rows.where(F.size("stems") > 0)
+    # The first of those with the same stems, known ones before all; false sorts first.
+    reps = some.groupBy("entity_id", "stems").agg(F.min(F.struct("new", "fact_id")).alias("key"))
+    met = similar_sets(reps, threshold)
+    pairs = met.select("entity_id", F.least("a", "b").alias("e"), F.greatest("a", "b").alias("l")).where("l.new")
+    open_, gone, end = shared.stored(pairs, "rivals"), [], ["entity_id"]
+    while not open_.isEmpty():
+        first = open_.select(*end, F.col("e").alias("x")).distinct().join(open_.select(*end, F.col("l").alias("x")).distinct(), [*end, "x"], "left_anti")
+        out = shared.stored(open_.join(first.withColumnRenamed("x", "e"), [*end, "e"], "left_semi").select(*end, F.col("l").alias("x")).distinct(), "dropped")
+        gone.append(out)
+        left = open_.join(out.withColumnRenamed("x", "l"), [*end, "l"], "left_anti").join(out.withColumnRenamed("x", "e"), [*end, "e"], "left_anti")
+        open_ = shared.stored(left, "rivals")
+    best = reps.select("entity_id", F.col("key").alias("x"))
+    for out in gone:
+        best = best.join(out, ["entity_id", "x"], "left_anti")
+    kept = best.where("x.new").select("entity_id", F.col("x.fact_id").alias("fact_id"))
+    return kept.unionByName(rows.where((F.size("stems") == 0) & F.col("new")).select("entity_id", "fact_id"))
 
 
 def pick_facts(facts: DataFrame, topics: DataFrame, as_of: int, top: int = 2) -> DataFrame:
@@ -233,8 +251,10 @@ CYRILLIC = [
     ("è", "е"), ("ò", "о"), ("ç", "с"), ("j", "х"), ("h", ""), ("z", "с"), ("v", "в"), ("y", "и"), ("x", "кс"), ("w", "в"), ("c", "к"), ("q", "к"), ("a", "а"), ("b", "б"),
     ("d", "д"), ("e", "е"), ("f", "ф"), ("g", "г"), ("i", "и"), ("k", "к"), ("l", "л"), ("m", "м"), ("n", "н"), ("o", "о"), ("p", "п"), ("r", "р"), ("s", "с"), ("t", "т"), ("u", "у"),
 ]
-#: Fixed patterns of surnames that Cyrillic already spells.
-SLAVIC = r"(?i)^(putin|stalin|lenin|yeltsin|kalinin)$|^(?=.{6,}$).*(ov|ev|off|ski|sky|ich|vic|vich|enko)a?$|^(?=.{7,}$).*ina?$"
+#: Fixed rules of surnames that Cyrillic already spells: known ones, endings from six letters on, endings from seven letters on.
+SLAVIC_KNOWN = ["putin", "stalin", "lenin", "yeltsin", "kalinin"]
+SLAVIC_ENDING = "(ov|ev|off|ski|sky|ich|vic|vich|enko)a?$"
+SLAVIC_LONG_ENDING = "ina?$"
 _CAPITAL = r"\p{Lu}[\p{L}\p{N}_'’-]+"
 
 
@@ -245,42 +265,76 @@ def to_cyrillic(name: Column) -> Column:
     return F.trim(F.regexp_replace(out, "[^а-яё ]", ""))
 
 
+def is_slavic(surname: Column) -> Column:
+    low, n = F.lower(surname), F.length(surname)
+    return low.isin(*SLAVIC_KNOWN) | ((n >= 6) & low.rlike(SLAVIC_ENDING)) | ((n >= 7) & low.rlike(SLAVIC_LONG_ENDING))
+
+
 def latin_names(titles: DataFrame, places: list[str], not_names: list[str]) -> DataFrame:
-    """(id, name): names of two or three capitalised Latin words in titles (id, title), without places and Slavic surnames, and their surnames of six letters or more.
+    """(id, name, at): names of two or three capitalised Latin words in titles (id, title, and `position` if their order counts), without places and Slavic surnames, and their surnames of six letters or more.
 
-    Words of `not_names` that lead a run are no part of the name.
+    Words of `not_names` that lead a run are no part of the name. `at` sorts names by first appearance, a surname behind its name.
     """
     lead = "|".join(sorted(not_names)) or "(?!)"
-    run = F.explode(F.regexp_extract_all("title", F.lit(rf"({_CAPITAL}(?:\s+(?:(?:de|del|la|y)\s+)?{_CAPITAL}){{0,2}})"), 1)).alias("run")
+    position = F.col("position").cast("long") if "position" in titles.columns else F.lit(0).cast("long")
+    run = F.posexplode(F.regexp_extract_all("title", F.lit(rf"({_CAPITAL}(?:\s+(?:(?:de|del|la|y)\s+)?{_CAPITAL}){{0,2}})"), 1)).alias("nth", "run")
     cut = F.regexp_replace(F.regexp_replace("run", r"\s+", " "), rf"^(?:(?:{lead}) ?)+(?= |\p{{Lu}}|$)", "")
     parts = F.split(F.trim("name"), " ")
     last = F.element_at(parts, -1)
     gone = lambda c: F.lower(c).isin(*places) | to_cyrillic(c).isin(*places) if places else F.lit(False)
-    rows = titles.select("id", run).select("id", F.trim(cut).alias("name")).where((F.size(parts) >= 2) & F.col("name").rlike("^[^Ѐ-ӿ]+$"))
-    rows = rows.where(~gone(F.col("name")) & ~last.rlike(SLAVIC))
+    rows = titles.select("id", position.alias("position"), "title", run).select("id", "position", "title", "nth", F.trim(cut).alias("name")).where((F.size(parts) >= 2) & F.col("name").rlike("^[^Ѐ-ӿ]+$"))
+    rows = rows.where(~gone(F.col("name")) & ~is_slavic(last))
     surname = F.when((F.length(last) >= 6) & ~gone(last), last)
-    return rows.select("id", F.explode(F.array_compact(F.array("name", surname))).alias("name")).distinct()
+    every = rows.select("id", "position", "title", "nth", F.posexplode(F.array("name", surname)).alias("part", "name")).where("name IS NOT NULL")
+    return every.groupBy("id", "name").agg(F.min(F.struct("position", "title", "nth", "part")).alias("at"))
+
+
+_CYRILLIC_WORD = re.compile("[А-ЯЁ][а-яё]+")
+
+
+def _near(a: str, b: str, most: int) -> bool:
+    """Are two words within `most` edits?"""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return False
+    return row[-1] <= most
+
+
+def restored(text: str, names: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str]]]:
+    """The text after names (Latin, as Cyrillic spells it) are put back one by one, and what was put in for what."""
+    made = []
+    for name, target in names:
+        if not target or name.casefold() in text.casefold():
+            continue
+        words, n = _CYRILLIC_WORD.findall(text), len(name.split())
+        for i in range(len(words) - n + 1):
+            window = words[i : i + n]
+            if _near(" ".join(window).casefold(), target, 2 if len(target) >= 8 else 1):
+                text = re.sub(r"\s+".join(map(re.escape, window)), lambda _: name, text)
+                made.append((name, " ".join(window)))
+                break
+    return text, made
 
 
 def restore_names(posts: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, name, phrase): the first run of capitalised Cyrillic words of a post (id, text) that spells a Latin name of its story (id, name).
+    """Posts (id, text) with Cyrillic spellings of their stories' Latin names (id, name, at) put back, and `restored` (name, phrase).
 
-    Spellings may differ by one letter, or two from eight letters on. A name that the text already has in Latin is
-    left out. Names and runs of as many words meet inside a post.
+    Names are taken in order, each over the text as the ones before left it: one that stands in it in Latin by then is
+    passed over. A name replaces the first run of as many capitalised words that spells it, wherever that run occurs; spellings
+    may differ by one letter, or two from eight letters on.
     """
-    words = F.regexp_extract_all("text", F.lit("([А-ЯЁ][а-яё]+)"), 1)
-    sizes = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit(5))).alias("n")
-    p = posts.select("id", F.col("text"), words.alias("w"))
-    grams = p.select("id", "w", sizes).where(F.size("w") >= F.col("n"))
-    grams = grams.select("id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("at", "phrase"))
-    n = names.select("id", "name", to_cyrillic(F.col("name")).alias("target"), F.size(F.split("name", r"\s+")).alias("n")).where("target <> ''")
-    n = n.join(posts.select("id", F.lower("text").alias("_low")), "id").where(~F.contains(F.col("_low"), F.lower("name"))).drop("_low")
-    near = F.levenshtein(F.lower("phrase"), F.col("target")) <= F.when(F.length("target") >= 8, 2).otherwise(1)
-    return first_of(n.join(grams, ["id", "n"]).where(near), ["id", "name"], ["at"]).select("id", "name", "phrase")
-
-
-def apply_names(posts: DataFrame, found: DataFrame) -> DataFrame:
-    """Posts (id, text) with the found phrases replaced by their names, longer names first."""
-    own = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("name", "phrase")), lambda a, b: F.length(b["name"]) - F.length(a["name"])).alias("_f"))
-    done = F.aggregate("_f", F.col("text"), lambda acc, x: F.replace(acc, x["phrase"], x["name"]))
-    return posts.join(own, "id", "left").withColumn("text", F.coalesce(done, F.col("text"))).drop("_f")
+    own = names.withColumn("target", to_cyrillic(F.col("name"))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "name", "target"))).alias("_n"))
+
+    @F.pandas_udf("text string, restored array<struct<name:string,phrase:string>>")
+    def put_back(text: pd.Series, latin: pd.Series, cyrillic: pd.Series) -> pd.DataFrame:
+        out = [restored(t, list(zip(a, b))) if t is not None and a is not None else (t, []) for t, a, b in zip(text, latin, cyrillic)]
+        return pd.DataFrame({"text": [t for t, _ in out], "restored": [[{"name": n, "phrase": p} for n, p in m] for _, m in out]})
+
+    j = posts.join(own, "id", "left").withColumn("_r", put_back("text", F.col("_n.name"), F.col("_n.target")))
+    return j.select(*[F.col("_r.text").alias("text") if c == "text" else F.col(c) for c in posts.columns], F.col("_r.restored").alias("restored"))

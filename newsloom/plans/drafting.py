@@ -363,12 +363,18 @@ def dropped_models(t):
     return B.drop_model(a, "m1").select("id", F.col("embedding").isNotNull().alias("has_vector"), "embed_model", "cluster_id")
 
 
-@query(f""" SELECT source_id AS feed, url_canonical AS url, trim(title, ' ') AS title, pub_min FROM articles WHERE source_id IS NOT NULL AND pub_min >= {AS_OF} - 2880 AND regexp_matches(title, '^[\\p{{L}}\\p{{N}} ,.;:]*[\\p{{L}}\\p{{N}},.;:]$') QUALIFY row_number() OVER (PARTITION BY source_id, url_canonical ORDER BY pub_min, trim(title, ' ')) = 1""")
+@query(f""" SELECT source_id AS feed, url_canonical AS url, trim(title, ' ') AS title, pub_min FROM articles WHERE source_id IS NOT NULL AND pub_min >= {AS_OF} - 2880 AND trim(title, ' ') <> '' QUALIFY row_number() OVER (PARTITION BY source_id, url_canonical ORDER BY pub_min, trim(title, ' ')) = 1""")
 def feed_rows(t):
-    """Each article as its outlet's feed would send it, parsed back; titles of plain characters only, so that both engines write the same XML."""
-    a = t.articles.where("source_id IS NOT NULL").where(F.col("title").rlike(r"^[\p{L}\p{N} ,.;:]*[\p{L}\p{N},.;:]$"))
-    date = F.date_format(F.timestamp_seconds((F.col("pub_min") + 28401120) * 60), "dd MMM yyyy HH:mm:ss")
-    body = F.concat(F.lit("<rss><channel><item><title>"), "title", F.lit("</title><link>"), "url_canonical", F.lit("?utm_source=x</link><pubDate>Mon, "), date, F.lit(" +0000</pubDate><description>d</description></item></channel></rss>"))
+    """Each article as its outlet's feed would send it, in turn as RSS, RDF and Atom, parsed back."""
+    a = t.articles.where("source_id IS NOT NULL")
+    ts = F.timestamp_seconds((F.col("pub_min") + 28401120) * 60)
+    title = F.col("title")
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        title = F.replace(title, F.lit(raw), F.lit(entity))
+    rss = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>"), "url_canonical", F.lit("?utm_source=x</link><pubDate>Mon, "), F.date_format(ts, "dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate><description>d</description></item></channel></rss>"))
+    rdf = F.concat(F.lit('<rdf:RDF><item rdf:about="u"><title>'), title, F.lit("</title><link>"), "url_canonical", F.lit("</link><dc:date>"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</dc:date></item></rdf:RDF>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="text">'), title, F.lit('</title><link rel="self" href="http://other.example/"/><link href="'), "url_canonical", F.lit('"/><updated>'), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00</updated></entry></feed>"))
+    body = F.when(F.col("id") % 3 == 0, rss).when(F.col("id") % 3 == 1, rdf).otherwise(atom)
     return B.parse_feeds(a.select(F.col("source_id").alias("feed"), body.alias("body")), AS_OF).select("feed", "url", "title", "pub_min")
 
 
@@ -500,4 +506,5 @@ def restored_names(t):
     """Titles spelled in Cyrillic, and the Latin names that come back from the titles themselves."""
     titles = t.articles.where("title IS NOT NULL").select("id", F.initcap(F.lower("title")).alias("title"))
     posts = titles.select("id", F.initcap(entities.to_cyrillic(F.col("title"))).alias("text"))
-    return entities.restore_names(posts, entities.latin_names(titles, ["madrid"], ["El", "La"]))
+    done = entities.restore_names(posts, entities.latin_names(titles, ["madrid"], ["El", "La"]))
+    return done.select("id", F.sha2("text", 256).alias("text_sha256"), F.explode("restored").alias("r")).select("id", "r.name", "r.phrase", "text_sha256")

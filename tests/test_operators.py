@@ -365,9 +365,65 @@ def test_latin_names_are_restored(spark):
     got = {(r.id, r.name) for r in names.collect()}
     assert {(1, "Leire Díez"), (2, "Leire Díez"), (1, "Araujo")} <= got and not any("Shapovalov" in n for _, n in got)
     posts = spark.createDataFrame([(1, "Сегодня Лейре Диез сказала, что Араухо уходит."), (2, "Пишет Leire Díez, не Лейре Диез."), (3, "Лейре Диез")], "id long, text string")
-    found = entities.restore_names(posts, names)
-    texts = {r.id: r.text for r in entities.apply_names(posts, found).collect()}
+    texts = {r.id: r.text for r in entities.restore_names(posts, names).collect()}
     assert texts == {1: "Сегодня Leire Díez сказала, что Araujo уходит.", 2: posts.where("id = 2").first().text, 3: "Лейре Диез"}
+    # A surname is passed over once its full name stands in the text; a title's order counts.
+    titles = spark.createDataFrame([(1, 0, "Pedro Sanchez gana"), (2, 1, "gana Pedro Sanchez"), (2, 0, "Ana Arangoz vuelve")], "id long, position long, title string")
+    posts = spark.createDataFrame([(1, "Педро Санчес и снова Санчес"), (2, "Арангос и Педро Санчес"), (3, None)], "id long, text string")
+    done = {r.id: (r.text, [tuple(x) for x in r.restored]) for r in entities.restore_names(posts, entities.latin_names(titles, [], [])).collect()}
+    assert done[1] == ("Pedro Sanchez и снова Санчес", [("Pedro Sanchez", "Педро Санчес")])
+    assert done[2] == ("Arangoz и Pedro Sanchez", [("Arangoz", "Арангос"), ("Pedro Sanchez", "Педро Санчес")]) and done[3] == (None, [])
+
+
+def random_facts(seed, n=160, buckets=("", "left", "right", "center")):
+    rnd = random.Random(seed)
+    words = [f"{c}{c}{c}{c}{d}" for c in "abcdefgh" for d in "xyz"]
+    facts = [" ".join(rnd.choices(words, weights=range(1, 25), k=rnd.randint(0, 7))) for _ in range(n)]
+    return [(k, f"e{k % 3}", facts[k] if k % 9 else facts[k // 2], "evaluative" if k % 2 else "role", "candidate" if k % 5 else "active", rnd.choice(buckets), "x" if k % 4 else None) for k in range(n)]
+
+
+def stem_set(text):
+    return {w[:5] for w in text.split() if len(w) > 3}
+
+
+@pytest.mark.parametrize("seed, threshold", [(1, 0.5), (2, 0.7), (3, 1.0)])
+def test_fact_joins_equal_the_plain_loops(spark, seed, threshold):
+    rows = random_facts(seed)
+    f = spark.createDataFrame(rows, "fact_id long, entity_id string, fact string, kind string, status string, bucket string, attribution string")
+    over = lambda a, b: bool(a and b) and len(a & b) / min(len(a), len(b)) >= threshold
+    # Greedy in order of the id, with known facts before all.
+    for known in ([], [r for r in rows if r[0] % 7 == 0]):
+        new, want = [r for r in rows if r not in known], set()
+        for e in ("e0", "e1", "e2"):
+            seen = [stem_set(r[2]) for r in known if r[1] == e]
+            for r in sorted(new):
+                if r[1] == e and not any(over(stem_set(r[2]), s) for s in seen):
+                    seen.append(stem_set(r[2]))
+                    want.add(r[0])
+        ids = [r[0] for r in known]
+        got = entities.drop_similar(f.where(~F.col("fact_id").isin(ids)) if ids else f, threshold, f.where(F.col("fact_id").isin(ids)) if ids else None)
+        assert {r.fact_id for r in got.collect()} == want and got.count() == len(want)
+    hit = set()
+    c = [r for r in rows if r[4] == "candidate"]
+    for i, a in enumerate(c):
+        for b in c[i + 1 :]:
+            if a[1] == b[1] and a[5] and a[5] != b[5] and over(stem_set(a[2]), stem_set(b[2])):
+                hit |= {a[0], b[0]}
+    got = {r.fact_id: r.outcome for r in entities.reconcile(f, threshold).collect()}
+    assert {i for i, o in got.items() if o == "classified"} == hit and len(got) == len(c) and hit
+
+
+def test_feeds_of_all_kinds(spark):
+    rss = '<rss><channel><item><title><![CDATA[A & B]]></title><link>https://x.example/a</link><pubDate>Wed, 31 Jan 2024 10:00:00 GMT</pubDate><content:encoded><![CDATA[long text]]></content:encoded><description>d</description><media:thumbnail url="u"/></item></channel></rss>'
+    rdf = '<rdf:RDF><item rdf:about="x"><title>R</title><link>https://x.example/r</link><dc:date>2024-01-31T10:00:00Z</dc:date></item></rdf:RDF>'
+    atom = """<feed><entry xml:lang="en"><title type="html">T &amp;amp; U</title><link rel='self' href='https://x.example/self'/><link rel="alternate" href="https://x.example/t"/><published>2024-01-31T09:00:00+01:00</published><updated>2024-01-31T20:00:00Z</updated><summary>s</summary></entry>
+      <entry><title>V</title><id>https://x.example/v</id></entry><entry><title></title><link href="https://x.example/w"/></entry><entry><title>Old</title><link href="https://x.example/o"/><updated>2023-01-31T20:00:00Z</updated></entry></feed>"""
+    feeds = spark.createDataFrame([("rss", rss), ("rdf", rdf), ("atom", atom), ("none", None), ("bad", "<html>")], "feed string, body string")
+    got = {(r.feed, r.url): (r.title, r.summary, r.pub_min) for r in B.parse_feeds(feeds, 43200 + 1440).collect()}
+    assert got == {
+        ("rss", "https://x.example/a"): ("A & B", "long text", 43800), ("rdf", "https://x.example/r"): ("R", "", 43800),
+        ("atom", "https://x.example/t"): ("T &amp; U", "s", 43200 + 480), ("atom", "https://x.example/v"): ("V", "", 44640),
+    }
 
 
 def test_middle_outlets_join_the_edges(spark):
