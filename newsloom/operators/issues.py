@@ -23,22 +23,30 @@ def select_issue(stories: DataFrame, last: DataFrame, as_of: int, least_sources:
 
 
 def space_topics(items: DataFrame, most: int = 3) -> DataFrame:
-    """Items (issue, position, topic) with a new position: after `most` of one topic in a row others wait and go to the end, in order."""
-    rows = items.groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("position", "topic"))).alias("items"))
-    empty = F.array().cast(dict(rows.dtypes)["items"])
-    start = F.struct(empty.alias("out"), empty.alias("later"))
-
-    def step(acc, x):
-        tail = F.slice(acc["out"], F.greatest(F.size(acc["out"]) - (most - 1), F.lit(1)), F.lit(most))
-        full = (F.size(acc["out"]) >= most) & F.forall(tail, lambda t: t["topic"].eqNullSafe(x["topic"]))
-        return F.struct(
-            F.when(full, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"),
-            F.when(full, F.concat(acc["later"], F.array(x))).otherwise(acc["later"]).alias("later"),
-        )
-
-    done = F.aggregate("items", start, step, lambda a: F.concat(a["out"], a["later"]))
-    spaced = rows.select("issue", F.posexplode(done).alias("p", "x"))
-    return spaced.select("issue", F.col("x.position").alias("position"), F.col("x.topic").alias("topic"), (F.col("p") + 1).alias("new_position"))
+    """Items (issue, position, topic) with a new position: after `most` of one topic in a row others wait and go to the end, in order.
+
+    One pass in order marks what waits, with the last topic and the length of its run as its whole state; a second sort places it.
+    """
+    kinds = dict(items.dtypes)
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last, run = None, None, 0
+        for pdf in batches:
+            later = []
+            for issue, topic in zip(pdf.issue, pdf.topic):
+                if issue != now:
+                    now, last, run = issue, None, 0
+                same = run > 0 and topic == last
+                wait = same and run >= most
+                later.append(wait)
+                if not wait:
+                    last, run = topic, run + 1 if same else 1
+            yield pdf.assign(later=later)
+
+    rows = items.select("issue", "position", "topic").repartition("issue").sortWithinPartitions("issue", "position")
+    marked = rows.mapInPandas(mark, f"issue {kinds['issue']}, position {kinds['position']}, topic {kinds['topic']}, later boolean")
+    place = F.row_number().over(Window.partitionBy("issue").orderBy("later", "position"))
+    return marked.select("issue", "position", "topic", place.alias("new_position"))
 
 
 def pack_messages(blocks: DataFrame, limit: int = 4096, separator: int = 2, most: int | None = None) -> DataFrame:

@@ -508,3 +508,35 @@ def restored_names(t):
     posts = titles.select("id", F.initcap(entities.to_cyrillic(F.col("title"))).alias("text"))
     done = entities.restore_names(posts, entities.latin_names(titles, ["madrid"], ["El", "La"]))
     return done.select("id", F.sha2("text", 256).alias("text_sha256"), F.explode("restored").alias("r")).select("id", "r.name", "r.phrase", "text_sha256")
+
+
+def _names(t):
+    """Names: the second and third word of each benchmark item; aliases: their keys."""
+    w = F.split("text", r"[ \n.,]+")
+    return t.raw("benchmark").select(F.concat(F.lit("e"), "item_id").alias("entity_id"), F.concat_ws(" ", w[1], w[2]).alias("name"))
+
+
+NAMES = rf""", nm AS (SELECT 'e' || item_id AS entity_id, concat_ws(' ', w[2], w[3]) AS name FROM (SELECT item_id, regexp_split_to_array(text, '[ \n.,]+') AS w FROM benchmark)),
+keys AS (SELECT entity_id, {key_sql('name')} AS alias FROM nm)"""
+
+
+@query(NAMES + rf""", single AS (SELECT entity_id, unnest(string_split(alias, ' ')) AS alias FROM keys), tokens AS (SELECT alias AS token, min(entity_id) AS entity_id FROM single GROUP BY 1),
+sf AS (SELECT DISTINCT unnest({words_sql('title')}) AS surface FROM articles), s AS (SELECT surface, {key_sql('surface')} AS key FROM sf),
+near AS (SELECT surface, entity_id, alias, levenshtein(key, alias) AS d FROM s JOIN single ON length(key) >= 5 AND length(alias) >= 5 AND abs(length(key) - length(alias)) <= 2)
+SELECT surface, entity_id, 'exact' AS how FROM s JOIN tokens ON token = key
+UNION ALL SELECT surface, entity_id, 'surname' FROM s JOIN tokens ON token = string_split(key, ' ')[-1] WHERE length(token) > 3
+UNION ALL SELECT surface, entity_id, 'fuzzy' FROM (SELECT * FROM near WHERE d <= CASE WHEN length({key_sql('surface')}) < 8 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY surface ORDER BY d, entity_id, alias) = 1)""")
+def alias_matching(t):
+    """Exact, surname and fuzzy matches of words of the documents' titles against names; the fuzzy join loses no pair."""
+    names = _names(t).select("entity_id", X.entity_key(F.col("name")).alias("alias"))
+    words = t.articles.select(F.explode(X.words(F.col("title"))).alias("surface")).distinct()
+    tag = lambda df, how: df.select("surface", "entity_id", F.lit(how).alias("how"))
+    single = names.select("entity_id", F.explode(F.split("alias", " ")).alias("alias"))
+    return tag(entities.match_exact(words, single), "exact").unionByName(tag(entities.match_surname(words, names), "surname")).unionByName(tag(entities.match_fuzzy(words, single), "fuzzy"))
+
+
+@query(NAMES + f""", tx AS (SELECT id, pub_min, ' ' || array_to_string({words_sql('coalesce(body, summary)')}, ' ') || ' ' AS flat FROM articles)
+SELECT entity_id, id, (row_number() OVER (PARTITION BY entity_id ORDER BY pub_min DESC, id))::INT AS rn FROM keys JOIN tx ON alias <> '' AND contains(flat, ' ' || alias || ' ') QUALIFY rn <= 5""")
+def entity_mentions(t):
+    texts = t.articles.select("id", "pub_min", F.coalesce("body", "summary").alias("text"))
+    return entities.mentions(_names(t), texts)

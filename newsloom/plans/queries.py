@@ -18,13 +18,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, plain: bool = False):
+def query(sql: str | None = None, plain: bool = False, recursive: bool = False):
     """Register a function of Tables under its name; `plain` SQL reads the raw tables only."""
 
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = sql.strip() if plain else oracle(sql)
+            text = sql.strip() if plain else oracle(sql)
+            ORACLES[f.__name__] = text.replace("WITH", "WITH RECURSIVE", 1) if recursive else text
         return f
 
     return add
@@ -596,29 +597,11 @@ def diverse_press(t):
     return entities.diverse_sources(rows).select("entity_id", "id", "pick")
 
 
-def _names(t):
-    """Names: the second and third word of each benchmark item; aliases: their keys."""
-    w = F.split("text", r"[ \n.,]+")
-    return t.raw("benchmark").select(F.concat(F.lit("e"), "item_id").alias("entity_id"), F.concat_ws(" ", w[1], w[2]).alias("name"))
-
-
-@query()
-def alias_matching(t):
-    """Exact, surname and fuzzy matches of words of the documents' titles against names; the fuzzy join loses no pair."""
-    names = _names(t).select("entity_id", X.entity_key(F.col("name")).alias("alias"))
-    words = t.articles.select(F.explode(F.split(X.normalize_title(F.col("title")), " ")).alias("surface")).distinct()
-    tag = lambda df, how: df.select("surface", "entity_id", F.lit(how).alias("how"))
-    single = names.select("entity_id", F.explode(F.split("alias", " ")).alias("alias"))
-    return tag(entities.match_exact(words, single), "exact").unionByName(tag(entities.match_surname(words, names), "surname")).unionByName(tag(entities.match_fuzzy(words, single), "fuzzy"))
-
-
-@query()
-def entity_mentions(t):
-    texts = t.articles.select("id", "pub_min", F.coalesce("body", "summary").alias("text"))
-    return entities.mentions(_names(t), texts)
-
-
-@query()
+@query(f""", st AS (SELECT entity_id, fact_id, s, row_number() OVER (PARTITION BY entity_id ORDER BY fact_id) AS k FROM (SELECT entity_id, fact_id, list_distinct({STEMS}) AS s FROM facts)),
+fold AS (SELECT entity_id, fact_id, k, [s] AS kept, true AS keep FROM st WHERE k = 1
+  UNION ALL SELECT entity_id, fact_id, k, CASE WHEN again THEN kept ELSE list_append(kept, s) END, NOT again FROM (SELECT st.*, kept,
+    len([x FOR x IN kept IF len(x) > 0 AND len(s) > 0 AND len(list_intersect(x, s)) / greatest(1, least(len(x), len(s))) >= 0.7]) > 0 AS again FROM fold JOIN st ON st.entity_id = fold.entity_id AND st.k = fold.k + 1))
+SELECT entity_id, fact_id FROM fold WHERE keep""", recursive=True)
 def similar_facts(t):
     return entities.drop_similar(t.facts)
 
@@ -680,18 +663,33 @@ def _issue_items(t):
     return items
 
 
-@query()
+FOLDED = """, i AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY place) AS k FROM base)"""
+
+
+@query(""", base AS (SELECT pub_min // 1440 AS grp, post_id AS place, category AS topic FROM posts WHERE pub_min IS NOT NULL)""" + FOLDED + """,
+fold AS (SELECT grp, place, topic, k, topic AS tail, 1 AS run, false AS later FROM i WHERE k = 1
+  UNION ALL SELECT i.grp, i.place, i.topic, i.k, CASE WHEN run >= 3 AND tail IS NOT DISTINCT FROM i.topic THEN tail ELSE i.topic END,
+    CASE WHEN tail IS DISTINCT FROM i.topic THEN 1 WHEN run >= 3 THEN run ELSE run + 1 END, run >= 3 AND tail IS NOT DISTINCT FROM i.topic FROM fold JOIN i ON i.grp = fold.grp AND i.k = fold.k + 1)
+SELECT grp AS issue, place AS position, topic, (row_number() OVER (PARTITION BY grp ORDER BY later, place))::INT AS new_position FROM fold""", recursive=True)
 def topic_spacing(t):
     return issues.space_topics(_issue_items(t))
 
 
-@query()
+@query(""", base AS (SELECT pub_min // 1440 AS grp, id AS place, coalesce(length(coalesce(body, summary)), 0) AS n FROM articles)""" + FOLDED + """,
+fold AS (SELECT grp, place, n, k, 1 AS message, n AS used FROM i WHERE k = 1
+  UNION ALL SELECT i.grp, i.place, i.n, i.k, CASE WHEN used > 0 AND used + 2 + i.n > 4096 THEN message + 1 ELSE message END,
+    CASE WHEN used > 0 AND used + 2 + i.n <= 4096 THEN used + 2 + i.n ELSE i.n END FROM fold JOIN i ON i.grp = fold.grp AND i.k = fold.k + 1)
+SELECT grp AS issue, place AS position, n AS length, message::BIGINT AS message FROM fold""", recursive=True)
 def message_packing(t):
     blocks = t.articles.select(F.floor(F.col("pub_min") / 1440).alias("issue"), F.col("id").alias("position"), F.coalesce(F.length(F.coalesce("body", "summary")), F.lit(0)).cast("long").alias("length"))
     return issues.pack_messages(blocks)
 
 
-@query()
+@query(""", base AS (SELECT id % 16 AS grp, id AS place, greatest(1, floor(length(coalesce(body, summary, '')) / 3.2)::BIGINT + 1) AS n FROM articles)""" + FOLDED + """,
+fold AS (SELECT grp, place, n, k, 0 AS batch, 1 AS items, n AS used FROM i WHERE k = 1
+  UNION ALL SELECT i.grp, i.place, i.n, i.k, CASE WHEN items >= 256 OR used + i.n > 60000 THEN batch + 1 ELSE batch END,
+    CASE WHEN items >= 256 OR used + i.n > 60000 THEN 1 ELSE items + 1 END, CASE WHEN items >= 256 OR used + i.n > 60000 THEN i.n ELSE used + i.n END FROM fold JOIN i ON i.grp = fold.grp AND i.k = fold.k + 1)
+SELECT place AS id, n AS tokens, grp AS shard, batch::BIGINT AS batch FROM fold""", recursive=True)
 def token_batches(t):
     return issues.token_batches(t.articles.select("id", F.coalesce("body", "summary").alias("text")))
 
