@@ -6,13 +6,13 @@ one to the end of its available input with a checkpoint, exactly once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+
+from newsloom.operators.similarity import RUN, LeaderFold
 
 
 def fresh(stream: DataFrame, hours: int = 48) -> DataFrame:
@@ -35,9 +35,52 @@ def velocity(stream: DataFrame, key: str = "cluster_id", hours: int = 6) -> Data
     return fresh(stream).groupBy(F.window("ts", f"{hours} hours", "1 hour"), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
-def rolling_quota(stream: DataFrame) -> DataFrame:
-    """Posts in sliding windows of a day."""
-    return fresh(stream, 1).groupBy(F.window("ts", "24 hours", "1 hour")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+class _Processor(StatefulProcessor):
+    def close(self) -> None:
+        pass
+
+
+class _Trailing(_Processor):
+    """Waiting rows until the watermark has passed them, and the times of the last `span` microseconds before it."""
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("trailing", "recent array<long>, times array<long>, ids array<long>")
+
+    def _load(self) -> list[np.ndarray]:
+        found = self.state.get() if self.state.exists() else ([], [], [])
+        return [np.array(x, dtype=np.int64) for x in found]
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        recent, times, ids = self._load()
+        new = pd.concat(list(rows))
+        times, ids = np.concatenate([times, new.us.to_numpy()]), np.concatenate([ids, new.id.to_numpy()])
+        self.state.update((recent.tolist(), times.tolist(), ids.tolist()))
+        self.handle_timer(times)
+        yield pd.DataFrame({"key": pd.Series([], dtype=object), "id": [], "n": []})
+
+    def handle_timer(self, times: np.ndarray) -> None:
+        if len(times):
+            self.handle.registerTimer(int(times.min() // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        recent, times, ids = self._load()
+        done = times <= now
+        all_ = np.sort(np.concatenate([recent, times[done]]))
+        n = np.searchsorted(all_, times[done], side="right") - np.searchsorted(all_, times[done] - self.span, side="left")
+        self.state.update((all_[all_ > now - self.span].tolist(), times[~done].tolist(), ids[~done].tolist()))
+        self.handle_timer(times[~done])
+        yield pd.DataFrame({"key": [key[0]] * int(done.sum()), "id": ids[done], "n": n})
+
+
+def rolling_quota(stream: DataFrame, key: str = "channel", hours: int = 24) -> DataFrame:
+    """(key, id, n): at every post (id, ts, key) how many of its key came in the `hours` up to it, itself included. Exact, in order of event time whatever the arrival."""
+    rows = stream.withWatermark("ts", "1 hour").select(F.col(key).cast("string").alias("key"), "id", F.unix_micros("ts").alias("us"), "ts")
+    return rows.groupBy("key").transformWithStateInPandas(_Trailing(hours * 3_600_000_000), "key string, id long, n long", "Append", "EventTime")
 
 
 def weekly_taps(stream: DataFrame) -> DataFrame:
@@ -59,83 +102,171 @@ def story_growth(posts: DataFrame, articles: DataFrame, hours: int = 48) -> Data
     return p.join(a, (F.col("p.cluster_id") == F.col("a.cluster_id")) & span).where("NOT array_contains(p.posted_owners, a.owner)").select("p.post_id", "p.cluster_id", "a.owner", "a.ts")
 
 
+class _Promotion(_Processor):
+    """First time and outcome of a story, and its owners as a map."""
+
+    def __init__(self, least: int, hours: int):
+        self.least, self.span = least, hours * 3_600_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("story", "first long, done boolean")
+        self.owners = handle.getMapState("owners", "owner string", "first long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        first, done = self.state.get() if self.state.exists() else (None, False)
+        new = pd.concat(list(rows))
+        new = new.assign(ms=new.ts.map(lambda t: int(t.timestamp() * 1000)))
+        was = first
+        first = int(new.ms.min()) if first is None else min(first, int(new.ms.min()))
+        self.state.update((first, done))
+        if not done:
+            for owner, ms in new.groupby("owner").ms.min().items():
+                self.owners.updateValue((owner,), (min(int(ms), self.owners.getValue((owner,))[0]) if self.owners.containsKey((owner,)) else int(ms),))
+            if was is None or first < was:
+                self.handle.registerTimer(first + self.span)
+            # Earlier rows may still come while the watermark is below, so the verdict waits for the timer.
+        yield pd.DataFrame({"cluster_id": [], "outcome": pd.Series([], dtype=object)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        out = []
+        first, done = self.state.get() if self.state.exists() else (None, True)
+        if not done and timerValues.getCurrentWatermarkInMs() >= first + self.span:
+            soon = sum(ms[0] <= first + self.span for _, ms in self.owners.iterator())
+            out = ["promoted" if soon >= self.least else "expired"]
+            self.state.update((first, True))
+            self.owners.clear()
+        yield pd.DataFrame({"cluster_id": [key[0]] * len(out), "outcome": pd.Series(out, dtype=object)})
+
+
 def promotion(stream: DataFrame, least_owners: int = 3, hours: int = 4) -> DataFrame:
-    """(cluster_id, outcome): promoted when enough owners wrote within `hours` of the first article, else expired by an event-time timer."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            _, _, done = state.get
-            state.remove()
-            if not done:
-                yield pd.DataFrame({"cluster_id": [key[0]], "outcome": ["expired"]})
-            return
-        first, owners, done = state.get if state.exists else (None, "", False)
-        seen, promoted = set(filter(None, owners.split("\x1f"))), False
-        for pdf in batches:
-            for ts, owner in sorted(zip(pdf.ts, pdf.owner)):
-                ms = int(ts.timestamp() * 1000)
-                first = ms if first is None else min(first, ms)
-                if ms <= first + hours * 3_600_000:
-                    seen.add(owner)
-        if not done and len(seen) >= least_owners:
-            done = promoted = True
-        state.update((first, "\x1f".join(sorted(seen)), done))
-        state.setTimeoutTimestamp(max(first + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
-        if promoted:
-            yield pd.DataFrame({"cluster_id": [key[0]], "outcome": ["promoted"]})
-
-    rows = stream.withWatermark("ts", "10 minutes").select("cluster_id", "ts", "owner")
-    return rows.groupBy("cluster_id").applyInPandasWithState(step, "cluster_id long, outcome string", "first long, owners string, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    """(cluster_id, outcome) of a story (cluster_id, ts, owner), once: promoted if enough owners wrote within `hours` of the first article, else expired. An event-time timer gives the verdict when the watermark has passed."""
+    rows = stream.withWatermark("ts", "10 minutes").select("cluster_id", "ts", "owner").where("owner IS NOT NULL")
+    return rows.groupBy("cluster_id").transformWithStateInPandas(_Promotion(least_owners, hours), "cluster_id long, outcome string", "Append", "EventTime")
+
+
+class _Stories(_Processor):
+    """The open stories of a block as a map; a timer takes away each when it has been idle for the window."""
+
+    def __init__(self, threshold: float, minutes: float):
+        self.threshold, self.minutes = threshold, minutes
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.stories = handle.getMapState("stories", "lead long", "first double, last double, sum binary")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        new = pd.concat(list(rows)).sort_values(["ts", "id"])
+        at = new.ts.map(lambda t: t.timestamp() / 60).to_numpy()
+        v = np.stack(new.embedding.to_list()).astype(np.float64)
+        fold = LeaderFold(self.threshold, self.minutes, False)
+        held = [(k[0], *x) for k, x in self.stories.iterator()]
+        if held:
+            fold.put(np.array([x[0] for x in held]), np.stack([np.frombuffer(x[3]) for x in held]), np.array([x[1] for x in held]), np.array([x[2] for x in held]))
+        story = np.concatenate([fold.add(new.id.to_numpy()[k : k + RUN], at[k : k + RUN], v[k : k + RUN]) for k in range(0, len(v), RUN)])
+        touched = set(story.tolist())
+        for lead, first, last, total in zip(fold.lead.tolist(), fold.first.tolist(), fold.last.tolist(), fold.sums):
+            if lead in touched:
+                self.stories.updateValue((lead,), (first, last, total.tobytes()))
+                self.handle.registerTimer(int((last + self.minutes) * 60_000) + 1)
+        yield pd.DataFrame({"id": new.id.to_numpy(), "story": story})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        now = timerValues.getCurrentWatermarkInMs() / 60_000
+        for lead in [k[0] for k, x in self.stories.iterator() if x[1] + self.minutes < now]:
+            self.stories.removeKey((lead,))
+        yield pd.DataFrame({"id": [], "story": []})
 
 
 def cluster_stream(stream: DataFrame, threshold: float = 0.78, window_hours: int = 48) -> DataFrame:
-    """(id, story): leader clustering with its state in the stream, one state per block; stories idle for two windows are forgotten."""
-    span = window_hours * 3600.0
+    """(id, story): leader clustering of (block, id, ts, embedding) with its open stories in the stream's state, each under a key of its own.
+
+    Micro-batches are taken as they come, rows of one in order of (ts, id); a story that was idle for the window goes by an event-time timer.
+    """
+    rows = stream.withWatermark("ts", "1 hour").select("block", "id", "ts", "embedding")
+    return rows.groupBy("block").transformWithStateInPandas(_Stories(threshold, 60.0 * window_hours), "id long, story long", "Append", "EventTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        leads, lasts, sums = state.get if state.exists else ([], [], [])
-        leads, lasts, sums = list(leads), list(lasts), [np.frombuffer(b, dtype=np.float32).copy() for b in sums]
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        out = []
-        for i, ts, v in zip(rows.id, rows.ts, rows.embedding):
-            v, at = np.asarray(v, dtype=np.float32), ts.timestamp()
-            best, top = -1, threshold
-            for j, s in enumerate(sums):
-                if lasts[j] >= at - span:
-                    sim = float(s @ v) / (float(np.linalg.norm(s) * np.linalg.norm(v)) or 1.0)
-                    if sim >= top and (best < 0 or sim > top):
-                        best, top = j, sim
-            if best < 0:
-                leads.append(int(i))
-                lasts.append(at)
-                sums.append(v.copy())
-                best = len(leads) - 1
-            else:
-                sums[best] += v
-                lasts[best] = max(lasts[best], at)
-            out.append((int(i), leads[best]))
-        newest = max(lasts, default=0.0)
-        live = [j for j in range(len(leads)) if lasts[j] >= newest - 2 * span]
-        state.update(([leads[j] for j in live], [lasts[j] for j in live], [sums[j].tobytes() for j in live]))
-        yield pd.DataFrame(out, columns=["id", "story"])
-
-    kept = "leads array<long>, lasts array<double>, sums array<binary>"
-    return stream.select("block", "id", "ts", "embedding").groupBy("block").applyInPandasWithState(step, "id long, story long", kept, "append", GroupStateTimeout.NoTimeout)
+
+_PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run to the end of the available input into Parquet under `folder`; running again goes on from the checkpoint."""
-    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    """Run to the end of the available input into Parquet under `folder`; running again goes on from the checkpoint. State lies in RocksDB, as timers and maps need."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER)
+    conf.set(_PROVIDER, _ROCKS)
+    try:
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        conf.set(_PROVIDER, before)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def upsert_each_batch(stream: DataFrame, folder: str, merge) -> None:
-    """Apply merge(old_or_None, batch) per micro-batch to a versioned table: version n is written once, so a repeated batch changes nothing."""
+def _delete(spark, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{folder}/v{number - 1}") if number else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{folder}/v{number}")
 
+class KeyedTable:
+    """A keyed table under a folder that takes upserts: rows lie in buckets of their keys, and a version says which batch wrote each bucket last.
+
+    A batch writes the buckets that it touches and then, as its commit, the version's list of (bucket, batch), at most
+    `buckets` rows. A batch that comes again after its commit changes nothing. Bucket files that the version before last
+    alone named are removed.
+    """
+
+    def __init__(self, spark, folder: str, keys: list[str], buckets: int = 64):
+        self.spark, self.folder, self.keys, self.buckets = spark, folder, keys, buckets
+
+    def _version(self, number: int) -> dict[int, int]:
+        path = f"{self.folder}/versions/{number}"
+        if number < 0 or not _exists(self.spark, f"{path}/_SUCCESS"):
+            return {}
+        return {r["bucket"]: r["batch"] for r in self.spark.read.parquet(path).collect()}
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _rows(self, where: dict[int, int], schema) -> DataFrame:
+        paths = [f"{self.folder}/data/{batch}/bucket={k}" for k, batch in where.items()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def upsert(self, batch: DataFrame, number: int, merge) -> None:
+        """merge(old, batch) gives the new rows of the touched buckets."""
+        if self._version(number):
+            return
+        last = self._version(number - 1)
+        batch = batch.persist()
+        touched = [r[0] for r in batch.select(self._bucket()).distinct().collect()]  # at most `buckets`
+        old = self._rows({k: last[k] for k in touched if k in last}, batch.schema)
+        merge(old, batch).withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/{number}")
+        batch.unpersist()
+        now = last | {k: number for k in touched}
+        self.spark.createDataFrame(list(now.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/{number}")
+        gone = set(self._version(number - 2).items()) - set(last.items())
+        for k, b in gone:
+            _delete(self.spark, f"{self.folder}/data/{b}/bucket={k}")
+        if number >= 2:
+            _delete(self.spark, f"{self.folder}/versions/{number - 2}")
+
+    def read(self, schema) -> DataFrame:
+        """The table after the last committed batch."""
+        path, done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/versions"), []
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(path):
+            done = [int(x.getPath().getName()) for x in files.listStatus(path) if _exists(self.spark, f"{x.getPath()}/_SUCCESS")]
+        return self._rows(self._version(max(done, default=-1)), schema)
+
+
+def upsert_each_batch(stream: DataFrame, folder: str, keys: list[str], merge, buckets: int = 64) -> DataFrame:
+    """Apply merge(old, batch) per micro-batch to a KeyedTable, exactly once; the table after the last batch."""
+    table = KeyedTable(stream.sparkSession, folder, keys, buckets)
+    write = lambda batch, number: table.upsert(batch, number, merge)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return table.read(stream.schema)
