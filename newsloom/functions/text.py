@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed lists of query parameters that do not change what a page holds.
-TRACKING_PREFIXES = "utm_ pk_ at_ ns_ _ga mtm_ piwik_".split()
-TRACKING_NAMES = "fbclid gclid gbraid wbraid msclkid yclid igshid ref referer referrer source cmp ncid sid s_kwcid spm share sharedfrom cid outputtype".split()
+TRACKING_PREFIXES = ["utm_", "pk_", "at_", "ns_", "_ga", "mtm_", "piwik_"]
+TRACKING_NAMES = [
+    "fbclid", "gclid", "gbraid", "wbraid", "msclkid", "yclid", "igshid", "ref", "referer", "referrer", "source", "cmp", "ncid", "sid", "s_kwcid", "spm",
+    "share", "sharedfrom", "cid", "outputtype",
+]
 #: Fixed list of titles and articles before a name.
-NAME_PREFIXES = "el la los las don doña presidente president presidenta ministro ministra министр президент председатель глава лидер экс vicepresidente vicepresidenta líder lider".split()
+NAME_PREFIXES = [
+    "el", "la", "los", "las", "don", "doña", "presidente", "president", "presidenta", "ministro", "ministra", "министр", "президент", "председатель", "глава", "лидер",
+    "экс", "vicepresidente", "vicepresidenta", "líder", "lider",
+]
 #: Accented letters to their base letters (lower case), after compatibility forms.
 _PAIRS = [("áàâäãåā", "a"), ("éèêëēėę", "e"), ("íìîïī", "i"), ("óòôöõō", "o"), ("úùûüū", "u"), ("ñ", "n"), ("ç", "c"), ("ýÿ", "y"), ("й", "и"), ("ё", "е")]
 ACCENTED = "".join(a for a, _ in _PAIRS)
 PLAIN = "".join(b * len(a) for a, b in _PAIRS)
 
 
+_TAIL = re.compile(r"\s*[|–—-]\s*[^|–—-]{2,30}$")
+_PUNCTUATION = re.compile(r"[^\w\s]")
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\n\r\x0B\f]+", " "))
 
@@ -31,8 +45,24 @@ def normalize_title(title: Column) -> Column:
     return squeeze(F.regexp_replace(fold(x), r"[^\p{L}\p{N}_\s]", " "))
 
 
-def title_hash(title: Column) -> Column:
-    return F.substring(F.sha2(normalize_title(title), 256), 1, 32)
+def exact_title(title: Column) -> Column:
+    """`normalize_title` with compatibility forms (NFKC), full case folding and every combining mark, for any script; Arrow batches."""
+
+    @F.pandas_udf("string")
+    def exact(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str:
+            x = _TAIL.sub("", unicodedata.normalize("NFKC", t or "").strip()).casefold()
+            x = "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
+            return " ".join(_PUNCTUATION.sub(" ", x).split())
+
+        return s.map(one)
+
+    return exact(title)
+
+
+def title_hash(title: Column, exact: bool = False) -> Column:
+    """The first half of the SHA-256 of a normalised title; built-in functions know the accents of Latin and Cyrillic, `exact` all others too."""
+    return F.substring(F.sha2(exact_title(title) if exact else normalize_title(title), 256), 1, 32)
 
 
 def canonical_url(url: Column) -> Column:

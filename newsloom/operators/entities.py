@@ -202,11 +202,19 @@ def pick_entities(entities: DataFrame, facts: DataFrame, as_of: int, top: int =
     return e.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= top)
 
 
-def entity_stats(aliases: DataFrame, facts: DataFrame, mention_counts: DataFrame, as_of: int) -> DataFrame:
+def entity_stats(entities: DataFrame, aliases: DataFrame, facts: DataFrame, mention_counts: DataFrame, as_of: int) -> DataFrame:
+    """Aliases, live facts and mentions of every entity, zeros included."""
     a = aliases.groupBy("entity_id").agg(F.count("*").alias("aliases"))
     f = live(facts, as_of).groupBy("entity_id").agg(F.count("*").alias("live_facts"))
-    out = a.join(f, "entity_id", "left").join(mention_counts, "entity_id", "left")
-    return out.select("entity_id", "aliases", F.coalesce("live_facts", F.lit(0)).alias("live_facts"), F.coalesce("mentions", F.lit(0)).alias("mentions"))
+    out = entities.select("entity_id").distinct().join(a, "entity_id", "left").join(f, "entity_id", "left").join(mention_counts, "entity_id", "left")
+    return out.select("entity_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("aliases", "live_facts", "mentions")])
+
+
+def without_pool(entities: DataFrame, facts: DataFrame, mention_counts: DataFrame, top: int = 5) -> DataFrame:
+    """The most mentioned entities (entity_id, never_explain) without an active fact."""
+    e = entities.where(~F.col("never_explain")).join(facts.where("status = 'active'").select("entity_id").distinct(), "entity_id", "left_anti")
+    e = e.join(mention_counts, "entity_id", "left").select("entity_id", F.coalesce("mentions", F.lit(0)).alias("mentions"))
+    return e.orderBy(F.desc("mentions"), "entity_id").limit(top)
 
 
 def recheck_queue(facts: DataFrame, mention_counts: DataFrame, top: int = 20) -> DataFrame:
@@ -239,10 +247,20 @@ def foreign_words(contexts: DataFrame, stop: list[str], most_chars: int = 200) -
     return split.withColumn("foreign", own).drop("_used", "_words").withColumn("ok", (F.size("foreign") == 0) & (F.length("context") <= most_chars))
 
 
-def refresh_targets(posts: DataFrame, changed: DataFrame, as_of: int, hours: int = 24) -> DataFrame:
-    """Posts (post_id, entity_ids, pub_min) to render again because an entity of theirs changed."""
-    p = posts.where(F.col("pub_min") >= as_of - 60 * hours).select("post_id", F.explode("entity_ids").alias("entity_id"))
-    return p.join(changed.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("post_id").agg(F.array_sort(F.collect_set("entity_id")).alias("changed"))
+def refresh_targets(posts: DataFrame, changed: DataFrame, as_of: int, hours: int = 24, alive: DataFrame | None = None) -> DataFrame:
+    """Posts (post_id, entity_ids, pub_min, and entity_context if there is one) to render again because an entity of theirs changed.
+
+    Changed entities that are not among `alive` are deleted ones: they leave the post's ids, in order, and its map of contexts.
+    """
+    p = posts.where(F.col("pub_min") >= as_of - 60 * hours)
+    ids = changed.select("entity_id").distinct()
+    gone = ids.withColumn("gone", F.lit(False)) if alive is None else ids.join(alive.select("entity_id", F.lit(False).alias("gone")).distinct(), "entity_id", "left").fillna(True, ["gone"])
+    hit = p.select("post_id", F.explode(F.array_distinct("entity_ids")).alias("entity_id")).join(gone, "entity_id").groupBy("post_id")
+    hit = hit.agg(F.array_sort(F.collect_set("entity_id")).alias("changed"), F.collect_set(F.when(F.col("gone"), F.col("entity_id"))).alias("_gone"))
+    out = [F.filter("entity_ids", lambda e: ~F.array_contains("_gone", e)).alias("entity_ids")]
+    if "entity_context" in posts.columns:
+        out.append(F.map_filter("entity_context", lambda k, _: F.array_contains("entity_ids", k) & ~F.array_contains("_gone", k)).alias("entity_context"))
+    return p.join(hit, "post_id").select("post_id", "changed", *out)
 
 
 #: Latin letters as Cyrillic ones, groups before single letters.

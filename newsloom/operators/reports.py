@@ -43,12 +43,10 @@ def feed_gate(runs: DataFrame, least: float = 0.7) -> DataFrame:
 
 
 def feed_status(runs: DataFrame) -> DataFrame:
-    """Per outlet: the last success, the last attempt and whether that one failed."""
-    return runs.groupBy("source_id").agg(
-        F.max(F.when(F.col("feed_ok"), F.col("run_min"))).alias("last_ok_min"),
-        F.max("run_min").alias("last_min"),
-        F.max_by("feed_ok", F.struct("run_min", "event_id")).alias("last_ok"),
-    )
+    """Per outlet: the last success, the last attempt, whether that one succeeded, and the latest `etag` and `last_modified` that a fetch brought (if `runs` has them)."""
+    latest = F.struct("run_min", "event_id")
+    kept = [F.max_by(c, F.when(F.col(c).isNotNull(), latest)).alias(c) for c in ("etag", "last_modified") if c in runs.columns]
+    return runs.groupBy("source_id").agg(F.max(F.when(F.col("feed_ok"), F.col("run_min"))).alias("last_ok_min"), F.max("run_min").alias("last_min"), F.max_by("feed_ok", latest).alias("last_ok"), *kept)
 
 
 def score_percentile(posts: DataFrame, as_of: int, p: float = 0.95, days: int = 30, least: int = 20) -> DataFrame:
@@ -122,6 +120,20 @@ def weekly_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy((F.floor(F.col("run_min") / (7 * DAY))).alias("week"), "status").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
+def weekly_ops(digests: DataFrame, runs: DataFrame, facts: DataFrame, as_of: int, days: int = 7) -> DataFrame:
+    """(metric, value) of the last `days`: digests (created_min, status, item_count), runs by status with their tokens, and the fact pool."""
+    since = as_of - days * DAY
+    fresh = lambda c: F.col(c) >= since
+    n = lambda ok, name: F.count_if(ok).cast("double").alias(name)
+    d = digests.where(fresh("created_min")).agg(
+        n(F.col("status") == "published", "digests_published"), n(F.col("status") == "skipped", "digests_skipped"),
+        F.coalesce(F.avg(F.when(F.col("status") == "published", F.col("item_count"))), F.lit(0.0)).alias("average_items"),
+    )
+    r = runs.where(fresh("run_min")).agg(F.count("*").cast("double").alias("runs"), *[n(F.col("status") == x, f"runs_{x}") for x in ("ok", "halted", "failed")], F.coalesce(F.sum("tokens"), F.lit(0)).cast("double").alias("tokens"))
+    f = facts.agg(*[n(F.col("status") == x, f"facts_{x}") for x in ("active", "candidate", "retired")], n(fresh("created_min"), "facts_added"), n((F.col("kind") == "legal") & (F.col("status") == "stale"), "legal_expired"))
+    return long_form(d.crossJoin(r).crossJoin(f))  # three single rows
+
+
 def weekly_taps(taps: DataFrame) -> DataFrame:
     return taps.groupBy((F.floor(F.col("tap_min") / (7 * DAY))).alias("week")).agg(F.count("*").alias("taps"), F.count_distinct("user_id").alias("users"), F.count_distinct("entity_id").alias("entities"))
 

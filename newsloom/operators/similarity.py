@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,16 +50,6 @@ def hash_embedding(texts: DataFrame, text: str = "text", dim: int = 1024) -> Dat
     return texts.withColumn("embedding", embed(F.col(text)))
 
 
-def normal_form(column: Column) -> Column:
-    """Exact compatibility form and case folding, for texts beyond the accents that the built-in path knows."""
-
-    @F.pandas_udf("string")
-    def nfkc(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t).casefold()) if unicodedata.category(c) != "Mn"))
-
-    return nfkc(column)
-
-
 def check_dimension(vectors: DataFrame, dim: int) -> DataFrame:
     """Fails on a vector of another length."""
     wrong = F.raise_error(F.concat(F.lit("a vector has dimension "), F.size("embedding")))

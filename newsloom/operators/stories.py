@@ -34,8 +34,12 @@ def bucket(value: str | Column = "lean_value") -> Column:
     return F.when(v <= -1, "left").when(v >= 1, "right").when(v.isNotNull(), "center")
 
 
-def spectrum(members: DataFrame, as_of: int, w_span: float = 1.5, half_life_hours: float = 12, min_owners: int = 3) -> DataFrame:
-    """Per story: owners, political owners, span, buckets, admission, one-sidedness and the spectrum score."""
+#: The branches of the admission rule, any of which admits a story.
+BRANCHES = ("left_and_right", "side_and_center", "min_sources")
+
+
+def spectrum(members: DataFrame, as_of: int, w_span: float = 1.5, half_life_hours: float = 12, min_owners: int = 3, branches: tuple[str, ...] = BRANCHES) -> DataFrame:
+    """Per story: owners, political owners, span, buckets, admission by the named branches, one-sidedness and the spectrum score."""
     p, v = political(), F.col("lean_value")
     has = lambda b: F.coalesce(F.bool_or(p & (bucket() == b)), F.lit(False))
     out = members.groupBy("cluster_id").agg(
@@ -48,7 +52,11 @@ def spectrum(members: DataFrame, as_of: int, w_span: float = 1.5, half_life_hour
         F.min("pub_min").alias("first_min"),
     )
     sides = F.col("has_left").cast("int") + F.col("has_center").cast("int") + F.col("has_right").cast("int")
-    passes = (F.col("has_left") & F.col("has_right")) | ((F.col("has_left") | F.col("has_right")) & F.col("has_center")) | (F.col("n_political") >= min_owners)
+    left, center, right = F.col("has_left"), F.col("has_center"), F.col("has_right")
+    rules = {"left_and_right": left & right, "side_and_center": (left | right) & center, "min_sources": F.col("n_political") >= min_owners}
+    passes = F.lit(False)
+    for name in branches:
+        passes = passes | rules[name]
     age = F.greatest(F.lit(0.0), (F.lit(as_of) - F.col("first_min")) / 60)
     score = (F.col("n_owners") + w_span * F.col("span")) * F.pow(F.lit(2.0), -age / half_life_hours)
     return out.select("*", passes.alias("passes"), (sides == 1).alias("one_sided"), score.alias("score"))

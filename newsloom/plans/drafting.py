@@ -303,12 +303,20 @@ def notify_queue(t):
     return entities.notify_queue(q, q.where("key LIKE 'a%'"), least=2)
 
 
-@query(f""", a AS (SELECT DISTINCT entity_id, attribution FROM facts WHERE attribution IS NOT NULL), f AS (SELECT entity_id, count(*) AS live_facts FROM facts WHERE status = 'active' AND (expires_min IS NULL OR expires_min > {AS_OF}) GROUP BY 1),
-m AS (SELECT entity_id, count(*) AS mentions FROM taps GROUP BY 1), c AS (SELECT entity_id, count(*) AS aliases FROM a GROUP BY 1)
-SELECT entity_id, aliases, coalesce(live_facts, 0) AS live_facts, coalesce(mentions, 0) AS mentions FROM c LEFT JOIN f USING (entity_id) LEFT JOIN m USING (entity_id)""")
+@query(f""", a AS (SELECT DISTINCT entity_id, attribution FROM facts WHERE attribution IS NOT NULL AND substring(entity_id, 2)::INT % 3 > 0), f AS (SELECT entity_id, count(*) AS live_facts FROM facts WHERE status = 'active' AND (expires_min IS NULL OR expires_min > {AS_OF}) GROUP BY 1),
+m AS (SELECT entity_id, count(*) AS mentions FROM taps GROUP BY 1), c AS (SELECT entity_id, count(*) AS aliases FROM a GROUP BY 1), e AS (SELECT entity_id FROM facts UNION SELECT entity_id FROM taps)
+SELECT entity_id, coalesce(aliases, 0) AS aliases, coalesce(live_facts, 0) AS live_facts, coalesce(mentions, 0) AS mentions FROM e LEFT JOIN c USING (entity_id) LEFT JOIN f USING (entity_id) LEFT JOIN m USING (entity_id)""")
 def entity_stats(t):
-    aliases = t.facts.where("attribution IS NOT NULL").select("entity_id", "attribution").distinct()
-    return entities.entity_stats(aliases, t.facts, t.taps.groupBy("entity_id").agg(F.count("*").alias("mentions")), AS_OF)
+    """Every third entity has no alias."""
+    everyone = t.facts.select("entity_id").unionByName(t.taps.select("entity_id"))
+    aliases = t.facts.where("attribution IS NOT NULL AND cast(substring(entity_id, 2) AS int) % 3 > 0").select("entity_id", "attribution").distinct()
+    return entities.entity_stats(everyone, aliases, t.facts, t.taps.groupBy("entity_id").agg(F.count("*").alias("mentions")), AS_OF)
+
+
+@query(""", m AS (SELECT entity_id, count(*) AS mentions FROM taps GROUP BY 1) SELECT entity_id, mentions FROM m WHERE entity_id <> 'e7' AND entity_id NOT IN (SELECT entity_id FROM facts WHERE status = 'active' AND fact_id % 3 = 0) ORDER BY mentions DESC, entity_id LIMIT 5""")
+def entities_without_pool(t):
+    m = t.taps.groupBy("entity_id").agg(F.count("*").alias("mentions"))
+    return entities.without_pool(m.select("entity_id", (F.col("entity_id") == "e7").alias("never_explain")), t.facts.where("fact_id % 3 = 0"), m)
 
 
 @query(""", map AS (SELECT DISTINCT entity_id AS old_id, 'e' || (substring(entity_id, 2)::INT // 2) AS new_id FROM facts WHERE substring(entity_id, 2)::INT % 3 = 0),
@@ -334,11 +342,17 @@ def backfill_targets(t):
     return drafts.backfill_targets(posts, names, AS_OF, top=3)
 
 
-@query(f""", p AS (SELECT post_id, pub_min, ['e' || (post_id % 40), 'e' || (cluster_id % 40)] AS e FROM posts), x AS (SELECT DISTINCT post_id, unnest(e) AS entity_id FROM p WHERE pub_min >= {AS_OF} - 1440)
-SELECT post_id, list_sort(list(entity_id)) AS changed FROM x WHERE entity_id IN (SELECT entity_id FROM facts WHERE kind = 'legal' AND status = 'stale') GROUP BY 1""")
+@query(f""", p AS (SELECT post_id, pub_min, ['e' || (post_id % 40), 'e' || (cluster_id % 40)] AS e FROM posts WHERE pub_min >= {AS_OF} - 1440), c AS (SELECT list(DISTINCT entity_id) AS l FROM facts WHERE kind = 'legal' AND status = 'stale'),
+h AS (SELECT post_id, list_sort(list_distinct([x FOR x IN e IF list_contains(l, x)])) AS changed, [x FOR x IN e IF NOT (list_contains(l, x) AND substring(x, 2)::INT % 2 = 1)] AS entity_ids FROM p, c)
+SELECT post_id, changed, entity_ids, list_sort(list_distinct(entity_ids)) AS context_keys FROM h WHERE len(changed) > 0""")
 def refresh_targets(t):
-    p = t.posts.select("post_id", "pub_min", F.array(F.concat(F.lit("e"), F.col("post_id") % 40), F.concat(F.lit("e"), F.col("cluster_id") % 40)).alias("entity_ids"))
-    return entities.refresh_targets(p, t.facts.where("kind = 'legal' AND status = 'stale'"), AS_OF)
+    """Entities of an odd number are deleted by now."""
+    ids = F.array(F.concat(F.lit("e"), F.col("post_id") % 40), F.concat(F.lit("e"), F.col("cluster_id") % 40))
+    context = F.map_from_entries(F.transform(F.array_distinct(ids), lambda e: F.struct(e, F.concat(F.lit("about "), e))))
+    p = t.posts.select("post_id", "pub_min", ids.alias("entity_ids"), context.alias("entity_context"))
+    alive = t.facts.where("cast(substring(entity_id, 2) AS int) % 2 = 0").select("entity_id")
+    out = entities.refresh_targets(p, t.facts.where("kind = 'legal' AND status = 'stale'"), AS_OF, alive=alive)
+    return out.select("post_id", "changed", "entity_ids", F.array_sort(F.map_keys("entity_context")).alias("context_keys"))
 
 
 @query(" SELECT fact_id FROM facts ORDER BY md5('1:' || fact_id), fact_id LIMIT 5")

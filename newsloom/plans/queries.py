@@ -234,9 +234,13 @@ def feed_gate(t):
     return reports.feed_gate(t.runs)
 
 
-@query(""" SELECT source_id, max(run_min) FILTER (feed_ok) AS last_ok_min, max(run_min) AS last_min, arg_max(feed_ok, (run_min, event_id)) AS last_ok FROM runs GROUP BY 1""")
+@query(""", r AS (SELECT *, CASE WHEN event_id % 3 > 0 THEN 'e' || event_id END AS etag, CASE WHEN event_id % 7 = 0 THEN run_min END AS last_modified FROM runs)
+SELECT source_id, max(run_min) FILTER (feed_ok) AS last_ok_min, max(run_min) AS last_min, arg_max(feed_ok, (run_min, event_id)) AS last_ok,
+  arg_max(etag, (run_min, event_id)) FILTER (etag IS NOT NULL) AS etag, arg_max(last_modified, (run_min, event_id)) FILTER (last_modified IS NOT NULL) AS last_modified FROM r GROUP BY 1""")
 def feed_status(t):
-    return reports.feed_status(t.runs)
+    """A fetch brings an etag two times of three, a date of change one time of seven."""
+    runs = t.runs.withColumn("etag", F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("e"), "event_id"))).withColumn("last_modified", F.when(F.col("event_id") % 7 == 0, F.col("run_min")))
+    return reports.feed_status(runs)
 
 
 @query(f""" SELECT count(*) AS n, CASE WHEN count(*) >= 20 THEN round(quantile_cont(score, 0.95), 6) END AS threshold FROM posts WHERE status = 'published' AND pub_min >= {AS_OF} - 43200""")
@@ -298,6 +302,30 @@ def weekly_runs(t):
     return reports.weekly_runs(t.runs)
 
 
+@query(f""", d AS (SELECT pub_min // 180 AS k, min(pub_min) AS created_min, CASE WHEN (pub_min // 180) % 5 = 0 THEN 'skipped' ELSE 'published' END AS status, count(*) AS item_count FROM posts WHERE pub_min IS NOT NULL GROUP BY 1, 3),
+c AS (SELECT * FROM (SELECT count(*) FILTER (status = 'published')::DOUBLE AS digests_published, count(*) FILTER (status = 'skipped')::DOUBLE AS digests_skipped, round(coalesce(avg(item_count) FILTER (status = 'published'), 0), 6) AS average_items FROM d WHERE created_min >= {AS_OF} - 10080),
+ (SELECT count(*)::DOUBLE AS runs, count(*) FILTER (status = 'ok')::DOUBLE AS runs_ok, count(*) FILTER (status = 'halted')::DOUBLE AS runs_halted, count(*) FILTER (status = 'failed')::DOUBLE AS runs_failed, coalesce(sum(tokens), 0)::DOUBLE AS tokens FROM runs WHERE run_min >= {AS_OF} - 10080),
+ (SELECT count(*) FILTER (status = 'active')::DOUBLE AS facts_active, count(*) FILTER (status = 'candidate')::DOUBLE AS facts_candidate, count(*) FILTER (status = 'retired')::DOUBLE AS facts_retired,
+  count(*) FILTER (fact_id * 7919 % 43200 >= {AS_OF} - 10080)::DOUBLE AS facts_added, count(*) FILTER (kind = 'legal' AND status = 'stale')::DOUBLE AS legal_expired FROM facts))
+SELECT metric, value FROM (UNPIVOT c ON COLUMNS(*) INTO NAME metric VALUE value)""")
+def weekly_ops(t):
+    """Digests are the posts of three hours; every fifth is skipped."""
+    k = F.floor(F.col("pub_min") / 180)
+    digests = t.posts.where("pub_min IS NOT NULL").groupBy(k.alias("k")).agg(F.min("pub_min").alias("created_min"), F.count("*").alias("item_count")).withColumn("status", F.when(F.col("k") % 5 == 0, "skipped").otherwise("published"))
+    facts = t.facts.withColumn("created_min", F.col("fact_id") * 7919 % 43200)
+    return reports.weekly_ops(digests, t.runs, facts, AS_OF).withColumn("value", F.round("value", 6))
+
+
+@query(SPECTRUM + """ SELECT cluster_id, has_left AND has_right AS left_and_right, (has_left OR has_right) AND has_center AS side_and_center, n_political >= 3 AS min_sources, (has_left AND has_right) OR n_political >= 3 AS no_center FROM spectrum""")
+def admission_branches(t):
+    """Each branch of the admission rule alone, and the rule without one."""
+    only = lambda name, *b: S.spectrum(t.members, AS_OF, branches=b).select("cluster_id", F.col("passes").alias(name))
+    out = only("left_and_right", "left_and_right")
+    for df in (only("side_and_center", "side_and_center"), only("min_sources", "min_sources"), only("no_center", "left_and_right", "min_sources")):
+        out = out.join(df, "cluster_id")
+    return out
+
+
 @query(" SELECT tap_min // 10080 AS week, count(*) AS taps, count(DISTINCT user_id) AS users, count(DISTINCT entity_id) AS entities FROM taps GROUP BY 1")
 def weekly_taps(t):
     return reports.weekly_taps(t.taps)
@@ -462,6 +490,12 @@ def title_hashes(t):
     return t.articles.select("id", X.normalize_title(F.col("title")).alias("norm"), X.title_hash(F.col("title")).alias("hash"))
 
 
+@query(TITLES + " SELECT id, norm, substring(sha256(norm), 1, 32) AS hash FROM h")
+def exact_title_hashes(t):
+    """The Arrow path, which must agree with the built-in one on these letters."""
+    return t.articles.select("id", X.exact_title(F.col("title")).alias("norm"), X.title_hash(F.col("title"), exact=True).alias("hash"))
+
+
 @query(TITLES + """, known AS (SELECT * FROM h WHERE id % 10 = 0),
 a AS (SELECT * FROM h WHERE id % 10 <> 0 AND (source_id, norm) NOT IN (SELECT source_id, norm FROM known) QUALIFY row_number() OVER (PARTITION BY source_id, norm ORDER BY pub_min, id) = 1),
 b AS (SELECT * FROM a WHERE url_canonical NOT IN (SELECT url_canonical FROM known) QUALIFY row_number() OVER (PARTITION BY url_canonical ORDER BY pub_min, id) = 1) SELECT id, source_id, url_canonical FROM b""")

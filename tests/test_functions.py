@@ -74,3 +74,11 @@ def test_small_ones(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>")
     r = df.select(X.cosine(F.col("a"), F.col("b")), X.cosine(F.col("a"), F.col("z"))).first()
     assert r[0] == pytest.approx(0.5**0.5) and r[1] == 0
+
+
+def test_exact_titles_know_compatibility_forms(spark):
+    rows = [("ﬁn de la Ｇuerra | El País", "fin de la guerra"), ("STRASSE straße", "strasse strasse"), ("İstanbul  Ǆ", "istanbul dz"), ("Ελλάδα ½", "ελλαδα 1 2"), ("हिन्दी", None), (None, ""), ("а́б — Коммерсантъ", "аб")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t string")
+    got = [r.n for r in df.select("k", X.exact_title(F.col("t")).alias("n")).orderBy("k").collect()]
+    assert all(g == w for g, (_, w) in zip(got, rows) if w is not None)
+    assert df.select(X.title_hash(F.col("t"), exact=True)).where("k = 1").first()[0] == df.select(X.title_hash(F.lit("Straße STRASSE"), exact=True)).first()[0]
