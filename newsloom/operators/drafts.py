@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as X
 from newsloom.operators.dedup import first_of
 from newsloom.operators.gates import blank, failures
+from newsloom.sources import shared
 
 
 def stem_pattern(stems: list[str]) -> str:
@@ -65,8 +66,12 @@ def fact_rules(
     """Names of the rules that a fact (fact_id, fact, kind, tier, attribution, quote, topics) breaks; `allowed` lists (tier, kind).
 
     `guilt` are stems that only legal facts may use. A legal fact must be one of the templates `legal` (term, head, tail,
-    outcome) and name a case; if its source (source_text) tells an outcome (stems `outcomes`), its template must be one.
+    outcome) and name a case; if its source tells an outcome, its template must be one. Whether it does stands in `told`, to be
+    taken from the text where that is scanned, or is looked up in `source_text` by the stems `outcomes`; that column is not returned.
     """
+    if legal is not None and "source_text" in facts.columns and "told" not in facts.columns:
+        facts = facts.withColumn("told", F.when(F.col("kind") == "legal", hits(F.col("source_text"), outcomes or [])))
+    facts = shared.stored(facts.drop("source_text"), "facts")
     a = allowed.select("tier", "kind", F.lit(True).alias("_allowed")).distinct()
     rows = facts.join(a, ["tier", "kind"], "left")
     extra = {"guilt": (F.col("kind") == "legal") | ~hits(F.col("fact"), guilt or [])}
@@ -74,7 +79,7 @@ def fact_rules(
         named = match_legal(facts.where("kind = 'legal'").select("fact_id", "fact"), legal)
         ends = legal.groupBy("term").agg(F.bool_or("outcome").alias("_outcome"))
         rows = rows.join(named.join(ends, "term").select("fact_id", F.col("case").alias("_case"), "_outcome"), "fact_id", "left")
-        told = hits(F.col("source_text"), outcomes or []) if "source_text" in facts.columns else F.lit(False)
+        told = F.coalesce("told", F.lit(False)) if "told" in facts.columns else F.lit(False)
         extra["legal"] = (F.col("kind") != "legal") | (F.coalesce("_case", F.lit("")) != "")
         extra["outcome"] = (F.col("kind") != "legal") | F.col("_case").isNull() | ~told | F.coalesce("_outcome", F.lit(False))
     text = F.coalesce("fact", F.lit(""))
@@ -122,12 +127,32 @@ def resolve_geo(rows: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]
     return out, lost
 
 
-def match_legal(facts: DataFrame, templates: DataFrame) -> DataFrame:
-    """(fact_id, term, case): the longest template (term, head, tail around the case) that a fact holds; templates are a short list."""
-    t = templates if templates.count() > 1000 else F.broadcast(templates)
-    low = F.lower("fact")
-    met = facts.join(t, F.contains(low, F.lower("head")) & F.contains(low, F.lower("tail")))
-    met = met.withColumn("_rest", F.expr("substring(fact, locate(lower(head), lower(fact)) + length(head))"))
+def _grams(c: Column, n: Column | int) -> Column:
+    """Distinct runs of n characters."""
+    size = F.lit(n) if isinstance(n, int) else n
+    return F.when((size > 0) & (F.length(c) >= size), F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def match_legal(facts: DataFrame, templates: DataFrame, gram: int = 4) -> DataFrame:
+    """(fact_id, term, case): the longest template (term, head, tail around the case) that a fact holds, however many templates there are.
+
+    A fact that holds a template holds all of its runs of `gram` characters (or the whole, if it is shorter), so each template waits
+    at the run of its own that is rarest among the facts. Ties go to the first term. A template without head and tail fits any fact.
+    """
+    low = shared.stored(facts.select("fact_id", F.col("fact").alias("_fact"), F.lower("fact").alias("_low")).where("_fact IS NOT NULL"), "facts")
+    t = templates.select("term", "head", "tail", F.lower("head").alias("_h"), F.lower("tail").alias("_t")).distinct()
+    size = F.least(F.lit(gram), F.greatest(F.length("_h"), F.length("_t")))
+    t = t.withColumn("_n", size)
+    own = t.select("term", "head", "tail", "_n", F.explode(F.array_union(_grams(F.col("_h"), F.col("_n")), _grams(F.col("_t"), F.col("_n")))).alias("_g"))
+    sizes = [r[0] for r in t.select("_n").distinct().where("_n > 0").collect()]  # `gram` at most
+    runs = reduce(F.array_union, [_grams(F.col("_low"), n) for n in sizes], F.array().cast("array<string>"))
+    held = low.select("fact_id", F.explode(runs).alias("_g")).join(own.select("_g").distinct(), "_g", "left_semi")
+    anchors = first_of(own.join(held.groupBy("_g").agg(F.count("*").alias("_c")), "_g"), ["term", "head", "tail"], ["_c", "_g"]).select("term", "head", "tail", "_g")
+    met = held.join(anchors, "_g").select("fact_id", "term", "head", "tail")
+    any_ = first_of(t.where("_n = 0").withColumn("_one", F.lit(1)), ["_one"], ["term"]).select("term", "head", "tail")
+    met = met.unionByName(low.select("fact_id").crossJoin(any_)).join(low, "fact_id")  # a single row
+    met = met.where(F.contains("_low", F.lower("head")) & F.contains("_low", F.lower("tail")))
+    met = met.withColumn("_rest", F.expr("substring(_fact, locate(lower(head), _low) + length(head))"))
     inner = F.expr("substring(_rest, 1, locate(lower(tail), lower(_rest)) - 1)")
     met = met.where("tail = '' OR locate(lower(tail), lower(_rest)) > 0")
     case = F.trim(F.when(F.col("tail") == "", F.col("_rest")).otherwise(inner))

@@ -167,15 +167,21 @@ TIERED = f""", tiered AS (SELECT f.fact_id, f.entity_id, kind, topics, s.type AS
   FROM facts f JOIN documents ON doc_id = f.fact_id JOIN sources s ON s.id = source)"""
 
 
+#: Stems of outcomes.
+OUTCOMES = ["acquit", "ouat"]
+
+
 def _tiered(t):
-    d = t.raw("documents").select(F.col("doc_id").alias("fact_id"), "source", F.col("text").alias("source_text"))
+    # Only legal facts (ids of 3 modulo 5) ask for their source's text, in its scan.
+    told = F.when(F.col("doc_id") % 5 == 3, drafts.hits(F.col("text"), OUTCOMES))
+    d = t.raw("documents").select(F.col("doc_id").alias("fact_id"), "source", told.alias("told"))
     s = t.sources.select(F.col("id").alias("source"), F.col("type").alias("tier"))
     k, fact = F.col("fact_id"), F.col("fact")
     legal = F.col("kind") == "legal"
     made = F.when(legal & (k % 4 == 0), F.concat(F.lit("charged over "), fact)).when(legal & (k % 4 == 1), F.concat(F.lit("cleared over "), fact, F.lit(" by court")))
     made = made.when(k % 6 == 0, F.concat(fact, F.lit(" 12 million"))).when(k % 7 == 0, F.concat(F.lit("top "), fact)).otherwise(fact)
     rows = t.facts.select("fact_id", "entity_id", "fact", "kind", "topics").join(d, "fact_id").join(s, "source")
-    return rows.select("fact_id", "entity_id", made.alias("fact"), "kind", "topics", "tier", "source_text", F.when(k % 3 == 0, F.col("source")).otherwise("").alias("attribution"), F.when(k % 11 > 0, "q").alias("quote"))
+    return rows.select("fact_id", "entity_id", made.alias("fact"), "kind", "topics", "tier", "told", F.when(k % 3 == 0, F.col("source")).otherwise("").alias("attribution"), F.when(k % 11 > 0, "q").alias("quote"))
 
 
 @query(TIERED + rf""", c AS (SELECT *, array_to_string({words_sql('fact')}, ' ') AS nf, array_to_string({words_sql('attribution')}, ' ') AS na, fact LIKE 'charged over _%' AS charged, fact LIKE 'cleared over _% by court' AS ruled FROM tiered)
@@ -187,7 +193,7 @@ SELECT fact_id, [x FOR x IN [CASE WHEN (tier, kind) NOT IN (('press','role'),('p
 def fact_rule_gate(t):
     allowed = t.spark.createDataFrame(ALLOWED, "tier string, kind string")
     legal = t.spark.createDataFrame(LEGAL, "term string, head string, tail string, outcome boolean")
-    return drafts.fact_rules(_tiered(t), allowed, ["anin", "quel"], ["some say"], guilt=["then"], legal=legal, outcomes=["acquit", "ouat"]).select("fact_id", "failures")
+    return drafts.fact_rules(_tiered(t), allowed, ["anin", "quel"], ["some say"], guilt=["then"], legal=legal).select("fact_id", "failures")
 
 
 @query(TIERED + """ SELECT fact_id, CASE WHEN fact LIKE 'cleared over %' THEN 'ruled' ELSE 'charged' END AS term, CASE WHEN fact LIKE 'cleared over %' THEN trim(substring(fact, 14, strpos(substring(fact, 14), 'by court') - 1), ' ') ELSE trim(substring(fact, 14), ' ') END AS "case"
@@ -211,12 +217,15 @@ def quotes_found(t):
     return t.raw("documents").select("doc_id", X.quote_found(F.substring("text", 11, 40), F.col("text")).alias("found"))
 
 
-@query(TIERED + f""", q AS (SELECT *, {words_sql('substring(text, 11, 40)')} AS qw, array_to_string({words_sql('text')}, ' ') AS tw, array_to_string({words_sql('fact')}, ' ') AS k FROM tiered),
+@query(TIERED + f""", q AS (SELECT *, {words_sql('CASE WHEN fact_id % 4 = 0 THEN reverse(substring(text, 11, 40)) ELSE substring(text, 11, 40) END')} AS qw, array_to_string({words_sql('text')}, ' ') AS tw, array_to_string({words_sql('fact')}, ' ') AS k FROM tiered),
 v AS (SELECT *, length(fact) <= 60 AS ok, len(qw) >= 4 AND contains(tw, array_to_string(qw, ' ')) AS found FROM q),
 r AS (SELECT *, CASE WHEN ok AND found THEN row_number() OVER (PARTITION BY ok AND found, entity_id, k ORDER BY fact_id) END AS rn FROM v)
 SELECT fact_id, CASE WHEN rn = 1 THEN 'kept' WHEN rn > 1 THEN 'repeat' ELSE array_to_string([x FOR x IN [CASE WHEN NOT ok THEN 'length' END, CASE WHEN NOT found THEN 'unsourced' END] IF x IS NOT NULL], ',') END AS outcome FROM r""")
 def verified_facts(t):
-    rows = _tiered(t).select("fact_id", "entity_id", "fact", F.substring("source_text", 11, 40).alias("quote"), F.col("fact_id").alias("url"))
+    """Every fourth quote is misquoted."""
+    head = F.substring("text", 11, 40)
+    quotes = t.raw("documents").select(F.col("doc_id").alias("fact_id"), F.when(F.col("doc_id") % 4 == 0, F.reverse(head)).otherwise(head).alias("quote"))
+    rows = _tiered(t).drop("quote").join(quotes, "fact_id").select("fact_id", "entity_id", "fact", "quote", F.col("fact_id").alias("url"))
     sources = t.raw("documents").select(F.col("doc_id").alias("url"), "text")
     kept, rest = drafts.verify_batch(rows, sources, lambda c: c.withColumn("failures", gates.failures(length=F.length("fact") <= 60)))
     return kept.select("fact_id", F.lit("kept").alias("outcome")).unionByName(rest.select("fact_id", F.array_join("failures", ",").alias("outcome")))

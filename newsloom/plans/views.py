@@ -116,7 +116,9 @@ class Tables:
         d = self.raw("documents").where("text IS NOT NULL")
         s = self.sources.select(F.col("id").alias("source"), "lean_value", "type")
         words = F.filter(F.split(F.lower("text"), r"[ \n.,]+"), lambda w: w != "")
-        spread = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.get(words, F.floor(i * F.size(words) / 6).cast("int")))
+        # A column of its own: inside the lambda the text would be split for every word.
+        d = d.select("doc_id", "source", words.alias("_w"))
+        spread = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.get("_w", F.floor(i * F.size("_w") / 6).cast("int")))
         kinds = F.array(*map(F.lit, ["role", "classification", "scale", "legal", "evaluative"]))
         states = F.array(*map(F.lit, ["active", "candidate", "active", "stale", "retired", "candidate"]))
         bucket = F.when(F.col("type") != "press", "").when(F.col("lean_value") <= -1, "left").when(F.col("lean_value") >= 1, "right").otherwise("center")
