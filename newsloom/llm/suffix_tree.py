@@ -15,8 +15,10 @@ corpus; none of them is gathered on the driver or broadcast.
 How it runs: blocks of documents become word numbers plus a vocabulary each. The vocabularies meet by class of words,
 which gives every word its count and a corpus-wide number, and return to their blocks. Then each symbol travels once, with
 its last `depth` words, to the task of the last one: there the whole branch of the tree below that word is
-counted, tested and used, and sums per document go back. A last word that precedes more than `hot` symbols has its
-branch split by classes of the word before it, each a one-word context of its own.
+counted, tested and used, and sums per document go back. A last word that is counted more than `hot` times has its
+branch split by classes of the word before it. Only its one-word context spans classes, so that one is counted beforehand:
+pairs of a hot word and what follows it are summed by block, then by class of pairs, and each block gets
+the counts of its own pairs back. The tree is the same wherever `hot` stands.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import stored
@@ -90,27 +92,37 @@ def spread(data: bytes) -> list[np.ndarray]:
 # ------------------------------------------------------------------------------------------ one branch
 
 
-def branch(key: np.ndarray, before: list[np.ndarray], symbol: np.ndarray, p0: np.ndarray, train: np.ndarray, least: int, divergence: float) -> np.ndarray:
+def branch(key: np.ndarray, before: list[np.ndarray], symbol: np.ndarray, p0: np.ndarray, train: np.ndarray, least: int, divergence: float, given: np.ndarray | None = None) -> np.ndarray:
     """Probabilities of symbols at the longest kept suffix, for whole branches of the tree.
 
     `key` is the one-word context of each symbol, `before` the words before that one, nearest first (0: the text
     begins), `p0` the root's probability. Only `train` symbols are counted. Longer contexts are known by 64-bit hashes.
+    Where `given` is above 0 it is the probability at the one-word context, which is not counted here then.
     """
     p, at = p0.copy(), np.arange(len(key))
     context = key
+    ready = np.flatnonzero(given > 0) if given is not None else at[:0]
+    if len(ready):
+        p[ready] = given[ready]
+        at = np.flatnonzero(given <= 0)
+        context = key[at]
     for k in range(len(before) + 1):
+        if k == 1 and len(ready):
+            at, context = np.concatenate([at, ready]), np.concatenate([context, key[ready]])
         if k:
             here = before[k - 1][at] > 0
             at, context = at[here], mix(context[here] * np.uint64(0x9E3779B97F4A7C15) + before[k - 1][at[here]])
             before[k - 1] = None  # not needed again
         if not len(at):
+            if k == 0:
+                continue
             break
         code = np.unique(context, return_inverse=True)[1]
         n = np.bincount(code[train[at]], minlength=int(code.max()) + 1)
         often = n[code] >= least
         at, context, code = at[often], context[often], code[often]
         if not len(at):
-            break
+            continue
         first, pair = np.unique(mix(mix(context) + symbol[at]), return_index=True, return_inverse=True)[1:]
         mine = train[at]
         both = np.bincount(pair[mine], minlength=len(first))
@@ -215,13 +227,14 @@ def _numbered(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.Re
         yield out()
 
 
-def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by block and class -> a row per block with the numbers and counts of its words in order of their places."""
+def _dictionaries(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """Rows by block and class -> a row per block with the numbers and counts of its words in order of their places, and its hot words."""
     now, held, sums = None, [], [0, 0]
 
     def out() -> pa.RecordBatch:
-        parts = list(zip(*held))
-        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([squeeze(*(np.concatenate(p) for p in parts))], pa.binary()), pa.array([sums[0]]), pa.array([sums[1]])], names=["block", "words", "known", "total"])
+        gid, count = (np.concatenate(p) for p in zip(*held))
+        many = pa.array([gid[count > hot].astype(np.int64)], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([squeeze(gid, count)], pa.binary()), pa.array([sums[0]]), pa.array([sums[1]]), many], names=["block", "words", "known", "total", "hot"])
 
     for batch in batches:
         for k in range(batch.num_rows):
@@ -237,10 +250,108 @@ def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out()
 
 
+PAIRS = "class int, block bigint, pairs binary"
+
+
+def hot_pairs(ids: np.ndarray, begin: np.ndarray, gid: np.ndarray, count: np.ndarray, hot: int, classes: int) -> tuple[np.ndarray, ...]:
+    """(at, pair, first, second, class): the symbols of a block that follow a hot word, which pair each is, and the pairs' words in order of their classes."""
+    last = np.empty(len(ids), dtype=np.int64)
+    last[1:] = ids[:-1]
+    last[begin] = -1
+    at = np.flatnonzero((last >= 0) & (count[last] > hot))
+    code, pair = np.unique(last[at] * len(gid) + ids[at], return_inverse=True)
+    first, second = np.divmod(code, len(gid))
+    kind = (mix(mix(gid[first]) + gid[second]) % np.uint64(classes)).astype(np.int64)
+    order = np.lexsort((gid[second], gid[first], kind))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return at, place[pair], first[order], second[order], kind[order]
+
+
+def _hot_pairs(batches: Iterator[pa.RecordBatch], hot: int, classes: int) -> Iterator[pa.RecordBatch]:
+    """Blocks -> by class, the pairs of a hot word and what follows it, each with its training count and the second word's."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            block, docs, packed, words = (c[row].as_py() for c in batch.columns)
+            _, _, held, length = spread(docs)
+            ids, place = (x.astype(np.int64) for x in spread(packed))
+            gid, count = (x[place] for x in spread(words))
+            length = length.astype(np.int64)
+            at, pair, first, second, kind = hot_pairs(ids, np.cumsum(length) - length, gid, count, hot, classes)
+            if not len(at):
+                continue
+            seen = np.bincount(pair, weights=np.repeat(held == 0, length)[at], minlength=len(first)).astype(np.int64)
+            edges = np.flatnonzero(np.diff(kind, prepend=-1))
+            made = [squeeze(gid[first[a:b]], gid[second[a:b]], count[second[a:b]], seen[a:b]) for a, b in zip(edges, [*edges[1:], len(kind)])]
+            yield pa.RecordBatch.from_arrays([pa.array(kind[edges], pa.int32()), pa.array(np.full(len(edges), block)), pa.array(made, pa.binary())], names=["class", "block", "pairs"])
+
+
+COUNTED = "block bigint, class int, counts binary, word bigint, kinds bigint, n bigint, followers binary"
+
+
+def _hot_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by class -> for each block the counts of its pairs over all blocks, and for each hot word its part of the one-word context."""
+    now, held = None, []
+    schema = pa.schema([("block", pa.int64()), ("class", pa.int32()), ("counts", pa.binary()), ("word", pa.int64()), ("kinds", pa.int64()), ("n", pa.int64()), ("followers", pa.binary())])
+
+    def out() -> Iterator[pa.RecordBatch]:
+        parts = [spread(x) for _, x in held]
+        word, symbol, count, seen = (np.concatenate(x) for x in zip(*parts))
+        _, first, pair = np.unique(mix(mix(word) + symbol), return_index=True, return_inverse=True)
+        total = np.bincount(pair, weights=seen).astype(np.int64)
+        ends = np.cumsum([len(x[0]) for x in parts])
+        back, size = [squeeze(x) for x in np.split(total[pair], ends[:-1])], len(held)
+        none = lambda kind: pa.nulls(size, kind)
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in held]), pa.array([now] * size, pa.int32()), pa.array(back, pa.binary()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary())], schema=schema)
+        some = np.flatnonzero(total)
+        some = some[np.argsort(word[first[some]], kind="stable")]
+        word, count, total = word[first[some]], count[first[some]], total[some]
+        edges = np.flatnonzero(np.diff(word, prepend=np.uint64(0)))  # no number is 0
+        spans = list(zip(edges, [*edges[1:], len(word)]))
+        size = len(spans)
+        yield pa.RecordBatch.from_arrays(
+            [none(pa.int64()), none(pa.int32()), none(pa.binary()), pa.array(word[edges].astype(np.int64)), pa.array([int(b - a) for a, b in spans], pa.int64()),
+             pa.array([int(total[a:b].sum()) for a, b in spans], pa.int64()), pa.array([squeeze(total[a:b], count[a:b]) for a, b in spans], pa.binary())], schema=schema
+        )
+
+    for batch in batches:
+        for kind, block, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind != now and held:
+                yield from out()
+                held.clear()
+            now = kind
+            held.append((block, pairs))
+    if held:
+        yield from out()
+
+
+def _hot_gains(batches: Iterator[pa.RecordBatch], norm: float) -> Iterator[pa.RecordBatch]:
+    """(word, d, n, followers) -> what its part of the one-word context gains over the root, as in `branch`."""
+    for batch in batches:
+        gains = []
+        for d, n, followers in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            a, count = (x.astype(np.float64) for x in spread(followers))
+            root = (count + ALPHA) / norm
+            gains.append(float((a * np.log((a - 1 + d * root) / (n - 1 + d) / root)).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gains, pa.float64())], names=["word", "d", "gain"])
+
+
+def with_hot(blocks: DataFrame, packed: DataFrame, norm: float, hot: int, classes: int, divergence: float) -> DataFrame:
+    """`blocks` with the counts of their hot pairs, by class, and the kept hot words with their distinct followers."""
+    rows = blocks.mapInArrow(lambda b: _hot_pairs(b, hot, classes), PAIRS).repartitionById(classes, F.col("class")).sortWithinPartitions("class", "block")
+    counted = rows.mapInArrow(_hot_counted, COUNTED)
+    back = counted.where("block IS NOT NULL").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "counts"))), lambda x: x["counts"]).alias("pair_counts"))
+    one = Window.partitionBy("word")
+    parts = counted.where("word IS NOT NULL").select("word", F.sum("kinds").over(one).alias("d"), F.sum("n").over(one).alias("n"), "followers")
+    heads = parts.mapInArrow(lambda b: _hot_gains(b, norm), "word bigint, d bigint, gain double").groupBy("word").agg(F.first("d").alias("d"), F.sum("gain").alias("gain")).where(F.col("gain") >= divergence)
+    mine = packed.select("block", F.explode("hot").alias("word")).join(heads.select("word", "d"), "word").groupBy("block").agg(F.collect_list(F.struct("word", "d")).alias("heads"))
+    return blocks.join(back, "block", "left").join(mine, "block", "left").select("block", "docs", "symbols", "words", "pair_counts", "heads")
+
+
 PIECES = "branch bigint, block bigint, docs binary, piece binary"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], norm: float, branches: int, depth: int, least: int, hot: int, slice_symbols: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], norm: float, branches: int, depth: int, least: int, hot: int, pair_classes: int, slice_symbols: int) -> Iterator[pa.RecordBatch]:
     """Of each block: a row of sums per document, and for each task of branches the symbols that go there."""
     schema = pa.schema([("branch", pa.int64()), ("block", pa.int64()), ("docs", pa.binary()), ("piece", pa.binary())])
 
@@ -249,7 +360,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], norm: float, branches: int, depth
 
     for batch in batches:
         for row in range(batch.num_rows):
-            block, docs, packed, words = (c[row].as_py() for c in batch.columns)
+            block, docs, packed, words, pair_counts, heads = (c[row].as_py() for c in batch.columns)
             key, none, held, length = spread(docs)
             ids, place = (x.astype(np.int32) for x in spread(packed))
             gid, count = (x[place] for x in spread(words))
@@ -259,6 +370,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], norm: float, branches: int, depth
             n_known = np.add.reduceat((count > 0)[ids].astype(np.int64), begin)
             yield rows([int(block) % branches], block, [struct.pack("<Q", len(base)) + base.tobytes() + squeeze(key, none, held, length, n_known)], [None])
             classes = -(-count.astype(np.int64) // hot)
+            distinct = np.zeros(len(gid), dtype=np.int64)  # followers of the hot words whose context is kept
+            if heads:
+                numbers = np.argsort(gid)
+                distinct[numbers[np.searchsorted(gid, [h["word"] for h in heads], sorter=numbers)]] = [h["d"] for h in heads]
+            follows = np.zeros(len(ids) if pair_counts else 0, dtype=np.uint32)
+            if pair_counts:
+                after, pair = hot_pairs(ids, begin, gid, count, hot, pair_classes)[:2]
+                follows[after] = np.concatenate([spread(x)[0] for x in pair_counts])[pair]
+                del after, pair
             goes = (mix(gid) % np.uint64(branches)).astype(np.int64)
             edges = np.searchsorted(begin, np.arange(0, len(ids), slice_symbols))
             for a, b in zip(edges, [*edges[1:], len(length)]):
@@ -276,7 +396,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], norm: float, branches: int, depth
                 of = np.zeros(len(some), dtype=np.uint64)  # class of a hot word
                 many = classes[last] > 1
                 if many.any():
-                    second = words_before[1][some[many]] if depth > 1 else np.full(int(many.sum()), -1, dtype=np.int32)
+                    second = words_before[1][some[many]] if depth > 1 else part[some[many]]
                     of[many] = mix(np.where(second >= 0, gid[second] + np.uint64(1), 0).astype(np.uint64)) % classes[last[many]].astype(np.uint64)
                 full = gid[last] | (of << np.uint64(CLASS_BITS))
                 to = np.where(of > 0, (mix(full) % np.uint64(branches)).astype(np.int64), goes[last])
@@ -292,7 +412,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], norm: float, branches: int, depth
                     for w in words_before[1:]:
                         v = w[where]
                         others.append(np.where((v >= 0) & (count[v] >= least), gid[v] + np.uint64(1), 0))
-                    columns = [steps(keys[run]), np.diff([*run, len(keys)]), steps(kinds), count[part[where[first]]], which, (owner[where] << 1) | (held[owner[where]] == 0), *others]
+                    mine = words_before[0][where[run]]  # the last words themselves
+                    shared = [np.where(classes[mine] > 1, count[mine], 0), np.where(classes[mine] > 1, distinct[mine], 0), follows[lo:hi][where] if len(follows) else []]
+                    columns = [steps(keys[run]), np.diff([*run, len(keys)]), *shared, steps(kinds), count[part[where[first]]], which, (owner[where] << 1) | (held[owner[where]] == 0), *others]
                     made[0].append(int(to[x]))
                     made[1].append(squeeze(*columns))
                 yield rows(made[0], block, [None] * len(made[0]), made[1])
@@ -310,18 +432,21 @@ def _branches(batches: Iterator[pa.RecordBatch], norm: float, least: int, diverg
         columns: list[list] = []
         for at, (block, piece) in enumerate(held):
             held[at] = (block, None)
-            keys, runs, kinds, counts, which, owners, *others = spread(piece)
-            keys, kinds, which = np.cumsum(keys), np.cumsum(kinds), which.astype(np.int64)
-            columns.append([np.repeat(keys, runs.astype(np.int64)), kinds[which], counts[which].astype(np.float64), owners.astype(np.uint32), *others])
+            keys, runs, hot, distinct, follows, kinds, counts, which, owners, *others = spread(piece)
+            keys, kinds, which, runs = np.cumsum(keys), np.cumsum(kinds), which.astype(np.int64), runs.astype(np.int64)
+            root = (counts[which] + ALPHA) / norm
+            given = np.zeros(len(root))
+            if hot.any():  # at its one-word context, which other tasks share
+                n, d = (np.repeat(x, runs).astype(np.float64) for x in (hot, distinct))
+                given = np.where(n > 0, np.where(d > 0, (follows + d * root) / np.maximum(n + d, 1), root), 0)
+            columns.append([np.repeat(keys, runs), kinds[which], root, given, owners.astype(np.uint32), *others])
         sizes = [len(x[0]) for x in columns]
-        keys, symbol, count, owner, *before = (np.concatenate(x) for x in zip(*columns))
+        keys, symbol, root, given, owner, *before = (np.concatenate(x) for x in zip(*columns))
         columns.clear()
-        count += ALPHA
-        count /= norm
-        gain = branch(keys, before, symbol, count, (owner & 1) == 1, least, divergence)
-        gain /= count
+        gain = branch(keys, before, symbol, root, (owner & 1) == 1, least, divergence, given if given.any() else None)
+        gain /= root
         np.log10(gain, out=gain)
-        del keys, symbol, count, before
+        del keys, symbol, root, given, before
         owner = owner.astype(np.int64)
         blocks, places, sums, end = [], [], [], 0
         for (block, _), n in zip(held, sizes):
@@ -392,21 +517,27 @@ def score(
     empty: its one token is the end. A null doc_id counts as training. Repeated rows count and are scored each
     for itself. Without training documents every token has probability one at the root. An empty table gives none.
     A block ends with the document that brings it to `block_symbols` (or BLOCK_DOCS documents); its symbols are
-    dealt out by `slice_symbols`; a task of branches holds about `branch_symbols`. None of these changes the result.
+    dealt out by `slice_symbols`; a task of branches holds about `branch_symbols`; the branch of a word counted more
+    than `hot` times is split. None of these changes the result.
     """
-    if depth < 1 or least < 2:
-        raise ValueError("depth must be 1 or more, least 2 or more")
+    if depth < 1 or least < 2 or hot < least:
+        raise ValueError("depth must be 1 or more, least 2 or more, hot least or more")
     narrow = docs.select(F.col(doc_id).cast("bigint"), F.col(text))
     classes = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = stored(narrow.mapInArrow(lambda b: _blocks(b, block_symbols, classes), BLOCKS), "symbols")
     words = made.where("words IS NOT NULL").select("class", "block", "words", "counts").repartition("class").sortWithinPartitions("class", "block")
     numbered = words.mapInArrow(lambda b: _numbered(b, classes), NUMBERED).repartition("block").sortWithinPartitions("block", "class").select("block", "words", "known", "total")
-    packed = stored(numbered.mapInArrow(_dictionaries, "block bigint, words binary, known bigint, total bigint"), "dictionaries")
-    known, total = (x or 0 for x in packed.agg(F.sum("known"), F.sum("total")).first())
+    packed = stored(numbered.mapInArrow(lambda b: _dictionaries(b, hot), "block bigint, words binary, known bigint, total bigint, hot array<bigint>"), "dictionaries")
+    known, total, many = (x or 0 for x in packed.agg(F.sum("known"), F.sum("total"), F.sum(F.size("hot"))).first())
     norm, branches = total + ALPHA * (known + 1), max(1, -(-total // branch_symbols))
+    pair_classes = max(1, branches // 4)  # what follows hot words is summed by block first
 
     blocks = made.where("symbols IS NOT NULL").select("block", "docs", "symbols").join(packed.select("block", "words"), "block")
-    pieces = blocks.mapInArrow(lambda b: _pieces(b, norm, branches, depth, least, hot, slice_symbols), PIECES)
+    if many:
+        blocks = with_hot(blocks, packed, norm, hot, pair_classes, divergence)
+    else:  # nothing to share between tasks
+        blocks = blocks.select("*", F.lit(None).cast("array<binary>").alias("pair_counts"), F.lit(None).cast("array<struct<word:bigint,d:bigint>>").alias("heads"))
+    pieces = blocks.mapInArrow(lambda b: _pieces(b, norm, branches, depth, least, hot, pair_classes, slice_symbols), PIECES)
     sums = pieces.repartitionById(branches, F.col("branch").cast("int")).sortWithinPartitions("branch").mapInArrow(lambda b: _branches(b, norm, least, divergence), SUMS)
     out = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_documents, SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
