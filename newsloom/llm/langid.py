@@ -22,11 +22,12 @@ from newsloom.llm.common import CACHES, append_columns
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
-#: Bounds of the training sample: documents a language, characters of a sampled document, languages.
+#: Bounds of the training sample: documents a language, documents in all, characters taken of a sampled document.
 SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS = 250, 20_000, 30_000
-#: There are fewer language codes; a column with more distinct values is refused.
-MAX_LANGUAGES = 8192
-LEXICON_SIZE = 3000
+#: A column with more distinct values is refused: it is hardly a language.
+MAX_LANGUAGES = 512
+#: Words of the lexicon a language, and weights of a model: 0.5 GB as doubles (twice while it is trained), 0.3 GB in the broadcast.
+LEXICON_SIZE, MAX_WEIGHTS = 3000, 1 << 26
 UND = "und"
 
 
@@ -159,8 +160,11 @@ def _pair_marginals(e: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return gamma, _scaled(pair, (2, 3)).sum(axis=(0, 1))
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 4, sequences: int = 1500, steps: int = 64, seed: int = 7, ridge: float = 1e-6) -> Crf:
-    """Fit on labelled texts by AdaGrad on the conditional log-likelihood of spliced sequences."""
+def train(texts: list[str], langs: list[str], epochs: int = 4, sequences: int | None = None, steps: int = 64, seed: int = 7, ridge: float = 1e-6) -> Crf:
+    """Fit on labelled texts by AdaGrad on the conditional log-likelihood of spliced sequences: 1500, or ten a language if these are more.
+
+    The lexicon has LEXICON_SIZE words a language, fewer where the model would pass MAX_WEIGHTS.
+    """
     order = sorted(range(len(texts)), key=lambda i: (langs[i], texts[i]))
     labels = sorted(set(langs))
     by: dict[str, list[list[str]]] = {x: [] for x in labels}
@@ -177,9 +181,10 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, sequences: int =
         for words in docs:
             for w in words:
                 counts[w] = counts.get(w, 0) + 1
-    top = sorted(counts, key=lambda w: (-counts[w], w))[: LEXICON_SIZE * m]
+    top = sorted(counts, key=lambda w: (-counts[w], w))[: min(LEXICON_SIZE * m, MAX_WEIGHTS // m - BUCKETS)]
     lexicon = {w: i for i, w in enumerate(w for w in top if counts[w] > 1)}
     rng = np.random.default_rng(seed)
+    sequences = sequences or max(1500, 10 * m)
     vocabulary: dict[str, int] = {}
     ids, gold = np.zeros((sequences, steps), dtype=np.int64), np.zeros((sequences, steps), dtype=np.int64)
     for i in range(sequences):
@@ -291,12 +296,12 @@ class Labeller:
 def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str, fold: int | None = 2, folds: int = 4) -> tuple[list[str], list[str]]:
     """A bounded sample of the labelled documents outside the held-out fold.
 
-    At most about SAMPLE_DOCS documents a language and SAMPLE_TOTAL in all, by a hash of the id, none over SAMPLE_CHARS characters.
+    At most about SAMPLE_DOCS documents a language and SAMPLE_TOTAL in all, by a hash of the id. Of a longer text, SAMPLE_CHARS
+    characters are taken, from a place that a hash of the id tells. These bounds hold for the training sample alone.
     """
     usable = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
     if fold is not None:
         usable = usable.where(F.pmod(F.crc32(F.col("i").cast("string").cast("binary")), F.lit(folds)) != fold)
-    usable = usable.where(F.length("t") <= SAMPLE_CHARS)
     counts = usable.groupBy("l").count()
     labels = counts.limit(MAX_LANGUAGES + 1).count()
     if labels > MAX_LANGUAGES:
@@ -307,7 +312,8 @@ def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str, fold: in
     share = F.pmod(F.xxhash64(F.lit("sample"), "i"), F.lit(1_000_000))
     parts = counts.select(F.col("l").alias("_l"), F.least(F.lit(1.0), each / F.col("count")).alias("_share"))  # a row per language
     rows = usable.join(F.broadcast(parts), F.col("l") == F.col("_l")).where(share < F.col("_share") * 1_000_000)
-    rows = rows.select("t", "l").limit(2 * each * labels).collect()
+    begin = 1 + F.pmod(F.xxhash64(F.lit("span"), "i"), F.greatest(F.lit(1), F.length("t") - (SAMPLE_CHARS - 1)))
+    rows = rows.select(F.substring("t", begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), "l").limit(2 * each * labels).collect()
     return [r[0] for r in rows], [r[1] for r in rows]
 
 

@@ -125,3 +125,22 @@ def test_many_languages_are_learned_and_too_many_refused(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_LANGUAGES", 10)
     with pytest.raises(ValueError):
         L.training_sample(docs, "doc_id", "text", "lang")
+
+
+def test_languages_of_long_texts_are_learned_from_a_span(spark):
+    """A language whose labelled texts are all longer than the sampled characters is learned, from anywhere in them."""
+    words = {"en": "the house stands near the river and water runs", "de": "das haus steht am fluss und wasser fliesst"}
+    rows = [(i, (words["de"] + " ") * 2000 if i % 2 else words["en"], "de" if i % 2 else "en") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = L.training_sample(docs, "doc_id", "text", "lang")
+    assert set(langs) == {"en", "de"} and {len(t) for t, x in zip(texts, langs) if x == "de"} == {L.SAMPLE_CHARS}
+    assert len({t[:40] for t, x in zip(texts, langs) if x == "de"}) > 5  # spans begin at many places
+    out, names = L.identify(docs, L.train(texts, langs))
+    assert all(r[names["lang_pred"]] == r.lang for r in out.collect())
+
+
+def test_the_model_keeps_to_its_weights(monkeypatch):
+    texts, langs = [f"w{i}x w{i}x o{i}y o{i}y" for i in range(60)], [f"l{i % 6}" for i in range(60)]
+    monkeypatch.setattr(L, "MAX_WEIGHTS", 6 * (L.BUCKETS + 50))
+    model = L.train(texts, langs)
+    assert model.weights.size <= L.MAX_WEIGHTS and len(model.lexicon) == 50
