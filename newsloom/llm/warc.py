@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import commit_files, cut
+from newsloom.llm.common import commit_files, cut, spread_join
 
 MANIFEST = "name string, temporary string, shard bigint, part bigint, records bigint, bytes bigint, sha256 string, first_key bigint, last_key bigint"
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, file string, offset bigint, intact boolean"
@@ -43,14 +43,19 @@ def target(url: str | None) -> str:
     return _BLANK.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "about:blank")
 
 
-def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def record_id(key: int | None, digest: str, repeat: int) -> str:
+    """The id of the `repeat`-th record (from 0) of a page with this payload; a revisit refers to the first of its response."""
+    return f"<urn:x-page:{'none' if key is None else key}:{digest}:{repeat}>"
+
+
+def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, repeat: int = 0) -> bytes:
     """One gzip member: a response with the payload, or a revisit with the HTTP head alone."""
     http = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload), b"", b""])
     block = http + (payload if refers_to is None else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:x-page:{'none' if key is None else key}>",
+        f"WARC-Record-ID: {record_id(key, digest, repeat)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -59,7 +64,7 @@ def record(key: int | None, url: str | None, payload: bytes, digest: str, refers
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head[2:2] = [f"WARC-Refers-To: <urn:x-page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head[2:2] = [f"WARC-Refers-To: {record_id(refers_to, digest, 0)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)  # no time in the gzip head: equal input gives equal bytes
     return pack.compress(CRLF.join([x.encode() for x in head] + [b"", block]) + CRLF + CRLF) + pack.flush()
 
@@ -67,7 +72,7 @@ def record(key: int | None, url: str | None, payload: bytes, digest: str, refers
 def with_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """(page_id, url, digest, size, refers_to) per row of `pages`, without its payload.
 
-    Of equal payloads of at least `least_bytes`, the least page_id is the response.
+    Of equal payloads of at least `least_bytes`, the least page_id is the response. The rows of a common payload are dealt out.
     """
     small = cut(
         pages.select(
@@ -76,7 +81,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     )
     first = small.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     seen = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    return small.join(first.drop("n"), "digest", "left").select("page_id", "url", "digest", "size", seen.alias("refers_to"))
+    return spread_join(small, first.drop("n"), "digest", how="left").select("page_id", "url", "digest", "size", seen.alias("refers_to"))
 
 
 KEY = np.dtype([("page", "<i8"), ("digest", "<i8")])
@@ -107,7 +112,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes
     """Archive `pages` (page_id, url, html) under `folder`; returns the manifest table.
 
     A null html is an empty payload. Pages without an id come first; they may refer to another page, but none
-    refers to them. Repeated rows give a record each. An empty table gives an archive without files.
+    refers to them. Repeated rows give a record each, with an id of its own. An empty table gives an archive without files.
     `shard_bytes` of payload go to a shard (more if there were over MOST_SHARDS of them), about `file_bytes` of
     compressed records to a file.
     """
@@ -134,7 +139,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open(folder)
         files.create_dir(f"{root}/_temporary", recursive=True)
-        attempt, out, now, mark = uuid.uuid4().hex, None, (None, -1), None
+        attempt, out, now, mark, last, repeat = uuid.uuid4().hex, None, (None, -1), None, None, 0
 
         def close() -> tuple:
             out["stream"].close()
@@ -155,7 +160,9 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes
                         mark = (key, digest, refers)
                         continue
                     refers = mark[2] if mark and mark[:2] == (key, digest) else None
-                    raw = record(key, url, html.encode("utf-8", "surrogatepass"), digest, refers, date)
+                    repeat = repeat + 1 if last == (key, digest) else 0  # equal rows are neighbours
+                    last = (key, digest)
+                    raw = record(key, url, html.encode("utf-8", "surrogatepass"), digest, refers, date, repeat)
                     if out is None or out["shard"] != shard or out["size"] + len(raw) > file_bytes:
                         if out is not None:
                             done.append(close())
@@ -208,7 +215,7 @@ def _parse(raw: bytes) -> dict:
     length = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
     revisit = fields["WARC-Type"] == "revisit"
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    page = lambda x: None if x == "<urn:x-page:none>" else int(x.removeprefix("<urn:x-page:").removesuffix(">"))
+    page = lambda x: None if x.split(":")[2] == "none" else int(x.split(":")[2])
     whole = rest[len(block) :] == CRLF + CRLF and hashlib.sha256(block).hexdigest() == fields["WARC-Block-Digest"].removeprefix("sha256:")
     if not revisit:
         whole = whole and len(payload) == length and hashlib.sha256(payload).hexdigest() == digest

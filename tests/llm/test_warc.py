@@ -53,8 +53,12 @@ def test_round_trip_and_determinism(spark, tmp_path, shard_bytes, file_bytes):
 
 def test_repeats_and_empty(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "a" * 150)] * 3, "page_id long, url string, html string")
+    df = df.unionByName(spark.createDataFrame([(2, "v", "a" * 150)] * 2 + [(None, "w", None)] * 2, df.schema))
     got = W.read(W.write(df, f"file://{tmp_path}/r"), f"file://{tmp_path}/r").collect()
-    assert [(r.page_id, r.record_type) for r in got] == [(1, "response")] * 3
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == [("1", "response", None)] * 3 + [("2", "revisit", 1)] * 2 + [("None", "response", None)] * 2
+    heads = b"".join(gzip.open(tmp_path / "r" / f).read() for f in os.listdir(tmp_path / "r") if f.endswith(".gz")).decode().split("\r\n")
+    ids = [x.split(": ", 1)[1] for x in heads if x.startswith("WARC-Record-ID")]
+    assert len(set(ids)) == len(ids) == 7 and {x.split(": ", 1)[1] for x in heads if x.startswith("WARC-Refers-To:")} < set(ids)
     none = W.write(df.limit(0), f"file://{tmp_path}/e")
     assert W.read(none, f"file://{tmp_path}/e").collect() == []
 
