@@ -8,6 +8,10 @@ a window without slots met, or if its slots fit one to one: a value of the item
 same value in the document and the other way round. So re-parameterised questions are caught, while
 chance meetings of templates whose slots contradict each other are not. Every window also meets its own
 raw words, so a verbatim copy counts however few of its words are plain.
+
+A window that is mostly slots says little by its template: any list of names or numbers would fit it. It meets re-parameterised
+forms if the signs of arithmetic behind its numbers make up for the plain words it lacks (`SIGNED`), or if the words of its
+first or its second half stand in the document unchanged (`HEAD`, `TAIL`), with the same signs. Each is one more hash, of slot-rich windows alone.
 """
 
 from __future__ import annotations
@@ -25,6 +29,13 @@ NUMBERS = (
     "|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million"
 )
 NUMBER, UNIT, NAME = "<n>", "<u>", "<p>"
+#: What a window is met by: its template, its raw words, its template with signs, its template and the raw words of one half.
+PLAIN, WHOLE, SIGNED, HEAD, TAIL = range(5)
+#: Fixed signs of arithmetic, each with the character that marks it behind a number. Minus and slash, which also stand in dates and ranges, count between spaces.
+SIGNS = {"+": "\x03", "*": "\x04", "×": "\x04", "÷": "\x05", "=": "\x06", "^": "\x07", "−": "\x0e"}
+SPACED = {" / ": " \x05 ", " - ": " \x0e "}
+_MARKS = "\x03\x04\x05\x06\x07\x0e"
+_HAS_SIGN = r"[0-9] *[+*×÷=^−]|[0-9] +[-/] "
 _POINT = r"([0-9])[.,]([0-9])"
 _GAP = r"[^\p{L}\p{N}\x02]+"
 
@@ -44,28 +55,60 @@ def template(flat: Column) -> Column:
     return F.lower(x)
 
 
+def signed(text: Column) -> Column:
+    """The words of `flat`, where a sign that follows a number is glued to it as its mark; null where no sign follows one."""
+    clean = F.translate(text, "\x02" + _MARKS, " " * (1 + len(_MARKS)))
+    has = clean.rlike(_HAS_SIGN)
+    for sign, mark in SPACED.items():
+        clean = F.replace(clean, F.lit(sign), F.lit(mark))
+    x = F.regexp_replace(F.translate(clean, "".join(SIGNS), "".join(SIGNS.values())), _POINT, "$1\x02$2")
+    x = F.regexp_replace(x, rf"([0-9]) *([{_MARKS}])", "$1$2 ")
+    x = F.regexp_replace(x, rf"(^|[^0-9])[{_MARKS}]+", "$1 ")
+    return F.when(has, F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}\x02-\x07\x0e]+", " ")))
+
+
 def _windows(df: DataFrame, key: str, text: str, width: int, widths: list[int]) -> DataFrame:
-    """(key, pos, wide, whole, hash, raw, w0, w1, ...) of each window, once by the hash of its template and once
-    (`whole`) by that of its raw words; `widths` are the window sizes asked for, `raw` the words of the whole text."""
-    words = df.select(F.col(key).alias("key"), flat(F.col(text)).alias("flat"))
-    words = words.select("key", F.split(template(F.col("flat")), " ").alias("t"), F.split("flat", " ").alias("raw"))
+    """(key, pos, wide, form, hash, raw, sign, w0, w1, ...) of each window, a row for each form it can be met by; `widths` are
+    the window sizes asked for, `raw` the words of the whole text, `sign` its template with signs."""
+    words = df.select(F.col(key).alias("key"), flat(F.col(text)).alias("flat"), F.split(template(signed(F.col(text))), " ").alias("sign"))
+    words = words.select("key", "sign", F.split(template(F.col("flat")), " ").alias("t"), F.split("flat", " ").alias("raw"))
     zipped = F.arrays_zip(*[(F.col("t") if k == 0 else F.slice("t", k + 1, F.greatest(F.size("t") - k, F.lit(0)))).alias(f"w{k}") for k in range(width)])
     columns = [f"w{k}" for k in range(width)]
-    rows = words.select("key", "raw", F.posexplode(zipped).alias("pos", "w")).select("key", "raw", "pos", *[F.col("w")[c].alias(c) for c in columns])
-    pairs = []
-    for n in widths:
-        raw = F.xxhash64(F.lit(-n), F.slice("raw", F.col("pos") + 1, n))
-        for whole, value in ((False, F.xxhash64(F.lit(n), *columns[:n])), (True, raw)):
-            pairs.append(F.struct(F.lit(n).alias("wide"), F.lit(whole).alias("whole"), F.when(F.col(f"w{n - 1}").isNotNull(), value).alias("hash")))
-    rows = rows.select("key", "raw", "pos", *columns, F.explode(F.array(*pairs)).alias("x")).where("x.hash IS NOT NULL")
-    return rows.select("key", "pos", "x.wide", "x.whole", "x.hash", "raw", *columns)
+    sizes = F.lit(widths[0]) if len(widths) == 1 else F.explode(F.array(*map(F.lit, widths)))
+    rows = words.select("key", "raw", "sign", F.posexplode(zipped).alias("pos", "w")).select("key", "raw", "sign", "pos", *[F.col("w")[c].alias(c) for c in columns], sizes.alias("wide"))
+    rows = rows.where(F.col("pos") + F.col("wide") <= F.size("raw"))
+    plain = sum(F.when(F.lit(k) < F.col("wide"), (~F.col(c).contains("<")).cast("int")).otherwise(0) for k, c in enumerate(columns))
+    behind = F.concat_ws("", F.slice("sign", F.col("pos") + 1, F.col("wide") - 1))  # a sign behind the last word belongs to what follows
+    marks = F.length(behind) - F.length(F.translate(behind, _MARKS, ""))
+    slotted = 2 * plain < F.col("wide")
+    holds = {PLAIN: ~slotted, WHOLE: F.lit(True), SIGNED: slotted & F.col("sign").isNotNull() & (2 * (plain + marks) >= F.col("wide")), HEAD: slotted, TAIL: slotted}
+    value = {form: F.xxhash64("wide", F.lit(form), _proof(form, width)) for form in holds}
+    value[PLAIN] = F.xxhash64("wide", *(F.when(F.lit(k) < F.col("wide"), F.col(c)) for k, c in enumerate(columns)))
+    forms = [F.struct(F.lit(form).alias("form"), F.when(held, value[form]).alias("hash")) for form, held in holds.items()]
+    rows = rows.select("key", "raw", "sign", "pos", "wide", *columns, F.explode(F.array(*forms)).alias("x")).where("x.hash IS NOT NULL")
+    return rows.select("key", "pos", "wide", "x.form", "x.hash", "raw", "sign", *columns)
+
+
+def _proof(form: int, width: int) -> Column:
+    """What two windows of one size must share to meet by `form`."""
+    pos, wide = F.col("pos"), F.col("wide")
+    kinds = F.slice(F.array(*[f"w{k}" for k in range(width)]), F.lit(1), wide)
+    if form == PLAIN:
+        return kinds
+    if form == WHOLE:
+        return F.slice("raw", pos + 1, wide)
+    signs = F.concat(F.slice("sign", pos + 1, wide - 1), F.slice(kinds, wide, F.lit(1)))
+    if form == SIGNED:
+        return signs
+    half = F.floor((wide + 1) / 2).cast("int")
+    return F.concat(F.coalesce(signs, kinds), F.slice("raw", pos + (1 if form == HEAD else 1 + wide - half), half))
 
 
 def _spelled(windows: DataFrame, width: int, mark: str) -> DataFrame:
-    """`windows` with the raw and template words of each window alone; names begin with `mark`."""
-    words = F.slice("raw", F.col("pos") + 1, F.col("wide"))
-    kinds = F.slice(F.array(*[f"w{k}" for k in range(width)]), F.lit(1), F.col("wide"))
-    return windows.select("hash", *(F.col(c).alias(f"{mark}_{c}") for c in ("key", "pos", "wide", "whole")), words.alias(f"{mark}_words"), kinds.alias(f"{mark}_template"))
+    """`windows` with the raw and template words of each window alone, and what it is met by; names begin with `mark`."""
+    proof = F.coalesce(*(F.when(F.col("form") == form, _proof(form, width)) for form in (PLAIN, WHOLE, SIGNED, HEAD, TAIL)))
+    named = [F.col(c).alias(f"{mark}_{c}") for c in ("key", "pos", "wide", "form")]
+    return windows.select("hash", *named, _proof(WHOLE, width).alias(f"{mark}_words"), _proof(PLAIN, width).alias(f"{mark}_template"), proof.alias(f"{mark}_proof"))
 
 
 def contaminated(
@@ -81,9 +124,9 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, n_windows): windows of an item, distinct by place, that a document holds.
 
-    An item of fewer than `width` words is one window; one of fewer than `least_words` never counts. A template
-    needs as many plain words as half its width, so bare placeholders match nothing; raw words match as they
-    are. Null or empty texts have no windows. Repeated document rows count once, so do repeated items of
+    An item of fewer than `width` words is one window; one of fewer than `least_words` never counts. Half the words of a window
+    must be evidence: plain words, or signs of arithmetic with them, or a half that stands unchanged. So bare
+    placeholders match nothing; raw words match as they are. Null or empty texts have no windows. Repeated document rows count once, so do repeated items of
     one id. At most `broadcast_windows` distinct hashes (16 bytes each, so 16 MB, and twice that as a table of Spark)
     are broadcast, to drop the windows that meet none before any shuffle; with more, the windows are shuffled by hash.
     """
@@ -92,16 +135,14 @@ def contaminated(
     sized = sized.where(F.col("n") >= least_words)
     widths = sorted(r[0] for r in sized.select("n").distinct().collect()) or [width]  # at most `width` values
     b = _windows(sized, "item_id", "text", width, widths).join(sized.select(F.col("item_id").alias("key"), "n").distinct(), "key")
-    plain = sum(F.when(F.lit(k) < F.col("wide"), (~F.col(f"w{k}").contains("<")).cast("int")).otherwise(0) for k in range(width))
-    b = b.where((F.col("wide") == F.col("n")) & (F.col("whole") | (2 * plain >= F.col("wide"))))
-    b = cut(_spelled(b, width, "b"))
+    b = cut(_spelled(b.where(F.col("wide") == F.col("n")), width, "b"))
     d = _windows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", width, widths)
     hashes = cut(b.select("hash").distinct())
     if hashes.count() <= broadcast_windows:
         d = d.join(F.broadcast(hashes), "hash", "left_semi")
-    same = F.when(F.col("b_whole"), F.col("b_words") == F.col("d_words")).otherwise(F.col("b_template") == F.col("d_template"))
-    met = _spelled(d, width, "d").join(b, "hash").where((F.col("b_wide") == F.col("d_wide")) & (F.col("b_whole") == F.col("d_whole")) & same)
-    slots = F.filter(F.arrays_zip(F.col("b_template").alias("kind"), F.col("b_words").alias("b"), F.col("d_words").alias("d")), lambda s: s["kind"].contains("<") & ~F.col("b_whole"))
+    same = (F.col("b_wide") == F.col("d_wide")) & (F.col("b_form") == F.col("d_form")) & (F.col("b_proof") == F.col("d_proof"))
+    met = _spelled(d, width, "d").join(b, "hash").where(same)
+    slots = F.filter(F.arrays_zip(F.col("b_template").alias("kind"), F.col("b_words").alias("b"), F.col("d_words").alias("d")), lambda s: s["kind"].contains("<") & (F.col("b_form") != WHOLE))
     met = met.select(F.col("d_key").alias("doc_id"), F.col("b_key").alias("item_id"), F.col("b_pos").alias("item_pos"), (F.col("d_pos") - F.col("b_pos")).alias("shift"), slots.alias("slots"))
     met = cut(met)  # few rows, used twice
     one = met.select("doc_id", "item_id", "shift", "item_pos", F.explode_outer("slots").alias("s"))
@@ -124,33 +165,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return by_ids(docs, doc_id, found.select("doc_id"), "left_anti")
 
 
+def _chars(text: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in text)
+
+
+def _template_sql(x: str) -> str:
+    for pattern, to in ((r"[0-9][0-9\x02]*", "<n>"), *((rf"(^| )(?i:{NUMBERS})( |$)", r"\1<n>\2"),) * 2, (rf"<n> ({UNITS})( |$)", r"<n> <u>\2"), (r"(^| )\p{Lu}\p{Ll}+", r"\1<p>")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return f"string_split(lower({x}), ' ')"
+
+
 #: The same result in DuckDB SQL, for the default parameters and integer ids.
 ORACLE_SQL = rf"""
 WITH texts AS (
   SELECT 0 AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL
   UNION SELECT 1, item_id, text FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), points AS (
+  SELECT side, id, regexp_replace(translate(text, chr(2), ' '), '([0-9])[.,]([0-9])', '\1' || chr(2) || '\2', 'g') AS f,
+    regexp_replace(translate(replace(replace(translate(text, {_chars(chr(2) + _MARKS)}, '       '), ' / ', ' ' || chr(5) || ' '), ' - ', ' ' || chr(14) || ' '),
+    '{"".join(SIGNS)}', {_chars("".join(SIGNS.values()))}), '([0-9])[.,]([0-9])', '\1' || chr(2) || '\2', 'g') AS m FROM texts
 ), flat AS (
-  SELECT side, id, trim(regexp_replace(regexp_replace(translate(text, chr(2), ' '),
-    '([0-9])[.,]([0-9])', '\1' || chr(2) || '\2', 'g'),
-    '[^\p{{L}}\p{{N}}\x02]+', ' ', 'g'), ' ') AS f FROM texts
-), numbers AS (
-  SELECT side, id, f, regexp_replace(regexp_replace(regexp_replace(f, '[0-9][0-9\x02]*', '<n>', 'g'),
-    '(^| )(?i:{NUMBERS})( |$)', '\1<n>\2', 'g'), '(^| )(?i:{NUMBERS})( |$)', '\1<n>\2', 'g') AS x FROM flat
+  SELECT side, id, trim(regexp_replace(f, '[^\p{{L}}\p{{N}}\x02]+', ' ', 'g'), ' ') AS f,
+    trim(regexp_replace(regexp_replace(regexp_replace(m, '([0-9]) *([\x03-\x07\x0e])', '\1\2 ', 'g'), '(^|[^0-9])[\x03-\x07\x0e]+', '\1 ', 'g'),
+    '[^\p{{L}}\p{{N}}\x02-\x07\x0e]+', ' ', 'g'), ' ') AS m FROM points
 ), words AS (
-  SELECT side, id, string_split(f, ' ') AS raw,
-    string_split(lower(regexp_replace(regexp_replace(x, '<n> ({UNITS})( |$)', '<n> <u>\2', 'g'), '(^| )\p{{Lu}}\p{{Ll}}+', '\1<p>', 'g')), ' ') AS t FROM numbers
+  SELECT side, id, string_split(f, ' ') AS raw, {_template_sql("f")} AS t, {_template_sql("m")} AS sign FROM flat
 ), sized AS (
   SELECT *, least(8, len(t)) AS n FROM words
 ), wide AS (
-  SELECT side, id, raw, t, n AS wide FROM sized WHERE side = 1 AND n >= 4
-  UNION ALL SELECT s.side, s.id, s.raw, s.t, w.wide FROM sized s, (SELECT DISTINCT n AS wide FROM sized WHERE side = 1 AND n >= 4) w WHERE side = 0
+  SELECT side, id, raw, t, sign, n AS wide FROM sized WHERE side = 1 AND n >= 4
+  UNION ALL SELECT s.side, s.id, s.raw, s.t, s.sign, w.wide FROM sized s, (SELECT DISTINCT n AS wide FROM sized WHERE side = 1 AND n >= 4) w WHERE side = 0
 ), windows AS (
-  SELECT side, id, wide, w.pos AS pos, w.t AS t, w.raw AS raw FROM (
-    SELECT side, id, wide, unnest([{{'pos': i, 't': t[i + 1 : i + wide], 'raw': raw[i + 1 : i + wide]}} FOR i IN range(len(t) - wide + 1)]) AS w FROM wide WHERE len(t) >= wide)
+  SELECT side, id, wide, (wide + 1) // 2 AS half, w.pos AS pos, w.t AS t, w.raw AS raw, w.sign AS sign,
+    len([x FOR x IN w.t IF NOT contains(x, '<')]) AS plain, len([x FOR x IN w.sign IF regexp_matches(x, '[\x03-\x07\x0e]')]) AS marks FROM (
+    SELECT side, id, wide, unnest([{{'pos': i, 't': t[i + 1 : i + wide], 'raw': raw[i + 1 : i + wide], 'sign': sign[i + 1 : i + wide - 1]}} FOR i IN range(len(t) - wide + 1)]) AS w
+    FROM wide WHERE len(t) >= wide)
 ), met AS (
   SELECT d.id AS doc_id, b.id AS item_id, b.pos AS item_pos, d.pos - b.pos AS shift, b.wide, b.t AS kind, b.raw AS b, d.raw AS d
   FROM windows d JOIN windows b ON d.side = 0 AND b.side = 1 AND d.wide = b.wide AND d.t = b.t
-  WHERE 2 * len([x FOR x IN b.t IF NOT contains(x, '<')]) >= b.wide
+  WHERE 2 * b.plain >= b.wide OR (d.sign = b.sign AND (2 * (b.plain + b.marks) >= b.wide
+    OR d.raw[1 : b.half] = b.raw[1 : b.half] OR d.raw[b.wide - b.half + 1 : b.wide] = b.raw[b.wide - b.half + 1 : b.wide]))
 ), verbatim AS (
   SELECT d.id AS doc_id, b.id AS item_id, b.pos AS item_pos, d.pos - b.pos AS shift
   FROM windows d JOIN windows b ON d.side = 0 AND b.side = 1 AND d.wide = b.wide AND d.raw = b.raw

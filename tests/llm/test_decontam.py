@@ -81,12 +81,50 @@ def test_verbatim_copies_count_however_few_words_are_plain(spark, limit):
         (4, FILL + "with Alice Bob Carol Dave Emil Franz Gina Hans Ida Jan " + FILL),
         (5, FILL + "that Paris saw Alice and Bob " + FILL),
         (6, FILL),
+        (7, FILL + "that Rome met Carl and Dan " + FILL),
     ]
     got = sorted(map(tuple, run(spark, docs, items, broadcast_windows=limit).collect()))
-    assert got == [(1, 1, 1), (3, 2, 3), (5, 3, 1)]
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 2, 3), (5, 3, 1)]
     assert got == duck(docs, items)
 
 
+def sums():
+    """Arithmetic items and re-parameterised forms: one other number, or all of them."""
+    shapes = [
+        "Calculate {a} + {b} * {c} - {d} / {e}",
+        "What is {a} * {b} + {c}?",
+        "Solve {a} × {b} = {c} for the missing number {d}",
+        "Work out ({a} + {b}) ÷ {c} - {d} and then {e}",
+        "Evaluate {a}^{b} + {c}^{d} = {e}",
+        "Add {a}+{b}+{c}+{d}+{e} in the head",
+        "Multiply {a} {b} {c} {d} {e}",
+        "Between {a} and {b} lie {c} primes and {d} squares",
+    ]
+    first = dict(a=12, b=7, c=3, d=4, e=2)
+    other = [first | {"a": 13}, first | {"e": "9.5"}, dict(a=31, b=64, c=8, d=25, e=5)]
+    items = [(k, s.format(**first)) for k, s in enumerate(shapes)]
+    docs = [(10 * k + v, FILL + s.format(**o) + ". " + FILL, k) for k, s in enumerate(shapes) for v, o in enumerate(other)]
+    return items, docs
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_recall_on_arithmetic_items(spark, limit):
+    items, docs = sums()
+    clean = [
+        (1000, FILL + "Scores 31 64 8 25 5 " + FILL),  # numbers alone, none of them of the item
+        (1001, FILL + "Calculate 13 - 7 / 3 + 4 * 2 " + FILL),  # other signs
+        (1002, FILL + "Calculate 9 + 9 * 3 - 4 / 2 " + FILL),  # one value in two slots that differ
+        (1003, FILL + "on 2024-10-12 / 10-13 - 5 + 6 \x03 ++ + 7 - - 8 = x " + FILL),
+        (1004, "5\x02+ \x05 3"),
+    ]
+    rows = run(spark, [d[:2] for d in docs] + clean, items, broadcast_windows=limit).collect()
+    found = {(r.doc_id, r.item_id) for r in rows}
+    want = {(i, k) for i, _, k in docs}
+    assert len(found & want) >= 0.9 * len(want) and not {i for i, _ in found} & {1000, 1001, 1002, 1003, 1004}
+    assert want - found == {(62, 6)}  # no sign, no plain word and no number kept
+    assert sorted(map(tuple, rows)) == duck([d[:2] for d in docs] + clean, items)
+
+
 def questions():
     """Twelve questions and five re-parameterised forms of each: other names, numbers (digits or words) and units."""
     shapes = [
