@@ -483,3 +483,16 @@ def test_clustering_goes_on_from_earlier_stories(spark):
     # A closed story takes nothing, however near it is.
     shut = stories.withColumn("status", F.lit("closed"))
     assert min(r.story for r in similarity.cluster(late, 0.8, 36, ["block"], stories=shut).collect()) >= 120
+
+
+def test_recorded_sources_are_told_before_the_rows_are_made(spark):
+    posts = spark.createDataFrame([(1, 7, True), (2, 7, False), (3, 8, None), (4, None, True)], "post_id long, cluster_id long, recorded boolean")
+    rows = [(10, 7, True), (11, 7, False), (12, 8, True), (13, None, True)]
+    members = spark.createDataFrame([(i, c, r, "press", -1, "", "s") for i, c, r in rows], "id long, cluster_id long, recorded boolean, type string, lean_value int, owner_group string, source_id string")
+    known = spark.createDataFrame([(2, 11), (2, 99)], "post_id long, article_id long")
+    new = B.record_sources(posts, members, known)
+    assert sorted((r.post_id, r.article_id, r.owner, r.bucket) for r in new.collect()) == [(1, 11, "s", "left"), (2, 10, "s", "left"), (3, 12, "s", "left")]
+    assert sorted((r.post_id, r.article_id) for r in B.record_sources(posts.drop("recorded"), members, known).collect()) == [(1, 10), (1, 11), (2, 10), (3, 12)]
+    # No shuffle above the join, where the rows are made.
+    plan = B.record_sources(posts, members)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and plan.index("SortMergeJoin") < plan.index("Exchange")
