@@ -113,3 +113,13 @@ def test_taps_and_quota(feed, tmp_path):
     # Rows of the second batch are earlier than some of the first; nothing was passed by the watermark before they came.
     got = {r.id: r.n for r in W.drain(W.rolling_quota(q), f"{tmp_path}/q").collect()}
     assert got == {i: sum(c == d and u <= t and t - u <= dt.timedelta(hours=24) for _, d, u in rows) for i, c, t in rows}
+
+
+def test_growth_keeps_the_articles_of_a_slot_in_packs(feed, tmp_path):
+    rows = [(7, f"o{k % 3}", at(1 + k / 100)) for k in range(300)] + [(None, "o0", at(1))]
+    p = feed("post_id long, cluster_id long, post_ts timestamp, posted_owners array<string>", [(1, 7, at(0), ["o1"]), (2, 7, at(2.5), ["o0"]), (3, None, at(0), ["o0"])], name="p")
+    a = feed("cluster_id long, owner string, ts timestamp", rows, name="a")
+    out = W.drain(W.story_growth(p, a), f"{tmp_path}/o")
+    want = [(i, o, x) for i, post, own in ((1, at(0), "o1"), (2, at(2.5), "o0")) for c, o, x in rows if c == 7 and o != own and x > post]
+    assert sorted((r.post_id, r.owner, r.ts) for r in out.collect()) == sorted(want)
+    assert 0 < out.sparkSession.read.format("statestore").option("joinSide", "right").load(f"{tmp_path}/o/checkpoint").count() < 30
