@@ -123,3 +123,13 @@ def test_growth_keeps_the_articles_of_a_slot_in_packs(feed, tmp_path):
     want = [(i, o, x) for i, post, own in ((1, at(0), "o1"), (2, at(2.5), "o0")) for c, o, x in rows if c == 7 and o != own and x > post]
     assert sorted((r.post_id, r.owner, r.ts) for r in out.collect()) == sorted(want)
     assert 0 < out.sparkSession.read.format("statestore").option("joinSide", "right").load(f"{tmp_path}/o/checkpoint").count() < 30
+
+
+def test_promotion_keeps_stories_in_buckets(feed, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "BUCKETS", 3)
+    first = [(k, at(0), "a") for k in range(40)] + [(None, at(0), "a")]
+    then = [(k, at(1 + j), o) for k in range(0, 40, 2) for j, o in enumerate("bc")] + [(1, at(5), "b"), (1, at(5), "c")]
+    s = feed("cluster_id long, ts timestamp, owner string", first, then, [(99, at(50), "a")], [(99, at(99), "a")])
+    got = sorted(((r.cluster_id, r.outcome) for r in W.drain(W.promotion(s), f"{tmp_path}/o").where("cluster_id IS NULL OR cluster_id < 99").collect()), key=str)
+    assert got == sorted([(k, "promoted" if k % 2 == 0 else "expired") for k in range(40)] + [(None, "expired")], key=str)
+    assert s.sparkSession.read.format("statestore").option("stateVarName", "stories").load(f"{tmp_path}/o/checkpoint").count() <= 4
