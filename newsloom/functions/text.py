@@ -156,3 +156,9 @@ def quote_found(quote: Column, text: Column, least_words: int = 4) -> Column:
     """Is the normalised quote, if long enough, a substring of the normalised text?"""
     q = F.array_join(words(quote), " ")
     return (F.size(words(quote)) >= least_words) & F.contains(F.array_join(words(text), " "), q)
+
+
+def round_signed(x: Column, digits: int) -> Column:
+    """Rounded half away from zero; unlike `round`, what a negative number leaves is a negative zero, as in IEEE arithmetic and DuckDB."""
+    scale = F.lit(float(10**digits))
+    return F.signum(x) * (F.floor(F.abs(x) * scale + 0.5).cast("double") / scale)

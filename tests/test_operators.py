@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as X
 from newsloom.operators import dedup, entities, gates, issues, reports, similarity
 from newsloom.operators import stories as S
 from newsloom.plans.views import LEANS
@@ -496,3 +497,10 @@ def test_recorded_sources_are_told_before_the_rows_are_made(spark):
     # No shuffle above the join, where the rows are made.
     plan = B.record_sources(posts, members)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" not in plan and plan.index("SortMergeJoin") < plan.index("Exchange")
+
+
+def test_signed_rounding_keeps_negative_zeros(spark):
+    xs = [-1e-6, 1e-6, -0.0, 0.0, 0.123455, -0.123455, -2.5e-6, None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(X.round_signed(F.col("x"), 5)).collect()]
+    assert [repr(x) for x in got] == ["-0.0", "0.0", "-0.0", "0.0", "0.12346", "-0.12346", "-0.0", "None"]
+
