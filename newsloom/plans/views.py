@@ -55,7 +55,7 @@ class Tables:
         return d.join(e, "doc_id", "left").select(
             F.col("doc_id").alias("id"),
             F.col("source").alias("source_id"),
-            F.trim(F.substring(F.split("text", "\n")[0], 1, 80)).alias("title"),
+            F.trim(F.substring(F.substring_index("text", "\n", 1), 1, 80)).alias("title"),
             F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("doc_id") % 997).alias("url_canonical"),
             F.substring("text", 1, 120).alias("summary"),
             F.when(F.col("n_chars") >= 400, F.col("text")).alias("body"),
@@ -115,17 +115,19 @@ class Tables:
         """Facts about 40 entities: six words spread evenly over each document's whole text, with the outlet's bucket."""
         d = self.raw("documents").where("text IS NOT NULL")
         s = self.sources.select(F.col("id").alias("source"), "lean_value", "type")
-        words = F.filter(F.split(F.lower("text"), r"[ \n.,]+"), lambda w: w != "")
-        # A column of its own: inside the lambda the text would be split for every word.
-        d = d.select("doc_id", "source", words.alias("_w"))
-        spread = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.get("_w", F.floor(i * F.size("_w") / 6).cast("int")))
+        # Blanks part faster than a pattern does; what they leave empty is no word.
+        plain = F.replace(F.replace(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), F.lit("."), F.lit(" ")), F.lit(","), F.lit(" "))
+        words = F.array_remove(F.split(plain, " "), "")
+        # The words are bound by a lambda and the fact is exploded: else a filter on the fact is pushed below it and the text is split for every word and mention.
+        spread = lambda w: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.get(w, F.floor(i * F.size(w) / 6).cast("int"))), " ")
+        d = d.select("doc_id", "source", F.explode(F.transform(F.array(words), spread)).alias("_fact"))
         kinds = F.array(*map(F.lit, ["role", "classification", "scale", "legal", "evaluative"]))
         states = F.array(*map(F.lit, ["active", "candidate", "active", "stale", "retired", "candidate"]))
         bucket = F.when(F.col("type") != "press", "").when(F.col("lean_value") <= -1, "left").when(F.col("lean_value") >= 1, "right").otherwise("center")
         return d.join(s, "source").select(
             F.col("doc_id").alias("fact_id"),
             F.concat(F.lit("e"), F.col("doc_id") % 40).alias("entity_id"),
-            F.array_join(spread, " ").alias("fact"),
+            F.col("_fact").alias("fact"),
             F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("kind"),
             F.element_at(states, (F.col("doc_id") % 6 + 1).cast("int")).alias("status"),
             bucket.alias("bucket"),

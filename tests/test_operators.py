@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as X
 from newsloom.operators import dedup, entities, gates, issues, reports, similarity
 from newsloom.operators import stories as S
-from newsloom.plans.views import LEANS
+from newsloom.plans.views import LEANS, Tables
 from newsloom.sources import tables as B
 
 MEMBER = "cluster_id long, id long, source_id string, lean string, lean_value int, type string, owner_group string, weight double, title string, body string, pub_min long, source_name string"
@@ -504,3 +504,7 @@ def test_signed_rounding_keeps_negative_zeros(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(X.round_signed(F.col("x"), 5)).collect()]
     assert [repr(x) for x in got] == ["-0.0", "0.0", "-0.0", "0.0", "0.12346", "-0.12346", "-0.0", "None"]
 
+
+def test_a_filter_on_a_fact_splits_no_text_again(spark, sf_dir):
+    facts = Tables(spark, sf_dir).facts.where("fact LIKE 'a%' AND length(fact) < 50").select("fact", F.upper("fact").alias("u"))
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
