@@ -79,7 +79,7 @@ def _window_hashes(df: DataFrame, key: str, mark: str, n: int, bits: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = kept.value
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):  # the arrays below hold several words' worth a window
             lists = batch.column(1)
             h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             sizes = np.array(lists.value_lengths().fill_null(0).to_pylist(), dtype=np.int64)
