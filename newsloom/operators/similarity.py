@@ -102,11 +102,25 @@ def exact_pairs(vectors: DataFrame, threshold: float, hours: float | None = None
         v = np.stack(pdf.embedding.to_list()).astype(np.float64)
         norm = np.linalg.norm(v, axis=1)
         side, ids, at = pdf.side.to_numpy(), pdf.id.to_numpy(), pdf.pub_min.to_numpy()
+        # Single precision screens, with more slack than it can be wrong by; what passes is told in double precision.
+        unit = np.divide(v, norm[:, None], out=np.zeros(v.shape), where=norm[:, None] > 0).astype(np.float32)
         x, y = np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2))
-        scale = np.outer(norm[x], norm[y])
-        sim = np.divide(v[x] @ v[y].T, scale, out=np.zeros(scale.shape), where=scale > 0)
-        a, b = np.nonzero((sim >= threshold) & ((side[x][:, None] != 2) | (ids[x][:, None] < ids[y][None])) & ((np.abs(at[x][:, None] - at[y][None]) <= span) if span else True))
-        return pd.DataFrame({"a": np.minimum(ids[x[a]], ids[y[b]]), "b": np.maximum(ids[x[a]], ids[y[b]]), "sim": sim[a, b]})
+        across, made = unit[y].T.copy(), []
+        for k in range(0, len(x), 128):  # only a strip of the products is held
+            i, j = np.nonzero(unit[x[k : k + 128]] @ across >= np.float32(threshold - 1e-4))
+            i, j = x[k + i], y[j]
+            ok = (side[i] != 2) | (ids[i] < ids[j])
+            if span:
+                ok &= np.abs(at[i] - at[j]) <= span
+            i, j = i[ok], j[ok]
+            for c in range(0, len(i), 16_384):
+                a, b = i[c : c + 16_384], j[c : c + 16_384]
+                scale = norm[a] * norm[b]
+                sim = np.divide(np.einsum("ij,ij->i", v[a], v[b]), scale, out=np.zeros(len(a)), where=scale > 0)
+                hit = sim >= threshold
+                made.append((ids[a[hit]], ids[b[hit]], sim[hit]))
+        a, b, sim = (np.concatenate(z) for z in zip(*made)) if made else (ids[:0], ids[:0], norm[:0])
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim})
 
     return groups.groupBy(*keys).applyInPandas(task, "a long, b long, sim double").where("a < b")
 
