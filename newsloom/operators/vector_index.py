@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 MOST_LISTS = 4096
 #: Rows of a block of products; lists are dealt out in chunks of so many.
 CHUNK = 2000
+#: Rows of a side of a task of `_meet`, which compares them in blocks of CHUNK: a row is sent to each task of its list, so these are few.
+TILE = 16_000
 #: Room for rounding at the bounds.
 SLACK = 1e-6
 
@@ -106,7 +108,8 @@ class VectorIndex:
 
     @property
     def lists(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/lists").withColumn("list", F.col("list").cast("int"))
+        kinds = self.spark.read.parquet(f"{self.folder}/units").schema.add("radius", "double").add("list", "integer")  # without rows there are no files to tell it
+        return self.spark.read.schema(kinds).parquet(f"{self.folder}/lists")
 
     @property
     def members(self) -> DataFrame:
@@ -126,7 +129,7 @@ class VectorIndex:
 
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             c, far, between = spread.value
-            for pdf in batches:
+            for pdf in batches if len(c) else ():
                 for k in range(0, len(pdf), 512):
                     part = pdf.iloc[k : k + 512]
                     d = _distances(np.stack(part.unit.to_list()), c)
@@ -153,7 +156,7 @@ class VectorIndex:
         """(a, b, sim): visitors a and residents b of a list, of one block, at the threshold or more; chunks of both sides meet in tasks of their own."""
         home = self.lists.withColumn("block", F.col("block").cast("string"))
         visits = visits.withColumn("block", F.col("block").cast("string"))
-        chunks = lambda df, n: df.groupBy("block", "list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(n))
+        chunks = lambda df, n: df.groupBy("block", "list").agg(F.ceil(F.count("*") / TILE).cast("int").alias(n))
         n_home, n_visit = chunks(home, "_nh"), chunks(visits, "_nv")
         sizes = n_home.join(n_visit, n_home["block"].eqNullSafe(n_visit["block"]) & (n_home["list"] == n_visit["list"])).select(n_home["block"].alias("_b"), n_home["list"].alias("_l"), "_nh", "_nv")
 
@@ -173,13 +176,20 @@ class VectorIndex:
             x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
             if not len(x) or not len(y):
                 return pd.DataFrame({"a": [], "b": [], "sim": []})
-            sim = np.stack(x.unit.to_list()) @ np.stack(y.unit.to_list()).T
-            hit = (sim >= threshold) & (np.abs(x.d.to_numpy()[:, None] - y.d.to_numpy()[None]) <= radius + SLACK)
-            if itself:  # inside a list each pair once
-                a, b = x.id.to_numpy()[:, None], y.id.to_numpy()[None]
-                hit &= (x.own.to_numpy()[:, None] != y.own.to_numpy()[None]) | (a < b)
-            i, j = np.nonzero(hit)
-            return pd.DataFrame({"a": x.id.to_numpy()[i], "b": y.id.to_numpy()[j], "sim": np.minimum(sim[i, j], 1.0)})
+            u, w, made = np.stack(x.unit.to_list()), np.stack(y.unit.to_list()), []
+            dx, dy, ox, oy, ix, iy = x.d.to_numpy(), y.d.to_numpy(), x.own.to_numpy(), y.own.to_numpy(), x.id.to_numpy(), y.id.to_numpy()
+            for k in range(0, len(u), CHUNK // 4):  # only a block of the products is held
+                for m in range(0, len(w), CHUNK):
+                    sim = u[k : k + CHUNK // 4] @ w[m : m + CHUNK].T
+                    i, j = np.nonzero(sim >= threshold)
+                    sim = sim[i, j]
+                    i, j = i + k, j + m
+                    hit = np.abs(dx[i] - dy[j]) <= radius + SLACK
+                    if itself:  # inside a list each pair once
+                        hit &= (ox[i] != oy[j]) | (ix[i] < iy[j])
+                    made.append((ix[i[hit]], iy[j[hit]], np.minimum(sim[hit], 1.0)))
+            a, b, sim = (np.concatenate(z) for z in zip(*made))
+            return pd.DataFrame({"a": a, "b": b, "sim": sim})
 
         kind = dict(visits.dtypes)["id"]
         return both.groupBy("block", "list", "v", "h").applyInPandas(task, f"a {kind}, b {kind}, sim double")

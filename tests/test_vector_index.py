@@ -69,3 +69,12 @@ def test_odd_vectors(spark, tmp_path):
     assert [(r["a"], r["b"]) for r in index.pairs(0.9).collect()] == [(3, 5)]  # 4 is a copy of 3
     empty = VectorIndex.build(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/e")
     assert empty.pairs(0.5).collect() == [] and empty.within(spark.createDataFrame(rows, SCHEMA), 0.5).collect() == []
+
+
+def test_lists_over_several_tiles_lose_no_pair(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("newsloom.operators.vector_index.TILE", 30)
+    v = np.random.default_rng(4).normal(size=(200, 5))
+    index = VectorIndex.build(spark.createDataFrame([(k, x, "x") for k, x in enumerate(v.tolist())], SCHEMA), f"file://{tmp_path}/i", lists=2)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(a, b) for a, b in zip(*np.nonzero(u @ u.T >= 0.6)) if a < b}
+    assert {(r.a, r.b) for r in index.pairs(0.6).collect()} == want
