@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -266,10 +267,305 @@ class LeaderFold:
 
 #: Articles of a run.
 RUN = 256
+#: Nearest earlier articles that an article knows; a longer list costs space, a shorter one more looks at all stories. No result depends on it.
+NEAR = 64
+#: Articles of a tile, which a task holds while the earlier ones stream past it.
+TILE = 16_384
+#: More than single precision can be wrong by in a cosine.
+SLACK = 1e-4
 
 
-def _fold(batches: Iterator[pd.DataFrame], keys: list[str], state_of) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """(rows, stories) of sorted rows (keys, carried, id, pub_min, last_min, embedding), run by run."""
+class NearFold:
+    """As `LeaderFold`, where each article knows its nearest earlier articles, so that stories of one article cost nothing to compare with.
+
+    Most stories never grow, and the product with one of them is the product of two articles, which `nearest_before` tells
+    ahead and in parallel. Only stories that have grown are multiplied here. Where a cut list of nearest articles leaves it open whether
+    another lone one is nearer, all lone ones are looked at.
+    """
+
+    def __init__(self, threshold: float, window_min: float, bound_first: bool, near: int = NEAR):
+        self.threshold, self.window, self.bound_first, self.near = threshold, window_min, bound_first, near
+        self.sums, self.pool = np.zeros((0, 0)), np.zeros((0, 0))
+        self.first, self.last = np.zeros(0), np.zeros(0)
+        self.lead, self.order = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.lone: dict[int, tuple] = {}  # uid -> (order, time, id, place in the pool), oldest first
+        self.uid, self.when, self.size, self.alive = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), np.zeros(0, dtype=bool)
+        self.used, self.opened = 0, 0
+
+    def put(self, leads: np.ndarray, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        """Take over stories of an earlier run."""
+        order = np.arange(self.opened, self.opened + len(leads))
+        self.sums = np.concatenate([self.sums, sums]) if len(self.sums) else np.array(sums, dtype=np.float64)
+        self.first, self.last = np.concatenate([self.first, first]), np.concatenate([self.last, last])
+        self.lead, self.order = np.concatenate([self.lead, np.asarray(leads, dtype=np.int64)]), np.concatenate([self.order, order])
+        self.opened += len(leads)
+
+    def _forget(self, since: float) -> None:
+        """What is idle now stays idle."""
+        live = self.last >= since
+        if not live.all():
+            self.sums, self.first, self.last = self.sums[live], self.first[live], self.last[live]
+            self.lead, self.order = self.lead[live], self.order[live]
+        while self.lone and (uid := next(iter(self.lone))) is not None and self.lone[uid][1] < since:
+            self.alive[self.lone.pop(uid)[3]] = False
+
+    def _keep(self, uid: int, at: float, v: np.ndarray, length: float) -> int:
+        """A place for a lone article; places are in the order of opening."""
+        if self.used == len(self.pool):
+            held = np.flatnonzero(self.alive[: self.used])
+            size, n = max(1024, 2 * len(held)), len(held)
+            for name in ("pool", "uid", "when", "size", "alive"):
+                old = getattr(self, name)
+                new = np.zeros((size, len(v)) if name == "pool" else size, dtype=old.dtype)
+                if n:
+                    new[:n] = old[held]
+                setattr(self, name, new)
+            self.lone = {u: (o, t, k, place) for place, (u, (o, t, k, _)) in enumerate(self.lone.items())}
+            self.used = n
+        k = self.used
+        self.pool[k], self.uid[k], self.when[k], self.size[k], self.alive[k] = v, uid, at, length, True
+        self.used += 1
+        return k
+
+    def _look(self, v: np.ndarray, since: float) -> tuple[int | None, float]:
+        """The nearest of all lone articles."""
+        if not self.used:
+            return None, -np.inf
+        some = self.alive[: self.used] & (self.when[: self.used] >= since)
+        sim = np.where(some, self.pool[: self.used] @ v / self.size[: self.used], -np.inf)
+        best = int(sim.argmax())  # the first of equals is the oldest
+        return (int(self.uid[best]), float(sim[best])) if some[best] else (None, -np.inf)
+
+    def add(self, uids: list, keys: np.ndarray, at: np.ndarray, v: np.ndarray, near: list, sims: list) -> np.ndarray:
+        """The stories of a run of articles, sorted by time; `near` and `sims` are the uids of nearest earlier articles and the products over their lengths."""
+        self._forget(at[0] - self.window)
+        n, b = len(self.lead), len(v)
+        room = n + b
+        dots, within = np.empty((b, room)), v @ v.T
+        dots[:, :n] = v @ self.sums.T if n else 0
+        own = np.sqrt(within.diagonal())
+        own = np.where(own > 0, own, 1.0)
+        square = np.zeros(room)
+        square[:n] = np.einsum("ij,ij->i", self.sums, self.sums) if n else 0
+        length = np.ones(room)
+        length[:n] = np.where(square[:n] > 0, np.sqrt(square[:n]), 1.0)
+        grow = lambda x: np.concatenate([x, np.zeros(b, dtype=x.dtype)])
+        first, last, lead, order, m = grow(self.first), grow(self.last), grow(self.lead), grow(self.order), n
+        sums = np.zeros((room, v.shape[1]))
+        sums[:n] = self.sums if n else 0
+        lone, stories, joined = self.lone, np.empty(b, dtype=np.int64), np.full(b, -1)
+        for i in range(b):
+            since, j, best = at[i] - self.window, -1, -np.inf
+            if m:
+                open_ = last[:m] >= since
+                if self.bound_first:
+                    open_ &= first[:m] <= at[i] + self.window
+                sim = np.where(open_, dots[i, :m] / length[:m], -np.inf)
+                j = int(sim.argmax())
+                best = sim[j]
+                if m > n:  # stories that grew in this run do not stand in the order they were opened
+                    same = np.flatnonzero(sim == best)
+                    j = int(same[order[same].argmin()])
+            u, s = None, -np.inf
+            for x, y in zip(near[i], sims[i]):
+                if u is not None and y < s:
+                    break
+                if (e := lone.get(x)) is not None and e[1] >= since and (u is None or e[0] < lone[u][0]):
+                    u, s = x, y
+            if len(near[i]) == self.near:
+                most = sims[i][-1] + SLACK * own[i]
+                if s < most and most >= best and most / own[i] >= self.threshold:
+                    u, s = self._look(v[i], since)
+            if u is not None and (s > best or (s == best and lone[u][0] < order[j])):
+                if s / own[i] >= self.threshold:
+                    o, t, k, place = lone.pop(u)
+                    self.alive[place] = False
+                    j, m = m, m + 1
+                    sums[j] = self.pool[place]
+                    product = v @ sums[j]
+                    dots[:, j] = product
+                    square[j] = sums[j] @ sums[j]
+                    first[j] = last[j] = t
+                    lead[j], order[j] = k, o
+                else:
+                    j = -1
+            elif best / own[i] < self.threshold or best == -np.inf:
+                j = -1
+            if j < 0:
+                place = self._keep(uids[i], at[i], v[i], own[i])  # may deal the places anew
+                lone = self.lone
+                lone[uids[i]] = (self.opened, at[i], keys[i], place)
+                self.opened += 1
+                stories[i] = keys[i]
+            else:
+                square[j] += 2 * dots[i, j] + within[i, i]
+                dots[:, j] += within[:, i]
+                first[j], last[j] = min(first[j], at[i]), max(last[j], at[i])
+                length[j] = np.sqrt(square[j]) if square[j] > 0 else 1.0
+                stories[i], joined[i] = lead[j], j
+        some = joined >= 0
+        np.add.at(sums, joined[some], v[some])
+        self.sums, self.first, self.last, self.lead, self.order = sums[:m], first[:m], last[:m], lead[:m], order[:m]
+        return stories
+
+
+def _vectors(column: pa.Array, wide: bool) -> np.ndarray:
+    """Vectors kept as bytes, a row each."""
+    if not len(column):
+        return np.zeros((0, 0))
+    v = np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64 if wide else np.float32)
+    return v.reshape(len(column), -1)
+
+
+def _as_bytes(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(names, embedding): the embedding's floats or doubles as bytes."""
+    wide = not dict(rows.dtypes)["embedding"] == "array<float>"
+    kept = rows.select(*names, F.col("embedding").cast("array<double>") if wide else F.col("embedding"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([None if x is None else np.asarray(x.values, dtype=np.float64 if wide else np.float32).tobytes() for x in batch.column(len(names))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*names, "embedding"])
+
+    return kept.mapInArrow(packed, T.StructType([*kept.schema.fields[:-1], T.StructField("embedding", T.BinaryType())]))
+
+
+class _Tile:
+    """Articles of a tile, and the nearest of what streamed past them."""
+
+    def __init__(self, window: float, least: float, near: int = NEAR):
+        self.window, self.least, self.near, self.batches, self.x = window, least, near, [], None
+
+    def close(self, wide: bool) -> None:
+        self.rows = pa.Table.from_batches(self.batches).combine_chunks()
+        self.uid, self.at = self.rows["uid"].to_numpy(), self.rows["at"].to_numpy()
+        self.v = _vectors(self.rows["embedding"].combine_chunks(), wide)
+        norm = np.linalg.norm(self.v.astype(np.float64), axis=1)
+        self.x = np.divide(self.v, norm[:, None], out=np.zeros(self.v.shape), where=norm[:, None] > 0).astype(np.float32)
+        self.sim = np.full((len(self.x), self.near), -2, dtype=np.float32)
+        self.who, self.s = np.full((len(self.x), self.near), -1), np.full((len(self.x), self.near), -np.inf)
+
+    def meet(self, uid: np.ndarray, at: np.ndarray, w: np.ndarray, strip: int = 2048) -> None:
+        """Earlier articles, by time, as they come."""
+        norm = np.linalg.norm(w.astype(np.float64), axis=1)
+        y = np.divide(w, norm[:, None], out=np.zeros(w.shape), where=norm[:, None] > 0).astype(np.float32)
+        for c in range(0, len(y), strip):
+            q, when = slice(c, c + strip), at[c : c + strip]
+            for k in range(0, len(self.x), strip):
+                p = slice(k, min(k + strip, len(self.x)))
+                if when[0] > self.at[p][-1] or when[-1] < self.at[k] - self.window:
+                    continue
+                product = self.x[p] @ y[q].T
+                floor = np.maximum(self.sim[p, -1], np.float32(self.least - SLACK / 2))
+                hit = product > floor[:, None]
+                if when[-1] >= self.at[k] or when[0] < self.at[p][-1] - self.window:
+                    hit &= (when[None, :] <= self.at[p][:, None]) & (when[None, :] >= self.at[p][:, None] - self.window) & (uid[q][None, :] != self.uid[p][:, None])
+                found = np.count_nonzero(hit, axis=1)
+                many = np.flatnonzero(found > self.near)
+                if len(many):
+                    least = np.partition(np.where(hit[many], product[many], np.float32(-2)), -self.near, axis=1)[:, -self.near]
+                    hit[many] &= product[many] >= least[:, None]
+                some = np.flatnonzero(found)
+                if not len(some):
+                    continue
+                r, column = np.nonzero(hit[some])
+                value = product[some[r], column]
+                order = np.lexsort((column, -value, r))
+                r, column, value = r[order], column[order], value[order]
+                nth = np.arange(len(r)) - np.searchsorted(r, r)
+                r, column, value, nth = (x[nth < self.near] for x in (r, column, value, nth))
+                fresh, top = np.full((len(some), self.near), -2, dtype=np.float32), np.zeros((len(some), self.near), dtype=np.int64)
+                fresh[r, nth], top[r, nth] = value, column
+                rows = k + some
+                sim = np.concatenate([self.sim[rows], fresh], axis=1)
+                who = np.concatenate([self.who[rows], np.where(fresh > -2, uid[q][top], -1)], axis=1)
+                s = np.concatenate([self.s[rows], np.full(fresh.shape, -np.inf)], axis=1)
+                order = np.argsort(-sim, axis=1, kind="stable")[:, :self.near]
+                self.sim[rows], self.who[rows] = np.take_along_axis(sim, order, axis=1), np.take_along_axis(who, order, axis=1)
+                kept = np.take_along_axis(s, order, axis=1)
+                # Chosen in single precision; what stays is told in double.
+                own, col = np.nonzero((order >= self.near) & (self.who[rows] >= 0))
+                x, y_ = rows[own], c + top[own, order[own, col] - self.near]
+                for e in range(0, len(x), 8192):
+                    f = slice(e, e + 8192)
+                    kept[own[f], col[f]] = np.einsum("ij,ij->i", self.v[x[f]].astype(np.float64), w[y_[f]].astype(np.float64)) / np.where(norm[y_[f]] > 0, norm[y_[f]], 1.0)
+                self.s[rows] = kept
+
+    def told(self, fields: list[str]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(-self.s, axis=1, kind="stable")
+        who, s = np.take_along_axis(self.who, order, axis=1), np.take_along_axis(self.s, order, axis=1)
+        given = who >= 0
+        edges = np.concatenate([[0], np.cumsum(given.sum(axis=1))]).astype(np.int32)
+        near = pa.ListArray.from_arrays(pa.array(edges), pa.array(who[given]))
+        sims = pa.ListArray.from_arrays(pa.array(edges), pa.array(s[given]))
+        for k in range(0, len(self.x), 4096):
+            part = self.rows.slice(k, 4096).combine_chunks()
+            columns = [part[f].combine_chunks() if isinstance(part[f], pa.ChunkedArray) else part[f] for f in fields]
+            yield pa.RecordBatch.from_arrays([*columns, near.slice(k, 4096), sims.slice(k, 4096)], names=[*fields, "near", "sims"])
+
+
+def nearest_before(articles: DataFrame, block: list[str], least: float, window_hours: float, extra: list[str] | None = None, near: int = NEAR) -> DataFrame:
+    """(uid, id, pub_min, block columns, extra, embedding as bytes, near, sims): for each article its `near` nearest earlier ones.
+
+    Earlier ones are of its block, no newer, and within the window; of those below the cosine `least` none is told. Articles lie in
+    tiles of a block and time slot, which a task holds; those of the window stream past a tile, so a task's memory is a tile's.
+    """
+    spark, span, extra = articles.sparkSession, max(60.0 * window_hours, 1.0), extra or []
+    names = ["id", "pub_min", *block, *extra]
+    wide = dict(articles.dtypes)["embedding"] != "array<float>"
+    rows = _as_bytes(articles.withColumn("pub_min", F.nanvl(F.col("pub_min").cast("double"), F.lit(None).cast("double"))), names)
+    # Articles without a time meet each other only. What shares a hash with another block costs work, not correctness.
+    rows = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("at", F.coalesce("pub_min", F.lit(0.0)))
+    rows = shared.stored(rows.withColumn("part", F.xxhash64(F.isnull("pub_min"), *block)), "articles")
+    most = rows.groupBy("part", F.floor(F.col("at") / span)).count().agg(F.max("count")).first()[0] or 1
+    steps = min(64, -(-most // TILE))
+    width = span / steps * (1 + 1e-9)
+    slotted = rows.withColumn("slot", F.floor(F.col("at") / width))
+    full = slotted.groupBy("part", "slot").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")  # at most a row per TILE articles
+    tiles = lambda df: df.join(F.broadcast(full), ["part", "slot"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    mine = tiles(slotted).withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")).withColumn("side", F.lit(0))
+    past = tiles(slotted.withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + steps))))
+    past = past.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(1))
+    kinds = dict(rows.dtypes)
+    carried = [F.lit(None).cast(kinds[c]).alias(c) for c in names]
+    order = ["part", "slot", "tile", "side", "at", "uid"]
+    fields = ["uid", *names, "embedding"]
+    met = mine.select(*order, *names, "embedding").unionByName(past.select(*order, *carried, "embedding"))
+    met = met.repartition("part", "slot", "tile").sortWithinPartitions(*order)
+    schema = T.StructType([T.StructField(f, rows.schema[f].dataType) for f in fields]).add("near", T.ArrayType(T.LongType())).add("sims", T.ArrayType(T.DoubleType()))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                key, piece = tuple(keys[a][:3]), batch.slice(a, b - a)
+                if key != now:
+                    if tile is not None and tile.x is not None:
+                        yield from tile.told(fields)
+                    elif tile is not None and tile.batches:
+                        tile.close(wide)
+                        yield from tile.told(fields)
+                    tile, now = _Tile(span if window_hours > 0 else 0.0, least, near), key
+                if keys[a][3] == 0:
+                    tile.batches.append(piece)
+                elif tile.batches:
+                    if tile.x is None:
+                        tile.close(wide)
+                    tile.meet(piece.column(5).to_numpy(), piece.column(4).to_numpy(), _vectors(piece.column(piece.num_columns - 1), wide))
+        if tile is not None and tile.batches:
+            if tile.x is None:
+                tile.close(wide)
+            yield from tile.told(fields)
+
+    return met.mapInArrow(task, schema)
+
+
+def _fold(batches: Iterator[pd.DataFrame], keys: list[str], wide: bool, state_of) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, stories) of sorted rows (keys, carried, uid, id, pub_min, last_min, embedding, near, sims), run by run."""
     now, state = None, None
     for pdf in batches:
         if not len(pdf):
@@ -285,39 +581,44 @@ def _fold(batches: Iterator[pd.DataFrame], keys: list[str], state_of) -> Iterato
                 key = tuple(None if pd.isna(part[x].iloc[0]) else part[x].iloc[0] for x in keys)
                 if key != now:
                     now, state = key, state_of(part)
-                v = np.stack(part.embedding.to_list()).astype(np.float64)
+                v = np.stack([np.frombuffer(x, dtype=np.float64 if wide else np.float32) for x in part.embedding]).astype(np.float64)
                 at = part.pub_min.astype(float).fillna(np.inf).to_numpy()
                 if part.carried.iloc[0]:
                     state.put(part.id.to_numpy(), v, at, part.last_min.astype(float).to_numpy())
                 else:
-                    yield part, state.add(part.id.to_numpy(), at, v)
+                    yield part, state.add(part.uid.tolist(), part.id.to_numpy(), at, v, [x.tolist() for x in part.near], [x.tolist() for x in part.sims])
 
 
-def _sorted(articles: DataFrame, keys: list[str], stories: DataFrame | None) -> DataFrame:
-    rows = articles.select("id", F.col("pub_min").cast("double").alias("pub_min"), F.lit(None).cast("double").alias("last_min"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(False).alias("carried"), *keys)
+def _sorted(rows: DataFrame, keys: list[str], stories: DataFrame | None) -> DataFrame:
+    rows = rows.withColumn("last_min", F.lit(None).cast("double")).withColumn("carried", F.lit(False))
     if stories is not None:
         open_ = stories.where("status = 'open'")
         summed = F.transform("centroid", lambda x: x.cast("double") * F.col("n"))
-        rows = rows.unionByName(open_.select(F.col("story").alias("id"), F.col("first_min").cast("double").alias("pub_min"), F.col("last_min").cast("double").alias("last_min"), summed.alias("embedding"), F.lit(True).alias("carried"), *keys))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("carried"), F.col("pub_min").asc_nulls_last(), "id")
+        names = ["id", "pub_min", "last_min", *keys]
+        put = _as_bytes(open_.select(F.col("story").alias("id"), F.col("first_min").cast("double").alias("pub_min"), F.col("last_min").cast("double").alias("last_min"), summed.alias("embedding"), *keys), names)
+        rows = rows.unionByName(put.withColumn("carried", F.lit(True)), allowMissingColumns=True)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("carried"), F.col("pub_min").asc_nulls_last(), "id", "uid")
 
 
-def cluster(articles: DataFrame, threshold: float = 0.78, window_hours: float = 48, block: list[str] | None = None, bound_first: bool = True, stories: DataFrame | None = None) -> DataFrame:
+def cluster(articles: DataFrame, threshold: float = 0.78, window_hours: float = 48, block: list[str] | None = None, bound_first: bool = True, stories: DataFrame | None = None, near: int = NEAR) -> DataFrame:
     """(id, story): leader clustering of (id, embedding, pub_min and the block columns), in time order inside a block.
 
     `stories` (story, centroid, n, first_min, last_min, status and the block columns) goes on from an earlier run: open ones
-    take articles, closed ones never do. The order decides the result, so a block is one sorted stream through one
-    task; its state is the stories, not the articles. Blocks (language, or a coarser bucket) make it parallel: a story never spans two.
+    take articles, closed ones never do. The products of articles are made in parallel (`nearest_before`). The order decides the result,
+    so a block then is one sorted stream through one task; its state is the stories, not the articles. A story never spans two blocks.
     """
     keys = block or ["block"]
+    if stories is not None:  # sums are doubles
+        articles = articles.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    wide = dict(articles.dtypes)["embedding"] != "array<float>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, story in _fold(batches, keys, lambda _: LeaderFold(threshold, 60 * window_hours, bound_first)):
+        for part, story in _fold(batches, keys, wide, lambda _: NearFold(threshold, 60 * window_hours, bound_first, near)):
             yield part[["id", *keys]].assign(story=story)[["id", "story", *keys]]
 
     kinds = dict(articles.dtypes)
     schema = "id long, story long, " + ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return _sorted(articles, keys, stories).mapInPandas(run, schema)
+    return _sorted(nearest_before(articles, keys, threshold, window_hours, near=near), keys, stories).mapInPandas(run, schema)
 
 
 def story_table(articles: DataFrame, clustered: DataFrame, as_of: int, keys: list[str], idle_hours: int = 36, before: DataFrame | None = None) -> DataFrame:
@@ -340,17 +641,18 @@ def story_table(articles: DataFrame, clustered: DataFrame, as_of: int, keys: lis
 
 
 def sweep(articles: DataFrame, thresholds: list[float], window_hours: float = 48, block: str = "block") -> DataFrame:
-    """Cluster sizes' summary per threshold; thresholds and blocks run side by side."""
+    """Cluster sizes' summary per threshold; thresholds and blocks run side by side and share the products of articles."""
     grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    rows, keys = articles.withColumn("threshold", grid), ["threshold", block]
+    wide, keys = dict(articles.dtypes)["embedding"] != "array<float>", ["threshold", block]
+    rows = shared.stored(nearest_before(articles, [block], min(thresholds), window_hours, ["source_id"]), "nearest").withColumn("threshold", grid)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, story in _fold(batches, keys, lambda part: LeaderFold(part.threshold.iloc[0], 60 * window_hours, False)):
-            yield part[["id", *keys]].assign(story=story)[["threshold", block, "story", "id"]]
+        for part, story in _fold(batches, keys, wide, lambda part: NearFold(part.threshold.iloc[0], 60 * window_hours, False)):
+            yield part[["source_id", *keys]].assign(story=story)[["threshold", block, "story", "source_id"]]
 
-    kind = dict(articles.dtypes)[block]
-    stories = _sorted(rows, keys, None).mapInPandas(run, f"threshold double, {block} {kind}, story long, id long")
-    return summarise(stories.join(articles.select("id", "source_id"), "id"), ["threshold"], [block, "story"])
+    kinds = dict(articles.dtypes)
+    stories = _sorted(rows, keys, None).mapInPandas(run, f"threshold double, {block} {kinds[block]}, story long, source_id {kinds['source_id']}")
+    return summarise(stories, ["threshold"], [block, "story"])
 
 
 def summarise(stories: DataFrame, by: list[str], story: list[str]) -> DataFrame:

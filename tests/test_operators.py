@@ -467,6 +467,22 @@ def test_leader_clustering_equals_the_plain_fold(spark, monkeypatch, run):
         assert {i: s for i, s in got.items() if i in want} == want
 
 
+@pytest.mark.parametrize("near, tile", [(2, 7), (64, 50)])
+def test_articles_are_compared_in_tiles_and_lone_stories_cost_no_product(spark, monkeypatch, near, tile):
+    monkeypatch.setattr(similarity, "TILE", tile)
+    rng = np.random.default_rng(near)
+    centres = rng.normal(size=(4, 8))
+    rows = [(k, int(rng.integers(0, 4000)), (centres[rng.integers(4)] + rng.normal(size=8) * 0.6).tolist()) for k in range(200)]
+    rows += [(200 + k, rows[k % 9][1] + 40 * k, rows[k % 9][2]) for k in range(40)]  # more copies than a list holds
+    df = spark.createDataFrame(rows, "id long, pub_min long, embedding array<double>").withColumn("block", F.lit("a"))
+    got = {r.id: r.story for r in similarity.cluster(df, 0.8, 24, ["block"], near=near).collect()}
+    assert got == leader_brute(rows, 0.8, 1440, True)
+    # Only stories of two or more articles are held as sums.
+    fold = similarity.NearFold(0.8, 1440, True)
+    fold.add([0, 1], np.array([0, 1]), np.zeros(2), np.eye(2), [[], []], [[], []])
+    assert len(fold.sums) == 0 and len(fold.lone) == 2
+
+
 def test_clustering_goes_on_from_earlier_stories(spark):
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(5, 8))
