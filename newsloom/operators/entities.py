@@ -58,16 +58,17 @@ def match_fuzzy(surfaces: DataFrame, aliases: DataFrame) -> DataFrame:
 def mentions(names: DataFrame, texts: DataFrame, top: int = 5) -> DataFrame:
     """(entity_id, id): the newest texts that hold a name as whole words.
 
-    Names meet texts on their rarest word, counted over the texts; only what meets is searched.
+    Names meet texts on their rarest word, counted over the texts; only what meets is searched. Texts are normalised once.
     """
-    t = texts.select("id", "pub_min", F.array_join(X.words(F.col("text")), " ").alias("flat"))
-    tokens = t.select("id", F.explode(F.array_distinct(F.split("flat", " "))).alias("token"))
+    apart = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    t = shared.stored(shared.spread(texts).select("id", "pub_min", apart(X.normalize_title(F.col("text"))).alias("flat")), "flat")
+    tokens = t.select("id", F.explode(F.array_distinct(F.split(F.trim("flat"), " "))).alias("token"))
     n = names.select("entity_id", X.entity_key(F.col("name")).alias("key")).where("key <> ''")
     split = n.select("entity_id", "key", F.explode(F.array_distinct(F.split("key", " "))).alias("token"))
     counts = tokens.join(split.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     rarest = first_of(split.join(counts, "token"), ["entity_id"], ["n", "token"]).select("entity_id", "key", "token")
     met = tokens.join(rarest, "token").select("entity_id", "key", "id").join(t, "id")
-    found = met.where(F.contains(F.concat(F.lit(" "), "flat", F.lit(" ")), F.concat(F.lit(" "), "key", F.lit(" "))))
+    found = met.where(F.contains("flat", apart(F.col("key"))))
     w = Window.partitionBy("entity_id").orderBy(F.desc("pub_min"), "id")
     return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).select("entity_id", "id", "rn")
 

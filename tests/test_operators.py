@@ -515,6 +515,16 @@ def test_recorded_sources_are_told_before_the_rows_are_made(spark):
     assert "LeftAnti" not in plan and plan.index("SortMergeJoin") < plan.index("Exchange")
 
 
+def test_mentions_normalise_a_text_once(spark, monkeypatch):
+    made, stored = [], entities.shared.stored
+    monkeypatch.setattr(entities.shared, "stored", lambda df, tag: made.append(tag) or stored(df, tag))
+    texts = spark.createDataFrame([(1, 5, "Ana  López, y\tmás"), (2, 9, "ana lópez"), (3, 9, "Anana Lopez"), (4, 1, None), (5, 7, "Lopez Ana")], "id long, pub_min long, text string")
+    names = spark.createDataFrame([("a", "Ana López"), ("b", "Nobody"), ("c", "")], "entity_id string, name string")
+    found = entities.mentions(names, texts)
+    assert sorted((r.entity_id, r.id, r.rn) for r in found.collect()) == [("a", 1, 2), ("a", 2, 1)]
+    assert len(made) == 1
+
+
 def test_signed_rounding_keeps_negative_zeros(spark):
     xs = [-1e-6, 1e-6, -0.0, 0.0, 0.123455, -0.123455, -2.5e-6, None]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(X.round_signed(F.col("x"), 5)).collect()]
