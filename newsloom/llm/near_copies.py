@@ -9,11 +9,13 @@ Two documents are near copies if their sets of `width`-word shingles have a Jacc
    of them. The rest comes from prefixes: in any fixed order of all shingles, near copies share a shingle among
    the first n - ceil(n * percent %) + 1 of each. Shingles that a sample finds common come last in that
    order, which keeps groups small and changes no result. Every set is tried with a leader of each group.
-3. What these links have not joined is tried in pairs of different classes of a prefix group.
+3. What these links have not joined is tried in pairs of different classes of a prefix group, in rounds: each class
+   offers its closest untried pairs of a group, what verifies joins classes, and groups that held pairs back go on.
 
 Bounds on sizes and places and parity bitmaps, which can only drop pairs that are no near copies, come before
-a pair's verification on the whole texts (64-bit hashes of shingles). So a large group of near copies costs about
-as much as its size, not its square, and no link is lost. Groups of more than `HOT` sets are dealt out.
+a pair's verification on the whole texts (64-bit hashes of shingles). So a group makes at most a few rows a class and
+round, whatever its square, and no link is lost: the rounds end when no group holds a pair back. Bitmaps of a group are
+still compared in all pairs of its classes, inside a task. Groups of more than `HOT` sets are dealt out.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from newsloom.llm.simhash import drop_members, hamming_edges
 
 #: Sets that one task group may hold; larger groups are dealt out.
 HOT = 20_000
+#: Pairs that a class of a group offers in the first round, and at most in a later one.
+FEW, MANY = 2, 128
 #: Bits of the filter that keeps most texts which no pair needs out of a shuffle; fixed, whatever the input.
 FILTER_BITS = 24
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -154,6 +158,15 @@ def _may_match(sa, sb, pa_, pb, percent: int) -> np.ndarray:
     return (100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)) & (np.minimum(pa_, pb) + 1 + np.minimum(sa - pa_, sb - pb) - 1 >= least)
 
 
+def _may_start(sa, sb, pa_, pb, percent: int) -> np.ndarray:
+    """Can sets of these sizes be near copies whose first shared shingle stands at these places of the order?
+
+    Every near copy passes in the group of that shingle; before it, neither set holds any of the other's.
+    """
+    least = -(-percent * (sa + sb) // (100 + percent))
+    return (100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)) & (np.minimum(sa - pa_, sb - pb) >= least)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], size: int = 100_000) -> Iterator[tuple[np.ndarray, list]]:
     """Rows of numbers and a last column of bytes, sorted by their first column, in pieces that end where a group does."""
     held, bytes_, count = [], [], 0
@@ -187,6 +200,7 @@ def _filter_of(want: DataFrame) -> np.ndarray:
 
 SHARED = "token bigint, id bigint, at bigint, leader bigint, near boolean"
 PAIRS = "a bigint, b bigint"
+OFFERED = "group bigint, a bigint, b bigint, more boolean"
 
 
 def _columns(batch: pa.RecordBatch) -> np.ndarray:
@@ -234,14 +248,37 @@ def _leaders(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield judged(last, lead, False)
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int, chunk: int = 1 << 18, most_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group that have different roots and pass all bounds; rows are (group, side, root, id, at, parities) by group and root.
+def _closest(x: np.ndarray, y: np.ndarray, score: np.ndarray, kind: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows those among the `most` of least score of either row's class, and the others."""
+    order = np.lexsort((y, x, score))
+    ends = np.concatenate([kind[x[order]], kind[y[order]]])
+    by = np.argsort(ends * len(order) + np.tile(np.arange(len(order)), 2))
+    starts = np.flatnonzero(np.concatenate([[True], ends[by[1:]] != ends[by[:-1]]]))
+    rank = np.empty(len(by), dtype=np.int64)
+    rank[by] = np.arange(len(by)) - np.repeat(starts, np.diff([*starts, len(by)]))
+    some = np.minimum(rank[: len(order)], rank[len(order) :]) < most
+    return order[some], order[~some]
+
 
-    Of a group with sides 0 and 1 only pairs across the sides count (2: all).
+def _across(batches: Iterator[pa.RecordBatch], percent: int, most: int, chunk: int = 1 << 18, most_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group that have different roots, pass all bounds and are among the `most` closest of a root; with `more` if others are left.
+
+    Rows are (group, side, root, id, at, leader, parities) by group and root. Of a group with sides 0 and 1 only pairs across
+    the sides count (2: all). Pairs with a leader are tried before; so are those that rows of side -1 name as (root, id).
     """
     for rows, bitmaps in _groups(batches):
-        group, side, root = rows[:, 0], rows[:, 1], rows[:, 2]
+        own = rows[:, 1] >= 0
+        told, rows = rows[~own], rows[own]
+        bitmaps = [x for x, k in zip(bitmaps, own) if k]
         n = len(rows)
+        if not n:
+            continue
+        group, side, root, ids, lead = (rows[:, k] for k in (0, 1, 2, 3, 5))
+        names, code = np.unique(ids, return_inverse=True)
+        groups, nth = np.unique(group, return_inverse=True)
+        key = lambda g, a, b: (g * len(names) + np.minimum(a, b)) * len(names) + np.maximum(a, b)
+        told = told[np.isin(told[:, 0], groups)]  # a group whose classes have met since has no rows
+        told = np.unique(key(np.searchsorted(groups, told[:, 0]), *(np.searchsorted(names, told[:, k]) for k in (2, 3))))
         end = np.searchsorted(group, group, "right")
         run = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (root[1:] != root[:-1])]))
         after = np.repeat([*run[1:], n], np.diff([*run, n]))  # the first row behind this one's root
@@ -249,32 +286,46 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, chunk: int = 1 << 1
         total = np.cumsum(wide)
         size, place = _places(rows[:, 4])
         bits = np.array([len(x) for x in bitmaps])
+        x, y, score = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, float))
+        left = np.zeros(len(groups), dtype=bool)
         at = 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, "right")))
             w = wide[at:to]
             i = np.repeat(np.arange(at, to), w)
             j = np.repeat(after[at:to], w) + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
-            ok = _may_match(size[i], size[j], place[i], place[j], percent) & ((side[i] != side[j]) | (side[i] == 2))
+            ok = _may_start(size[i], size[j], place[i], place[j], percent) & ((side[i] != side[j]) | (side[i] == 2)) & (lead[i] != ids[j]) & (lead[j] != ids[i])
             i, j = i[ok], j[ok]
+            if len(told) and len(i):
+                these = key(nth[i], code[i], code[j])
+                new = told[np.minimum(np.searchsorted(told, these), len(told) - 1)] != these
+                i, j = i[new], j[new]
             level = np.minimum(bits[i], bits[j])
             for words in np.unique(level):
                 these = np.flatnonzero(level == words)
                 step = max(1, most_bytes // int(words))
                 for k in range(0, len(these), step):
-                    x, y = i[these[k : k + step]], j[these[k : k + step]]
-                    kinds, which = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    p, q = i[these[k : k + step]], j[these[k : k + step]]
+                    kinds, which = np.unique(np.concatenate([p, q]), return_inverse=True)
                     table = np.stack([_folded(bitmaps[r], int(words)) for r in kinds])
-                    differ = np.bitwise_count(table[which[: len(x)]] ^ table[which[len(x) :]]).sum(axis=1, dtype=np.int64)
-                    some = differ <= _most_differing(size[x], size[y], percent)
-                    if some.any():
-                        yield _pairs(rows[x[some], 3], rows[y[some], 3])
+                    differ = np.bitwise_count(table[which[: len(p)]] ^ table[which[len(p) :]]).sum(axis=1, dtype=np.int64)
+                    limit = _most_differing(size[p], size[q], percent)
+                    some = differ <= limit
+                    x, y = np.concatenate([x, p[some]]), np.concatenate([y, q[some]])
+                    score = np.concatenate([score, (differ / np.maximum(limit, 1))[some]])
+            if len(x):
+                kept, others = _closest(x, y, score, after, most)
+                left[nth[x[others]]] = True
+                x, y, score = x[kept], y[kept], score[kept]
+                done = nth[x] < (nth[to] if to < n else len(groups))
+                if done.any():
+                    yield _offered(group[x[done]], ids[x[done]], ids[y[done]], left[nth[x[done]]])
+                    x, y, score = x[~done], y[~done], score[~done]
             at = to
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    pair = np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+def _offered(group: np.ndarray, a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (group, np.minimum(a, b), np.maximum(a, b), more)], names=["group", "a", "b", "more"])
 
 
 def _by_parities(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -392,19 +443,35 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     tried = cut(tried.distinct())
     links = verified(tried)
 
-    # 3. Pairs of different classes in the groups that still hold some.
+    # 3. Pairs of different classes in the groups that still hold some, the closest of each class first.
     tops = connected_components(links, "a", "b")
-    rows = shared.join(tops.toDF("id", "root"), "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "at")
-    mixed = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low < high")
-    dealt = rows.join(mixed.select("token", F.ceil(F.col("n") / HOT).cast("bigint").alias("chunks")), "token").join(sets.select("id", "parities"), "id")
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("bigint")
-    dealt = dealt.select(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), side.alias("side"), "root", "id", "at", "parities")
-    pairs = dealt.repartition("group").sortWithinPartitions("group", "root").mapInArrow(lambda x: _across(x, percent), PAIRS)
-    pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        # The classes so far are stars already, so only what is new takes rounds.
-        tops = connected_components(tops.toDF("a", "b").unionByName(verified(pairs)), "a", "b")
+    every, most = None, FEW
+    while True:
+        rows = shared.join(tops.toDF("id", "root"), "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "at", "leader")
+        mixed = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low < high")
+        dealt = rows.join(mixed.select("token", F.ceil(F.col("n") / HOT).cast("bigint").alias("chunks")), "token")
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("bigint")
+        dealt = dealt.select(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), side.alias("side"), "root", "id", "at", "leader")
+        if every is not None:
+            dealt = dealt.join(open_, "group", "left_semi")
+        dealt = dealt.join(sets.select("id", "parities"), "id").select("group", "side", "root", "id", "at", "leader", "parities")
+        if every is not None:
+            number = lambda x, name: F.lit(x).cast("bigint").alias(name)
+            told = told.select("group", number(-1, "side"), F.col("a").alias("root"), F.col("b").alias("id"), number(0, "at"), number(0, "leader"), F.lit(b"").alias("parities"))
+            dealt = dealt.unionByName(told)
+        offers = cut(dealt.repartition("group").sortWithinPartitions("group", "root").mapInArrow(lambda x, m=most: _across(x, percent, m), OFFERED))
+        pairs = cut(offers.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            # The classes so far are stars already, so only what is new takes rounds.
+            tops = connected_components(tops.toDF("a", "b").unionByName(verified(pairs)), "a", "b")
+            tried = tried.unionByName(pairs)
+        open_ = offers.where("more").select("group").distinct()
+        if open_.isEmpty():
+            break
+        every = offers if every is None else every.unionByName(offers)
+        told = every.select("group", "a", "b").join(open_, "group", "left_semi")
+        most = min(4 * most, MANY)
     member = sets.join(tops.toDF("id", "root"), "id", "left").select("node", "first_id", F.coalesce("root", "id").alias("root"))
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_node = spread_join(member, least, "root").select("node", "component_id")

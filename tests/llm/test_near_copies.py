@@ -118,3 +118,51 @@ def test_parity_bitmaps_bound_the_difference():
         both = np.unique(both)
         assert N._differ(N.parities(both), N.parities(more)) <= len(more) - len(both)
         assert N._differ(N.parities(both), N.parities(both)) == 0
+
+
+def _offers(n, most, told=()):
+    """What a group of n classes offers whose sets all may be near copies of each other."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(7)
+    both = rnd.integers(0, 1 << 63, 90, dtype=np.uint64)
+    maps = [N.parities(np.unique(np.concatenate([both, rnd.integers(0, 1 << 63, 10, dtype=np.uint64)]))) for _ in range(n)]
+    at = (100 << 32) + 1
+    rows = [(5, -1, a, b, 0, 0, b"") for a, b in told] + [(5, 2, k, k, at, 0, maps[k - 1]) for k in range(1, n + 1)]
+    names = ["group", "side", "root", "id", "at", "leader", "parities"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+    return [r for b in N._across(iter([batch]), 80, most, chunk=500) for r in b.to_pylist()]
+
+
+def test_a_group_offers_a_few_pairs_a_class():
+    """Not the square of its classes in one go; what is left is told, and later rounds offer every pair once."""
+    for n in (40, 80):
+        first = _offers(n, N.FEW)
+        assert n / 2 <= len(first) <= N.FEW * n and all(r["more"] for r in first)
+        assert {k for r in first for k in (r["a"], r["b"])} == set(range(1, n + 1))
+    told, more = [], True
+    while more:
+        made = _offers(40, 8, told)
+        more = made[0]["more"]
+        told += [(r["a"], r["b"]) for r in made]
+    assert sorted(told) == [(a, b) for a in range(1, 41) for b in range(a + 1, 41)]
+
+
+@pytest.mark.parametrize("hot", [20_000, 20])
+def test_rounds_equal_brute_force(spark, monkeypatch, hot):
+    """A group whose sets are near copies of some others only, a pair a class and round."""
+    monkeypatch.setattr(N, "HOT", hot)
+    monkeypatch.setattr(N, "FEW", 1)
+    monkeypatch.setattr(N, "MANY", 4)
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base, rows = [rnd.choice(vocabulary) for _ in range(150)], []
+    for i in range(60):
+        copy = list(base)
+        for k in rnd.sample(range(20, 150), 4):
+            copy[k] = rnd.choice(vocabulary)
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in N.near_copies(docs, sample=1).collect())
+    assert got == brute(rows)
