@@ -309,6 +309,7 @@ def latin_names(titles: DataFrame, places: list[str], not_names: list[str]) -> D
 
 
 _CYRILLIC_WORD = re.compile("[А-ЯЁ][а-яё]+")
+_BLANKS = re.compile(r"\s+")
 
 
 def _near(a: str, b: str, most: int) -> bool:
@@ -325,18 +326,45 @@ def _near(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
+def _parts(word: str, most: int) -> list[str]:
+    """The word in `most` + 1 parts: each edit touches one at most, so whatever is within `most` edits holds one of them."""
+    return [word[len(word) * k // (most + 1) : len(word) * (k + 1) // (most + 1)] for k in range(most + 1)]
+
+
+def _put(text: str, window: list[str], name: str) -> str:
+    """The text with the name wherever the window's words stand, with any blanks between them."""
+    out, done, at = [], 0, text.find(window[0])
+    while at >= 0:
+        end = at + len(window[0])
+        for word in window[1:]:
+            gap = _BLANKS.match(text, end)
+            if gap is None or not text.startswith(word, gap.end()):
+                end = None
+                break
+            end = gap.end() + len(word)
+        if end is not None:
+            out += [text[done:at], name]
+            done = end
+        at = text.find(window[0], at + 1 if end is None else end)
+    return "".join([*out, text[done:]])
+
+
 def restored(text: str, names: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str]]]:
     """The text after names (Latin, as Cyrillic spells it) are put back one by one, and what was put in for what."""
-    made = []
+    made, words = [], None
     for name, target in names:
-        if not target or name.casefold() in text.casefold():
+        if words is None:  # as the last name left the text
+            low, words, runs = text.casefold(), _CYRILLIC_WORD.findall(text), {}
+        if not target or name.casefold() in low:
             continue
-        words, n = _CYRILLIC_WORD.findall(text), len(name.split())
-        for i in range(len(words) - n + 1):
-            window = words[i : i + n]
-            if _near(" ".join(window).casefold(), target, 2 if len(target) >= 8 else 1):
-                text = re.sub(r"\s+".join(map(re.escape, window)), lambda _: name, text)
-                made.append((name, " ".join(window)))
+        n, most = len(name.split()), 2 if len(target) >= 8 else 1
+        if n not in runs:
+            runs[n] = [" ".join(words[i : i + n]).casefold() for i in range(len(words) - n + 1)]
+        parts = _parts(target, most)
+        for i, run in enumerate(runs[n]):
+            if run == target or (abs(len(run) - len(target)) <= most and any(x in run for x in parts) and _near(run, target, most)):
+                made.append((name, " ".join(words[i : i + n])))
+                text, words = _put(text, words[i : i + n], name), None
                 break
     return text, made
 

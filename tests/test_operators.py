@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -376,6 +377,42 @@ def test_latin_names_are_restored(spark):
     assert done[2] == ("Arangoz и Pedro Sanchez", [("Arangoz", "Арангос"), ("Pedro Sanchez", "Педро Санчес")]) and done[3] == (None, [])
 
 
+def test_restored_equals_the_plain_loop(monkeypatch):
+    """The same texts as comparing every run of words, and few runs are compared letter by letter."""
+    calls, near = [], entities._near
+    monkeypatch.setattr(entities, "_near", lambda *x: calls.append(x) or near(*x))
+
+    def plain(text, names):
+        made = []
+        for name, target in names:
+            if not target or name.casefold() in text.casefold():
+                continue
+            words, n = re.findall("[А-ЯЁ][а-яё]+", text), len(name.split())
+            for window in (words[i : i + n] for i in range(len(words) - n + 1)):
+                if near(" ".join(window).casefold(), target, 2 if len(target) >= 8 else 1):
+                    text = re.sub(r"\s+".join(map(re.escape, window)), lambda _: name, text)
+                    made.append((name, " ".join(window)))
+                    break
+        return text, made
+
+    rnd, runs, put = random.Random(5), 0, 0
+    for _ in range(200):
+        words = ["".join(rnd.choices("абвгде", k=rnd.randint(2, 7))).capitalize() for _ in range(30)]
+        words += rnd.choices(words, k=5) + [w + rnd.choice("аб") for w in rnd.choices(words, k=5)]
+        text = "".join(w + rnd.choice([" ", "  ", "\n", "-", ", "]) for w in words)
+        names = []
+        for k in range(8):
+            at, n = rnd.randrange(36), rnd.randint(1, 3)
+            target = list(" ".join(words[at : at + n]).casefold())
+            for _ in range(rnd.randint(0, 3)):
+                target[rnd.randrange(len(target))] = rnd.choice(["", "б", "ге"])
+            names.append((" ".join(["Xy\\1"] * (n - 1) + [f"N{k}"]), "".join(target)))
+        got = entities.restored(text, names)
+        assert got == plain(text, names)
+        runs, put = runs + 40 * len(names), put + len(got[1])
+    assert put > 500 and len(calls) < runs / 4
+
+
 def random_facts(seed, n=160, buckets=("", "left", "right", "center")):
     rnd = random.Random(seed)
     words = [f"{c}{c}{c}{c}{d}" for c in "abcdefgh" for d in "xyz"]
