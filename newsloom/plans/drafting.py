@@ -193,7 +193,7 @@ SELECT fact_id, [x FOR x IN [CASE WHEN (tier, kind) NOT IN (('press','role'),('p
 def fact_rule_gate(t):
     allowed = t.spark.createDataFrame(ALLOWED, "tier string, kind string")
     legal = t.spark.createDataFrame(LEGAL, "term string, head string, tail string, outcome boolean")
-    return drafts.fact_rules(_tiered(t), allowed, ["anin", "quel"], ["some say"], guilt=["then"], legal=legal).select("fact_id", "failures")
+    return drafts.fact_rules(_tiered(t), allowed, ["anin", "quel"], ["some say"], guilt=["then"], legal=legal, whole=True).select("fact_id", "failures")
 
 
 @query(TIERED + """ SELECT fact_id, CASE WHEN fact LIKE 'cleared over %' THEN 'ruled' ELSE 'charged' END AS term, CASE WHEN fact LIKE 'cleared over %' THEN trim(substring(fact, 14, strpos(substring(fact, 14), 'by court') - 1), ' ') ELSE trim(substring(fact, 14), ' ') END AS "case"

@@ -112,14 +112,14 @@ class Tables:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """Facts about 40 entities: six words spread evenly over each document's whole text, with the outlet's bucket."""
+        """Facts about 40 entities: six words spread evenly over each document's whole text, with the outlet's bucket; null for a text without words."""
         d = self.raw("documents").where("text IS NOT NULL")
         s = self.sources.select(F.col("id").alias("source"), "lean_value", "type")
         # Blanks part faster than a pattern does; what they leave empty is no word.
         plain = F.replace(F.replace(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), F.lit("."), F.lit(" ")), F.lit(","), F.lit(" "))
         words = F.array_remove(F.split(plain, " "), "")
         # The words are bound by a lambda and the fact is exploded: else a filter on the fact is pushed below it and the text is split for every word and mention.
-        spread = lambda w: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.get(w, F.floor(i * F.size(w) / 6).cast("int"))), " ")
+        spread = lambda w: F.when(F.size(w) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.get(w, F.floor(i * F.size(w) / 6).cast("int"))), " "))
         d = d.select("doc_id", "source", F.explode(F.transform(F.array(words), spread)).alias("_fact"))
         kinds = F.array(*map(F.lit, ["role", "classification", "scale", "legal", "evaluative"]))
         states = F.array(*map(F.lit, ["active", "candidate", "active", "stale", "retired", "candidate"]))
