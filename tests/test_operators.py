@@ -552,6 +552,15 @@ def test_recorded_sources_are_told_before_the_rows_are_made(spark):
     assert "LeftAnti" not in plan and plan.index("SortMergeJoin") < plan.index("Exchange")
 
 
+def test_bridge_rows_repeat_at_a_short_distance(spark, tmp_path):
+    posts = spark.range(600).select(F.when(F.col("id") > 0, F.col("id")).alias("post_id"), F.lit(7).cast("long").alias("cluster_id"))
+    members = spark.range(6000).select("id", F.lit(7).cast("long").alias("cluster_id"), F.lit("press").alias("type"), F.lit(-1).alias("lean_value"), F.lit("").alias("owner_group"), F.concat(F.lit("s"), F.col("id") % 7).alias("source_id"))
+    B.record_sources(posts, members).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert rows.count() == rows.distinct().count() == 600 * 6000 and rows.where("post_id IS NULL").count() == 6000
+    assert sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) < 600 * 6000
+
+
 def test_mentions_normalise_a_text_once(spark, monkeypatch):
     made, stored = [], entities.shared.stored
     monkeypatch.setattr(entities.shared, "stored", lambda df, tag: made.append(tag) or stored(df, tag))
