@@ -77,53 +77,23 @@ def sign_buckets(vectors: DataFrame, bands: int = 12, bits: int = 8, dim: int =
     return vectors.select("*", F.posexplode(keys("embedding")).alias("band", "bucket"))
 
 
-def exact_pairs(vectors: DataFrame, threshold: float, hours: float | None = None, chunk: int = 2000) -> DataFrame:
-    """As `similar_pairs`, and no pair is lost: the rows of a block (and its time windows) fall into chunks, and every pair of chunks is a matrix product of its own."""
+def exact_pairs(vectors: DataFrame, threshold: float, hours: float | None = None, chunk: int | None = None) -> DataFrame:
+    """As `similar_pairs`, and no pair is lost: the rows of a block lie in tiles of `chunk` rows and a time slot, which a task holds while earlier ones of the window stream past.
+
+    A row is sent once to its tile and once to each tile that it streams past: those of its window, which are two while a window's rows fit one tile.
+    """
     span = int(60 * hours) if hours is not None else None
-    slot = F.floor(F.col("pub_min") / span) if span else F.lit(0).cast("bigint")
-    minute = F.col("pub_min").cast("bigint") if span else F.lit(0).cast("bigint")
-    rows = shared.stored(vectors.select("id", "embedding", "block", minute.alias("pub_min"), slot.alias("slot")).where("embedding IS NOT NULL"), "vectors")
-    sizes = rows.groupBy("block", "slot").agg(F.ceil(F.count("*") / chunk).cast("bigint").alias("chunks"))
-    named = lambda n: sizes.select(F.col("block").alias("_b"), F.col("slot").alias("_s"), F.col("chunks").alias(n))
-    at = lambda step: F.col("block").eqNullSafe(F.col("_b")) & (F.col("slot") + step).eqNullSafe(F.col("_s"))
-    mine = rows.join(named("chunks"), at(0)).drop("_b", "_s").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    ahead = mine.join(named("_more"), at(1), "left").drop("_b", "_s") if span else mine.withColumn("_more", F.lit(None).cast("bigint"))
-    # A row meets the chunks of its own window, and as the earlier side those of the next one.
-    meet = lambda n, step: F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda k: F.struct(F.lit(step).alias("step"), k.alias("k")))
-    ahead = ahead.withColumn("m", F.explode(F.concat(meet(F.col("chunks"), 0), F.when(F.col("_more").isNotNull(), meet(F.col("_more"), 1)).otherwise(F.array().cast("array<struct<step:int,k:bigint>>")))))
-    own = F.when((F.col("m.step") == 0) & (F.col("m.k") == F.col("c")), 2).when((F.col("m.step") == 0) & (F.col("m.k") < F.col("c")), 1).otherwise(0)
-    first = ahead.select("id", "embedding", "pub_min", "block", "slot", F.col("m.step").alias("step"), F.when(own == 1, F.col("m.k")).otherwise(F.col("c")).alias("i"), F.when(own == 1, F.col("c")).otherwise(F.col("m.k")).alias("j"), own.alias("side"))
-    groups = first
-    if span:
-        back = mine.join(named("_more"), at(-1)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_more") - 1)))
-        groups = first.unionByName(back.select("id", "embedding", "pub_min", "block", (F.col("slot") - 1).alias("slot"), F.lit(1).alias("step"), F.col("k").alias("i"), F.col("c").alias("j"), F.lit(1).alias("side")))
-    keys = ["block", "slot", "step", "i", "j"]
-
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf.embedding.to_list()).astype(np.float64)
-        norm = np.linalg.norm(v, axis=1)
-        side, ids, at = pdf.side.to_numpy(), pdf.id.to_numpy(), pdf.pub_min.to_numpy()
-        # Single precision screens, with more slack than it can be wrong by; what passes is told in double precision.
-        unit = np.divide(v, norm[:, None], out=np.zeros(v.shape), where=norm[:, None] > 0).astype(np.float32)
-        x, y = np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2))
-        across, made = unit[y].T.copy(), []
-        for k in range(0, len(x), 128):  # only a strip of the products is held
-            i, j = np.nonzero(unit[x[k : k + 128]] @ across >= np.float32(threshold - 1e-4))
-            i, j = x[k + i], y[j]
-            ok = (side[i] != 2) | (ids[i] < ids[j])
-            if span:
-                ok &= np.abs(at[i] - at[j]) <= span
-            i, j = i[ok], j[ok]
-            for c in range(0, len(i), 16_384):
-                a, b = i[c : c + 16_384], j[c : c + 16_384]
-                scale = norm[a] * norm[b]
-                sim = np.divide(np.einsum("ij,ij->i", v[a], v[b]), scale, out=np.zeros(len(a)), where=scale > 0)
-                hit = sim >= threshold
-                made.append((ids[a[hit]], ids[b[hit]], sim[hit]))
-        a, b, sim = (np.concatenate(z) for z in zip(*made)) if made else (ids[:0], ids[:0], norm[:0])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim})
-
-    return groups.groupBy(*keys).applyInPandas(task, "a long, b long, sim double").where("a < b")
+    wide = dict(vectors.dtypes)["embedding"] != "array<float>"
+    rows = vectors.select("id", "block", (F.col("pub_min").cast("bigint") if span is not None else F.lit(0)).cast("double").alias("at"), "embedding")
+    # Told of the bytes: a filter on the vectors would make costly ones once more.
+    rows = _as_bytes(rows.where("at IS NOT NULL"), ["id", "block", "at"]).where("embedding IS NOT NULL").withColumn("uid", F.monotonically_increasing_id())
+    rows = shared.stored(rows.withColumn("part", F.xxhash64(F.isnull("block"), "block")), "vectors")
+    met = _dealt(rows, None if span is None else max(span, 1), ["id", "block"], chunk or PAIR_TILE, carried=True)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _stream_past(batches, lambda: _PairTile(span, threshold, wide))
+
+    return met.mapInArrow(task, "a long, b long, sim double").where("a < b")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, hours: float | None = None, recall: float = 0.99, **lsh) -> DataFrame:
@@ -271,6 +241,8 @@ RUN = 256
 NEAR = 64
 #: Articles of a tile, which a task holds while the earlier ones stream past it.
 TILE = 16_384
+#: Rows of a tile of `exact_pairs`: 64 MB of 256 floats. A longer one sends a row to fewer tiles and takes more of a task's memory.
+PAIR_TILE = 65_536
 #: More than single precision can be wrong by in a cosine.
 SLACK = 1e-4
 
@@ -424,7 +396,7 @@ def _as_bytes(rows: DataFrame, names: list[str]) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([None if x is None else np.asarray(x.values, dtype=np.float64 if wide else np.float32).tobytes() for x in batch.column(len(names))], pa.binary())
+            made = pa.array([None if x.values is None else np.asarray(x.values, dtype=np.float64 if wide else np.float32).tobytes() for x in batch.column(len(names))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*names, "embedding"])
 
     return kept.mapInArrow(packed, T.StructType([*kept.schema.fields[:-1], T.StructField("embedding", T.BinaryType())]))
@@ -433,18 +405,22 @@ def _as_bytes(rows: DataFrame, names: list[str]) -> DataFrame:
 class _Tile:
     """Articles of a tile, and the nearest of what streamed past them."""
 
-    def __init__(self, window: float, least: float, near: int = NEAR):
-        self.window, self.least, self.near, self.batches, self.x = window, least, near, [], None
+    def __init__(self, window: float, least: float, wide: bool, fields: list[str], near: int = NEAR):
+        self.window, self.least, self.wide, self.fields, self.near, self.batches, self.x = window, least, wide, fields, near, [], None
 
-    def close(self, wide: bool) -> None:
+    def close(self) -> None:
         self.rows = pa.Table.from_batches(self.batches).combine_chunks()
         self.uid, self.at = self.rows["uid"].to_numpy(), self.rows["at"].to_numpy()
-        self.v = _vectors(self.rows["embedding"].combine_chunks(), wide)
+        self.v = _vectors(self.rows["embedding"].combine_chunks(), self.wide)
         norm = np.linalg.norm(self.v.astype(np.float64), axis=1)
         self.x = np.divide(self.v, norm[:, None], out=np.zeros(self.v.shape), where=norm[:, None] > 0).astype(np.float32)
         self.sim = np.full((len(self.x), self.near), -2, dtype=np.float32)
         self.who, self.s = np.full((len(self.x), self.near), -1), np.full((len(self.x), self.near), -np.inf)
 
+    def past(self, piece: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.meet(piece["uid"].to_numpy(), piece["at"].to_numpy(), _vectors(piece["embedding"], self.wide))
+        return iter(())
+
     def meet(self, uid: np.ndarray, at: np.ndarray, w: np.ndarray, strip: int = 2048) -> None:
         """Earlier articles, by time, as they come."""
         norm = np.linalg.norm(w.astype(np.float64), axis=1)
@@ -491,7 +467,7 @@ class _Tile:
                     kept[own[f], col[f]] = np.einsum("ij,ij->i", self.v[x[f]].astype(np.float64), w[y_[f]].astype(np.float64)) / np.where(norm[y_[f]] > 0, norm[y_[f]], 1.0)
                 self.s[rows] = kept
 
-    def told(self, fields: list[str]) -> Iterator[pa.RecordBatch]:
+    def told(self) -> Iterator[pa.RecordBatch]:
         order = np.argsort(-self.s, axis=1, kind="stable")
         who, s = np.take_along_axis(self.who, order, axis=1), np.take_along_axis(self.s, order, axis=1)
         given = who >= 0
@@ -500,8 +476,114 @@ class _Tile:
         sims = pa.ListArray.from_arrays(pa.array(edges), pa.array(s[given]))
         for k in range(0, len(self.x), 4096):
             part = self.rows.slice(k, 4096).combine_chunks()
-            columns = [part[f].combine_chunks() if isinstance(part[f], pa.ChunkedArray) else part[f] for f in fields]
-            yield pa.RecordBatch.from_arrays([*columns, near.slice(k, 4096), sims.slice(k, 4096)], names=[*fields, "near", "sims"])
+            columns = [part[f].combine_chunks() if isinstance(part[f], pa.ChunkedArray) else part[f] for f in self.fields]
+            yield pa.RecordBatch.from_arrays([*columns, near.slice(k, 4096), sims.slice(k, 4096)], names=[*self.fields, "near", "sims"])
+
+
+class _PairTile:
+    """Rows of a tile; pairs leave as what streams past meets them, so that only the tile and a batch are held."""
+
+    def __init__(self, span: float | None, threshold: float, wide: bool):
+        self.span, self.threshold, self.wide, self.batches, self.x = span, threshold, wide, [], None
+
+    def _read(self, rows) -> tuple:
+        v = _vectors(rows["embedding"].combine_chunks() if isinstance(rows, pa.Table) else rows["embedding"], self.wide)
+        norm = np.concatenate([np.linalg.norm(v[k : k + 4096].astype(np.float64), axis=1) for k in range(0, len(v), 4096)]) if len(v) else np.zeros(0)
+        unit = v / np.where(norm > 0, norm, 1)[:, None].astype(v.dtype)
+        return rows["uid"].to_numpy(), rows["id"].to_numpy(), rows["block"].to_pylist(), rows["at"].to_numpy(), v, norm, unit.astype(np.float32)
+
+    def close(self) -> None:
+        table = pa.Table.from_batches(self.batches)
+        self.batches = [None]
+        self.uid, self.id, self.block, self.at, self.v, self.norm, self.x = self._read(table)
+        self.blocks = len(set(self.block)) > 1
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+    def past(self, piece: pa.RecordBatch, strip: int = 2048) -> Iterator[pa.RecordBatch]:
+        uid, ids, block, at, w, norm, unit = self._read(piece)
+        other = self.blocks or set(block) != set(self.block[:1])  # blocks of one hash
+        for c in range(0, len(w), strip):
+            q = slice(c, min(c + strip, len(w)))
+            across = unit[q].T.copy()
+            for k in range(0, len(self.x), strip):
+                p = slice(k, min(k + strip, len(self.x)))
+                if self.span is not None and (at[q.start] > self.at[p.stop - 1] or at[q.stop - 1] < self.at[k] - self.span):
+                    continue
+                i, j = np.nonzero(self.x[p] @ across >= np.float32(self.threshold - SLACK))
+                i, j = i + k, j + c
+                # A pair is told where its earlier row streams past; of rows of one time the one with the lesser uid is the earlier.
+                ok = (at[j] < self.at[i]) | ((at[j] == self.at[i]) & (uid[j] < self.uid[i]))
+                if self.span is not None:
+                    ok &= self.at[i] - at[j] <= self.span
+                i, j = i[ok], j[ok]
+                if other and len(i):
+                    same = np.fromiter((self.block[x] == block[y] for x, y in zip(i, j)), dtype=bool, count=len(i))
+                    i, j = i[same], j[same]
+                for e in range(0, len(i), 16_384):
+                    a, b = i[e : e + 16_384], j[e : e + 16_384]
+                    scale = self.norm[a] * norm[b]
+                    sim = np.divide(np.einsum("ij,ij->i", self.v[a].astype(np.float64), w[b].astype(np.float64)), scale, out=np.zeros(len(a)), where=scale > 0)
+                    hit = sim >= self.threshold
+                    x, y = self.id[a[hit]], ids[b[hit]]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sim[hit])], names=["a", "b", "sim"])
+
+
+def _dealt(rows: DataFrame, span: float | None, names: list[str], size: int, carried: bool = False) -> DataFrame:
+    """Rows (part, at, uid, names, embedding) dealt to tiles: (part, slot, tile, side, at, uid, names, embedding), a tile's own rows first (side 0), then what streams past it (side 1), by time.
+
+    A tile is a time slot of a part, or a share of it, of about `size` rows at most; past it go the rows of its own slot and of the slots before it
+    that lie in the window `span`; without one a part is a slot. Names of what streams past are null, if not `carried`.
+    """
+    steps, width = 0, float("inf")
+    if span is not None:
+        most = rows.groupBy("part", F.floor(F.col("at") / span)).count().agg(F.max("count")).first()[0] or 1
+        steps = min(64, -(-most // size))
+        width = span / steps * (1 + 1e-9)
+    slotted = rows.withColumn("slot", F.floor(F.col("at") / width))
+    full = slotted.groupBy("part", "slot").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles")).where("tiles > 1")  # at most a row per `size` rows
+    tiles = lambda df: df.join(F.broadcast(full), ["part", "slot"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    mine = tiles(slotted).withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")).withColumn("side", F.lit(0))
+    past = tiles(slotted.withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + steps))))
+    past = past.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(1))
+    kinds = dict(rows.dtypes)
+    order = ["part", "slot", "tile", "side", "at", "uid"]
+    also = names if carried else [F.lit(None).cast(kinds[c]).alias(c) for c in names]
+    met = mine.select(*order, *names, "embedding").unionByName(past.select(*order, *also, "embedding"))
+    spark = rows.sparkSession
+    # A fixed number is not merged by size: a tile's work is its products, not its bytes.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return met.repartition(parts, "part", "slot", "tile").sortWithinPartitions(*order)
+
+
+def _stream_past(batches: Iterator[pa.RecordBatch], new) -> Iterator[pa.RecordBatch]:
+    """What tiles tell: each takes its own rows and is closed, then meets what streams past it; a slot without rows of its own has no tile."""
+    tile = now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            key, piece = tuple(keys[a][:3]), batch.slice(a, b - a)
+            if key != now:
+                if tile is not None and tile.batches:
+                    if tile.x is None:
+                        tile.close()
+                    yield from tile.told()
+                tile, now = new(), key
+            if keys[a][3] == 0:
+                tile.batches.append(piece)
+            elif tile.batches:
+                if tile.x is None:
+                    tile.close()
+                yield from tile.past(piece)
+    if tile is not None and tile.batches:
+        if tile.x is None:
+            tile.close()
+        yield from tile.told()
 
 
 def nearest_before(articles: DataFrame, block: list[str], least: float, window_hours: float, extra: list[str] | None = None, near: int = NEAR) -> DataFrame:
@@ -510,56 +592,19 @@ def nearest_before(articles: DataFrame, block: list[str], least: float, window_h
     Earlier ones are of its block, no newer, and within the window; of those below the cosine `least` none is told. Articles lie in
     tiles of a block and time slot, which a task holds; those of the window stream past a tile, so a task's memory is a tile's.
     """
-    spark, span, extra = articles.sparkSession, max(60.0 * window_hours, 1.0), extra or []
+    span, extra = max(60.0 * window_hours, 1.0), extra or []
     names = ["id", "pub_min", *block, *extra]
     wide = dict(articles.dtypes)["embedding"] != "array<float>"
     rows = _as_bytes(articles.withColumn("pub_min", F.nanvl(F.col("pub_min").cast("double"), F.lit(None).cast("double"))), names)
     # Articles without a time meet each other only. What shares a hash with another block costs work, not correctness.
     rows = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("at", F.coalesce("pub_min", F.lit(0.0)))
     rows = shared.stored(rows.withColumn("part", F.xxhash64(F.isnull("pub_min"), *block)), "articles")
-    most = rows.groupBy("part", F.floor(F.col("at") / span)).count().agg(F.max("count")).first()[0] or 1
-    steps = min(64, -(-most // TILE))
-    width = span / steps * (1 + 1e-9)
-    slotted = rows.withColumn("slot", F.floor(F.col("at") / width))
-    full = slotted.groupBy("part", "slot").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")  # at most a row per TILE articles
-    tiles = lambda df: df.join(F.broadcast(full), ["part", "slot"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    mine = tiles(slotted).withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")).withColumn("side", F.lit(0))
-    past = tiles(slotted.withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + steps))))
-    past = past.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(1))
-    kinds = dict(rows.dtypes)
-    carried = [F.lit(None).cast(kinds[c]).alias(c) for c in names]
-    order = ["part", "slot", "tile", "side", "at", "uid"]
     fields = ["uid", *names, "embedding"]
-    met = mine.select(*order, *names, "embedding").unionByName(past.select(*order, *carried, "embedding"))
-    met = met.repartition("part", "slot", "tile").sortWithinPartitions(*order)
+    met = _dealt(rows, span, names, TILE)
     schema = T.StructType([T.StructField(f, rows.schema[f].dataType) for f in fields]).add("near", T.ArrayType(T.LongType())).add("sims", T.ArrayType(T.DoubleType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile = now = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                key, piece = tuple(keys[a][:3]), batch.slice(a, b - a)
-                if key != now:
-                    if tile is not None and tile.x is not None:
-                        yield from tile.told(fields)
-                    elif tile is not None and tile.batches:
-                        tile.close(wide)
-                        yield from tile.told(fields)
-                    tile, now = _Tile(span if window_hours > 0 else 0.0, least, near), key
-                if keys[a][3] == 0:
-                    tile.batches.append(piece)
-                elif tile.batches:
-                    if tile.x is None:
-                        tile.close(wide)
-                    tile.meet(piece.column(5).to_numpy(), piece.column(4).to_numpy(), _vectors(piece.column(piece.num_columns - 1), wide))
-        if tile is not None and tile.batches:
-            if tile.x is None:
-                tile.close(wide)
-            yield from tile.told(fields)
+        yield from _stream_past(batches, lambda: _Tile(span if window_hours > 0 else 0.0, least, wide, fields, near))
 
     return met.mapInArrow(task, schema)
 

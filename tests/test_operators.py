@@ -361,6 +361,35 @@ def test_pairs_reach_the_promised_recall_and_the_exact_ones_lose_none(spark):
         assert {(r.a, r.b) for r in similarity.exact_pairs(e, s, hours=1, chunk=3).collect()} == timed
 
 
+def test_a_vector_is_sent_to_few_tiles(spark):
+    """At any number of rows in a window a vector is made once and travels three times: to its tile, and past its own and the next slot's."""
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    rows = [(i, rnd.normal(size=8).tolist(), "b" if i % 3 else None, int(i * 7919 % 240)) for i in range(6000)] + [(9001, [0.0] * 8, "b", 1), (9002, [1.0] * 8, "b", 1), (9003, [1.0] * 8, "b", None)]
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<float>")
+    def vector(x):
+        made.add(len(x))
+        return x
+
+    df = spark.createDataFrame(rows, "id long, raw array<float>, block string, pub_min long").withColumn("embedding", F.when(F.col("id") != 9002, vector("raw"))).drop("raw")
+    tiles = []
+    dealt = similarity._dealt
+    similarity._dealt = lambda *a, **k: tiles.append(dealt(*a, **k)) or tiles[-1]
+    try:
+        got = {(r.a, r.b) for r in similarity.exact_pairs(df, 0.99, hours=1).collect()}
+    finally:
+        similarity._dealt = dealt
+    assert made.value == 6002 and tiles[0].count() == 3 * 6001
+    v = np.array([r[1] for r in rows[:6000]], dtype=np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    at, block = np.array([r[3] for r in rows[:6000]]), np.array([r[2] or "" for r in rows[:6000]])
+    near = (v @ v.T >= 0.99) & (np.abs(at[:, None] - at) <= 60) & (block[:, None] == block)
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b}
+
+
 def test_latin_names_are_restored(spark):
     titles = spark.createDataFrame([(1, "El Leire Díez habla de Barcelona"), (1, "Ana de la Torre y Ronald Araujo"), (1, "Denis Shapovalov gana"), (2, "Leire Díez")], "id long, title string")
     names = entities.latin_names(titles, ["barcelona"], ["El", "La"])
