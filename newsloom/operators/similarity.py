@@ -23,28 +23,42 @@ from newsloom.sources import shared
 _TOKEN = re.compile(r"\w+")
 
 
+class _Places(dict):
+    """Numbers of words met, looked up without a call for a known one; `at` and `weight` hold each one's place and signed weight. A word of less than three letters weighs nothing."""
+
+    MOST, PART = 200_000, 100_000
+
+    def __init__(self, dim: int):
+        self.dim, self.all = dim, np.arange(dim)
+        self.at, self.weight = np.zeros(self.MOST + self.PART, dtype=np.int64), np.zeros(self.MOST + self.PART)
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = len(self)
+        if len(token) >= 3:
+            h = hashlib.blake2b(token.encode(), digest_size=8).digest()
+            self.at[n], self.weight[n] = int.from_bytes(h[:4], "big") % self.dim, (1.0 if h[4] & 1 else -1.0) * (1 + math.log(len(token)))
+        return n
+
+    def add(self, v: np.ndarray, tokens: list[str]) -> np.ndarray:
+        """The sums after these words, added one by one in their order. Long texts go in parts, so that the known words stay few."""
+        for k in range(0, len(tokens), self.PART):
+            rows = np.fromiter(map(self.__getitem__, tokens[k : k + self.PART]), dtype=np.int64)
+            v = np.bincount(np.concatenate([self.all, self.at[rows]]), np.concatenate([v, self.weight[rows]]), self.dim)
+            if len(self) > self.MOST:
+                self.clear()
+                self.at[:], self.weight[:] = 0, 0
+        return v
+
+
 def hash_embedding(texts: DataFrame, text: str = "text", dim: int = 1024) -> DataFrame:
     """Adds `embedding`: signed hashed words weighted by length, of norm one; all zero without a word of three letters."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType(), False))
     def embed(column: pd.Series) -> pd.Series:
-        seen: dict[str, tuple[int, float]] = {}
-
-        def place(token: str) -> tuple[int, float]:
-            if token not in seen:
-                if len(seen) > 200_000:
-                    seen.clear()
-                h = hashlib.blake2b(token.encode(), digest_size=8).digest()
-                seen[token] = int.from_bytes(h[:4], "big") % dim, (1.0 if h[4] & 1 else -1.0) * (1 + math.log(len(token)))
-            return seen[token]
-
+        places = _Places(dim)
         out = []
         for t in column:
-            v = np.zeros(dim)
-            for token in _TOKEN.findall((t or "").casefold()):
-                if len(token) >= 3:
-                    i, w = place(token)
-                    v[i] += w
+            v = places.add(np.zeros(dim), _TOKEN.findall((t or "").casefold()))
             out.append((v / (np.linalg.norm(v) or 1.0)).astype(np.float32))
         return pd.Series(out)
 
@@ -642,7 +656,9 @@ def _sorted(rows: DataFrame, keys: list[str], stories: DataFrame | None) -> Data
         names = ["id", "pub_min", "last_min", *keys]
         put = _as_bytes(open_.select(F.col("story").alias("id"), F.col("first_min").cast("double").alias("pub_min"), F.col("last_min").cast("double").alias("last_min"), summed.alias("embedding"), *keys), names)
         rows = rows.unionByName(put.withColumn("carried", F.lit(True)), allowMissingColumns=True)
-    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("carried"), F.col("pub_min").asc_nulls_last(), "id", "uid")
+    # Few long streams: many partitions, not merged by size, so that two of them seldom share a task.
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, F.desc("carried"), F.col("pub_min").asc_nulls_last(), "id", "uid")
 
 
 def cluster(articles: DataFrame, threshold: float = 0.78, window_hours: float = 48, block: list[str] | None = None, bound_first: bool = True, stories: DataFrame | None = None, near: int = NEAR) -> DataFrame:

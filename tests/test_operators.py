@@ -390,6 +390,24 @@ def test_a_vector_is_sent_to_few_tiles(spark):
     assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b}
 
 
+def test_streams_of_the_fold_lie_in_many_tasks(spark):
+    rows = [(i, float(i % 50), b"", [0.5, 0.6, 0.7, 0.8][i % 4], "abcd"[i // 4 % 4], i) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, pub_min double, embedding binary, threshold double, block string, uid long")
+    at = similarity._sorted(df, ["threshold", "block"], None).select("threshold", "block", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(at) == 16 and len({r.p for r in at}) >= 8
+
+
+def test_words_are_summed_in_their_order(monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    tokens = ["w" + "x" * int(n) + str(n % 7) for n in rnd.integers(0, 40, 3000)] + ["ab", "ß", "añb"]
+    sums = similarity._Places(16).add(np.zeros(16), tokens)
+    monkeypatch.setattr(similarity._Places, "MOST", 30)
+    monkeypatch.setattr(similarity._Places, "PART", 11)
+    assert similarity._Places(16).add(np.zeros(16), tokens).tobytes() == sums.tobytes() and not similarity._Places(16).add(np.zeros(16), ["ab", "c"]).any()
+
+
 def test_latin_names_are_restored(spark):
     titles = spark.createDataFrame([(1, "El Leire Díez habla de Barcelona"), (1, "Ana de la Torre y Ronald Araujo"), (1, "Denis Shapovalov gana"), (2, "Leire Díez")], "id long, title string")
     names = entities.latin_names(titles, ["barcelona"], ["El", "La"])
