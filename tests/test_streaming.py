@@ -125,6 +125,19 @@ def test_growth_keeps_the_articles_of_a_slot_in_packs(feed, tmp_path):
     assert 0 < out.sparkSession.read.format("statestore").option("joinSide", "right").load(f"{tmp_path}/o/checkpoint").count() < 30
 
 
+def test_growth_keeps_the_posts_of_a_slot_in_packs(feed, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "PACK", 64)
+    posts = [(k, 7 + k % 2, at(k / 100), ["o1"] if k % 3 else []) for k in range(400)]
+    late = [(1000 + k, 7, at(30 + k / 10), ["o0", "o2"]) for k in range(50)]
+    rows = [(7 + k % 2, f"o{k % 3}", at(k / 8)) for k in range(600)]
+    p = feed("post_id long, cluster_id long, post_ts timestamp, posted_owners array<string>", posts, late, name="p")
+    a = feed("cluster_id long, owner string, ts timestamp", rows[:300], rows[300:], name="a")
+    out = W.drain(W.story_growth(p, a), f"{tmp_path}/o")
+    want = [(i, c, o, x) for i, c, post, own in posts + late for d, o, x in rows if c == d and o not in own and post < x <= post + dt.timedelta(hours=48)]
+    assert sorted((r.post_id, r.cluster_id, r.owner, r.ts) for r in out.collect()) == sorted(want)
+    assert 0 < out.sparkSession.read.format("statestore").option("joinSide", "left").load(f"{tmp_path}/o/checkpoint").count() < 400
+
+
 def test_promotion_keeps_stories_in_buckets(feed, tmp_path, monkeypatch):
     monkeypatch.setattr(W, "BUCKETS", 3)
     first = [(k, at(0), "a") for k in range(40)] + [(None, at(0), "a")]
